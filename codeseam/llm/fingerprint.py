@@ -2,30 +2,18 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import written
 
 #: Samples of one aggregation; a fingerprint is BLOCKS of them.
-SAMPLES, BLOCKS = 32, 2
+SAMPLES, BLOCKS = 16, 4
 #: Bits of a sample that are kept, as hexadecimal digits.
 DIGITS = 5
 LOW = (1 << 4 * DIGITS) - 1
-R_BITS, C_BITS, BETA_BITS = 12, 14, 24
-
-
-def gamma_quantiles(n: int) -> np.ndarray:
-    """Quantiles of Gamma(2, 1) at the middles of n equal parts, by bisection of its distribution
-    function 1 - (1 + x) exp(-x)."""
-    p = (np.arange(n) + 0.5) / n
-    lo, hi = np.zeros(n), np.full(n, 60.0)
-    for _ in range(80):
-        mid = (lo + hi) / 2
-        below = 1 - (1 + mid) * np.exp(-mid) < p
-        lo, hi = np.where(below, mid, lo), np.where(below, hi, mid)
-    return (lo + hi) / 2
+#: Bits of the five uniform draws of a sample: two for r, two for c, one for beta.
+BITS = (12, 12, 14, 14, 12)
 
 
 def words_of(text: Column) -> Column:
@@ -46,22 +34,26 @@ def next_ids(sizes: DataFrame) -> DataFrame:
     return ranged.withColumn("lead", lead).join(F.broadcast(border), "part").select("doc_id", "n", F.coalesce("lead", "after").alias("next_id"))
 
 
-def samples(weight: Column, draws: Column, r_table: Column, c_table: Column) -> Column:
+def sample(weight: Column, draws: Column) -> Column:
     """One consistent weighted sample of a term of the given log weight, as a number whose order
     is that of ln a and whose low bits tell (term, t). draws: 64 random bits of (term, sample).
 
-    With r and c from Gamma(2, 1) and beta uniform: t = floor(ln w / r + beta) and
-    ln a = ln c - r (t - beta + 1); the least a over a text's terms is its sample.
+    With r and c from Gamma(2, 1), each minus the log of a product of two uniform draws, and beta
+    uniform: t = floor(ln w / r + beta) and ln a = ln c - r (t - beta + 1); the least a over a
+    text's terms is its sample.
     """
-    r = F.get(r_table, F.shiftrightunsigned(draws, 64 - R_BITS).cast("int"))
-    ln_c = F.get(c_table, F.shiftrightunsigned(draws, 64 - R_BITS - C_BITS).bitwiseAND(F.lit((1 << C_BITS) - 1)).cast("int"))
-    beta = draws.bitwiseAND(F.lit((1 << BETA_BITS) - 1)) / float(1 << BETA_BITS)
+    uniform, shift = [], 64
+    for bits in BITS:
+        shift -= bits
+        uniform.append((F.shiftrightunsigned(draws, shift).bitwiseAND(F.lit((1 << bits) - 1)) + 0.5) / float(1 << bits))
+    r = -F.ln(uniform[0] * uniform[1])
+    ln_c = F.ln(-F.ln(uniform[2] * uniform[3]))
+    beta = uniform[4]
     t = F.floor(weight / r + beta)
     ln_a = ln_c - r * (t - beta + 1.0)
     mark = draws.bitwiseXOR(t * 40503).bitwiseAND(F.lit(LOW))
-    # ln a lies within 60 of 0 for any weight that fits a text, unless r is near 0
-    place = F.greatest(F.least((ln_a + 1024.0) * float(1 << 30), F.lit(float(1 << 42))), F.lit(0.0))
-    return F.shiftleft(place.cast("long"), 4 * DIGITS).bitwiseOR(mark)
+    # -40 < ln a < 4 for the weights of texts
+    return F.shiftleft(((ln_a + 1024.0) * float(1 << 30)).cast("long"), 4 * DIGITS).bitwiseOR(mark)
 
 
 def signatures(texts: DataFrame) -> DataFrame:
@@ -71,8 +63,6 @@ def signatures(texts: DataFrame) -> DataFrame:
     Words are counted and sampled where the text is: both aggregations have doc_id among their
     keys and need no further exchange.
     """
-    r_table = F.lit(gamma_quantiles(1 << R_BITS).tolist())
-    c_table = F.lit(np.log(gamma_quantiles(1 << C_BITS)).tolist())
     first = words_of(F.col("text"))
     both = texts.select("doc_id", "rid", F.size(first).alias("n0"), F.concat(first, words_of(F.col("edited"))).alias("words"))
     each = both.select("doc_id", "rid", "n0", F.posexplode("words").alias("pos", "word")).where("word <> ''")
@@ -81,7 +71,7 @@ def signatures(texts: DataFrame) -> DataFrame:
     logs = terms.select("doc_id", "rid", "term", F.ln((F.col("n") - F.col("n1")).cast("double")).alias("w0"), F.ln(F.col("n1").cast("double")).alias("w1"))
     logs = logs.select("*", F.explode(F.array(*(F.lit(b * SAMPLES) for b in range(BLOCKS)))).alias("block"))
     draws = [F.xxhash64(F.col("term"), F.col("block") + k) for k in range(SAMPLES)]
-    least = [F.min(F.when(F.col(w).isNotNull(), samples(F.col(w), d, r_table, c_table))).alias(f"{w}_{k}") for w in ("w0", "w1") for k, d in enumerate(draws)]
+    least = [F.min(F.when(F.col(w).isNotNull(), sample(F.col(w), d))).alias(f"{w}_{k}") for w in ("w0", "w1") for k, d in enumerate(draws)]
     got = logs.groupBy("doc_id", "rid", "block").agg(*least)
     hexes = lambda w: F.concat(*(F.lpad(F.lower(F.hex(F.col(f"{w}_{k}").bitwiseAND(F.lit(LOW)))), DIGITS, "0") for k in range(SAMPLES)))
     parts = got.select("doc_id", "rid", "block", hexes("w0").alias("h0"), hexes("w1").alias("h1"))

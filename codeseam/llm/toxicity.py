@@ -30,17 +30,17 @@ class Settings:
 
 
 class Terms(dict):
-    """word -> bucket; remembered up to a bound. A word also counts by its first five letters."""
+    """word -> bucket; remembered up to a bound. A word also counts by its first five and first seven letters."""
 
     def __init__(self, buckets: int, bound: int = 400_000):
         super().__init__()
         self.buckets, self.bound = buckets, bound
 
-    def __missing__(self, word: bytes) -> tuple[int, int]:
+    def __missing__(self, word: bytes) -> tuple[int, ...]:
         if len(self) >= self.bound:
             self.clear()
-        stem = word.decode("utf-8", "replace")[:5].encode()
-        out = self[word] = (zlib.crc32(word) % self.buckets, zlib.crc32(stem, 1) % self.buckets)
+        letters = word.decode("utf-8", "replace")
+        out = self[word] = (zlib.crc32(word) % self.buckets, *(zlib.crc32(letters[:n].encode(), n) % self.buckets for n in (5, 7)))
         return out
 
     def of(self, text: str | None) -> np.ndarray:
