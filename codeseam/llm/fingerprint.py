@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .common import written
 
 #: Samples of one aggregation; a fingerprint is BLOCKS of them.
-SAMPLES, BLOCKS = 16, 4
+SAMPLES, BLOCKS = 8, 8
 #: Bits of a sample that are kept, as hexadecimal digits.
 DIGITS = 5
 LOW = (1 << 4 * DIGITS) - 1
@@ -63,15 +63,14 @@ def signatures(texts: DataFrame) -> DataFrame:
     Words are counted and sampled where the text is: both aggregations have doc_id among their
     keys and need no further exchange.
     """
-    first = words_of(F.col("text"))
-    both = texts.select("doc_id", "rid", F.size(first).alias("n0"), F.concat(first, words_of(F.col("edited"))).alias("words"))
-    each = both.select("doc_id", "rid", "n0", F.posexplode("words").alias("pos", "word")).where("word <> ''")
-    later = (F.col("pos") >= F.col("n0")).cast("int")
-    terms = each.select("doc_id", "rid", F.xxhash64("word").alias("term"), later.alias("later")).groupBy("doc_id", "rid", "term").agg(F.count("*").alias("n"), F.sum("later").alias("n1"))
+    both = texts.select("doc_id", "rid", F.posexplode(F.array("text", "edited")).alias("later", "part"))
+    each = both.select("doc_id", "rid", "later", F.explode(words_of(F.col("part"))).alias("word")).where("word <> ''")
+    terms = each.select("doc_id", "rid", F.xxhash64("word").alias("term"), "later").groupBy("doc_id", "rid", "term").agg(F.count("*").alias("n"), F.sum("later").alias("n1"))
     logs = terms.select("doc_id", "rid", "term", F.ln((F.col("n") - F.col("n1")).cast("double")).alias("w0"), F.ln(F.col("n1").cast("double")).alias("w1"))
     logs = logs.select("*", F.explode(F.array(*(F.lit(b * SAMPLES) for b in range(BLOCKS)))).alias("block"))
+    # the log of no occurrence is null, and so is its sample; draws and their logs are shared
     draws = [F.xxhash64(F.col("term"), F.col("block") + k) for k in range(SAMPLES)]
-    least = [F.min(F.when(F.col(w).isNotNull(), sample(F.col(w), d))).alias(f"{w}_{k}") for w in ("w0", "w1") for k, d in enumerate(draws)]
+    least = [F.min(sample(F.col(w), d)).alias(f"{w}_{k}") for w in ("w0", "w1") for k, d in enumerate(draws)]
     got = logs.groupBy("doc_id", "rid", "block").agg(*least)
     hexes = lambda w: F.concat(*(F.lpad(F.lower(F.hex(F.col(f"{w}_{k}").bitwiseAND(F.lit(LOW)))), DIGITS, "0") for k in range(SAMPLES)))
     parts = got.select("doc_id", "rid", "block", hexes("w0").alias("h0"), hexes("w1").alias("h1"))
