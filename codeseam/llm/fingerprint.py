@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,8 +13,25 @@ SAMPLES, BLOCKS = 8, 8
 #: Bits of a sample that are kept, as hexadecimal digits.
 DIGITS = 5
 LOW = (1 << 4 * DIGITS) - 1
-#: Bits of the five uniform draws of a sample: two for r, two for c, one for beta.
-BITS = (12, 12, 14, 14, 12)
+#: Bits of a sample's draws for r, c and beta. r and c are quantiles of Gamma(2, 1).
+R_BITS, C_BITS, BETA_BITS = 8, 11, 24
+
+
+def gamma_quantiles(n: int) -> np.ndarray:
+    """Quantiles of Gamma(2, 1) at the middles of n equal parts, by bisection of its distribution
+    function 1 - (1 + x) exp(-x)."""
+    p = (np.arange(n) + 0.5) / n
+    lo, hi = np.zeros(n), np.full(n, 60.0)
+    for _ in range(80):
+        mid = (lo + hi) / 2
+        below = 1 - (1 + mid) * np.exp(-mid) < p
+        lo, hi = np.where(below, mid, lo), np.where(below, hi, mid)
+    return (lo + hi) / 2
+
+
+def constant(values: np.ndarray) -> Column:
+    """An array that the optimizer folds into one literal."""
+    return F.split(F.lit(",".join(f"{x:.9g}" for x in values)), ",").cast("array<double>")
 
 
 def words_of(text: Column) -> Column:
@@ -34,21 +52,16 @@ def next_ids(sizes: DataFrame) -> DataFrame:
     return ranged.withColumn("lead", lead).join(F.broadcast(border), "part").select("doc_id", "n", F.coalesce("lead", "after").alias("next_id"))
 
 
-def sample(weight: Column, draws: Column) -> Column:
+def sample(weight: Column, draws: Column, r_table: Column, c_table: Column) -> Column:
     """One consistent weighted sample of a term of the given log weight, as a number whose order
     is that of ln a and whose low bits tell (term, t). draws: 64 random bits of (term, sample).
 
-    With r and c from Gamma(2, 1), each minus the log of a product of two uniform draws, and beta
-    uniform: t = floor(ln w / r + beta) and ln a = ln c - r (t - beta + 1); the least a over a
-    text's terms is its sample.
+    With r and c from Gamma(2, 1) and beta uniform: t = floor(ln w / r + beta) and
+    ln a = ln c - r (t - beta + 1); the least a over a text's terms is its sample.
     """
-    uniform, shift = [], 64
-    for bits in BITS:
-        shift -= bits
-        uniform.append((F.shiftrightunsigned(draws, shift).bitwiseAND(F.lit((1 << bits) - 1)) + 0.5) / float(1 << bits))
-    r = -F.ln(uniform[0] * uniform[1])
-    ln_c = F.ln(-F.ln(uniform[2] * uniform[3]))
-    beta = uniform[4]
+    r = F.get(r_table, F.shiftrightunsigned(draws, 64 - R_BITS).cast("int"))
+    ln_c = F.get(c_table, F.shiftrightunsigned(draws, 64 - R_BITS - C_BITS).bitwiseAND(F.lit((1 << C_BITS) - 1)).cast("int"))
+    beta = draws.bitwiseAND(F.lit((1 << BETA_BITS) - 1)) / float(1 << BETA_BITS)
     t = F.floor(weight / r + beta)
     ln_a = ln_c - r * (t - beta + 1.0)
     mark = draws.bitwiseXOR(t * 40503).bitwiseAND(F.lit(LOW))
@@ -63,6 +76,7 @@ def signatures(texts: DataFrame) -> DataFrame:
     Words are counted and sampled where the text is: both aggregations have doc_id among their
     keys and need no further exchange.
     """
+    r_table, c_table = constant(gamma_quantiles(1 << R_BITS)), constant(np.log(gamma_quantiles(1 << C_BITS)))
     both = texts.select("doc_id", "rid", F.posexplode(F.array("text", "edited")).alias("later", "part"))
     each = both.select("doc_id", "rid", "later", F.explode(words_of(F.col("part"))).alias("word")).where("word <> ''")
     terms = each.select("doc_id", "rid", F.xxhash64("word").alias("term"), "later").groupBy("doc_id", "rid", "term").agg(F.count("*").alias("n"), F.sum("later").alias("n1"))
@@ -70,7 +84,7 @@ def signatures(texts: DataFrame) -> DataFrame:
     logs = logs.select("*", F.explode(F.array(*(F.lit(b * SAMPLES) for b in range(BLOCKS)))).alias("block"))
     # the log of no occurrence is null, and so is its sample; draws and their logs are shared
     draws = [F.xxhash64(F.col("term"), F.col("block") + k) for k in range(SAMPLES)]
-    least = [F.min(sample(F.col(w), d)).alias(f"{w}_{k}") for w in ("w0", "w1") for k, d in enumerate(draws)]
+    least = [F.min(sample(F.col(w), d, r_table, c_table)).alias(f"{w}_{k}") for w in ("w0", "w1") for k, d in enumerate(draws)]
     got = logs.groupBy("doc_id", "rid", "block").agg(*least)
     hexes = lambda w: F.concat(*(F.lpad(F.lower(F.hex(F.col(f"{w}_{k}").bitwiseAND(F.lit(LOW)))), DIGITS, "0") for k in range(SAMPLES)))
     parts = got.select("doc_id", "rid", "block", hexes("w0").alias("h0"), hexes("w1").alias("h1"))
@@ -78,6 +92,8 @@ def signatures(texts: DataFrame) -> DataFrame:
     return parts.groupBy("doc_id", "rid").agg(F.concat(*(pick("h0", b) for b in range(BLOCKS))).alias("fp0"), F.concat(*(pick("h1", b) for b in range(BLOCKS))).alias("fp1"))
 
 
+#: Stands for a null doc_id.
+NO_ID = -(1 << 63)
 #: The fingerprint of a text without words.
 EMPTY = "0" * (DIGITS * SAMPLES * BLOCKS)
 
@@ -100,18 +116,19 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     which the least text and fingerprint count. A row with a null doc_id has no next document: its
     text is only cut, and near_next is null. Extra columns are not read.
     """
-    base = docs.select("doc_id", F.monotonically_increasing_id().alias("rid"), F.coalesce("text", F.lit("")).alias("text"))
+    # Both joins below read one exchange of the texts: same columns, and a key that is never null.
+    base = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), F.monotonically_increasing_id().alias("rid"), F.coalesce("text", F.lit("")).alias("text"))
     sizes = docs.where("doc_id is not null").groupBy("doc_id").agg(F.max(F.char_length(F.coalesce("text", F.lit("")))).cast("long").alias("n"))
     order = written(next_ids(sizes), "order")
     given = order.select(F.col("next_id").alias("doc_id"), F.col("doc_id").alias("to"), (F.col("n") / 3).cast("int").alias("need"))
-    heads = base.join(given, "doc_id").select("to", F.substr("text", F.lit(1), F.col("need")).alias("head")).groupBy("to").agg(F.min("head").alias("head"))
+    heads = base.join(given, "doc_id").select("to", F.struct(F.substr("text", F.lit(1), F.col("need")).alias("head"), "rid").alias("head")).groupBy("to").agg(F.min("head").alias("head"))
     n = F.char_length("text")
     third = (n / 3).cast("int")
-    texts = base.join(heads, base["doc_id"] == heads["to"], "left").select("doc_id", "rid", "text", F.concat(F.substr("text", F.lit(1), n - third), F.substr(F.coalesce("head", F.lit("")), F.lit(1), third)).alias("edited"))
+    texts = base.join(heads, base["doc_id"] == heads["to"], "left").select("doc_id", "rid", "text", F.concat(F.substr("text", F.lit(1), n - third), F.substr(F.coalesce("head.head", F.lit("")), F.lit(1), third)).alias("edited"))
     digests = texts.select("doc_id", "rid", F.char_length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"))
-    marks = signatures(texts)
-    joined = digests.join(marks.withColumnRenamed("doc_id", "_doc").withColumnRenamed("rid", "_rid"), (F.col("doc_id").eqNullSafe(F.col("_doc"))) & (F.col("rid") == F.col("_rid")), "left")
-    full = written(joined.select("doc_id", "n_chars", "edited_sha256", F.coalesce("fp0", F.lit(EMPTY)).alias("fingerprint"), F.coalesce("fp1", F.lit(EMPTY)).alias("edited_fingerprint")), "fingerprints")
+    full = digests.join(signatures(texts), ["doc_id", "rid"], "left")
+    full = full.select(F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"), "n_chars", "edited_sha256", F.coalesce("fp0", F.lit(EMPTY)).alias("fingerprint"), F.coalesce("fp1", F.lit(EMPTY)).alias("edited_fingerprint"))
+    full = written(full, "fingerprints")
     of_next = full.where("doc_id is not null").groupBy("doc_id").agg(F.min("fingerprint").alias("next_fingerprint"))
     nexts = order.select(F.col("doc_id").alias("_id"), "next_id").join(of_next, F.col("next_id") == of_next["doc_id"]).select("_id", "next_fingerprint")
     out = full.join(nexts, full["doc_id"] == nexts["_id"], "left")
