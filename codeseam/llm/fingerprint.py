@@ -127,9 +127,12 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     texts = base.join(heads, base["doc_id"] == heads["to"], "left").select("doc_id", "rid", "text", F.concat(F.substr("text", F.lit(1), n - third), F.substr(F.coalesce("head.head", F.lit("")), F.lit(1), third)).alias("edited"))
     digests = texts.select("doc_id", "rid", F.char_length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"))
     full = digests.join(signatures(texts), ["doc_id", "rid"], "left")
-    full = full.select(F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"), "n_chars", "edited_sha256", F.coalesce("fp0", F.lit(EMPTY)).alias("fingerprint"), F.coalesce("fp1", F.lit(EMPTY)).alias("edited_fingerprint"))
+    full = full.select(F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"), "n_chars", "edited_sha256", F.unhex(F.coalesce("fp0", F.lit(EMPTY))).alias("own"), F.unhex(F.coalesce("fp1", F.lit(EMPTY))).alias("edited"))
     full = written(full, "fingerprints")
-    of_next = full.where("doc_id is not null").groupBy("doc_id").agg(F.min("fingerprint").alias("next_fingerprint"))
-    nexts = order.select(F.col("doc_id").alias("_id"), "next_id").join(of_next, F.col("next_id") == of_next["doc_id"]).select("_id", "next_fingerprint")
+    of_next = full.where("doc_id is not null").groupBy("doc_id").agg(F.min("own").alias("next"))
+    nexts = order.select(F.col("doc_id").alias("_id"), "next_id").join(of_next, F.col("next_id") == of_next["doc_id"]).select("_id", "next")
     out = full.join(nexts, full["doc_id"] == nexts["_id"], "left")
-    return out.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"), F.when(F.col("next_fingerprint").isNotNull(), likeness(F.col("fingerprint"), F.col("next_fingerprint"))).alias("near_next"))
+    own, edited, after = (F.lower(F.hex(c)) for c in ("own", "edited", "next"))
+    out = out.select("doc_id", "n_chars", "edited_sha256", own.alias("fingerprint"), edited.alias("edited_fingerprint"), after.alias("next"))
+    own = F.col("fingerprint")
+    return out.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", likeness(own, F.col("edited_fingerprint")).alias("near_edited"), F.when(F.col("next").isNotNull(), likeness(own, F.col("next"))).alias("near_next"))
