@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 import numpy as np
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -80,6 +81,38 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def ends(pairs: DataFrame, name: str = "doc_id") -> DataFrame:
+    """The distinct ids on either side of pairs (a, b)."""
+    return pairs.select(F.explode(F.array("a", "b")).alias(name)).distinct()
+
+
+#: Bits of a hint: with it goes a bitmap of this many bits, 4 MB, whatever the number of ids.
+HINT_BITS = 25
+
+
+def hint(hashes: DataFrame) -> Broadcast:
+    """A bitmap of fixed size that holds every 64-bit hash of a one-column table and, of others,
+    few.
+
+    It lets a scan skip most rows that a semi-join would drop, before they are moved; the join
+    still decides. With very many hashes it lets more through, never fewer.
+    """
+    h = F.col(hashes.columns[0])
+    slot = F.shiftrightunsigned(h, 6).bitwiseAND(F.lit((1 << (HINT_BITS - 6)) - 1))
+    bit = F.expr(f"shiftleft(1L, cast({hashes.columns[0]} & 63 as int))")
+    got = hashes.select(slot.alias("slot"), bit.alias("bit")).groupBy("slot").agg(F.bit_or("bit").alias("bits")).toArrow()
+    words = np.zeros(1 << (HINT_BITS - 6), np.int64)
+    words[got.column("slot").to_numpy()] = got.column("bits").to_numpy()
+    return hashes.sparkSession.sparkContext.broadcast(words)
+
+
+def seen(words: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which hashes the bitmap of a hint may hold."""
+    h = hashes.view(np.uint64)
+    slot = ((h >> np.uint64(6)) & np.uint64((1 << (HINT_BITS - 6)) - 1)).astype(np.int64)
+    return (words.view(np.uint64)[slot] >> (h & np.uint64(63))) & np.uint64(1) > 0
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Connected components of edges (a long, b long) -> (node, root), root the least id.
 
@@ -91,20 +124,24 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         row = e.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x")).first()
         return row["n"], row["x"]
 
+    def two(df: DataFrame, first: tuple[str, str], second: tuple[str, str]) -> DataFrame:
+        pair = lambda x: F.struct(F.col(x[0]).alias("a"), F.col(x[1]).alias("b"))
+        return df.select(F.explode(F.array(pair(first), pair(second))).alias("e")).select("e.a", "e.b")
+
     e = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     now = print_of(e)
     for _ in range(rounds):
         if not now[0]:
             break
-        both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        both = two(e, ("a", "b"), ("b", "a"))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("k"), F.least("a", "m").alias("m"))
-        large = both.join(low, both.a == low.k).where("b > a and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = both.join(low, both["a"] == low["k"]).where("b > a and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("k"), "m")
-        small = large.join(low, large.a == low.k).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        e = written(small.union(low.select(F.col("k").alias("a"), F.col("m").alias("b"))).distinct(), "edges")
+        small = two(large.join(low, large["a"] == low["k"]), ("b", "m"), ("a", "m")).where("a <> b")
+        e = written(small.distinct(), "edges")
         was, now = now, print_of(e)
         if was == now:
             break
     else:
         raise RuntimeError("components did not settle")
-    return e.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root")).select("node", "root").union(e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+    return two(e, ("a", "b"), ("b", "b")).distinct().select(F.col("a").alias("node"), F.col("b").alias("root"))

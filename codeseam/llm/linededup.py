@@ -6,12 +6,13 @@ from collections import defaultdict
 from collections.abc import Iterator
 from itertools import combinations
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, written
+from .common import components, ends, hint, seen, written
 
 #: Groups of more lines than this that share a segment are compared through one member first.
 SMALL = 16
@@ -253,15 +254,16 @@ def paired(rows: DataFrame) -> DataFrame:
 
 def confirmed(docs: DataFrame, pairs: DataFrame, edits: int, min_bytes: int) -> DataFrame:
     """The pairs of line digests whose lines are within `edits` edits."""
-    wanted = written(pairs.select(F.col("a").alias("h")).union(pairs.select(F.col("b").alias("h"))).distinct(), "wanted")
+    wanted = written(ends(pairs, "h"), "wanted")
+    shared = hint(wanted)
 
     def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            seen = {}
-            for text in batch.column(0).to_pylist():
-                for _, line in eligible(text, min_bytes):
-                    seen[line_hash(line)] = line
-            yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int64()), pa.array(list(seen.values()), pa.binary())], ["h", "line"])
+            own = {line_hash(line): line for text in batch.column(0).to_pylist() for _, line in eligible(text, min_bytes)}
+            hashes = np.fromiter(own, np.int64, len(own))
+            keep = np.flatnonzero(seen(shared.value, hashes)).tolist()
+            texts = list(own.values())
+            yield pa.RecordBatch.from_arrays([pa.array(hashes[keep]), pa.array([texts[i] for i in keep], pa.binary())], ["h", "line"])
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -285,7 +287,7 @@ def line_classes(docs: DataFrame, edits: int, min_bytes: int) -> DataFrame:
     if pairs.where("hot is not null").limit(1).count():
         # Large groups: their lines in different components may hold links that the comparison
         # with one line did not show. Those that are still apart are compared with each other.
-        member = rows.join(hot, "key", "left_semi").select("key", F.col("x").alias("node")).union(rows.join(hot, "key", "left_semi").where("pivot is not null").select("key", F.col("pivot").alias("node"))).distinct()
+        member = rows.join(hot, "key", "left_semi").select("key", F.explode(F.array("x", F.coalesce("pivot", "x"))).alias("node")).distinct()
         placed = member.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
         apart = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
         placed = written(placed.join(apart, "key", "left_semi"), "apart")

@@ -6,14 +6,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WordHash, blank_words, components, mixed, written
+from .common import WordHash, blank_words, components, ends, hint, mixed, seen, written
 
 #: Documents of one mapInArrow batch are hashed in runs of about this many shingles.
 RUN = 200_000
-BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def shingle_set(text: str | None, hashes: WordHash, width: int = 5) -> np.ndarray:
@@ -97,41 +96,32 @@ def signed(docs: DataFrame, bands: int, rows: int, width: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(sign, "doc_id long, n_shingles long, set_a long, set_b long, keys array<long>")
 
 
-def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, shingles): the hashed shingle set as bytes (sorted unsigned 64-bit integers)."""
+def shingle_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """(doc_id, shingles) of the documents in `wanted`: the hashed shingle set of each. Only these
+    sets are moved: a hint sorts out most others first."""
+    shared = hint(wanted.select(F.xxhash64("doc_id").alias("h")))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHash()
         for batch in batches:
-            for start in range(0, len(batch), 500):
-                part = batch.slice(start, 500)
-                out = [shingle_set(t, hashes, width).tobytes() for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(out, pa.binary())], ["doc_id", "shingles"])
+            batch = batch.filter(pa.array(seen(shared.value, batch.column(2).to_numpy(zero_copy_only=False))))
+            for start in range(0, len(batch), 200):
+                part = batch.slice(start, 200)
+                own = [shingle_set(t, hashes, width) for t in part.column(1).to_pylist()]
+                at = np.cumsum([0, *map(len, own)]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(own).view(np.int64)))], ["doc_id", "shingles"])
 
-    return docs.select("doc_id", "text").mapInArrow(sets, "doc_id long, shingles binary")
+    rows = docs.select("doc_id", "text", F.xxhash64("doc_id").alias("h")).where("doc_id is not null")
+    return rows.mapInArrow(sets, "doc_id long, shingles array<long>").join(wanted, "doc_id", "left_semi")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
-
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            left, right = batch.column(2), batch.column(3)
-            for i in range(len(batch)):
-                x, y = np.frombuffer(left[i].as_buffer(), np.uint64), np.frombuffer(right[i].as_buffer(), np.uint64)
-                small, big = (x, y) if len(x) < len(y) else (y, x)
-                if 100 * len(small) < percent * len(big) or not len(small):
-                    continue
-                at = np.minimum(np.searchsorted(big, small), len(big) - 1)
-                same = int(np.count_nonzero(big[at] == small))
-                if 100 * same >= percent * (len(x) + len(y) - same):
-                    keep.append(i)
-            if keep:
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep)), batch.column(1).take(pa.array(keep))], ["a", "b"])
-
     both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(check, "a long, b long").distinct()
+    n, m = F.size("x"), F.size("y")
+    close = (n > 0) & (F.least(n, m) * 100 >= F.greatest(n, m) * percent)
+    same = F.when(close, F.size(F.array_intersect("x", "y")))
+    return both.where(same * (100 + percent) >= (n + m) * percent).select("a", "b").distinct()
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, bands: int = 20, rows: int = 4, width: int = 5) -> DataFrame:
@@ -143,7 +133,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, bands: int = 20, rows: i
     component and is kept. Extra columns of docs are not read.
 
     Equal sets fold into one representative first, so any number of exact copies costs one row
-    each. Every bucket then compares its members with its least member: as many candidate pairs
+    each. Every bucket then compares its members with one member: as many candidate pairs
     as members, however large the bucket. Members of a bucket that end in several components may
     still hold unseen links among themselves; they alone go through an exact prefix-filter join
     (two sets this similar share one of the rarest shingles of each), so no link is lost to the
@@ -153,12 +143,16 @@ def near_duplicates(docs: DataFrame, percent: int = 80, bands: int = 20, rows: i
     classes = written(base.where("doc_id is not null and n_shingles > 0").groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"), F.min("n_shingles").alias("n")), "classes")
     # keys depend on the set alone: those of the representative's row will do
     members = base.join(classes.select("set_a", "set_b", F.col("rep").alias("doc_id")), ["set_a", "set_b", "doc_id"]).select("doc_id", F.explode("keys").alias("key")).distinct()
-    buckets = members.groupBy("key").agg(F.count("*").alias("size"), F.min("doc_id").alias("pivot")).where("size > 1")
-    in_bucket = written(members.join(buckets, "key"), "buckets")
-    pairs = in_bucket.where("doc_id <> pivot").select(F.col("doc_id").alias("a"), F.col("pivot").alias("b")).distinct()
+    sizes = members.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    in_bucket = written(members.join(sizes, "key"), "buckets")
+    # A bucket is compared with the member that shares the most buckets with others: of the
+    # copies of a text that is most often the text itself, nearest to all of them.
+    fame = in_bucket.groupBy("doc_id").agg(F.sum("size").alias("fame"))
+    ranked = in_bucket.join(fame, "doc_id").select("key", "doc_id", F.struct("fame", (-F.col("doc_id")).alias("low")).alias("rank"))
+    pivots = ranked.groupBy("key").agg((-F.max("rank")["low"]).alias("pivot"))
+    pairs = in_bucket.join(pivots, "key").where("doc_id <> pivot").select(F.greatest("doc_id", "pivot").alias("a"), F.least("doc_id", "pivot").alias("b")).distinct()
     pairs = written(pairs, "pairs")
-    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    sets = shingle_sets(docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi"), width)
+    sets = shingle_sets(docs, ends(pairs), width)
     links = written(confirmed(pairs, sets, percent), "links")
     roots = components(links)
 
@@ -170,9 +164,8 @@ def near_duplicates(docs: DataFrame, percent: int = 80, bands: int = 20, rows: i
         more = prefix_pairs(docs, rest, percent, width).join(pairs, ["a", "b"], "left_anti")
         more = written(more, "pairs")
         if more.limit(1).count():
-            wanted = more.select(F.col("a").alias("doc_id")).union(more.select(F.col("b").alias("doc_id"))).distinct()
-            sets = shingle_sets(docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi"), width)
-            roots = components(links.union(confirmed(more, sets, percent)))
+            found = written(confirmed(more, shingle_sets(docs, ends(more), width), percent), "links")
+            roots = components(links.union(found))
 
     rooted = classes.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("set_a", "set_b", F.coalesce("root", "rep").alias("component"))
     out = base.select("doc_id", "n_shingles", "set_a", "set_b").join(rooted, ["set_a", "set_b"], "left")
@@ -182,34 +175,30 @@ def near_duplicates(docs: DataFrame, percent: int = 80, bands: int = 20, rows: i
 
 
 def prefix_pairs(docs: DataFrame, rest: DataFrame, percent: int, width: int) -> DataFrame:
-    """Pairs (a > b) of documents of `rest` (doc_id, root) in different components that share one
-    of the rarest shingles of each, and whose set sizes allow the similarity: all that can link."""
+    """Pairs (a > b) of documents of `rest` (doc_id, root) in different components that can still
+    link: all that pass three exact tests.
 
-    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(len(batch)):
-                s = np.frombuffer(batch.column(2)[i].as_buffer(), np.int64)
-                n = len(s)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, batch.column(0)[i].as_py())), pa.array(np.full(n, batch.column(1)[i].as_py())), pa.array(np.full(n, n)), pa.array(s)], ["doc_id", "root", "n", "shingle"])
-
-    sets = shingle_sets(docs.select("doc_id", "text").join(rest.select("doc_id"), "doc_id", "left_semi"), width)
-    tokens = sets.join(rest, "doc_id").select("doc_id", "root", "shingles").mapInArrow(explode, "doc_id long, root long, n long, shingle long")
-    tokens = written(tokens, "shingles")
-    df = tokens.groupBy("shingle").agg(F.count("*").alias("df"))
-    # the shingles of one document lie together: a window of at most its own length
-    from pyspark.sql import Window
-
-    ranked = tokens.join(df.where("df > 1"), "shingle", "left").withColumn("df", F.coalesce("df", F.lit(1))).withColumn("rank", F.row_number().over(Window.partitionBy("doc_id").orderBy("df", "shingle")))
-    prefix = ranked.where(f"df > 1 and rank <= n - ceil(n * {percent} / 100.0) + 1").select("shingle", "doc_id", "root", "n")
-    # A shingle whose documents are all in one component can add nothing.
+    Two sets this similar share one of the rarest shingles of each (the prefix filter); their
+    sizes are close; and shingles that no other document of `rest` has count for no one, which
+    leaves too few in common for copies with many own changes.
+    """
+
+    sets = shingle_sets(docs, rest.select("doc_id"), width).join(rest, "doc_id")
+    tokens = written(sets.select("doc_id", "root", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle")), "shingles")
+    df = tokens.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1")
+    # the shingles of one document lie together, as many as it has itself
+    own = Window.partitionBy("doc_id")
+    shared = tokens.join(df, "shingle").withColumn("m", F.count("*").over(own)).where(f"m * 100 >= n * {percent}")
+    # the shingles that it shares with no one come first in its order: they fill n - m places
+    shared = shared.withColumn("rank", F.row_number().over(own.orderBy("df", "shingle")))
+    prefix = shared.where(f"rank + n - m <= n - ceil(n * {percent} / 100.0) + 1").select("shingle", "doc_id", "root", "n", "m")
+    # a shingle whose documents are all in one component can add nothing
     split = prefix.groupBy("shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("shingle")
     prefix = written(prefix.join(split, "shingle", "left_semi"), "prefix")
     x, y = prefix.alias("x"), prefix.alias("y")
-    return (
-        x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.doc_id") > F.col("y.doc_id")) & (F.col("x.root") != F.col("y.root")) & (F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * percent))
-        .select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"))
-        .distinct()
-    )
+    apart = (F.col("x.doc_id") > F.col("y.doc_id")) & (F.col("x.root") != F.col("y.root"))
+    enough = F.least("x.m", "y.m") * (100 + percent) >= (F.col("x.n") + F.col("y.n")) * percent
+    return x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & apart & enough).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()
 
 
 def deduplicated(docs: DataFrame, **options) -> DataFrame:

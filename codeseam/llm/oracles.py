@@ -1 +1,70 @@
-SQL: dict[str, str] = {}
+"""DuckDB SQL for the queries that SQL can state."""
+
+from __future__ import annotations
+
+UPPER, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+OP2 = rf"""
+WITH d AS (
+  SELECT doc_id, row_number() OVER () AS rid, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{SMALL}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), b AS (
+  SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(text, '{UPPER}', '{SMALL}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL
+), bw AS (
+  SELECT DISTINCT item, least(10, len(w)) AS n, array_to_string(list_slice(w, i, i + least(10, len(w)) - 1), ' ') AS win
+  FROM (SELECT item, w, unnest(range(1, greatest(len(w) - 10, 0) + 2)) AS i FROM b WHERE len(w) > 0)
+), sizes AS (SELECT DISTINCT n FROM bw
+), dw AS (
+  SELECT rid, n, i, array_to_string(list_slice(w, i, i + n - 1), ' ') AS win
+  FROM (SELECT rid, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, sizes WHERE len(w) >= n)
+), hits AS (
+  SELECT dw.rid, dw.i, dw.n, bw.item FROM dw JOIN bw ON dw.n = bw.n AND dw.win = bw.win
+), words AS (SELECT rid, count(DISTINCT p) AS n_hit FROM (SELECT rid, unnest(range(i, i + n)) AS p FROM hits) GROUP BY rid
+), items AS (SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT rid, item FROM hits) GROUP BY rid)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN words USING (rid) LEFT JOIN items USING (rid)
+"""
+
+OP4 = rf"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{SMALL}'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(list_slice(w, i, i + 4), ' '))) END AS g
+  FROM d
+), n AS (SELECT doc_id, len(g) AS n FROM s
+), classes AS (SELECT min(doc_id) AS rep, list_sort(g) AS g FROM s WHERE len(g) > 0 GROUP BY list_sort(g)
+), x AS (SELECT rep, len(g) AS n, unnest(g) AS g FROM classes
+), links AS (
+  SELECT a.rep AS a, b.rep AS b FROM x a JOIN x b ON a.g = b.g AND a.rep < b.rep
+  GROUP BY a.rep, b.rep, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))
+), edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reach(a, b) AS (SELECT rep, rep FROM classes UNION SELECT r.a, e.b FROM reach r JOIN edges e ON r.b = e.a
+), roots AS (SELECT a AS rep, min(b) AS root FROM reach GROUP BY a
+), placed AS (SELECT g, root FROM classes JOIN roots USING (rep))
+SELECT s.doc_id, CAST(len(s.g) AS BIGINT) AS n_shingles, coalesce(root, s.doc_id) AS component_id, s.doc_id = coalesce(root, s.doc_id) AS kept
+FROM s LEFT JOIN placed ON list_sort(s.g) = placed.g
+"""
+
+OP5 = """
+WITH RECURSIVE l AS (
+  SELECT doc_id, i - 1 AS line_no, ls[i] AS line FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text <> ''))
+), c AS (SELECT * FROM l WHERE strlen(line) >= 60
+), u AS (SELECT line, strlen(line) AS n, row_number() OVER () AS id FROM (SELECT DISTINCT line FROM c)
+), links AS (
+  SELECT a.id AS a, b.id AS b FROM u a JOIN u b ON b.n BETWEEN a.n AND a.n + 2 AND a.id <> b.id AND levenshtein(a.line, b.line) <= 2
+), edges AS (SELECT a, b FROM links UNION SELECT b, a FROM links
+), reach(a, b) AS (SELECT id, id FROM u UNION SELECT r.a, e.b FROM reach r JOIN edges e ON r.b = e.a
+), roots AS (SELECT a AS id, min(b) AS root FROM reach GROUP BY a
+), placed AS (
+  SELECT doc_id, line_no, first_value(doc_id) OVER w AS class_doc, first_value(line_no) OVER w AS class_line
+  FROM c JOIN u USING (line) JOIN roots USING (id) WINDOW w AS (PARTITION BY root ORDER BY doc_id, line_no)
+), gone AS (
+  SELECT doc_id, list(CAST(line_no AS INTEGER) ORDER BY line_no) AS removed, list(class_doc ORDER BY line_no) AS class_docs FROM placed WHERE (doc_id, line_no) <> (class_doc, class_line) GROUP BY doc_id
+), counts AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (strlen(line) >= 60) AS n_compared FROM l GROUP BY doc_id)
+SELECT d.doc_id, CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(n_compared, 0) AS BIGINT) AS n_compared, CAST(coalesce(len(removed), 0) AS BIGINT) AS n_removed,
+  coalesce(removed, []) AS removed, coalesce(class_docs, []) AS class_docs
+FROM documents d LEFT JOIN counts USING (doc_id) LEFT JOIN gone USING (doc_id)
+"""
+
+SQL: dict[str, str] = {"op2_decontamination": OP2, "op4_near_duplicates": OP4, "op5_line_dedup": OP5}
