@@ -43,7 +43,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 class WordHash(dict):
     """word -> stable 64-bit hash, remembered up to a bound."""
 
-    def __init__(self, bound: int = 400_000):
+    def __init__(self, bound: int = 100_000):
         super().__init__()
         self.bound = bound
 
@@ -135,9 +135,9 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
             break
         both = two(e, ("a", "b"), ("b", "a"))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("k"), F.least("a", "m").alias("m"))
-        large = both.join(low, both["a"] == low["k"]).where("b > a and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = both.join(low.hint("merge"), both["a"] == low["k"]).where("b > a and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("k"), "m")
-        small = two(large.join(low, large["a"] == low["k"]), ("b", "m"), ("a", "m")).where("a <> b")
+        small = two(large.join(low.hint("merge"), large["a"] == low["k"]), ("b", "m"), ("a", "m")).where("a <> b")
         e = written(small.distinct(), "edges")
         was, now = now, print_of(e)
         if was == now:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .common import components, ends, hint, seen, written
 
 #: Groups of more lines than this that share a segment are compared through one member first.
-SMALL = 16
+SMALL = 6
 #: Keys that a task holds before it groups them.
 HELD = 800_000
 
@@ -155,19 +155,18 @@ def occurrences(docs: DataFrame, min_bytes: int) -> DataFrame:
     return docs.select("doc_id", "text").where("doc_id is not null").mapInArrow(rows, "doc_id long, line_no int, h long, g long")
 
 
-def _grouped(keys: dict[int, set]) -> Iterator[tuple[int | None, int, int | None]]:
-    """(key, line, pair): rows that still have to meet others (pair null) and candidate pairs.
+def _grouped(key: int, lines: set) -> Iterator[tuple[int, int, int | None]]:
+    """Rows (key, line, pivot) of a task's own group.
 
-    A small group is passed on whole. A larger one is compared through its least line, and only
-    that line is passed on: as many pairs as lines, and one row to shuffle.
+    A small group is passed on whole, with null pivots. A larger one is compared through its
+    least line: a candidate pair for each other line, and only that line, marked by being its
+    own pivot, goes on to meet lines of other tasks.
     """
-    for key, lines in keys.items():
-        if len(lines) > SMALL:
-            pivot = min(lines)
-            yield from ((key, x, pivot) for x in lines if x != pivot)
-            yield key, pivot, None
-        else:
-            yield from ((key, x, None) for x in lines)
+    if len(lines) > SMALL:
+        pivot = min(lines)
+        yield from ((key, x, pivot) for x in lines)
+    else:
+        yield from ((key, x, None) for x in lines)
 
 
 ROWS = pa.schema([("key", pa.int64()), ("x", pa.int64()), ("pivot", pa.int64())])
@@ -216,7 +215,7 @@ def keyed(docs: DataFrame, edits: int, min_bytes: int) -> DataFrame:
     def flat(keys: dict) -> Iterator[tuple]:
         for key, at in keys.items():
             if isinstance(at, set):
-                yield from _grouped({_signed(key): at})
+                yield from _grouped(_signed(key), at)
             else:
                 yield _signed(key), at, None
 
@@ -225,31 +224,48 @@ def keyed(docs: DataFrame, edits: int, min_bytes: int) -> DataFrame:
 
 def paired(rows: DataFrame) -> DataFrame:
     """(a, b, hot): candidate pairs from rows that meet under a key; hot holds the key of a group
-    that was compared through one line only."""
-    meet = rows.where("pivot is null").select("key", "x").repartition(F.col("key")).sortWithinPartitions("key")
+    that was compared through one line only. Rows that are pairs already go anywhere."""
+    done = F.coalesce(F.col("pivot") != F.col("x"), F.lit(False))
+    meet = rows.repartition(F.when(done, F.xxhash64("x")).otherwise(F.col("key"))).sortWithinPartitions("key")
 
     def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def found() -> Iterator[tuple]:
-            last, lines = None, set()
+            held = [np.empty(0, np.int64)] * 3
             for batch in batches:
-                for key, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    if key != last:
-                        yield from close(last, lines)
-                        last, lines = key, set()
-                    lines.add(x)
-            yield from close(last, lines)
-
-        def close(key: int, lines: set) -> Iterator[tuple]:
-            if len(lines) > SMALL:
-                pivot = min(lines)
-                yield from ((key, x, pivot) for x in lines if x != pivot)
-            elif len(lines) > 1:
-                yield from ((None, b, a) for a, b in combinations(sorted(lines), 2))
+                key, x = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(2))
+                own = batch.column(2).is_null().to_numpy(zero_copy_only=False)
+                pivot = np.where(own, 0, batch.column(2).fill_null(0).to_numpy(zero_copy_only=False))
+                # 0: small group, 1: the line through which a larger one was compared, 2: a pair
+                kind = np.where(own, 0, np.where(pivot == x, 1, 2))
+                for k, line, p in zip(*(c[kind == 2].tolist() for c in (key, x, pivot)), strict=True):
+                    yield k, line, p
+                rest = kind < 2
+                held = [np.concatenate([h, c[rest]]) for h, c in zip(held, (key, x, kind), strict=True)]
+                yield from close(held, False)
+                last = held[0] == held[0][-1] if len(held[0]) else slice(0)
+                held = [np.array(h[last]) for h in held]
+            yield from close(held, True)
+
+        def close(held: list[np.ndarray], final: bool) -> Iterator[tuple]:
+            """The groups of two or more; the last one only when nothing can follow."""
+            key, x, kind = held
+            if not len(key):
+                return
+            edges = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
+            ends_ = edges if final else edges[:-1]
+            sizes = np.diff(ends_)
+            for at in np.flatnonzero(sizes > 1).tolist():
+                lo, hi = int(ends_[at]), int(ends_[at + 1])
+                lines = set(x[lo:hi].tolist())
+                if len(lines) > SMALL or kind[lo:hi].any():
+                    pivot = min(lines)
+                    yield from ((int(key[lo]), y, pivot) for y in lines if y != pivot)
+                else:
+                    yield from ((None, b, a) for a, b in combinations(sorted(lines), 2))
 
         yield from _batches(found())
 
-    local = rows.where("pivot is not null")
-    return meet.mapInArrow(groups, "key long, x long, pivot long").union(local).select(F.greatest("x", "pivot").alias("a"), F.least("x", "pivot").alias("b"), F.col("key").alias("hot"))
+    return meet.mapInArrow(groups, "key long, x long, pivot long").select(F.greatest("x", "pivot").alias("a"), F.least("x", "pivot").alias("b"), F.col("key").alias("hot"))
 
 
 def confirmed(docs: DataFrame, pairs: DataFrame, edits: int, min_bytes: int) -> DataFrame:
@@ -271,24 +287,23 @@ def confirmed(docs: DataFrame, pairs: DataFrame, edits: int, min_bytes: int) ->
             keep = [i for i in range(len(a)) if within(x[i], y[i], edits)]
             yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in keep], pa.int64()), pa.array([b[i] for i in keep], pa.int64())], ["a", "b"])
 
-    found = docs.where("doc_id is not null").select("text").mapInArrow(lines, "h long, line binary").join(wanted, "h", "left_semi").dropDuplicates(["h"])
+    found = docs.where("doc_id is not null").select("text").mapInArrow(lines, "h long, line binary").join(wanted.hint("merge"), "h", "left_semi").dropDuplicates(["h"])
     found = written(found, "lines")
-    both = pairs.select("a", "b").distinct().join(found.select(F.col("h").alias("a"), F.col("line").alias("x")), "a").join(found.select(F.col("h").alias("b"), F.col("line").alias("y")), "b")
+    both = pairs.select("a", "b").distinct().join(found.select(F.col("h").alias("a"), F.col("line").alias("x")).hint("merge"), "a").join(found.select(F.col("h").alias("b"), F.col("line").alias("y")).hint("merge"), "b")
     return both.select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
 
 
 def line_classes(docs: DataFrame, edits: int, min_bytes: int) -> DataFrame:
     """(node, root): digests of different lines that links of at most `edits` edits connect."""
-    rows = written(keyed(docs, edits, min_bytes), "keys")
-    pairs = written(paired(rows), "pairs")
+    pairs = written(paired(keyed(docs, edits, min_bytes)), "pairs")
     links = written(confirmed(docs, pairs, edits, min_bytes), "links")
     roots = components(links)
-    hot = pairs.where("hot is not null").select(F.col("hot").alias("key")).distinct()
-    if pairs.where("hot is not null").limit(1).count():
+    large = pairs.where("hot is not null")
+    if large.limit(1).count():
         # Large groups: their lines in different components may hold links that the comparison
         # with one line did not show. Those that are still apart are compared with each other.
-        member = rows.join(hot, "key", "left_semi").select("key", F.explode(F.array("x", F.coalesce("pivot", "x"))).alias("node")).distinct()
-        placed = member.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+        member = large.select(F.col("hot").alias("key"), F.explode(F.array("a", "b")).alias("node")).distinct()
+        placed = member.join(roots.hint("merge"), "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
         apart = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
         placed = written(placed.join(apart, "key", "left_semi"), "apart")
         p, q = placed.alias("p"), placed.alias("q")
@@ -306,14 +321,14 @@ def line_decisions(docs: DataFrame, edits: int = 2, min_bytes: int = 60) -> Data
     Equal lines, and lines that a chain of links within `edits` edits connects, are a class; its
     first line by (doc_id, line_no) stays and every other one is a row here.
     """
-    seen = written(occurrences(docs, min_bytes), "occurrences")
+    places = written(occurrences(docs, min_bytes), "occurrences")
     roots = line_classes(docs, edits, min_bytes)
     place = F.struct("doc_id", "line_no")
-    equal = seen.groupBy("h", "g").agg(F.count("*").alias("n"), F.min(place).alias("first"))
-    classed = equal.join(roots.withColumnRenamed("node", "h"), "h", "left")
+    equal = places.groupBy("h", "g").agg(F.count("*").alias("n"), F.min(place).alias("first"))
+    classed = equal.join(roots.withColumnRenamed("node", "h").hint("merge"), "h", "left")
     merged = classed.where("root is not null").groupBy("root").agg(F.min("first").alias("least"))
-    repeated = classed.where("n > 1 or root is not null").join(merged, "root", "left").select("h", "g", F.coalesce("least", "first").alias("first"))
-    out = seen.join(written(repeated, "repeated"), ["h", "g"])
+    repeated = classed.where("n > 1 or root is not null").join(merged.hint("merge"), "root", "left").select("h", "g", F.coalesce("least", "first").alias("first"))
+    out = places.join(written(repeated, "repeated").hint("merge"), ["h", "g"])
     return out.where(F.struct("doc_id", "line_no") != F.col("first")).select("doc_id", "line_no", F.col("first.doc_id").alias("class_doc"), F.col("first.line_no").alias("class_line")).distinct()
 
 
@@ -330,7 +345,7 @@ def line_report(docs: DataFrame, edits: int = 2, min_bytes: int = 60) -> DataFra
     compared = F.when(F.col("doc_id").isNull(), 0).otherwise(F.size(F.filter(lines, lambda x: F.octet_length(x) >= min_bytes)))
     base = docs.select("doc_id", F.when(text == "", 0).otherwise(F.size(lines)).cast("long").alias("n_lines"), compared.cast("long").alias("n_compared"))
     none = F.array().cast("array<struct<line_no:int,class_doc:bigint>>")
-    return base.join(gone, "doc_id", "left").select("doc_id", "n_lines", "n_compared", F.size(F.coalesce("gone", none)).cast("long").alias("n_removed"), F.coalesce(F.col("gone.line_no"), F.array().cast("array<int>")).alias("removed"), F.coalesce(F.col("gone.class_doc"), F.array().cast("array<bigint>")).alias("class_docs"))
+    return base.join(gone.hint("merge"), "doc_id", "left").select("doc_id", "n_lines", "n_compared", F.size(F.coalesce("gone", none)).cast("long").alias("n_removed"), F.coalesce(F.col("gone.line_no"), F.array().cast("array<int>")).alias("removed"), F.coalesce(F.col("gone.class_doc"), F.array().cast("array<bigint>")).alias("class_docs"))
 
 
 def line_deduplicated(docs: DataFrame, edits: int = 2, min_bytes: int = 60) -> DataFrame:
@@ -340,7 +355,7 @@ def line_deduplicated(docs: DataFrame, edits: int = 2, min_bytes: int = 60) -> D
     """
     gone = line_decisions(docs, edits, min_bytes).groupBy("doc_id").agg(F.collect_set("line_no").alias("_gone"))
     gone = gone.withColumnRenamed("doc_id", "_doc")
-    out = docs.join(gone, docs["doc_id"] == gone["_doc"], "left")
+    out = docs.join(gone.hint("merge"), docs["doc_id"] == gone["_doc"], "left")
     kept = F.array_join(F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains(F.col("_gone"), i)), "\n")
     columns = {"text": F.when(F.col("_gone").isNotNull() & F.col("text").isNotNull(), kept).otherwise(F.col("text"))}
     out = out.withColumns(columns)

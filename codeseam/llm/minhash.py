@@ -68,12 +68,11 @@ def signed(docs: DataFrame, bands: int, rows: int, width: int) -> DataFrame:
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHash()
         for batch in batches:
-            ids, texts = batch.column(0).cast(pa.int64()), batch.column(1).to_pylist()
-            start = 0
+            ids, texts, start = batch.column(0).cast(pa.int64()), batch.column(1), 0
             while start < len(texts):
                 sets, total, stop = [], 0, start
                 while stop < len(texts) and total < RUN:
-                    sets.append(shingle_set(texts[stop], hashes, width))
+                    sets.append(shingle_set(texts[stop].as_py(), hashes, width))
                     total += len(sets[-1])
                     stop += 1
                 full = [i for i, s in enumerate(sets) if len(s)]
@@ -112,12 +111,12 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(own).view(np.int64)))], ["doc_id", "shingles"])
 
     rows = docs.select("doc_id", "text", F.xxhash64("doc_id").alias("h")).where("doc_id is not null")
-    return rows.mapInArrow(sets, "doc_id long, shingles array<long>").join(wanted, "doc_id", "left_semi")
+    return rows.mapInArrow(sets, "doc_id long, shingles array<long>").join(wanted.hint("merge"), "doc_id", "left_semi")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
-    both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b")
+    both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")).hint("merge"), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")).hint("merge"), "b")
     n, m = F.size("x"), F.size("y")
     close = (n > 0) & (F.least(n, m) * 100 >= F.greatest(n, m) * percent)
     same = F.when(close, F.size(F.array_intersect("x", "y")))
@@ -142,24 +141,24 @@ def near_duplicates(docs: DataFrame, percent: int = 80, bands: int = 20, rows: i
     base = written(signed(docs, bands, rows, width), "signatures")
     classes = written(base.where("doc_id is not null and n_shingles > 0").groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"), F.min("n_shingles").alias("n")), "classes")
     # keys depend on the set alone: those of the representative's row will do
-    members = base.join(classes.select("set_a", "set_b", F.col("rep").alias("doc_id")), ["set_a", "set_b", "doc_id"]).select("doc_id", F.explode("keys").alias("key")).distinct()
+    members = base.join(classes.select("set_a", "set_b", F.col("rep").alias("doc_id")).hint("merge"), ["set_a", "set_b", "doc_id"]).select("doc_id", F.explode("keys").alias("key")).distinct()
     sizes = members.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    in_bucket = written(members.join(sizes, "key"), "buckets")
+    in_bucket = written(members.join(sizes.hint("merge"), "key"), "buckets")
     # A bucket is compared with the member that shares the most buckets with others: of the
     # copies of a text that is most often the text itself, nearest to all of them.
     fame = in_bucket.groupBy("doc_id").agg(F.sum("size").alias("fame"))
-    ranked = in_bucket.join(fame, "doc_id").select("key", "doc_id", F.struct("fame", (-F.col("doc_id")).alias("low")).alias("rank"))
+    ranked = in_bucket.join(fame.hint("merge"), "doc_id").select("key", "doc_id", F.struct("fame", (-F.col("doc_id")).alias("low")).alias("rank"))
     pivots = ranked.groupBy("key").agg((-F.max("rank")["low"]).alias("pivot"))
-    pairs = in_bucket.join(pivots, "key").where("doc_id <> pivot").select(F.greatest("doc_id", "pivot").alias("a"), F.least("doc_id", "pivot").alias("b")).distinct()
+    pairs = in_bucket.join(pivots.hint("merge"), "key").where("doc_id <> pivot").select(F.greatest("doc_id", "pivot").alias("a"), F.least("doc_id", "pivot").alias("b")).distinct()
     pairs = written(pairs, "pairs")
     sets = shingle_sets(docs, ends(pairs), width)
     links = written(confirmed(pairs, sets, percent), "links")
     roots = components(links)
 
     # buckets of three or more that are not yet in one component
-    placed = in_bucket.where("size > 2").join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("root", "doc_id").alias("root"))
+    placed = in_bucket.where("size > 2").join(roots.withColumnRenamed("node", "doc_id").hint("merge"), "doc_id", "left").select("key", "doc_id", F.coalesce("root", "doc_id").alias("root"))
     open_keys = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-    rest = written(placed.join(open_keys, "key", "left_semi").select("doc_id", "root").distinct(), "open")
+    rest = written(placed.join(open_keys.hint("merge"), "key", "left_semi").select("doc_id", "root").distinct(), "open")
     if rest.limit(1).count():
         more = prefix_pairs(docs, rest, percent, width).join(pairs, ["a", "b"], "left_anti")
         more = written(more, "pairs")
@@ -167,8 +166,8 @@ def near_duplicates(docs: DataFrame, percent: int = 80, bands: int = 20, rows: i
             found = written(confirmed(more, shingle_sets(docs, ends(more), width), percent), "links")
             roots = components(links.union(found))
 
-    rooted = classes.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("set_a", "set_b", F.coalesce("root", "rep").alias("component"))
-    out = base.select("doc_id", "n_shingles", "set_a", "set_b").join(rooted, ["set_a", "set_b"], "left")
+    rooted = classes.join(roots.withColumnRenamed("node", "rep").hint("merge"), "rep", "left").select("set_a", "set_b", F.coalesce("root", "rep").alias("component"))
+    out = base.select("doc_id", "n_shingles", "set_a", "set_b").join(rooted.hint("merge"), ["set_a", "set_b"], "left")
     component = F.when(F.col("n_shingles") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
     out = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
@@ -183,18 +182,18 @@ def prefix_pairs(docs: DataFrame, rest: DataFrame, percent: int, width: int) ->
     leaves too few in common for copies with many own changes.
     """
 
-    sets = shingle_sets(docs, rest.select("doc_id"), width).join(rest, "doc_id")
+    sets = shingle_sets(docs, rest.select("doc_id"), width).join(rest.hint("merge"), "doc_id")
     tokens = written(sets.select("doc_id", "root", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle")), "shingles")
     df = tokens.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1")
     # the shingles of one document lie together, as many as it has itself
     own = Window.partitionBy("doc_id")
-    shared = tokens.join(df, "shingle").withColumn("m", F.count("*").over(own)).where(f"m * 100 >= n * {percent}")
+    shared = tokens.join(df.hint("merge"), "shingle").withColumn("m", F.count("*").over(own)).where(f"m * 100 >= n * {percent}")
     # the shingles that it shares with no one come first in its order: they fill n - m places
     shared = shared.withColumn("rank", F.row_number().over(own.orderBy("df", "shingle")))
     prefix = shared.where(f"rank + n - m <= n - ceil(n * {percent} / 100.0) + 1").select("shingle", "doc_id", "root", "n", "m")
     # a shingle whose documents are all in one component can add nothing
     split = prefix.groupBy("shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("shingle")
-    prefix = written(prefix.join(split, "shingle", "left_semi"), "prefix")
+    prefix = written(prefix.join(split.hint("merge"), "shingle", "left_semi"), "prefix")
     x, y = prefix.alias("x"), prefix.alias("y")
     apart = (F.col("x.doc_id") > F.col("y.doc_id")) & (F.col("x.root") != F.col("y.root"))
     enough = F.least("x.m", "y.m") * (100 + percent) >= (F.col("x.n") + F.col("y.n")) * percent
