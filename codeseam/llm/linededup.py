@@ -268,18 +268,26 @@ def paired(rows: DataFrame) -> DataFrame:
     return meet.mapInArrow(groups, "key long, x long, pivot long").select(F.greatest("x", "pivot").alias("a"), F.least("x", "pivot").alias("b"), F.col("key").alias("hot"))
 
 
-def confirmed(docs: DataFrame, pairs: DataFrame, edits: int, min_bytes: int) -> DataFrame:
-    """The pairs of line digests whose lines are within `edits` edits."""
-    wanted = written(ends(pairs, "h"), "wanted")
+def line_texts(docs: DataFrame, wanted: DataFrame, min_bytes: int) -> DataFrame:
+    """(h, line, bag) of the lines with the digests `wanted` (h): their bytes, and how many bytes
+    fall into each of 32 kinds. Only these lines are moved: a hint sorts out most others first."""
     shared = hint(wanted)
 
     def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own = {line_hash(line): line for text in batch.column(0).to_pylist() for _, line in eligible(text, min_bytes)}
-            hashes = np.fromiter(own, np.int64, len(own))
+            hashes, texts = np.fromiter(own, np.int64, len(own)), list(own.values())
             keep = np.flatnonzero(seen(shared.value, hashes)).tolist()
-            texts = list(own.values())
-            yield pa.RecordBatch.from_arrays([pa.array(hashes[keep]), pa.array([texts[i] for i in keep], pa.binary())], ["h", "line"])
+            texts = [texts[i] for i in keep]
+            bags = [np.bincount(np.frombuffer(x, np.uint8) & 31, minlength=32).tolist() for x in texts]
+            yield pa.RecordBatch.from_arrays([pa.array(hashes[keep]), pa.array(texts, pa.binary()), pa.array(bags, pa.list_(pa.int32()))], ["h", "line", "bag"])
+
+    found = docs.where("doc_id is not null").select("text").mapInArrow(lines, "h long, line binary, bag array<int>")
+    return found.join(wanted.hint("merge"), "h", "left_semi").dropDuplicates(["h"])
+
+
+def confirmed(pairs: DataFrame, lines: DataFrame, edits: int) -> DataFrame:
+    """The pairs of line digests whose lines are within `edits` edits."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -287,30 +295,34 @@ def confirmed(docs: DataFrame, pairs: DataFrame, edits: int, min_bytes: int) ->
             keep = [i for i in range(len(a)) if within(x[i], y[i], edits)]
             yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in keep], pa.int64()), pa.array([b[i] for i in keep], pa.int64())], ["a", "b"])
 
-    found = docs.where("doc_id is not null").select("text").mapInArrow(lines, "h long, line binary").join(wanted.hint("merge"), "h", "left_semi").dropDuplicates(["h"])
-    found = written(found, "lines")
-    both = pairs.select("a", "b").distinct().join(found.select(F.col("h").alias("a"), F.col("line").alias("x")).hint("merge"), "a").join(found.select(F.col("h").alias("b"), F.col("line").alias("y")).hint("merge"), "b")
+    sides = [lines.select(F.col("h").alias(k), F.col("line").alias(v)).hint("merge") for k, v in (("a", "x"), ("b", "y"))]
+    both = pairs.select("a", "b").distinct().join(sides[0], "a").join(sides[1], "b")
     return both.select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
 
 
 def line_classes(docs: DataFrame, edits: int, min_bytes: int) -> DataFrame:
     """(node, root): digests of different lines that links of at most `edits` edits connect."""
     pairs = written(paired(keyed(docs, edits, min_bytes)), "pairs")
-    links = written(confirmed(docs, pairs, edits, min_bytes), "links")
+    lines = written(line_texts(docs, written(ends(pairs, "h"), "wanted"), min_bytes), "lines")
+    links = written(confirmed(pairs, lines, edits), "links")
     roots = components(links)
     large = pairs.where("hot is not null")
     if large.limit(1).count():
         # Large groups: their lines in different components may hold links that the comparison
-        # with one line did not show. Those that are still apart are compared with each other.
+        # with one line did not show. Of those still apart, two are compared if their numbers of
+        # bytes of each kind differ by no more than `edits` edits can make them.
         member = large.select(F.col("hot").alias("key"), F.explode(F.array("a", "b")).alias("node")).distinct()
         placed = member.join(roots.hint("merge"), "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
         apart = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-        placed = written(placed.join(apart, "key", "left_semi"), "apart")
+        placed = placed.join(apart, "key", "left_semi").join(lines.select(F.col("h").alias("node"), "bag").hint("merge"), "node")
+        placed = written(placed, "apart")
         p, q = placed.alias("p"), placed.alias("q")
-        more = p.join(q, (F.col("p.key") == F.col("q.key")) & (F.col("p.node") > F.col("q.node")) & (F.col("p.root") != F.col("q.root"))).select(F.col("p.node").alias("a"), F.col("q.node").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-        more = written(more, "pairs")
+        away = F.aggregate(F.zip_with("p.bag", "q.bag", lambda x, y: F.abs(x - y)), F.lit(0), lambda a, x: a + x)
+        both = (F.col("p.key") == F.col("q.key")) & (F.col("p.node") > F.col("q.node")) & (F.col("p.root") != F.col("q.root")) & (away <= 2 * edits)
+        more = written(p.join(q, both).select(F.col("p.node").alias("a"), F.col("q.node").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
         if more.limit(1).count():
-            roots = components(links.union(confirmed(docs, more, edits, min_bytes)))
+            found = written(confirmed(more, lines, edits), "links")
+            roots = components(links.union(found))
     return roots
 
 

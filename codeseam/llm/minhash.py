@@ -175,11 +175,12 @@ def near_duplicates(docs: DataFrame, percent: int = 80, bands: int = 20, rows: i
 
 def prefix_pairs(docs: DataFrame, rest: DataFrame, percent: int, width: int) -> DataFrame:
     """Pairs (a > b) of documents of `rest` (doc_id, root) in different components that can still
-    link: all that pass three exact tests.
+    link: all that pass three tests that no similar pair fails.
 
     Two sets this similar share one of the rarest shingles of each (the prefix filter); their
-    sizes are close; and shingles that no other document of `rest` has count for no one, which
-    leaves too few in common for copies with many own changes.
+    shingles from the first common one on, in order of rarity, are enough for both sizes; and
+    shingles that no other document of `rest` has count for no one, which leaves too few in
+    common for copies with many own changes.
     """
 
     sets = shingle_sets(docs, rest.select("doc_id"), width).join(rest.hint("merge"), "doc_id")
@@ -190,13 +191,15 @@ def prefix_pairs(docs: DataFrame, rest: DataFrame, percent: int, width: int) ->
     shared = tokens.join(df.hint("merge"), "shingle").withColumn("m", F.count("*").over(own)).where(f"m * 100 >= n * {percent}")
     # the shingles that it shares with no one come first in its order: they fill n - m places
     shared = shared.withColumn("rank", F.row_number().over(own.orderBy("df", "shingle")))
-    prefix = shared.where(f"rank + n - m <= n - ceil(n * {percent} / 100.0) + 1").select("shingle", "doc_id", "root", "n", "m")
+    prefix = shared.where(f"rank + n - m <= n - ceil(n * {percent} / 100.0) + 1").select("shingle", "doc_id", "root", "n", "m", "rank")
     # a shingle whose documents are all in one component can add nothing
     split = prefix.groupBy("shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("shingle")
     prefix = written(prefix.join(split.hint("merge"), "shingle", "left_semi"), "prefix")
     x, y = prefix.alias("x"), prefix.alias("y")
     apart = (F.col("x.doc_id") > F.col("y.doc_id")) & (F.col("x.root") != F.col("y.root"))
-    enough = F.least("x.m", "y.m") * (100 + percent) >= (F.col("x.n") + F.col("y.n")) * percent
+    # at their first common shingle, no more than what follows it in each can be common
+    left = 1 + F.least(F.col("x.m") - F.col("x.rank"), F.col("y.m") - F.col("y.rank"))
+    enough = left * (100 + percent) >= (F.col("x.n") + F.col("y.n")) * percent
     return x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & apart & enough).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()
 
 
