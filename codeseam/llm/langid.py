@@ -54,63 +54,114 @@ def lattice(word: str, pieces: dict[str, int], longest: int, spare: int) -> list
     return out
 
 
+class Pieces:
+    """Numbers of the pieces that lie in words, for many words at once."""
+
+    def __init__(self, pieces: dict[str, int], longest: int, bits: int = 20):
+        self.longest, self.spare, self.mask = longest, len(pieces), np.uint64((1 << bits) - 1)
+        by_size = [[(p, i) for p, i in pieces.items() if len(p) == n] for n in range(1, longest + 1)]
+        self.tables = []
+        for n, own in enumerate(by_size, 1):
+            keys = self.keys(np.array([[ord(c) for c in p] for p, _ in own], np.uint64).reshape(len(own), n), n)[:, 0]
+            order = np.argsort(keys)
+            known = np.zeros(1 << bits, bool)
+            known[(keys & self.mask).astype(np.int64)] = True
+            self.tables.append((known, keys[order], np.array([i for _, i in own], np.int64)[order]))
+
+    @staticmethod
+    def keys(chars: np.ndarray, n: int) -> np.ndarray:
+        """A hash of every n neighbouring characters of each row."""
+        width = chars.shape[1] - n + 1
+        out = np.zeros((len(chars), width), np.uint64)
+        for i in range(n):
+            out = (out ^ chars[:, i : i + width]) * np.uint64(0x9E3779B97F4A7C15)
+            out ^= out >> np.uint64(29)
+        return out
+
+    def find(self, chars: np.ndarray, n: int) -> np.ndarray:
+        """The piece of n characters that starts at each place, or -1."""
+        known, keys, numbers = self.tables[n - 1]
+        h = self.keys(chars, n)
+        out = np.full(h.shape, -1, np.int64)
+        if len(keys):
+            maybe = known[(h & self.mask).astype(np.int64)]
+            own = h[maybe]
+            at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
+            out[maybe] = np.where(keys[at] == own, numbers[at], -1)
+        return out
+
+
 class Model:
     """Per-language piece probabilities; prob[piece] is a row with one column per language."""
 
-    def __init__(self, langs: list[str], prob: np.ndarray, pieces: dict[str, int], longest: int, bound: int = 300_000):
+    def __init__(self, langs: list[str], prob: np.ndarray, pieces: dict[str, int], longest: int, bound: int = 120_000):
         self.langs, self.prob, self.pieces, self.longest, self.bound = langs, prob, pieces, longest, bound
-        self.known: dict[str, np.ndarray] = {}
+        self.reset()
+        self.find: Pieces | None = None
+
+    def reset(self) -> None:
+        self.known: dict[str, int] = {}
+        self.logs = np.zeros((0, len(self.langs)))
 
     def __getstate__(self):
-        return self.__dict__ | {"known": {}}
-
-    def words(self, words: list[str]) -> None:
-        """Forward algorithm for words not yet known: many words of one length at a time."""
-        by_len: dict[int, list[str]] = {}
-        for w in words:
-            by_len.setdefault(len(w), []).append(w)
-        spare = len(self.prob) - 1
-        for n, group in by_len.items():
-            for at in range(0, len(group), 4000 if n < 40 else 50):
-                part = group[at : at + (4000 if n < 40 else 50)]
-                alpha = np.zeros((n + 2, len(part), len(self.langs)))
-                alpha[0] = 1
-                scale = np.zeros((len(part), len(self.langs)))
-                rows: list[dict[int, tuple[list, list]]] = [{} for _ in range(n + 1)]
-                for k, w in enumerate(part):
-                    for end, here in enumerate(lattice(w, self.pieces, self.longest, spare)):
-                        for start, p in here:
-                            at_ = rows[end].get(start)
-                            if at_ is None:
-                                at_ = rows[end][start] = ([], [])
-                            at_[0].append(k)
-                            at_[1].append(p)
-                for end in range(n + 1):
-                    for start, (ks, ps) in rows[end].items():
-                        alpha[end + 1, ks] += alpha[start, ks] * self.prob[ps]
-                    if end % 16 == 15:  # long words: keep the numbers in range
-                        top = np.maximum(alpha[end + 1], 1e-300)
-                        lo = max(0, end + 1 - self.longest)
-                        alpha[lo : end + 2] /= top
-                        scale += np.log(top)
-                logs = np.log(np.maximum(alpha[n + 1], 1e-300)) + scale
-                for k, w in enumerate(part):
-                    self.known[w] = logs[k]
-
-    def judge(self, text: str | None) -> tuple[str, float]:
+        return self.__dict__ | {"known": {}, "logs": np.zeros((0, len(self.langs))), "find": None}
+
+    def forward(self, words: list[str]) -> np.ndarray:
+        """Log probabilities of words of one length: all segmentations summed, end by end."""
+        self.find = self.find or Pieces(self.pieces, self.longest)
+        n = len(words[0]) + 1
+        chars = np.array([[ord("▁"), *map(ord, w)] for w in words], np.uint64)
+        found = {k: self.find.find(chars, k) for k in range(1, min(self.longest, n) + 1)}
+        found[1][found[1] < 0] = self.find.spare  # every character is a piece
+        prob = np.vstack([self.prob, np.zeros(len(self.langs))])  # and -1 has no probability
+        alpha = np.zeros((n + 1, len(words), len(self.langs)))
+        alpha[0] = 1
+        scale = np.zeros((len(words), len(self.langs)))
+        for end in range(1, n + 1):
+            for k in range(1, min(self.longest, end) + 1):
+                at = found[k][:, end - k]
+                if k == 1:
+                    alpha[end] += alpha[end - 1] * prob[at]
+                elif len(some := np.flatnonzero(at >= 0)):
+                    alpha[end, some] += alpha[end - k, some] * prob[at[some]]
+            if end % 16 == 0:  # long words: keep the numbers in range
+                top = np.maximum(alpha[end], 1e-300)
+                alpha[max(0, end - self.longest) : end + 1] /= top
+                scale += np.log(top)
+        return np.log(np.maximum(alpha[n], 1e-300)) + scale
+
+    def learn(self, words: set[str]) -> None:
+        """Remembers the log probabilities of words; forgets all others first if there is no room."""
+        missing = sorted(words - self.known.keys(), key=lambda w: (len(w), w))
+        if len(self.known) + len(missing) > self.bound:
+            self.reset()
+            missing = sorted(words, key=lambda w: (len(w), w))
+        rows, start = [self.logs], 0
+        while start < len(missing):
+            n, stop = len(missing[start]), start
+            most = 5000 if n < 64 else max(1, 200_000 // n)
+            while stop < len(missing) and len(missing[stop]) == n and stop - start < most:
+                stop += 1
+            rows.append(self.forward(missing[start:stop]))
+            start = stop
+        base = len(self.logs)
+        self.known.update((w, base + i) for i, w in enumerate(missing))
+        self.logs = np.concatenate(rows)
+
+    def judge(self, texts: list[str | None]) -> list[tuple[str, float]]:
         """(language, its posterior probability) with equal priors; und and 0 without letters."""
-        words = Counter(WORDS.findall(text.lower())) if text else None
-        if not words or not self.langs:
-            return "und", 0.0
-        missing = [w for w in words if w not in self.known]
-        if missing:
-            if len(self.known) + len(missing) > self.bound:
-                self.known.clear()
-                missing = list(words)
-            self.words(missing)
-        total = sum(n * self.known[w] for w, n in words.items())
-        best = int(total.argmax())
-        return self.langs[best], float(1 / np.exp(total - total[best]).sum())
+        counts = [Counter(WORDS.findall(t.lower())) if t and self.langs else Counter() for t in texts]
+        self.learn(set().union(*counts))
+        out = []
+        for c in counts:
+            if not c:
+                out.append(("und", 0.0))
+                continue
+            at = np.fromiter(map(self.known.__getitem__, c), np.int64, len(c))
+            total = np.fromiter(c.values(), float, len(c)) @ self.logs[at]
+            best = int(total.argmax())
+            out.append((self.langs[best], float(1 / np.exp(total - total[best]).sum())))
+        return out
 
 
 def fit(counts: dict[str, Counter], pieces: dict[str, int], s: Settings) -> Model:
@@ -186,7 +237,8 @@ def identified(docs: DataFrame, model: Model) -> DataFrame:
     def judge(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         model = shared.value
         for part in texts:
-            out = [model.judge(t) for t in part]
+            texts = part.tolist()
+            out = [x for i in range(0, len(texts), 400) for x in model.judge(texts[i : i + 400])]
             yield pd.DataFrame(out, columns=["lang_pred", "score"])
 
     of = F.pandas_udf(judge, "lang_pred string, score double")

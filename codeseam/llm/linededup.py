@@ -17,7 +17,7 @@ from .common import components, ends, hint, seen, written
 #: Groups of more lines than this that share a segment are compared through one member first.
 SMALL = 6
 #: Keys that a task holds before it groups them.
-HELD = 800_000
+HELD = 300_000
 
 
 def segments(n: int, parts: int) -> list[tuple[int, int]]:
