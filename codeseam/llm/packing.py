@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from struct import pack
 
 import numpy as np
 import pandas as pd
@@ -14,32 +15,69 @@ from pyspark.sql import functions as F
 from .common import written
 
 
+#: Punctuation that the pre-tokenizer cuts off after letters, as one run.
+TAIL = ".,!?;:%$#&*|"
+
+
 class WordTokenizer:
     """A tokenizer whose pre-tokenizer drops white space, applied word by word with a memory.
 
-    As no token crosses white space, the ids of a text are those of its blank-separated words;
-    repeated words are looked up. The memory is bounded.
+    As no token crosses white space, the ids of a text are those of its blank-separated words.
+    Letters and a run of punctuation after them are separate tokens too, and a first letter's
+    case does not matter, so most new words are made of known parts. The memory has two
+    generations of bounded size; what is used again moves to the younger one.
     """
 
-    def __init__(self, path: str, bound: int = 300_000):
+    def __init__(self, path: str, bound: int = 120_000):
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
         self.model.encode_special_tokens = True
-        self.bound, self.known = bound, {}
-
-    def ids(self, text: str | None) -> list[int]:
+        self.bound = bound
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.parts: tuple[dict, dict] = ({}, {})
+
+    @staticmethod
+    def split(word: str) -> tuple[str, str]:
+        """(letters with a small first one, punctuation), or the word itself and nothing."""
+        stem = word.rstrip(TAIL)
+        if stem.isalpha():
+            return stem[0].lower() + stem[1:] if len(stem[0].lower()) == 1 else stem, word[len(stem) :]
+        return word, ""
+
+    def look_up(self, parts: set[str]) -> dict[str, bytes]:
+        young, old = self.parts
+        out = {p: ids for p in parts if (ids := young.get(p) or old.get(p)) is not None}
+        missing = [p for p in parts if p not in out]
+        for p, e in zip(missing, self.model.encode_batch_fast(missing, add_special_tokens=False), strict=True):
+            out[p] = pack(f"<{len(e.ids)}I", *e.ids)
+        young.update(out)
+        if len(young) > self.bound:
+            self.parts = ({}, young)
+        return out
+
+    def raw(self, text: str | None) -> bytes:
+        """The ids of a text as little-endian unsigned 32-bit integers."""
         if not text:
-            return []
+            return b""
         words = text.split()
-        known = self.known
-        if missing := list({w for w in words if w not in known}):
-            if len(known) + len(missing) > self.bound:
-                known.clear()
-                missing = list(set(words))
-            for w, e in zip(missing, self.model.encode_batch_fast(missing, add_special_tokens=False), strict=True):
-                known[w] = e.ids
-        return [i for w in words for i in known[w]]
+        young, old = self.young, self.old
+        if missing := set(words).difference(young):
+            if again := missing.intersection(old):
+                young.update((w, old[w]) for w in again)
+                missing -= again
+            split = {w: self.split(w) for w in missing}
+            known = self.look_up({p for pair in split.values() for p in pair if p})
+            for w, (x, y) in split.items():
+                young[w] = known[x] + known[y] if y else known[x]
+        out = b"".join(map(young.__getitem__, words))
+        if len(young) > self.bound:
+            self.young, self.old = {}, young
+        return out
+
+    def ids(self, text: str | None) -> list[int]:
+        return np.frombuffer(self.raw(text), "<u4").tolist()
 
 
 def sum_of_squares(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
@@ -94,11 +132,11 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, with_ids
                 out: list[tuple] = []
                 part = batch.slice(at, 200)
                 for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    ids = np.array([*tok.ids(text), end_id], "<u4")
-                    key = zlib.crc32(f"{doc_id}".encode(), zlib.crc32(ids.tobytes()))
-                    for k, start in enumerate(range(0, len(ids), capacity)):
-                        own = ids[start : start + capacity]
-                        out.append((doc_id, key, k, start, len(own), zlib.crc32(own.tobytes()), own.astype(np.int64).tolist() if with_ids else None))
+                    ids = tok.raw(text) + pack("<I", end_id)
+                    key = zlib.crc32(f"{doc_id}".encode(), zlib.crc32(ids))
+                    for k, start in enumerate(range(0, len(ids), 4 * capacity)):
+                        own = ids[start : start + 4 * capacity]
+                        out.append((doc_id, key, k, start // 4, len(own) // 4, zlib.crc32(own), np.frombuffer(own, "<u4").tolist() if with_ids else None))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out, strict=True))[: len(types)], types, strict=True)], names)
 
     types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()] + [pa.list_(pa.int64())] * with_ids
@@ -121,7 +159,7 @@ def packed(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int =
     cut = written(pieces(docs, tokenizer, end_id, capacity, with_ids), "pieces")
     shards = max(1, round(cut.count() / shard))
 
-    def pack(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    def place(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["length", "doc_id", "piece", "ids_crc32"], ascending=[False, True, True, True], kind="stable")
         bins, offsets = sum_of_squares(rows["length"].to_numpy(), capacity)
         return rows.assign(sequence_id=bins + (np.int64(key[0]) << 32), offset=offsets)[names]
@@ -129,4 +167,4 @@ def packed(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int =
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<long>" * with_ids + ", sequence_id long, offset long"
     names = [c.split()[0] for c in schema.split(", ")]
     dealt = cut.withColumn("shard", F.pmod(F.xxhash64("doc_id", "doc_key", "piece"), F.lit(shards)))
-    return dealt.groupBy("shard").applyInPandas(pack, schema)
+    return dealt.groupBy("shard").applyInPandas(place, schema)
