@@ -64,7 +64,7 @@ class WordTokenizer:
         words = text.split()
         young, old = self.young, self.old
         if missing := set(words).difference(young):
-            if again := missing.intersection(old):
+            if again := {w for w in missing if w in old}:
                 young.update((w, old[w]) for w in again)
                 missing -= again
             split = {w: self.split(w) for w in missing}
