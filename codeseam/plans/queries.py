@@ -11,8 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import languages, lines, scores
-from ..operators import duplicates, history, metrics, score
+from ..functions import languages, lines, paths, scores
+from ..operators import duplicates, history, metrics, score, smells, structure
 
 NOW, SINCE = "2001-08-01", "2000-08-01"
 TS = lambda x: F.to_timestamp(F.lit(x))
@@ -83,6 +83,27 @@ def snapshots(s: SparkSession, d: str, old: bool) -> DataFrame:
     return df.select(F.col("doc_id").cast("string").alias("path"), F.sha2(text, 256).alias("content_hash"))
 
 
+def functions(s: SparkSession, d: str) -> DataFrame:
+    return structure.functions(files(s, d).withColumn("language", F.lit("Python")))
+
+
+def python_lines(s: SparkSession, d: str) -> DataFrame:
+    return code_lines(s, d).withColumn("language", F.lit("Python"))
+
+
+FOLDERS, STEMS = ("src", "lib/tests", "spec", "vendor/gen"), ("test_m", "m", "mTest", "m_test", "m.spec", "m.generated.x", "m.min", "m_pb2")
+EXTENSIONS = ("py", "rs", "js", "java", "cc", "hs", "css")
+
+
+def part_paths(s: SparkSession, d: str) -> DataFrame:
+    """A made-up path for every part, so that all naming rules occur."""
+    pick = lambda xs: F.element_at(F.array(*map(F.lit, xs)), (F.col("p_partkey") % len(xs) + 1).cast("int"))
+    return read(s, d, "part").select("p_partkey", F.concat(pick(FOLDERS), F.lit("/"), pick(STEMS), F.lit("."), pick(EXTENSIONS)).alias("path"))
+
+
+EXCLUDED = paths.Exclusions(extensions=(".CSS",), folders=("vendor",), globs=("*.min.*", "lib/*_pb2.??"), tests=True)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "loc_by_language": lambda s, d: metrics.loc_by_language(code_lines(s, d)),
     "loc_files": lambda s, d: metrics.loc(code_lines(s, d)).drop("language"),
@@ -113,6 +134,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "normalize_curves": lambda s, d: read(s, d, "part").select("p_partkey", *(F.round(scores.curve(n, F.col("p_retailprice") / k), 6).alias(n) for n, k in (("cognitive", 40), ("mi", 20), ("size", 0.5), ("indent", 400), ("cyclomatic", 40), ("effort", 0.1), ("duplication", 40))), scores.grade(F.col("p_retailprice") / 20).alias("grade")),
     "score_dimensions": lambda s, d: rounded(dims(s, d), "score", digits=4),
     "score_project": lambda s, d: rounded(score.project(dims(s, d)), "score", digits=4),
+    "functions_cyclomatic": lambda s, d: functions(s, d).select("path", "name", "start_line", "n_lines", "cyclomatic"),
+    "cyclomatic_levels": lambda s, d: structure.complexity(functions(s, d)),
+    "cognitive_levels": lambda s, d: structure.complexity(functions(s, d), "cognitive"),
+    "magic_numbers": lambda s, d: smells.magic_numbers(python_lines(s, d)),
+    "smell_counts": lambda s, d: smells.smell_counts(smells.smells(python_lines(s, d), functions(s, d))),
+    "path_flags": lambda s, d: part_paths(s, d).select("p_partkey", paths.is_test_file(F.col("path")).alias("test_file"), paths.is_test_path(F.col("path")).alias("test_path"), paths.is_generated(F.col("path")).alias("generated")),
+    "excluded_files": lambda s, d: part_paths(s, d).select("p_partkey", EXCLUDED.reasons(F.col("path")).alias("reasons")).where("reasons <> ''"),
     "score_files_bottom": lambda s, d: rounded(score.worst_files(score.file_scores(metric_table(s, d))), "score", digits=4),
 }
 
@@ -187,7 +215,35 @@ def lookup_sql(table: dict[str, str], x: str) -> str:
     return f"map {{{', '.join(f'{k!r}: {v!r}' for k, v in table.items())}}}[{x}]"
 
 
+_pick = lambda xs: f"[{_list(xs)}][p_partkey % {len(xs)} + 1]"
+PATHS = f"""WITH q AS (SELECT p_partkey, {_pick(FOLDERS)} || '/' || {_pick(STEMS)} || '.' || {_pick(EXTENSIONS)} AS path FROM part),
+p AS (SELECT p_partkey, path, string_split(path, '/')[-1] AS name, string_split(path, '/')[:-2] AS dirs FROM q),
+e AS (SELECT *, regexp_matches(name, '^(test_.*\\.(py|cc)|.*_test\\.(py|rs|cc)|.*Test\\.(java|cc|hs)|.*[.]spec\\.js)$') AS test_file, list_has_any(dirs, ['tests', 'test', '__tests__', 'spec']) AS test_dir FROM p)
+"""
+_has = lambda words: f"regexp_matches(m, '(^|[^A-Za-z0-9_])({'|'.join(words)})($|[^A-Za-z0-9_])')"
+_lead = lambda x: f"(length(regexp_extract({x}, '^([ \\t]*)', 1)) + 3 * length(regexp_replace(regexp_extract({x}, '^([ \\t]*)', 1), '[^\\t]', '', 'g')))"
+COG = f"""g AS (SELECT path, row_number() OVER w AS r, {_lead("text")} - {_lead("first_value(text) OVER w")} AS rel, {MASKED} AS m FROM k WHERE kind = 'Code' WINDOW w AS (PARTITION BY path ORDER BY line_no)),
+b AS (SELECT *, list_filter(regexp_extract_all(m, '[A-Za-z0-9_]+|[();{{}},]'), lambda x: x IN ('and', 'or', '(', ')', ';', '{{', '}}', ',')) AS t FROM g),
+cog AS (SELECT path, CAST(coalesce(sum(CASE WHEN r = 1 THEN 0 ELSE CASE WHEN {_has(["elif"])} THEN 1 WHEN {_has(["if", "for", "while", "except"])} THEN 1 + greatest(0, rel - 4) // 4 WHEN {_has(["else"])} THEN 1 ELSE 0 END
+  + len(list_filter(range(1, len(t) + 1), lambda i: t[i] IN ('and', 'or') AND (i = 1 OR t[i] <> t[i - 1]))) END), 0) AS BIGINT) AS n FROM b GROUP BY path)"""
+MAGIC = f"""mg AS (SELECT path, line_no FROM (SELECT path, line_no, trim(m, ' ' || chr(9) || chr(13)) AS m FROM (SELECT path, line_no, {MASKED} AS m FROM k WHERE kind = 'Code'))
+  WHERE lower(regexp_extract(m, '^\\S*')) NOT IN ({_list(smells.DECLARES)}) AND len(list_filter(regexp_extract_all(m, '{smells.NUMBER}', 1), lambda n: n <> '' AND rtrim(n, '.') NOT IN ({_list(smells.TRIVIAL)}))) > 0)"""
+
+
+def levels_sql(total: str, bounds: list[tuple[int, str]], table: str) -> str:
+    steps = " ".join(f"WHEN {total} <= {n} THEN '{name}'" for n, name in bounds)
+    return f"SELECT path, CAST(1 AS BIGINT) AS functions, {total} AS total, {total} AS max, CAST({total} AS DOUBLE) AS avg, CASE {steps} ELSE 'extreme' END AS level FROM {table}"
+
+
 SQL: dict[str, str] = {
+    "functions_cyclomatic": f"{LINES}, {CYC} SELECT path, '<file>' AS name, CAST(1 AS BIGINT) AS start_line, blank + comment + code AS n_lines, total_complexity AS cyclomatic FROM c JOIN loc USING (path)",
+    "cyclomatic_levels": f"{LINES}, {CYC} " + levels_sql("total_complexity", metrics.CYCLOMATIC_LEVELS, "c"),
+    "cognitive_levels": f"{LINES}, {COG} " + levels_sql("n", structure.COGNITIVE_LEVELS, "cog"),
+    "magic_numbers": f"{LINES}, {MAGIC} SELECT * FROM mg",
+    "smell_counts": f"{LINES}, {MAGIC}, debts AS (SELECT path FROM k WHERE kind = 'Comment' AND regexp_matches(upper(text), 'TODO|FIXME|HACK|XXX|BUG')) SELECT path, count(*) FILTER (s = 1) AS magic_number, CAST(0 AS BIGINT) AS long_function, CAST(0 AS BIGINT) AS long_parameters, count(*) FILTER (s = 2) AS debt, CAST(0 AS BIGINT) AS commented_out_code, count(*) AS total FROM (SELECT path, 1 AS s FROM mg UNION ALL SELECT path, 2 FROM debts) GROUP BY path",
+    "path_flags": PATHS + "SELECT p_partkey, test_file, test_file OR test_dir AS test_path, name LIKE '%.generated.%' OR name LIKE '%.min.js' OR name LIKE '%.min.css' OR name LIKE '%\\_pb2.py' ESCAPE '\\' AS generated FROM e",
+    "excluded_files": PATHS + "SELECT * FROM (SELECT p_partkey, concat_ws(', ', CASE WHEN test_file THEN 'test file' END, CASE WHEN name LIKE '%.css' THEN 'extension' END, CASE WHEN list_contains(dirs, 'vendor') THEN 'directory' END, CASE WHEN test_dir THEN 'test directory' END, CASE WHEN path LIKE '%.min.%' OR regexp_matches(path, '^lib/.*_pb2\\...$') THEN 'glob' END) AS reasons FROM e) WHERE reasons <> ''",
+
     "loc_by_language": LINES + "SELECT language, count(*) AS files, CAST(sum(blank) AS BIGINT) AS blank, CAST(sum(comment) AS BIGINT) AS comment, CAST(sum(code) AS BIGINT) AS code FROM (SELECT 'TOML' AS language, * FROM loc) GROUP BY ROLLUP (language)",
     "loc_files": LINES + "SELECT * FROM loc",
     "file_dedup": LINES + "SELECT min(path) AS path FROM f GROUP BY text",
