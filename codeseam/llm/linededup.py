@@ -1,8 +1,10 @@
-"""Near-duplicate lines: segment-partition edit join with banded bit-parallel verification."""
+"""Near-duplicate lines: segment-partition edit join over bytes with banded bit-parallel
+verification and, for long lines, a prefix-filter join of word grams for edits of whole words."""
 
 from __future__ import annotations
 
-from collections import defaultdict
+import zlib
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -12,12 +14,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, ends, hint, seen, written
+from .common import WordHash, components, ends, hint, mixed, seen, written
 
 #: Groups of more lines than this that share a segment are compared through one member first.
 SMALL = 6
 #: Keys that a task holds before it groups them.
 HELD = 300_000
+#: Words of a gram. A line of w words has w - GRAM + 1 grams, of which an edited word changes GRAM.
+GRAM = 5
+#: Common grams come last in the order of grams; at most so many are known, from one document in
+#: COMMON_OF. Which ones are known changes the cost of the join, not its pairs.
+COMMON, COMMON_OF = 100_000, 32
 
 
 def segments(n: int, parts: int) -> list[tuple[int, int]]:
@@ -104,6 +111,93 @@ def within(a: bytes, b: bytes, edits: int) -> bool:
     return bool(states[-1] >> (n - m + edits) & 1)
 
 
+def word_distance(a: list, b: list) -> int:
+    """The edit distance of two sequences, bit-parallel over all of a."""
+    if not a:
+        return len(b)
+    at: dict = {}
+    for i, x in enumerate(a):
+        at[x] = at.get(x, 0) | 1 << i
+    full, top, score = (1 << len(a)) - 1, 1 << (len(a) - 1), len(a)
+    more, less = full, 0
+    for y in b:
+        same = at.get(y, 0)
+        zero = (((same & more) + more) ^ more) | same | less
+        right, left = less | ~(zero | more) & full, more & zero
+        score += bool(right & top) - bool(left & top)
+        right, left = (right << 1 | 1) & full, left << 1 & full
+        more, less = left | ~(zero | right) & full, right & zero
+    return score
+
+
+def word_edits(n: int, share: int) -> int:
+    """How many words of a line of n may be edited: share in a hundred."""
+    return n * share // 100
+
+
+def linked(a: bytes, b: bytes, edits: int, share: int) -> bool:
+    """Whether two lines are within `edits` bytes, or within the words that the shorter allows."""
+    if within(a, b, edits):
+        return True
+    if not share:
+        return False
+    x, y = a.split(), b.split()
+    k = word_edits(min(len(x), len(y)), share)
+    if not k or abs(len(x) - len(y)) > k or sum((Counter(x) - Counter(y)).values()) > k:
+        return False
+    return word_distance(x, y) <= k
+
+
+def word_grams(line: bytes, hashes: WordHash) -> np.ndarray:
+    """The hashes of all grams of a line, in its order."""
+    h = hashes.of(line.split())
+    n = max(0, len(h) - GRAM + 1)
+    out = h[:n].copy()
+    for i in range(1, GRAM):
+        out = mixed(out) + h[i : i + n]
+    return mixed(out)
+
+
+def word_keys(line: bytes, share: int, common: np.ndarray, hashes: WordHash) -> list[int]:
+    """Keys under which a line meets every line within its word edits: the first grams in an order
+    of all grams, common ones last. k edits leave all but k * GRAM of either line's grams to both,
+    so the first k * GRAM + 1 of each have one in common."""
+    if not share:
+        return []
+    grams = word_grams(line, hashes)
+    k = word_edits(len(grams) + GRAM - 1, share)
+    if not k or not len(grams):
+        return []
+    grams = np.sort(grams)
+    # equal grams of a line are told apart by their number
+    first = np.concatenate([[True], grams[1:] != grams[:-1]])
+    number = np.arange(len(grams)) - np.maximum.accumulate(np.where(first, np.arange(len(grams)), 0))
+    late = np.zeros(len(grams), bool)
+    if len(common):
+        late = common[np.minimum(np.searchsorted(common, grams), len(common) - 1)] == grams
+    named = mixed(grams + number.astype(np.uint64))
+    return named[np.lexsort((named, late))[: k * GRAM + 1]].tolist()
+
+
+def common_grams(docs: DataFrame, share: int) -> np.ndarray:
+    """Grams that several lines of one document in COMMON_OF hold, ascending."""
+    if not share:
+        return np.empty(0, np.uint64)
+
+    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHash()
+        for batch in batches:
+            lines = {line for text in batch.column(0).to_pylist() if text for line in text.encode("utf-8", "surrogatepass").split(b"\n")}
+            own = [np.unique(word_grams(line, hashes)) for line in lines]
+            g, n = np.unique(np.concatenate([np.empty(0, np.uint64), *own]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(n.astype(np.int64))], ["gram", "n"])
+
+    some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(COMMON_OF)) == 0).select("text")
+    counts = some.mapInArrow(grams, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).where("n > 2")
+    got = counts.orderBy(F.desc("n"), "gram").limit(COMMON).select("gram").toArrow()
+    return np.sort(got.column("gram").to_numpy().view(np.uint64))
+
+
 def line_hash(line: bytes) -> int:
     h = xxhash.xxh3_64_intdigest(line)
     return h - (1 << 64) if h >> 63 else h
@@ -183,11 +277,13 @@ def _batches(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*part, strict=True)], schema=ROWS)
 
 
-def keyed(docs: DataFrame, edits: int, min_bytes: int) -> DataFrame:
+def keyed(docs: DataFrame, edits: int, min_bytes: int, share: int = 0) -> DataFrame:
     """(key, x, pivot): a line x under each of its keys, grouped within the task beforehand."""
+    common = docs.sparkSession.sparkContext.broadcast(common_grams(docs.where("doc_id is not null"), share))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plans: dict = {}
+        words = WordHash()
         keys: dict[int, set] = {}
         seen: set[int] = set()
         held = 0
@@ -198,7 +294,7 @@ def keyed(docs: DataFrame, edits: int, min_bytes: int) -> DataFrame:
                     if h in seen:
                         continue
                     seen.add(h)
-                    for key in line_keys(line, edits, plans):
+                    for key in line_keys(line, edits, plans) + word_keys(line, share, common.value, words):
                         at = keys.get(key)
                         if at is None:
                             keys[key] = h
@@ -269,8 +365,8 @@ def paired(rows: DataFrame) -> DataFrame:
 
 
 def line_texts(docs: DataFrame, wanted: DataFrame, min_bytes: int) -> DataFrame:
-    """(h, line, bag) of the lines with the digests `wanted` (h): their bytes, and how many bytes
-    fall into each of 32 kinds. Only these lines are moved: a hint sorts out most others first."""
+    """(h, line, bag, n_words, words) of the lines with the digests `wanted` (h): their bytes, how
+    many bytes fall into each of 32 kinds, and the same of their words. Only these lines are moved: a hint sorts out most others first."""
     shared = hint(wanted)
 
     def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -280,19 +376,21 @@ def line_texts(docs: DataFrame, wanted: DataFrame, min_bytes: int) -> DataFrame:
             keep = np.flatnonzero(seen(shared.value, hashes)).tolist()
             texts = [texts[i] for i in keep]
             bags = [np.bincount(np.frombuffer(x, np.uint8) & 31, minlength=32).tolist() for x in texts]
-            yield pa.RecordBatch.from_arrays([pa.array(hashes[keep]), pa.array(texts, pa.binary()), pa.array(bags, pa.list_(pa.int32()))], ["h", "line", "bag"])
+            split = [x.split() for x in texts]
+            kinds = [np.bincount([zlib.crc32(w) & 31 for w in x], minlength=32).tolist() for x in split]
+            yield pa.RecordBatch.from_arrays([pa.array(hashes[keep]), pa.array(texts, pa.binary()), pa.array(bags, pa.list_(pa.int32())), pa.array([len(x) for x in split], pa.int32()), pa.array(kinds, pa.list_(pa.int32()))], ["h", "line", "bag", "n_words", "words"])
 
-    found = docs.where("doc_id is not null").select("text").mapInArrow(lines, "h long, line binary, bag array<int>")
+    found = docs.where("doc_id is not null").select("text").mapInArrow(lines, "h long, line binary, bag array<int>, n_words int, words array<int>")
     return found.join(wanted.hint("merge"), "h", "left_semi").dropDuplicates(["h"])
 
 
-def confirmed(pairs: DataFrame, lines: DataFrame, edits: int) -> DataFrame:
-    """The pairs of line digests whose lines are within `edits` edits."""
+def confirmed(pairs: DataFrame, lines: DataFrame, edits: int, share: int = 0) -> DataFrame:
+    """The pairs of line digests whose lines are linked."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b, x, y = (batch.column(i).to_pylist() for i in range(4))
-            keep = [i for i in range(len(a)) if within(x[i], y[i], edits)]
+            keep = [i for i in range(len(a)) if linked(x[i], y[i], edits, share)]
             yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in keep], pa.int64()), pa.array([b[i] for i in keep], pa.int64())], ["a", "b"])
 
     sides = [lines.select(F.col("h").alias(k), F.col("line").alias(v)).hint("merge") for k, v in (("a", "x"), ("b", "y"))]
@@ -300,41 +398,47 @@ def confirmed(pairs: DataFrame, lines: DataFrame, edits: int) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
 
 
-def line_classes(docs: DataFrame, edits: int, min_bytes: int) -> DataFrame:
-    """(node, root): digests of different lines that links of at most `edits` edits connect."""
-    pairs = written(paired(keyed(docs, edits, min_bytes)), "pairs")
+def line_classes(docs: DataFrame, edits: int, min_bytes: int, share: int = 0) -> DataFrame:
+    """(node, root): digests of different lines that links connect."""
+    pairs = written(paired(keyed(docs, edits, min_bytes, share)), "pairs")
     lines = written(line_texts(docs, written(ends(pairs, "h"), "wanted"), min_bytes), "lines")
-    links = written(confirmed(pairs, lines, edits), "links")
+    links = written(confirmed(pairs, lines, edits, share), "links")
     roots = components(links)
     large = pairs.where("hot is not null")
     if large.limit(1).count():
         # Large groups: their lines in different components may hold links that the comparison
         # with one line did not show. Of those still apart, two are compared if their numbers of
-        # bytes of each kind differ by no more than `edits` edits can make them.
+        # bytes, or of words, of each kind differ by no more than their edits can make them.
         member = large.select(F.col("hot").alias("key"), F.explode(F.array("a", "b")).alias("node")).distinct()
         placed = member.join(roots.hint("merge"), "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
         apart = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-        placed = placed.join(apart, "key", "left_semi").join(lines.select(F.col("h").alias("node"), "bag").hint("merge"), "node")
+        placed = placed.join(apart, "key", "left_semi").join(lines.select(F.col("h").alias("node"), "bag", "n_words", "words").hint("merge"), "node")
         placed = written(placed, "apart")
         p, q = placed.alias("p"), placed.alias("q")
-        away = F.aggregate(F.zip_with("p.bag", "q.bag", lambda x, y: F.abs(x - y)), F.lit(0), lambda a, x: a + x)
-        both = (F.col("p.key") == F.col("q.key")) & (F.col("p.node") > F.col("q.node")) & (F.col("p.root") != F.col("q.root")) & (away <= 2 * edits)
+        apart_by = lambda c: F.aggregate(F.zip_with(f"p.{c}", f"q.{c}", lambda x, y: F.abs(x - y)), F.lit(0), lambda a, x: a + x)
+        near = apart_by("bag") <= 2 * edits
+        if share:
+            k = F.floor(F.least("p.n_words", "q.n_words") * share / 100)
+            near |= (k > 0) & (F.abs(F.col("p.n_words") - F.col("q.n_words")) <= k) & (apart_by("words") <= 2 * k)
+        both = (F.col("p.key") == F.col("q.key")) & (F.col("p.node") > F.col("q.node")) & (F.col("p.root") != F.col("q.root")) & near
         more = written(p.join(q, both).select(F.col("p.node").alias("a"), F.col("q.node").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
         if more.limit(1).count():
-            found = written(confirmed(more, lines, edits), "links")
+            found = written(confirmed(more, lines, edits, share), "links")
             roots = components(links.union(found))
     return roots
 
 
-def line_decisions(docs: DataFrame, edits: int = 2, min_bytes: int = 60) -> DataFrame:
+def line_decisions(docs: DataFrame, edits: int = 2, min_bytes: int = 60, share: int = 0) -> DataFrame:
     """(doc_id, line_no, class_doc, class_line) of every line that repeats an earlier one.
 
     Lines of at least min_bytes UTF-8 bytes are compared, cut at LF; distances count bytes.
-    Equal lines, and lines that a chain of links within `edits` edits connects, are a class; its
-    first line by (doc_id, line_no) stays and every other one is a row here.
+    Equal lines, and lines that a chain of links connects, are a class; its first line by
+    (doc_id, line_no) stays and every other one is a row here. Two lines are linked if they are
+    within `edits` edits of bytes or, with a share, within as many edits of words (between white
+    space) as are `share` (at most 10) in a hundred of the shorter line's.
     """
     places = written(occurrences(docs, min_bytes), "occurrences")
-    roots = line_classes(docs, edits, min_bytes)
+    roots = line_classes(docs, edits, min_bytes, share)
     place = F.struct("doc_id", "line_no")
     equal = places.groupBy("h", "g").agg(F.count("*").alias("n"), F.min(place).alias("first"))
     classed = equal.join(roots.withColumnRenamed("node", "h").hint("merge"), "h", "left")
@@ -344,14 +448,14 @@ def line_decisions(docs: DataFrame, edits: int = 2, min_bytes: int = 60) -> Data
     return out.where(F.struct("doc_id", "line_no") != F.col("first")).select("doc_id", "line_no", F.col("first.doc_id").alias("class_doc"), F.col("first.line_no").alias("class_line")).distinct()
 
 
-def line_report(docs: DataFrame, edits: int = 2, min_bytes: int = 60) -> DataFrame:
+def line_report(docs: DataFrame, edits: int = 2, min_bytes: int = 60, share: int = 0) -> DataFrame:
     """For each row of docs: doc_id, n_lines, n_compared, n_removed, removed (line numbers from
     0, ascending), class_docs (document of the line that stays, for each removed line).
 
     A null or empty text has no lines. Rows with a null doc_id are neither compared nor changed.
     Rows that share a doc_id are treated as one document, whose line k is any of their lines k.
     """
-    gone = line_decisions(docs, edits, min_bytes).groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("line_no", "class_doc"))).alias("gone"))
+    gone = line_decisions(docs, edits, min_bytes, share).groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("line_no", "class_doc"))).alias("gone"))
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.split(text, "\n", -1)
     compared = F.when(F.col("doc_id").isNull(), 0).otherwise(F.size(F.filter(lines, lambda x: F.octet_length(x) >= min_bytes)))
@@ -360,12 +464,12 @@ def line_report(docs: DataFrame, edits: int = 2, min_bytes: int = 60) -> DataFra
     return base.join(gone.hint("merge"), "doc_id", "left").select("doc_id", "n_lines", "n_compared", F.size(F.coalesce("gone", none)).cast("long").alias("n_removed"), F.coalesce(F.col("gone.line_no"), F.array().cast("array<int>")).alias("removed"), F.coalesce(F.col("gone.class_doc"), F.array().cast("array<bigint>")).alias("class_docs"))
 
 
-def line_deduplicated(docs: DataFrame, edits: int = 2, min_bytes: int = 60) -> DataFrame:
+def line_deduplicated(docs: DataFrame, edits: int = 2, min_bytes: int = 60, share: int = 5) -> DataFrame:
     """docs with the repeated lines taken out of text (and n_chars, where there, counted anew).
 
-    Every row stays, even if no line is left; all columns stay as they are.
+    As line_decisions() has it, with word edits besides. Every row stays, even if no line is left; all columns stay as they are.
     """
-    gone = line_decisions(docs, edits, min_bytes).groupBy("doc_id").agg(F.collect_set("line_no").alias("_gone"))
+    gone = line_decisions(docs, edits, min_bytes, share).groupBy("doc_id").agg(F.collect_set("line_no").alias("_gone"))
     gone = gone.withColumnRenamed("doc_id", "_doc")
     out = docs.join(gone.hint("merge"), docs["doc_id"] == gone["_doc"], "left")
     kept = F.array_join(F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains(F.col("_gone"), i)), "\n")

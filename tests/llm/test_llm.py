@@ -83,3 +83,40 @@ def test_url_rules(spark):
     pages = spark.createDataFrame([(1, "https://A.net/x"), (2, "https://e.example.net/en/1"), (3, None), (4, "http://b.org/fr/"), (5, "http://c.net")], "page_id long, url string")
     got = {r["page_id"]: (r["host"], r["rule"]) for r in urlfilter.judged(pages, [("net/", "block"), ("example.net/en/", "allow"), ("org/fr/", "allow")]).collect()}
     assert got == {1: ("a.net", "net/"), 2: ("e.example.net", "example.net/en/"), 3: ("", None), 4: ("b.org", "org/fr/"), 5: ("c.net", None)}
+
+
+def test_word_edits_and_keys():
+    rng = random.Random(5)
+    hashes, none = linededup.WordHash(), np.empty(0, np.uint64)
+    for n in [*range(20, 60), 100, 300, 1000]:
+        for _ in range(4):
+            a = [b"w%d" % rng.randrange(400) for _ in range(n)]
+            b = list(a)
+            for _ in range(max(1, n // 20)):
+                at = rng.randrange(len(b))
+                b[at : at + rng.randint(0, 1)] = [b"new%d" % rng.randrange(9)] * rng.randint(0, 1)
+            if n < 60:
+                assert linededup.word_distance(a, b) == distance(a, b)
+            x, y = b" ".join(a), b" ".join(b)
+            near = linededup.word_distance(a, b) <= min(len(a), len(b)) * 5 // 100
+            assert linededup.linked(x, y, 2, 5) == (near or linededup.within(x, y, 2))
+            common = np.sort(linededup.word_grams(x, hashes)[: n // 2])
+            for late in (none, common) if near else ():
+                assert set(linededup.word_keys(x, 5, late, hashes)) & set(linededup.word_keys(y, 5, late, hashes))
+
+
+def test_long_lines_with_replaced_words(spark):
+    rng = random.Random(7)
+    rows = []
+    for i in range(12):
+        words = [f"word{rng.randrange(5000)}" for _ in range(80)]
+        rows.append((10 * i, " ".join(words)))
+        for k in (1, 2, 3):
+            for at in rng.sample(range(80), k):
+                words[at] = f"other{rng.randrange(5000)}"
+            rows.append((10 * i + k, " ".join(words) if k < 3 else " ".join(words[:40] + ["unlike"] * 40)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r["doc_id"] for r in linededup.line_deduplicated(docs).where("text <> ''").collect()}
+    assert kept == {10 * i + k for i in range(12) for k in (0, 3)}
+    kept = {r["doc_id"] for r in linededup.line_report(docs, share=5).where("n_removed = 0").collect()}
+    assert kept == {10 * i + k for i in range(12) for k in (0, 3)}
