@@ -428,16 +428,17 @@ def line_classes(docs: DataFrame, edits: int, min_bytes: int, share: int = 0) ->
     return roots
 
 
-def line_decisions(docs: DataFrame, edits: int = 2, min_bytes: int = 60, share: int = 0) -> DataFrame:
+def line_decisions(docs: DataFrame, edits: int = 2, min_bytes: int = 60, share: int = 0, equal_bytes: int | None = None) -> DataFrame:
     """(doc_id, line_no, class_doc, class_line) of every line that repeats an earlier one.
 
-    Lines of at least min_bytes UTF-8 bytes are compared, cut at LF; distances count bytes.
+    Lines are cut at LF. Those of at least equal_bytes UTF-8 bytes (min_bytes, if that is None) are
+    compared for equality, those of at least min_bytes for links too; an empty line is never a row.
     Equal lines, and lines that a chain of links connects, are a class; its first line by
     (doc_id, line_no) stays and every other one is a row here. Two lines are linked if they are
     within `edits` edits of bytes or, with a share, within as many edits of words (between white
     space) as are `share` (at most 10) in a hundred of the shorter line's.
     """
-    places = written(occurrences(docs, min_bytes), "occurrences")
+    places = written(occurrences(docs, min_bytes if equal_bytes is None else max(1, equal_bytes)), "occurrences")
     roots = line_classes(docs, edits, min_bytes, share)
     place = F.struct("doc_id", "line_no")
     equal = places.groupBy("h", "g").agg(F.count("*").alias("n"), F.min(place).alias("first"))
@@ -464,12 +465,12 @@ def line_report(docs: DataFrame, edits: int = 2, min_bytes: int = 60, share: int
     return base.join(gone.hint("merge"), "doc_id", "left").select("doc_id", "n_lines", "n_compared", F.size(F.coalesce("gone", none)).cast("long").alias("n_removed"), F.coalesce(F.col("gone.line_no"), F.array().cast("array<int>")).alias("removed"), F.coalesce(F.col("gone.class_doc"), F.array().cast("array<bigint>")).alias("class_docs"))
 
 
-def line_deduplicated(docs: DataFrame, edits: int = 2, min_bytes: int = 60, share: int = 5) -> DataFrame:
+def line_deduplicated(docs: DataFrame, edits: int = 2, min_bytes: int = 60, share: int = 5, equal_bytes: int = 1) -> DataFrame:
     """docs with the repeated lines taken out of text (and n_chars, where there, counted anew).
 
-    As line_decisions() has it, with word edits besides. Every row stays, even if no line is left; all columns stay as they are.
+    As line_decisions() has it, with word edits and equal lines of any length besides. Every row stays, even if no line is left; all columns stay as they are.
     """
-    gone = line_decisions(docs, edits, min_bytes, share).groupBy("doc_id").agg(F.collect_set("line_no").alias("_gone"))
+    gone = line_decisions(docs, edits, min_bytes, share, equal_bytes).groupBy("doc_id").agg(F.collect_set("line_no").alias("_gone"))
     gone = gone.withColumnRenamed("doc_id", "_doc")
     out = docs.join(gone.hint("merge"), docs["doc_id"] == gone["_doc"], "left")
     kept = F.array_join(F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains(F.col("_gone"), i)), "\n")

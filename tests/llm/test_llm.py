@@ -120,3 +120,10 @@ def test_long_lines_with_replaced_words(spark):
     assert kept == {10 * i + k for i in range(12) for k in (0, 3)}
     kept = {r["doc_id"] for r in linededup.line_report(docs, share=5).where("n_removed = 0").collect()}
     assert kept == {10 * i + k for i in range(12) for k in (0, 3)}
+
+
+def test_short_equal_lines_are_removed(spark):
+    rows = [(1, "All rights reserved.\n\nfirst"), (2, "second\nAll rights reserved.\n\nx"), (3, "x\nAll rights reserved!")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in linededup.line_deduplicated(docs).collect()}
+    assert got == {1: "All rights reserved.\n\nfirst", 2: "second\n\nx", 3: "All rights reserved!"}
