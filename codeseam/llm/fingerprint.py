@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,25 +12,16 @@ SAMPLES, BLOCKS = 8, 8
 #: Bits of a sample that are kept, as hexadecimal digits.
 DIGITS = 5
 LOW = (1 << 4 * DIGITS) - 1
-#: Bits of a sample's draws for r, c and beta. r and c are quantiles of Gamma(2, 1).
-R_BITS, C_BITS, BETA_BITS = 8, 11, 24
+#: Second draws of a sample are hashed with its number plus this.
+MORE = 1 << 20
+#: Bits of each of a sample's uniform draws: two for r, two for c, one for beta.
+R_BITS, C_BITS, BETA_BITS = 32, 24, 16
 
 
-def gamma_quantiles(n: int) -> np.ndarray:
-    """Quantiles of Gamma(2, 1) at the middles of n equal parts, by bisection of its distribution
-    function 1 - (1 + x) exp(-x)."""
-    p = (np.arange(n) + 0.5) / n
-    lo, hi = np.zeros(n), np.full(n, 60.0)
-    for _ in range(80):
-        mid = (lo + hi) / 2
-        below = 1 - (1 + mid) * np.exp(-mid) < p
-        lo, hi = np.where(below, mid, lo), np.where(below, hi, mid)
-    return (lo + hi) / 2
-
-
-def constant(values: np.ndarray) -> Column:
-    """An array that the optimizer folds into one literal."""
-    return F.split(F.lit(",".join(f"{x:.9g}" for x in values)), ",").cast("array<double>")
+def uniform(bits: Column, shift: int, n: int) -> Column:
+    """n of 64 random bits, from `shift` on, as a number in the open interval (0, 1)."""
+    part = (F.shiftrightunsigned(bits, shift) if shift else bits).bitwiseAND(F.lit((1 << n) - 1))
+    return (part + 0.5) / float(1 << n)
 
 
 def words_of(text: Column) -> Column:
@@ -52,20 +42,21 @@ def next_ids(sizes: DataFrame) -> DataFrame:
     return ranged.withColumn("lead", lead).join(F.broadcast(border), "part").select("doc_id", "n", F.coalesce("lead", "after").alias("next_id"))
 
 
-def sample(weight: Column, draws: Column, r_table: Column, c_table: Column) -> Column:
+def sample(weight: Column, draws: Column, more: Column) -> Column:
     """One consistent weighted sample of a term of the given log weight, as a number whose order
-    is that of ln a and whose low bits tell (term, t). draws: 64 random bits of (term, sample).
+    is that of ln a and whose low bits tell (term, t). draws and more: 64 random bits
+    of (term, sample) each.
 
-    With r and c from Gamma(2, 1) and beta uniform: t = floor(ln w / r + beta) and
+    With r and c from Gamma(2, 1), as -ln of a product of two uniform draws, and beta uniform: t = floor(ln w / r + beta) and
     ln a = ln c - r (t - beta + 1); the least a over a text's terms is its sample.
     """
-    r = F.get(r_table, F.shiftrightunsigned(draws, 64 - R_BITS).cast("int"))
-    ln_c = F.get(c_table, F.shiftrightunsigned(draws, 64 - R_BITS - C_BITS).bitwiseAND(F.lit((1 << C_BITS) - 1)).cast("int"))
-    beta = draws.bitwiseAND(F.lit((1 << BETA_BITS) - 1)) / float(1 << BETA_BITS)
+    r = -F.ln(uniform(draws, 0, R_BITS) * uniform(draws, R_BITS, R_BITS))
+    ln_c = F.ln(-F.ln(uniform(more, BETA_BITS, C_BITS) * uniform(more, BETA_BITS + C_BITS, C_BITS)))
+    beta = uniform(more, 0, BETA_BITS)
     t = F.floor(weight / r + beta)
     ln_a = ln_c - r * (t - beta + 1.0)
     mark = draws.bitwiseXOR(t * 40503).bitwiseAND(F.lit(LOW))
-    # -40 < ln a < 4 for the weights of texts
+    # -100 < ln a < 4 for the weights of texts
     return F.shiftleft(((ln_a + 1024.0) * float(1 << 30)).cast("long"), 4 * DIGITS).bitwiseOR(mark)
 
 
@@ -76,15 +67,14 @@ def signatures(texts: DataFrame) -> DataFrame:
     Words are counted and sampled where the text is: both aggregations have doc_id among their
     keys and need no further exchange.
     """
-    r_table, c_table = constant(gamma_quantiles(1 << R_BITS)), constant(np.log(gamma_quantiles(1 << C_BITS)))
     both = texts.select("doc_id", "rid", F.posexplode(F.array("text", "edited")).alias("later", "part"))
     each = both.select("doc_id", "rid", "later", F.explode(words_of(F.col("part"))).alias("word")).where("word <> ''")
     terms = each.select("doc_id", "rid", F.xxhash64("word").alias("term"), "later").groupBy("doc_id", "rid", "term").agg(F.count("*").alias("n"), F.sum("later").alias("n1"))
     logs = terms.select("doc_id", "rid", "term", F.ln((F.col("n") - F.col("n1")).cast("double")).alias("w0"), F.ln(F.col("n1").cast("double")).alias("w1"))
     logs = logs.select("*", F.explode(F.array(*(F.lit(b * SAMPLES) for b in range(BLOCKS)))).alias("block"))
     # the log of no occurrence is null, and so is its sample; draws and their logs are shared
-    draws = [F.xxhash64(F.col("term"), F.col("block") + k) for k in range(SAMPLES)]
-    least = [F.min(sample(F.col(w), d, r_table, c_table)).alias(f"{w}_{k}") for w in ("w0", "w1") for k, d in enumerate(draws)]
+    draws = [(F.xxhash64(F.col("term"), F.col("block") + k), F.xxhash64(F.col("term"), F.col("block") + (k + MORE))) for k in range(SAMPLES)]
+    least = [F.min(sample(F.col(w), *d)).alias(f"{w}_{k}") for w in ("w0", "w1") for k, d in enumerate(draws)]
     got = logs.groupBy("doc_id", "rid", "block").agg(*least)
     hexes = lambda w: F.concat(*(F.lpad(F.lower(F.hex(F.col(f"{w}_{k}").bitwiseAND(F.lit(LOW)))), DIGITS, "0") for k in range(SAMPLES)))
     parts = got.select("doc_id", "rid", "block", hexes("w0").alias("h0"), hexes("w1").alias("h1"))

@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from codeseam.llm import decontam, fingerprint, langid, linededup, minhash, packing, pii, urlfilter
 from codeseam.llm.common import components
@@ -127,3 +128,18 @@ def test_short_equal_lines_are_removed(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r["doc_id"]: r["text"] for r in linededup.line_deduplicated(docs).collect()}
     assert got == {1: "All rights reserved.\n\nfirst", 2: "second\n\nx", 3: "All rights reserved!"}
+
+
+@pytest.mark.parametrize("n", [100, 1000, 10_000, 20_000])
+def test_collision_rate_is_generalised_jaccard(spark, n):
+    # 5 % of the words have weight 20 against 10, the others 1
+    heavy, n_docs = n // 20, 24
+    rows = []
+    for d in range(n_docs):
+        words, top = [f"d{d}w{i}" for i in range(heavy, n)], [f"d{d}w{i}" for i in range(heavy)]
+        rows.append((d, d, " ".join(words + top * 20), " ".join(words + top * 10)))
+    texts = spark.createDataFrame(rows, "doc_id long, rid long, text string, edited string").repartition(4, "doc_id")
+    got = fingerprint.signatures(texts).select(fingerprint.likeness(F.col("fp0"), F.col("fp1")).alias("same")).collect()
+    jaccard = (n - heavy + 10 * heavy) / (n - heavy + 20 * heavy)
+    # 24 * 64 samples: a standard error of 0.011
+    assert sum(r["same"] for r in got) / n_docs == pytest.approx(jaccard, abs=0.04)
