@@ -13,15 +13,18 @@ ROUNDS = 4
 #: Candidates, in the order in which they are tried at a place.
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}(?![A-Za-z0-9])",
-    "phone": r"(?<![0-9])\+1 \([2-9][0-9]{2}\) [0-9]{3}-[0-9]{4}(?![0-9])",
-    "date": r"(?<![0-9A-Za-z.-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9A-Za-z-])",
+    # with +1, with the area in brackets, or with separators
+    "phone": r"(?:(?<![0-9])\+1[ .-]?(?:\([0-9]{3}\)|[0-9]{3})[ .-]?[0-9]{3}[ .-]?|(?<![0-9A-Za-z+]|[0-9][.-])(?:1[ .-]?\([0-9]{3}\)[ .-]?|(?:1[ .-])?[0-9]{3}[ .-])[0-9]{3}[ .-]|\([0-9]{3}\)[ .-]?[0-9]{3}[ .-])[0-9]{4}(?![0-9])",
+    # alone or before the time of a timestamp
+    "date": r"(?<![0-9A-Za-z.-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?:(?=[Tt][0-9]{2})|(?![0-9A-Za-z-]))",
     "ip": r"(?<![0-9A-Za-z.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9A-Za-z]|\.[0-9])",
-    "card": r"(?<![0-9A-Za-z])[0-9]{13,19}(?![0-9A-Za-z])",
+    # without gaps, or in groups of 4-4-4-4, 4-6-5 or 4-6-4 digits
+    "card": r"(?<![0-9A-Za-z])(?:[0-9]{13,19}|[0-9]{4} [0-9]{4} [0-9]{4} [0-9]{4}|[0-9]{4}-[0-9]{4}-[0-9]{4}-[0-9]{4}|[0-9]{4} [0-9]{6} [0-9]{4,5}|[0-9]{4}-[0-9]{6}-[0-9]{4,5})(?![0-9A-Za-z])",
 }
 KINDS = list(PATTERNS)
 ANY = "|".join(PATTERNS.values())
 #: A cheap test that every candidate passes.
-HINT = r"[0-9][0-9.-]{6}|@"
+HINT = r"[0-9][0-9. -]{6}|@"
 #: Dates of this whole Gregorian cycle are permuted among themselves: 146097 = 189 * 773 days.
 FIRST_DAY, DAYS, LEFT_DAYS = "1800-01-01", 146_097, 189
 
@@ -67,18 +70,40 @@ def luhn_sum(s: Column, check: int) -> Column:
     return F.aggregate(F.sequence(F.lit(1), n), F.lit(0), lambda a, i: a + F.when((n - i) % 2 == check, doubled(digit(i))).otherwise(digit(i)))
 
 
+def digits_of(s: Column) -> Column:
+    return F.regexp_replace(s, "[^0-9]", "")
+
+
+def refilled(s: Column, digits: Column) -> Column:
+    """s with its digits replaced, in turn, by those given; all else stays."""
+    at = lambda i: F.char_length(digits_of(F.substr(s, F.lit(1), i)))
+    one = lambda i: F.when(F.substr(s, i, F.lit(1)).between("0", "9"), F.substr(digits, at(i), F.lit(1))).otherwise(F.substr(s, i, F.lit(1)))
+    return F.array_join(F.transform(F.sequence(F.lit(1), F.char_length(s)), one), "")
+
+
 def card(s: Column, key: str) -> Column:
     """A card number's payload after its first digit is permuted; the check digit follows."""
-    payload = F.concat(F.substr(s, F.lit(1), F.lit(1)), digits_permuted(F.substr(s, F.lit(2), F.char_length(s) - 2), key, "card"))
-    return with_value(payload, lambda p: F.concat(p, ((10 - luhn_sum(p, 0) % 10) % 10).cast("string")))
+
+    def of(d: Column) -> Column:
+        payload = F.concat(F.substr(d, F.lit(1), F.lit(1)), digits_permuted(F.substr(d, F.lit(2), F.char_length(d) - 2), key, "card"))
+        return with_value(payload, lambda p: F.concat(p, ((10 - luhn_sum(p, 0) % 10) % 10).cast("string")))
+
+    return with_value(with_value(digits_of(s), of), lambda d: refilled(s, d))
 
 
 def phone(s: Column, key: str) -> Column:
-    """+1 (NXX) NNN-NNNN: the area keeps its 800 values, the seven digits after it theirs."""
-    area, rest = F.substr(s, F.lit(5), F.lit(3)).cast("long") - 200, F.concat(F.substr(s, F.lit(10), F.lit(3)), F.substr(s, F.lit(14), F.lit(4))).cast("long")
-    a, b = feistel(area, rest, F.lit(800), F.lit(10_000_000), key, "phone")
-    rest = F.lpad(b.cast("string"), 7, "0")
-    return F.concat(F.lit("+1 ("), (a + 200).cast("string"), F.lit(") "), F.substr(rest, F.lit(1), F.lit(3)), F.lit("-"), F.substr(rest, F.lit(4), F.lit(4)))
+    """The last ten digits: areas from 200 on keep their 800 values, areas below 200 (none is
+    given out, but they are written) their 200, and the seven digits after it theirs."""
+
+    def of(d: Column) -> Column:
+        n = F.char_length(d)
+        area, rest = F.substr(d, n - 9, F.lit(3)).cast("long"), F.substr(d, n - 6, F.lit(7)).cast("long")
+        low = area < 200
+        base = F.when(low, 0).otherwise(200)
+        a, b = feistel(area - base, rest, F.when(low, 200).otherwise(800), F.lit(10_000_000), key, "phone")
+        return F.concat(F.substr(d, F.lit(1), n - 10), F.lpad((a + base).cast("string"), 3, "0"), F.lpad(b.cast("string"), 7, "0"))
+
+    return with_value(with_value(digits_of(s), of), lambda d: refilled(s, d))
 
 
 def ip(s: Column, key: str) -> Column:
@@ -129,10 +154,10 @@ def kind_of(m: Column) -> Column:
     year = F.substr(m, F.lit(1), F.lit(4))
     return (
         F.when(m.contains("@"), "email")
-        .when(m.startswith("+"), "phone")
+        .when(whole("phone"), "phone")
         .when(whole("date"), F.when(F.try_to_date(m, "yyyy-MM-dd").isNotNull() & year.between("1800", "2199"), "date"))
         .when(whole("ip"), F.when(octets, "ip"))
-        .otherwise(F.when(luhn_sum(m, 1) % 10 == 0, "card"))
+        .otherwise(F.when(with_value(digits_of(m), lambda d: luhn_sum(d, 1)) % 10 == 0, "card"))
     )
 
 

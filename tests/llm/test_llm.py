@@ -143,3 +143,19 @@ def test_collision_rate_is_generalised_jaccard(spark, n):
     jaccard = (n - heavy + 10 * heavy) / (n - heavy + 20 * heavy)
     # 24 * 64 samples: a standard error of 0.011
     assert sum(r["same"] for r in got) / n_docs == pytest.approx(jaccard, abs=0.04)
+
+
+def test_written_forms_of_numbers(spark):
+    forms = ["4539578763621486", "4539 5787 6362 1486", "4539-5787-6362-1486", "3782 822463 10005", "212-555-0100", "(212) 555-0100", "212.555.0100", "212 555 0100", "1-212-555-0100", "1 (212) 555-0100", "+12125550100", "+1 (212) 555-0100", "+1 (012) 555-0100", "2021-02-28T10:00"]
+    stay = ["4539 5787 6362 1487", "2021-02-28x", "12125550100", "2021-02-30T10:00"]
+    docs = spark.createDataFrame([(i, f"see {x}, then") for i, x in enumerate(forms + stay)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in pii.pseudonymized(docs, "k").collect()}
+    new = [got[i]["text"].removeprefix("see ").removesuffix(", then") for i in range(len(forms + stay))]
+    shape = lambda x: "".join("0" if c.isdigit() else c for c in x)
+    digits = lambda x: "".join(c for c in x if c.isdigit())
+    for i, (x, y) in enumerate(zip(forms, new)):
+        assert got[i]["n_values"] == 1 and x != y and shape(x) == shape(y), x
+    assert digits(new[0]) == digits(new[1]) == digits(new[2])
+    assert len({digits(x)[-10:] for x in new[4:12]}) == 1
+    assert new[12][4] in "01" and new[13].endswith("T10:00")
+    assert new[len(forms) :] == stay
