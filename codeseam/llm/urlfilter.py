@@ -9,6 +9,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import written
+
 UPPER, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 
@@ -21,7 +23,7 @@ class Settings:
     rate: float = 0.3
     l2: float = 1.0
     max_train: int = 20_000  #: bound on the labelled URLs whose features come to the driver
-    max_suffixes: int = 500  #: bound on the host suffixes with statistics of their own
+    max_suffixes: int = 500  #: suffixes whose statistics go along as literals; those of all others are joined
     prior: float = 20.0  #: weight of the overall rate in a suffix's rate
 
 
@@ -142,13 +144,25 @@ def judged(pages: DataFrame, rules: list[tuple[str, str]], labels: DataFrame | N
     else:
         key = []
         known = labels.select("url", F.col("blocked").cast("int").alias("y")).where("url is not null and y in (0, 1)").distinct().withColumn("host", host_of(F.col("url"))).withColumn("path", path_of(F.col("url"))).withColumn("suffix", suffix_of(F.col("host")))
-    counts = known.groupBy("suffix").agg(F.count("*").alias("n"), F.sum("y").alias("bad"))
+    counts = written(known.groupBy("suffix").agg(F.count("*").alias("n"), F.sum("y").alias("bad")), "suffixes")
+    sums = counts.agg(F.count("*").alias("suffixes"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad")).first()
     most = [(r["suffix"], r["n"], r["bad"]) for r in counts.orderBy(F.desc("n"), "suffix").limit(s.max_suffixes).collect()]
-    total, bad = sum(n for _, n, _ in most), sum(b for _, _, b in most)
-    overall = (bad + 0.5) / (total + 1)
+    overall = (sums["bad"] + 0.5) / (sums["n"] + 1)
     rates = {x: ((b + s.prior * overall) / (n + s.prior), float(np.log1p(n))) for x, n, b in most}
     as_map = lambda i: F.create_map(*(F.lit(v) for x, r in rates.items() for v in (x, r[i]))) if rates else None
-    stat = lambda i, other: F.coalesce(F.try_element_at(as_map(i), F.col("suffix")), F.lit(other)) if rates else F.lit(other)
+    hot = lambda i: F.try_element_at(as_map(i), F.col("suffix")) if rates else F.lit(None).cast("double")
+    few = sums["suffixes"] <= len(most)
+    if not few:
+        rate = (F.col("bad") + s.prior * overall) / (F.col("n") + s.prior)
+        others = counts.where(hot(0).isNull()).select(F.col("suffix").alias("_suffix"), rate.alias("_rate"), F.log1p(F.col("n").cast("double")).alias("_seen"))
+
+        def with_rates(df: DataFrame, *own: str) -> DataFrame:
+            # rows of the most frequent suffixes need no partner: they are dealt out by their own hash
+            apart = F.when(hot(0).isNotNull(), F.concat(F.lit("\n"), F.xxhash64("url", *own).cast("string"))).otherwise(F.col("suffix"))
+            return df.withColumn("_key", apart).join(others, F.col("_key") == F.col("_suffix"), "left")
+
+        base, known = with_rates(base, "page_id"), with_rates(known, *key)
+    stat = lambda i, other: F.coalesce(hot(i), *([] if few else [F.col(("_rate", "_seen")[i])]), F.lit(other))
     all_features = {**features(F.col("url"), F.col("host"), F.col("path")), "suffix_rate": stat(0, overall), "suffix_seen": stat(1, 0.0)}
     columns = [c.cast("double").alias(name) for name, c in all_features.items()]
     # Rows with the least hashes. A limit on the hash leaves about twice as many as are wanted, so

@@ -159,3 +159,15 @@ def test_written_forms_of_numbers(spark):
     assert len({digits(x)[-10:] for x in new[4:12]}) == 1
     assert new[12][4] in "01" and new[13].endswith("T10:00")
     assert new[len(forms) :] == stay
+
+
+def test_suffix_rates_do_not_depend_on_the_most_frequent(spark):
+    urls = [f"http://a.d{i}.org/fr/{k}" for i in range(30) for k in range(2 + i % 5)] + [f"http://b.d{i}.org/en/{i}" for i in range(40)]
+    urls += [f"http://c.e{i}.net/{k}" for i in range(20) for k in range(3)]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    rules = [("net/", "block"), ("org/fr/", "allow")]
+    labels = spark.createDataFrame([(u, i % 3 % 2) for i, u in enumerate(urls[::2])], "url string, blocked int")
+    for given in (None, labels):
+        all_, few = ({r["page_id"]: r["block_odds"] for r in urlfilter.judged(pages, rules, given, urlfilter.Settings(max_suffixes=n)).collect()} for n in (500, 3))
+        assert len(all_) == len(few) == len(urls)
+        assert few == pytest.approx(all_)
