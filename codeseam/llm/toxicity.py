@@ -108,9 +108,10 @@ def fit(rows: list[tuple[np.ndarray, int]], s: Settings) -> FactorizationMachine
 
 
 def trained(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> FactorizationMachine:
-    """A machine fitted to the labelled documents, at most s.max_train of them (chosen by a hash
-    of the id). labels: doc_id, toxic; nulls are ignored, of repeated ids the largest counts."""
+    """A machine fitted to the labelled documents of docs, at most s.max_train of them (chosen by a
+    hash of the id). labels: doc_id, toxic; nulls are ignored, of repeated ids the largest counts."""
     known = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    known = known.join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
     some = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(s.max_train)
 
     def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from codeseam.llm import decontam, fingerprint, langid, linededup, minhash, packing, pii, urlfilter
+from codeseam.llm import decontam, fingerprint, langid, linededup, minhash, packing, pii, toxicity, urlfilter
 from codeseam.llm.common import components
 
 
@@ -171,3 +171,10 @@ def test_suffix_rates_do_not_depend_on_the_most_frequent(spark):
         all_, few = ({r["page_id"]: r["block_odds"] for r in urlfilter.judged(pages, rules, given, urlfilter.Settings(max_suffixes=n)).collect()} for n in (500, 3))
         assert len(all_) == len(few) == len(urls)
         assert few == pytest.approx(all_)
+
+
+def test_labels_without_a_document_do_not_use_up_the_bound(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"word{i} text") for i in range(0, 200, 4)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 8 // 4) for i in range(200)], "doc_id long, toxic int")
+    monkeypatch.setattr(toxicity, "fit", lambda rows, s: len(rows))
+    assert toxicity.trained(docs, labels, toxicity.Settings(max_train=40)) == 40
