@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
 import uuid
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,6 +34,22 @@ def blank_words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(BLANKS).split() if text else []
 
 
+def sliced(batches: Iterator[pa.RecordBatch], text: int, most: int) -> Iterator[pa.RecordBatch]:
+    """The batches in slices whose column `text` holds at most `most` bytes, or one row.
+
+    What a task derives from texts is as large as they are; a batch has up to 10,000 of them.
+    """
+    for batch in batches:
+        column = batch.column(text)
+        sizes = np.nan_to_num(pc.binary_length(column).to_numpy(zero_copy_only=False)) + 64
+        at, total = np.cumsum(sizes), 0.0
+        start = 0
+        while start < len(batch):
+            stop = max(start + 1, int(np.searchsorted(at, total + most, "right")))
+            yield batch.slice(start, stop - start)
+            start, total = stop, at[stop - 1]
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit mixer (the finaliser of splitmix64)."""
     x = x ^ (x >> np.uint64(30))

@@ -2,82 +2,109 @@
 
 from __future__ import annotations
 
+import json
+import unicodedata
 import zlib
 from collections.abc import Iterator
+from functools import cache
 from struct import pack
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import sliced, written
 
+#: The white space below U+0530.
+SPACES = "\t\n\x0b\x0c\r \x85\xa0"
 
-#: Punctuation that the pre-tokenizer cuts off after letters, as one run.
-TAIL = ".,!?;:%$#&*|"
+
+def plain_characters() -> str:
+    """The characters below U+0530 that the tokenizer's normalizer maps one by one: composed
+    already, no marks that could join a neighbour, and with a small form of one character."""
+    own = map(chr, range(0x530))
+    return "".join(c for c in own if unicodedata.normalize("NFC", c) == c and not unicodedata.combining(c) and unicodedata.category(c) != "Cn" and len(c.lower()) == 1)
+
+
+def of_category(kind: str) -> str:
+    """The characters of a general category that plain ones and their small forms can be."""
+    return "".join(sorted({c for p in plain_characters() for c in (p, p.lower()) if unicodedata.category(c)[0] == kind}))
 
 
 class WordTokenizer:
-    """A tokenizer whose pre-tokenizer drops white space, applied word by word with a memory.
+    """A byte-pair tokenizer of words (runs of letters, single digits, runs of other signs), for
+    many texts at once.
 
-    As no token crosses white space, the ids of a text are those of its blank-separated words.
-    Letters and a run of punctuation after them are separate tokens too, and a first letter's
-    case does not matter, so most new words are made of known parts. The memory has two
-    generations of bounded size; what is used again moves to the younger one.
+    As no token crosses a word, the distinct words of some texts are tokenized once, and the
+    texts' ids are put together from them. The merges run in tiktoken: a line feed, which is no
+    part of a word, stands for the end of one. Texts with characters that are not plain go
+    through the tokenizer's own program.
     """
 
-    def __init__(self, path: str, bound: int = 120_000):
+    def __init__(self, path: str):
+        import tiktoken
         from tokenizers import Tokenizer
 
-        self.model = Tokenizer.from_file(path)
-        self.model.encode_special_tokens = True
-        self.bound = bound
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-        self.parts: tuple[dict, dict] = ({}, {})
-
-    @staticmethod
-    def split(word: str) -> tuple[str, str]:
-        """(letters with a small first one, punctuation), or the word itself and nothing."""
-        stem = word.rstrip(TAIL)
-        if stem.isalpha():
-            return stem[0].lower() + stem[1:] if len(stem[0].lower()) == 1 else stem, word[len(stem) :]
-        return word, ""
-
-    def look_up(self, parts: set[str]) -> dict[str, bytes]:
-        young, old = self.parts
-        out = {p: ids for p in parts if (ids := young.get(p) or old.get(p)) is not None}
-        missing = [p for p in parts if p not in out]
-        for p, e in zip(missing, self.model.encode_batch_fast(missing, add_special_tokens=False), strict=True):
-            out[p] = pack(f"<{len(e.ids)}I", *e.ids)
-        young.update(out)
-        if len(young) > self.bound:
-            self.parts = ({}, young)
-        return out
-
-    def raw(self, text: str | None) -> bytes:
-        """The ids of a text as little-endian unsigned 32-bit integers."""
-        if not text:
-            return b""
-        words = text.split()
-        young, old = self.young, self.old
-        if missing := set(words).difference(young):
-            if again := {w for w in missing if w in old}:
-                young.update((w, old[w]) for w in again)
-                missing -= again
-            split = {w: self.split(w) for w in missing}
-            known = self.look_up({p for pair in split.values() for p in pair if p})
-            for w, (x, y) in split.items():
-                young[w] = known[x] + known[y] if y else known[x]
-        out = b"".join(map(young.__getitem__, words))
-        if len(young) > self.bound:
-            self.young, self.old = {}, young
+        self.whole = Tokenizer.from_file(path)
+        self.whole.encode_special_tokens = True
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)["model"]
+        end = spec["end_of_word_suffix"]
+        # a byte's sign in the file: itself if it is printable, else the next free one from U+0100
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        signs = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in shown)}
+        sign = {b: c for c, b in signs.items()}
+        in_bytes = lambda t: bytes(signs[c] for c in t.removesuffix(end)) + b"\n" * t.endswith(end)
+        order = [sign[b] + end for b in range(256)] + [a + b for a, b in map(lambda m: m.split(" ") if isinstance(m, str) else m, spec["merges"])] + [sign[b] for b in range(256)]
+        ranks = {in_bytes(t): i for i, t in enumerate(order)}
+        self.ids_of = np.array([spec["vocab"][t] for t in order], np.uint32)
+        self.ends = np.array([t.endswith(end) for t in order])
+        self.nothing = ranks[b"\n"]
+        self.merger = tiktoken.Encoding("words", pat_str=r"[^\n]*\n", mergeable_ranks=ranks, special_tokens={})
+        letters, numbers = of_category("L"), of_category("N")
+        self.plain = "^[" + "".join(f"\\x{{{ord(c):x}}}" for c in plain_characters()) + "]*$"
+        self.cuts = f"('s|'t|'re|'ve|'m|'ll|'d|[{numbers}]|[^{SPACES}{letters}{numbers}]+)"
+
+    def of_words(self, words: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words, and where each one's begin and end."""
+        joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words), "\n")[0].as_py() + "\n"
+        got = self.merger.encode_to_numpy(joined, disallowed_special=())
+        empty = got == self.nothing
+        at = np.concatenate([[0], np.cumsum(~empty)[self.ends[got] | empty]])
+        return self.ids_of[got[~empty]], at
+
+    def raw(self, texts: pa.StringArray) -> list[bytes]:
+        """The ids of each text, as little-endian unsigned 32-bit integers; of a null one, none."""
+        texts = pc.fill_null(texts, "")
+        plain = pc.match_substring_regex(texts, self.plain)
+        cut = pc.utf8_lower(pc.if_else(plain, texts, ""))
+        cut = pc.replace_substring_regex(cut, self.cuts, r" \1 ")
+        for c in SPACES.replace(" ", ""):
+            cut = pc.replace_substring(cut, c, " ")
+        cut = pc.split_pattern(cut, " ")
+        words = cut.flatten().dictionary_encode()
+        ids, at = self.of_words(words.dictionary)
+        order = words.indices.to_numpy()
+        parts = pa.LargeListArray.from_arrays(pa.array(at, pa.int64()), pa.array(ids)).take(pa.array(order)).flatten().to_numpy()
+        ends = np.concatenate([[0], np.cumsum((at[1:] - at[:-1])[order])])[cut.offsets.to_numpy()]
+        all_ = parts.astype("<u4", copy=False).tobytes()
+        out = [all_[4 * a : 4 * b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+        for i in np.flatnonzero(~plain.to_numpy(zero_copy_only=False)).tolist():
+            own = self.whole.encode(texts[i].as_py(), add_special_tokens=False).ids
+            out[i] = pack(f"<{len(own)}I", *own)
         return out
 
     def ids(self, text: str | None) -> list[int]:
-        return np.frombuffer(self.raw(text), "<u4").tolist()
+        return np.frombuffer(self.raw(pa.array([text], pa.string()))[0], "<u4").tolist()
+
+
+@cache
+def tokenizer_of(path: str) -> WordTokenizer:
+    """One tokenizer for each Python worker."""
+    return WordTokenizer(path)
 
 
 def sum_of_squares(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
@@ -123,21 +150,18 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, with_ids
     doc_key is a digest of id and text that spreads the pieces. Null and empty texts give one
     piece of the end token alone.
     """
-    path = tokenizer
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = WordTokenizer(path)
-        for batch in batches:
-            for at in range(0, len(batch), 200):
-                out: list[tuple] = []
-                part = batch.slice(at, 200)
-                for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    ids = tok.raw(text) + pack("<I", end_id)
-                    key = zlib.crc32(f"{doc_id}".encode(), zlib.crc32(ids))
-                    for k, start in enumerate(range(0, len(ids), 4 * capacity)):
-                        own = ids[start : start + 4 * capacity]
-                        out.append((doc_id, key, k, start // 4, len(own) // 4, zlib.crc32(own), np.frombuffer(own, "<u4").tolist() if with_ids else None))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out, strict=True))[: len(types)], types, strict=True)], names)
+        tok, end = tokenizer_of(tokenizer), pack("<I", end_id)
+        for part in sliced(batches, 1, 8_000_000):
+            out: list[tuple] = []
+            for doc_id, ids in zip(part.column(0).to_pylist(), tok.raw(part.column(1)), strict=True):
+                ids += end
+                key = zlib.crc32(f"{doc_id}".encode(), zlib.crc32(ids))
+                for k, start in enumerate(range(0, len(ids), 4 * capacity)):
+                    own = ids[start : start + 4 * capacity]
+                    out.append((doc_id, key, k, start // 4, len(own) // 4, zlib.crc32(own), np.frombuffer(own, "<u4") if with_ids else None))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out, strict=True))[: len(types)], types, strict=True)], names)
 
     types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()] + [pa.list_(pa.int64())] * with_ids
     names = ["doc_id", "doc_key", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
