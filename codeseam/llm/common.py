@@ -83,10 +83,19 @@ def doc_bucket(doc_id: Column | str, n: int) -> Column:
     return F.crc32(F.col(doc_id).cast("string").cast("binary") if isinstance(doc_id, str) else doc_id.cast("string").cast("binary")) % n
 
 
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """The names, each lengthened until none of the columns has it."""
+    taken = {c.lower() for c in columns}
+    return [next(x for x in (n + "_" * k for k in range(len(taken) + 1)) if x.lower() not in taken) for n in names]
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; a temporary one only where it is unset."""
+    """The folder that spark.checkpoint.dir names; a temporary one only where it is unset and all
+    tasks run on this machine."""
     there = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not there:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="codeseam-"))
         there = spark.sparkContext.getCheckpointDir()
     return there
@@ -100,6 +109,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dropped(df: DataFrame) -> None:
+    """Removes a table made by written(), once nothing reads it again."""
+    spark = df.sparkSession
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(conf).delete(path, True)
+
+
 def ends(pairs: DataFrame, name: str = "doc_id") -> DataFrame:
     """The distinct ids on either side of pairs (a, b)."""
     return pairs.select(F.explode(F.array("a", "b")).alias(name)).distinct()
@@ -136,7 +154,9 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Connected components of edges (a long, b long) -> (node, root), root the least id.
 
     Alternates the large-star and small-star steps until the edges no longer change; each
-    round is written to the shared folder. Only nodes with an edge to another node appear.
+    round is written to the shared folder and the one before removed. Only nodes with an edge to
+    another node appear. A node with very many neighbours is one key of two joins, whose other
+    side has one row for it, so that adaptive execution can split it.
     """
 
     def print_of(e: DataFrame) -> tuple:
@@ -157,8 +177,9 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         large = both.join(low.hint("merge"), both["a"] == low["k"]).where("b > a and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("k"), "m")
         small = two(large.join(low.hint("merge"), large["a"] == low["k"]), ("b", "m"), ("a", "m")).where("a <> b")
-        e = written(small.distinct(), "edges")
+        last, e = e, written(small.distinct(), "edges")
         was, now = now, print_of(e)
+        dropped(last)
         if was == now:
             break
     else:

@@ -9,10 +9,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import fresh
+
 ROUNDS = 4
 #: Candidates, in the order in which they are tried at a place.
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}(?![A-Za-z0-9])",
+    # a domain name has at most 127 labels
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+){0,126}\.[A-Za-z]{2,}(?![A-Za-z0-9])",
     # with +1, with the area in brackets, or with separators
     "phone": r"(?:(?<![0-9])\+1[ .-]?(?:\([0-9]{3}\)|[0-9]{3})[ .-]?[0-9]{3}[ .-]?|(?<![0-9A-Za-z+]|[0-9][.-])(?:1[ .-]?\([0-9]{3}\)[ .-]?|(?:1[ .-])?[0-9]{3}[ .-])[0-9]{3}[ .-]|\([0-9]{3}\)[ .-]?[0-9]{3}[ .-])[0-9]{4}(?![0-9])",
     # alone or before the time of a timestamp
@@ -170,17 +173,22 @@ def pseudonymized(docs: DataFrame, key: str) -> DataFrame:
     """docs with the valid values in text replaced by pseudonyms, and one count for each kind.
 
     Adds n_email, n_phone, n_date, n_ip, n_card and n_values (columns of these names are
-    replaced); every other column and row stays. A null text stays null with counts 0.
+    replaced); every other column and row stays. A null text stays null with counts 0, an empty
+    one empty; repeated rows are treated alike; an empty table gives no rows. The key is a part of
+    the plan: who may see the plan (explain, user interface, event log) sees it.
     """
+    if not key:
+        raise ValueError("a key is needed")
+    f_, k_ = fresh(docs.columns, "found", "kinds")
     added = {f"n_{k}" for k in KINDS} | {"n_values"}
     rest = [c for c in docs.columns if c not in added]
     text = F.col("text")
     found = F.when(text.rlike(HINT) & text.rlike(ANY), F.regexp_extract_all(text, F.lit(ANY), F.lit(0)))
-    out = docs.select(*rest, found.alias("_found"))
-    out = out.withColumn("_kinds", F.transform("_found", kind_of))
-    named = F.zip_with("_kinds", "_found", lambda k, m: pseudonym(k, m, key))
+    out = docs.select(*rest, found.alias(f_))
+    out = out.withColumn(k_, F.transform(f_, kind_of))
+    named = F.zip_with(k_, f_, lambda k, m: pseudonym(k, m, key))
     joined = F.array_join(F.zip_with(F.split(text, ANY, -1), named, lambda gap, m: F.concat(gap, F.coalesce(m, F.lit("")))), "")
-    count = lambda k: F.coalesce(F.size(F.filter("_kinds", lambda x: x == k)), F.lit(0)).cast("long")
-    counts = {f"n_{k}": F.when(F.col("_kinds").isNull(), F.lit(0).cast("long")).otherwise(count(k)) for k in KINDS}
-    out = out.select(*(F.when(F.col("_found").isNull(), text).otherwise(joined).alias("text") if c == "text" else F.col(c) for c in rest), *(v.alias(n) for n, v in counts.items()))
+    count = lambda k: F.coalesce(F.size(F.filter(F.col(k_), lambda x: x == k)), F.lit(0)).cast("long")
+    counts = {f"n_{k}": F.when(F.col(k_).isNull(), F.lit(0).cast("long")).otherwise(count(k)) for k in KINDS}
+    out = out.select(*(F.when(F.col(f_).isNull(), text).otherwise(joined).alias("text") if c == "text" else F.col(c) for c in rest), *(v.alias(n) for n, v in counts.items()))
     return out.withColumn("n_values", sum((F.col(f"n_{k}") for k in KINDS[1:]), F.col(f"n_{KINDS[0]}")))
