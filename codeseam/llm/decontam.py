@@ -1,19 +1,20 @@
-"""Benchmark decontamination by winnowed fingerprints with extension to whole windows."""
+"""Benchmark decontamination: a join of winnowed fingerprints, extended to whole windows."""
 
 from __future__ import annotations
 
-import hashlib
 from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WordHash, alnum_words, mixed
+from .common import WordHash, alnum_words, hint, mixed, seen, sliced, written
 
-SCHEMA = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans array<struct<start:int,end:int>>, items array<string>"
+#: Up to so many distinct benchmark windows go to every task; more are dealt out by key.
+FEW_WINDOWS = 200_000
 
 
 def gram_hashes(h: np.ndarray, k: int) -> np.ndarray:
@@ -38,117 +39,105 @@ def winnow(grams: np.ndarray, w: int) -> np.ndarray:
     return out
 
 
-class Matcher:
-    """Winnowed index of one block of benchmark items.
+def prints(h: np.ndarray, n: int, k: int) -> np.ndarray:
+    """The fingerprint of every window of n words: the least hash of its k-grams.
 
-    A window of `window` words holds w = window - k + 1 k-grams; its fingerprint, the least of
-    their hashes, depends on the window alone, so equal windows always share it. Items with
-    fewer words are one window of their own length n, with k = n and w = 1.
+    It depends on the window alone, so equal windows always share it. Windows of fewer than k
+    words are one gram.
     """
+    k = min(k, n)
+    return winnow(gram_hashes(h, k), n - k + 1)
 
-    def __init__(self, items: list[tuple[str, str]], window: int, k: int):
-        self.k, self.hash = k, WordHash()
-        #: length of a window -> (sorted fingerprints, a bitmap of their low bits, windows)
-        self.by_len: dict[int, tuple] = {}
-        found: dict[int, dict[tuple, set]] = defaultdict(lambda: defaultdict(set))
-        prints: dict[int, set] = defaultdict(set)
-        for item, text in items:
-            words = alnum_words(text)
-            if not words:
-                continue
-            n = min(window, len(words))
-            prints[n].update(self.prints(self.hash.of(words), n).tolist())
-            for i in range(len(words) - n + 1):
-                found[n][tuple(words[i : i + n])].add(item)
-        for n, windows in found.items():
-            sorted_prints = np.array(sorted(prints[n]), np.uint64)
-            bits = np.zeros(1 << 20, bool)
-            bits[(sorted_prints & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
-            self.by_len[n] = (sorted_prints, bits, dict(windows))
-
-    def prints(self, h: np.ndarray, n: int) -> np.ndarray:
-        k = min(self.k, n)
-        return winnow(gram_hashes(h, k), n - k + 1)
-
-    def hits(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set]:
-        """Spans (start, end) of words inside some window, merged; the items they come from."""
-        h = self.hash.of(words)
-        places, items = [], set()
-        for n, (known, bits, windows) in self.by_len.items():
-            got = self.prints(h, n)
-            maybe = np.flatnonzero(bits[(got & np.uint64((1 << 20) - 1)).astype(np.int64)])
-            if len(maybe):
-                at = np.minimum(np.searchsorted(known, got[maybe]), len(known) - 1)
-                for i in maybe[known[at] == got[maybe]].tolist():
-                    if (of := windows.get(tuple(words[i : i + n]))) is not None:
-                        places.append((i, i + n))
-                        items |= of
-        return merged(places), items
-
-
-def merged(places: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    out: list[tuple[int, int]] = []
-    for a, b in sorted(places):
-        if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], max(b, out[-1][1]))
-        else:
-            out.append((a, b))
-    return out
 
+def item_windows(benchmark: DataFrame, window: int, k: int) -> DataFrame:
+    """(n, print, words, items): every distinct window of the items, its number of words, its
+    fingerprint, the words themselves and the items that hold it, sorted."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHash()
+        for batch in sliced(batches, 1, 2_000_000):
+            out: list[tuple] = []
+            for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if words := alnum_words(text):
+                    n = min(window, len(words))
+                    marks = prints(hashes.of(words), n, k).view(np.int64).tolist()
+                    out += {(n, m, b" ".join(words[i : i + n]), item) for i, m in enumerate(marks)}
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.int64(), pa.binary(), pa.string()), strict=True)], ["n", "print", "words", "item"])
+
+    rows = benchmark.select(F.col("item_id").cast("string").alias("item"), "text").where("item is not null and text is not null").distinct()
+    found = rows.mapInArrow(cut, "n int, print long, words binary, item string")
+    return found.groupBy("n", "print", "words").agg(F.array_sort(F.collect_set("item")).alias("items"))
 
-def _row(n_words: int, spans: list, items: list) -> dict:
-    return {"n_words": n_words, "n_hit": sum(b - a for a, b in spans), "n_items": len(items), "items_sha256": hashlib.sha256(",".join(items).encode()).hexdigest(), "contaminated": bool(spans), "spans": [{"start": a, "end": b} for a, b in spans], "items": items}
 
+SCANNED = "doc_id long, rid long, n_words long, n int, print long, words binary, places array<struct<rid:long,at:int>>"
+PLACE = pa.struct([("rid", pa.int64()), ("at", pa.int32())])
+ARROW = pa.schema([("doc_id", pa.int64()), ("rid", pa.int64()), ("n_words", pa.int64()), ("n", pa.int32()), ("print", pa.int64()), ("words", pa.binary()), ("places", pa.list_(PLACE))])
 
-def item_blocks(benchmark: DataFrame, block_chars: int) -> list[list[tuple[str, str]]]:
-    """The items in blocks of at most block_chars characters (or one item), fetched one by one.
 
-    The items are the stated query set that every document meets. Repeated rows count once.
+def scanned(docs: DataFrame, windows: DataFrame, k: int) -> DataFrame:
+    """Two kinds of rows: one with n_words for each document, numbered by rid; and one for each
+    distinct window among some megabytes of documents that may be a benchmark's, with its places.
+
+    A window that very many documents hold is thus one row for some thousand of them. Which
+    windows may be a benchmark's tells a bitmap of all its fingerprints, of fixed size.
     """
-    blocks, block, size = [], [], 0
-    rows = benchmark.select(F.col("item_id").cast("string"), "text").where("item_id is not null and text is not null").distinct()
-    for item, text in rows.toLocalIterator():
-        if block and size + len(text) > block_chars:
-            blocks.append(block)
-            block, size = [], 0
-        block.append((item, text))
-        size += len(text)
-    return [*blocks, block]
-
-
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, k: int = 6, block_chars: int = 32_000_000) -> DataFrame:
+    sizes = sorted(r["n"] for r in windows.select("n").distinct().collect())  # at most `window` numbers
+    known = hint(windows.select("print"))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, rid, bits = WordHash(), TaskContext.get().partitionId() << 40, known.value
+        for batch in sliced(batches, 1, 4_000_000):
+            first, counts = rid, []
+            places: dict[tuple, list] = defaultdict(list)
+            for text in batch.column(1):
+                words = alnum_words(text.as_py())
+                counts.append(len(words))
+                h = hashes.of(words)
+                for n in sizes:
+                    marks = prints(h, n, k).view(np.int64)
+                    for i in np.flatnonzero(seen(bits, marks)).tolist():
+                        places[n, int(marks[i]), b" ".join(words[i : i + n])].append((rid, i))
+                rid += 1
+            none = [None] * len(counts)
+            own = [batch.column(0).cast(pa.int64()), pa.array(range(first, rid), pa.int64()), pa.array(counts, pa.int64()), *(pa.array(none, f.type) for f in list(ARROW)[3:])]
+            yield pa.RecordBatch.from_arrays(own, schema=ARROW)
+            if places:
+                none, at = [None] * len(places), [p for x in places.values() for p in x]
+                both = pa.StructArray.from_arrays([pa.array([r for r, _ in at], pa.int64()), pa.array([i for _, i in at], pa.int32())], fields=list(PLACE))
+                ends = pa.array(np.cumsum([0, *map(len, places.values())]).astype(np.int32))
+                cols = [pa.array(c, t) for c, t in zip(zip(*places, strict=True), (pa.int32(), pa.int64(), pa.binary()), strict=True)]
+                yield pa.RecordBatch.from_arrays([*(pa.array(none, pa.int64()) for _ in range(3)), *cols, pa.ListArray.from_arrays(ends, both)], schema=ARROW)
+
+    return docs.select("doc_id", "text").mapInArrow(scan, SCANNED)
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, k: int = 6) -> DataFrame:
     """Marks the words of documents that lie inside a window of a benchmark item.
 
     Returns one row per row of docs: doc_id, n_words, n_hit, n_items, items_sha256,
     contaminated, spans (merged word ranges), items (sorted as strings). A null or wordless
     text has no words and no hit; an item without words or with a null id or text is ignored; a
-    null doc_id stays null; other columns of docs are not read. Items go out in blocks of bounded
-    size; a task holds the index of one block at a time and merges what they find per row.
+    null doc_id stays null; repeated rows of docs are marked alike, those of the benchmark count
+    once; an empty table has no rows or no hits; other columns are not read.
+
+    Windows of documents meet those of items in a join on the fingerprint and the words. The
+    items' windows go to every task if they are few; else both sides are dealt out by key, and
+    adaptive execution splits a key with many rows.
     """
-    spark, blocks = docs.sparkSession, item_blocks(benchmark, block_chars)
-    rows = docs.select("doc_id", "text")
-    shared = [spark.sparkContext.broadcast(b) for b in blocks]
-
-    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        single = Matcher(shared[0].value, window, k) if len(shared) == 1 else None
-        for batch in batches:
-            texts = [alnum_words(t) for t in batch.column(1).to_pylist()]
-            places: list[list] = [[] for _ in texts]
-            items: list[set] = [set() for _ in texts]
-            for b in shared:
-                matcher = single or Matcher(b.value, window, k)
-                for i, words in enumerate(texts):
-                    spans, of = matcher.hits(words) if words else ((), ())
-                    if spans:
-                        places[i] += spans
-                        items[i] |= of
-            out = [_row(len(w), merged(p), sorted(s)) for w, p, s in zip(texts, places, items, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *(pa.array([r[c] for r in out], t) for c, t in _ARROW.items())], ["doc_id", *_ARROW])
-
-    return rows.mapInArrow(match, SCHEMA)
-
-
-_ARROW = {
-    "n_words": pa.int64(), "n_hit": pa.int64(), "n_items": pa.int64(), "items_sha256": pa.string(), "contaminated": pa.bool_(),
-    "spans": pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])), "items": pa.list_(pa.string()),
-}
+    windows = written(item_windows(benchmark, window, k), "windows")
+    rows = written(scanned(docs, windows, k), "scanned")
+    few = windows.count() <= FEW_WINDOWS
+    met = rows.where("words is not null").select("n", "print", "words", "places").join(F.broadcast(windows) if few else windows.hint("merge"), ["n", "print", "words"])
+    hits = met.select(F.explode("places").alias("p"), "n", "items").select("p.rid", F.col("p.at").alias("start"), (F.col("p.at") + F.col("n")).alias("end"), "items")
+    items = hits.groupBy("rid").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
+    # spans that touch are one: a span begins where no earlier one of the document reaches
+    order = Window.partitionBy("rid").orderBy("start", "end")
+    reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    begun = hits.select("rid", "start", "end", F.coalesce(F.col("start") > reach, F.lit(True)).cast("int").alias("new"))
+    spans = begun.withColumn("span", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0))).groupBy("rid", "span").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    spans = spans.groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"), F.sum(F.col("end") - F.col("start")).alias("n_hit"))
+    out = rows.where("words is null").select("doc_id", "rid", "n_words").join(items.join(spans, "rid").hint("merge"), "rid", "left")
+    items, spans = F.coalesce("items", F.array().cast("array<string>")), F.coalesce("spans", F.array().cast("array<struct<start:int,end:int>>"))
+    n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
+    return out.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"), spans.alias("spans"), items.alias("items"))
