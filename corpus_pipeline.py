@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeseam.llm import decontam, langid, linededup, minhash, packing
-from codeseam.llm.common import doc_bucket, written
+from codeseam.llm.common import doc_bucket, fresh, written
 from codeseam.llm.queries import TOKENIZER, VOCABULARY, table, tokenizer_path
 
 #: A document whose best language has a lower probability is rejected, as one without letters is.
@@ -20,8 +20,9 @@ LEAST_LANGUAGE_SCORE = 0.5
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a known language; models come from the labelled rows outside the fold."""
     model = langid.trained(docs.where(doc_bucket("doc_id", 5) != 0), tokenizer_path(VOCABULARY))
-    out = langid.identified(docs, model)
-    return out.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select(*docs.columns)
+    lang, score = fresh(docs.columns, "lang_pred", "score")
+    out = langid.identified(docs, model, lang, score)
+    return out.where((F.col(lang) != "und") & (F.col(score) >= LEAST_LANGUAGE_SCORE)).select(*docs.columns)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
