@@ -6,6 +6,7 @@ from __future__ import annotations
 import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import cache
 from itertools import combinations
 
 import numpy as np
@@ -14,41 +15,19 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHash, components, ends, hint, mixed, seen, written
+from .common import WordHash, components, ends, fresh, hint, mixed, seen, sliced, written
 
 #: Groups of more lines than this that share a segment are compared through one member first.
 SMALL = 6
 #: Keys that a task holds before it groups them.
-HELD = 300_000
+HELD = 500_000
 #: Words of a gram. A line of w words has w - GRAM + 1 grams, of which an edited word changes GRAM.
-GRAM = 5
+GRAM = 4
 #: Common grams come last in the order of grams; at most so many are known, from one document in
 #: COMMON_OF. Which ones are known changes the cost of the join, not its pairs.
 COMMON, COMMON_OF = 100_000, 32
 
 
-def segments(n: int, parts: int) -> list[tuple[int, int]]:
-    """(start, length) of `parts` segments of n bytes; the last n % parts are one longer."""
-    short, longer = divmod(n, parts)
-    out, at = [], 0
-    for i in range(parts):
-        size = short + (i >= parts - longer)
-        out.append((at, size))
-        at += size
-    return out
-
-
-def probes(n: int, target: int, edits: int) -> list[tuple[int, int, int]]:
-    """(segment, start, length) of the substrings of a line of n bytes to look up among the
-    segments of lines of `target` <= n bytes; the multi-match-aware choice of starts."""
-    delta, out = n - target, []
-    for i, (p, size) in enumerate(segments(target, edits + 1)):
-        lo = max(0, p - i, p + delta - (edits - i))
-        hi = min(n - size, p + i, p + delta + (edits - i))
-        out += [(i, s, size) for s in range(lo, hi + 1)]
-    return out
-
-
 def within(a: bytes, b: bytes, edits: int) -> bool:
     """Whether the edit distance of a and b is at most `edits`: bit-parallel over a band.
 
@@ -130,53 +109,73 @@ def word_distance(a: list, b: list) -> int:
     return score
 
 
-def word_edits(n: int, share: int) -> int:
-    """How many words of a line of n may be edited: share in a hundred."""
-    return n * share // 100
+def word_edits(n: int | np.ndarray, share: int) -> int | np.ndarray:
+    """How many words of a line of n may be edited: share in a hundred, two at least; none in a
+    line so short that share in a hundred is less than one."""
+    k = n * share // 100
+    return np.maximum(k, 2) * (k > 0)
 
 
 def linked(a: bytes, b: bytes, edits: int, share: int) -> bool:
-    """Whether two lines are within `edits` bytes, or within the words that the shorter allows."""
-    if within(a, b, edits):
-        return True
-    if not share:
-        return False
-    x, y = a.split(), b.split()
-    k = word_edits(min(len(x), len(y)), share)
-    if not k or abs(len(x) - len(y)) > k or sum((Counter(x) - Counter(y)).values()) > k:
+    """Whether two lines are within the words that the shorter allows or, if it allows none,
+    within `edits` bytes."""
+    x, y = (a.split(), b.split()) if share else ((), ())
+    k = int(word_edits(min(len(x), len(y)), share))
+    if not k:
+        return within(a, b, edits)
+    if abs(len(x) - len(y)) > k or sum((Counter(x) - Counter(y)).values()) > k:
         return False
     return word_distance(x, y) <= k
 
 
-def word_grams(line: bytes, hashes: WordHash) -> np.ndarray:
-    """The hashes of all grams of a line, in its order."""
-    h = hashes.of(line.split())
-    n = max(0, len(h) - GRAM + 1)
-    out = h[:n].copy()
-    for i in range(1, GRAM):
-        out = mixed(out) + h[i : i + n]
-    return mixed(out)
+def runs(sorted_: np.ndarray) -> np.ndarray:
+    """Where each run of equal values begins."""
+    return np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1]])) if len(sorted_) else np.empty(0, np.int64)
 
 
-def word_keys(line: bytes, share: int, common: np.ndarray, hashes: WordHash) -> list[int]:
-    """Keys under which a line meets every line within its word edits: the first grams in an order
-    of all grams, common ones last. k edits leave all but k * GRAM of either line's grams to both,
-    so the first k * GRAM + 1 of each have one in common."""
-    if not share:
-        return []
-    grams = word_grams(line, hashes)
-    k = word_edits(len(grams) + GRAM - 1, share)
-    if not k or not len(grams):
-        return []
-    grams = np.sort(grams)
+def number_in_run(first: np.ndarray, n: int) -> np.ndarray:
+    """0, 1, ... within each of the runs that begin at `first`."""
+    at = np.arange(n)
+    starts = np.zeros(n, np.int64)
+    starts[first] = first
+    return at - np.maximum.accumulate(starts)
+
+
+def word_grams(lines: list[bytes], hashes: WordHash) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(number of the line, hash) of all grams of some lines, and each line's number of words."""
+    own = [line.split() for line in lines]
+    n = np.fromiter(map(len, own), np.int64, len(own))
+    h = hashes.of([w for words in own for w in words])
+    of = np.repeat(np.arange(len(lines)), n)
+    size = max(0, len(h) - GRAM + 1)
+    out = h[:size].copy()
+    for i in range(1, GRAM):
+        out = mixed(out) + h[i : i + size]
+    whole = of[:size] == of[GRAM - 1 : GRAM - 1 + size]
+    return of[:size][whole], mixed(out[whole]), n
+
+
+def word_keys(lines: list[bytes], share: int, common: np.ndarray, hashes: WordHash) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(number of the line, key) of the keys under which a line meets every line within its word
+    edits, and each line's number of words. Keys are the line's first grams in an order of all
+    grams, common ones last. k edits leave all but k * GRAM of either line's grams to both, so the
+    first k * GRAM + 1 of each have one in common."""
+    of, grams, n = word_grams(lines, hashes)
+    k = word_edits(n, share)
+    some = k[of] > 0
+    of, grams = of[some], grams[some]
+    order = np.lexsort((grams, of))
+    of, grams = of[order], grams[order]
     # equal grams of a line are told apart by their number
-    first = np.concatenate([[True], grams[1:] != grams[:-1]])
-    number = np.arange(len(grams)) - np.maximum.accumulate(np.where(first, np.arange(len(grams)), 0))
-    late = np.zeros(len(grams), bool)
+    first = np.flatnonzero(np.concatenate([[True], (grams[1:] != grams[:-1]) | (of[1:] != of[:-1])])) if len(of) else np.empty(0, np.int64)
+    named = mixed(grams + number_in_run(first, len(of)).astype(np.uint64))
+    late = np.zeros(len(of), bool)
     if len(common):
         late = common[np.minimum(np.searchsorted(common, grams), len(common) - 1)] == grams
-    named = mixed(grams + number.astype(np.uint64))
-    return named[np.lexsort((named, late))[: k * GRAM + 1]].tolist()
+    order = np.lexsort((named, late, of))
+    of, named = of[order], named[order]
+    early = number_in_run(runs(of), len(of)) <= k[of] * GRAM
+    return of[early], named[early], n
 
 
 def common_grams(docs: DataFrame, share: int) -> np.ndarray:
@@ -186,10 +185,10 @@ def common_grams(docs: DataFrame, share: int) -> np.ndarray:
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHash()
-        for batch in batches:
+        for batch in sliced(batches, 0, 1_000_000):
             lines = {line for text in batch.column(0).to_pylist() if text for line in text.encode("utf-8", "surrogatepass").split(b"\n")}
-            own = [np.unique(word_grams(line, hashes)) for line in lines]
-            g, n = np.unique(np.concatenate([np.empty(0, np.uint64), *own]), return_counts=True)
+            of, own, _ = word_grams(list(lines), hashes)
+            g, n = np.unique(np.unique(np.stack([own, of.astype(np.uint64)]), axis=1)[0], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(n.astype(np.int64))], ["gram", "n"])
 
     some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(COMMON_OF)) == 0).select("text")
@@ -207,21 +206,59 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def line_keys(line: bytes, edits: int, cache: dict) -> list[int]:
-    """Keys under which a line meets every line within `edits` edits: its own segments, and the
-    substrings that could be segments of lines of its length or up to `edits` shorter."""
-    n = len(line)
-    plan = cache.get(n)
-    if plan is None:
-        plan = []
-        for target in range(max(edits + 1, n - edits), n + 1):
-            at = {(i, s, size) for i, s, size in probes(n, target, edits)}
-            if target == n:
-                at |= {(i, s, size) for i, (s, size) in enumerate(segments(n, edits + 1))}
-            plan += [(s, s + size, target * 16 + i) for i, s, size in sorted(at)]
-        cache[n] = plan
-    digest = xxhash.xxh3_64_intdigest
-    return [digest(line[s:e], tag) for s, e, tag in plan]
+#: Base of the polynomial hash of substrings (odd, so it has an inverse), and that inverse.
+BASE = 0x9E3779B97F4A7C15
+UNBASE = pow(BASE, -1, 1 << 64)
+
+
+@cache
+def powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
+
+
+def byte_keys(lines: list[bytes], edits: int) -> tuple[np.ndarray, np.ndarray]:
+    """(number of the line, key) of the keys under which a line meets every line within `edits`
+    edits: its own segments, and the substrings that could be segments of lines of its length or
+    up to `edits` shorter (the choice of starts that suits several matches at once).
+
+    A line of n bytes is cut into edits + 1 segments of n // (edits + 1) bytes; the last
+    n % (edits + 1) are one longer. Substrings are hashed by differences of prefix sums.
+    """
+    chars = np.frombuffer(b"".join(lines), np.uint8).astype(np.uint64) + np.uint64(1)
+    room = 1 << max(16, len(chars).bit_length())
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(chars * powers(BASE, room)[: len(chars)])])
+    back = powers(UNBASE, room)
+    n = np.fromiter(map(len, lines), np.int64, len(lines))
+    offsets, number = np.cumsum(n) - n, np.arange(len(lines))
+    parts, of, keys = edits + 1, [], []
+    for delta in range(edits + 1):
+        target = n - delta
+        short, longer = target // parts, target % parts
+        for i in range(parts):
+            p, size = i * short + np.maximum(0, i - (parts - longer)), short + (i >= parts - longer)
+            lo = np.maximum(np.maximum(0, p - i), p + delta - (edits - i))
+            hi = np.minimum(np.minimum(n - size, p + i), p + delta + (edits - i))
+            tag = mixed((target * 16 + i).astype(np.uint64))
+            for shift in range(2 * edits + 1):
+                some = np.flatnonzero((lo + shift <= hi) & (target > edits))
+                at = offsets[some] + lo[some] + shift
+                of.append(number[some])
+                keys.append(mixed((sums[at + size[some]] - sums[at]) * back[at]) ^ tag[some])
+    return np.concatenate(of), np.concatenate(keys)
+
+
+def line_keys(lines: list[bytes], edits: int, share: int, common: np.ndarray, hashes: WordHash) -> tuple[np.ndarray, np.ndarray]:
+    """(number of the line, key): keys under which linked lines meet. Lines that allow word edits
+    have keys of words; those that allow none, or may be linked to such a line, keys of bytes."""
+    of, keys, n = word_keys(lines, share, common, hashes) if share else (np.empty(0, np.int64), np.empty(0, np.uint64), np.zeros(len(lines), np.int64))
+    # an edited byte can cut a word in two
+    short = np.flatnonzero(word_edits(n - edits, share) == 0) if share else np.arange(len(lines))
+    if len(short):
+        by_bytes, more = byte_keys([lines[i] for i in short.tolist()], edits)
+        of, keys = np.concatenate([of, short[by_bytes]]), np.concatenate([keys, more])
+    return of, keys
 
 
 def eligible(text: str | None, min_bytes: int) -> Iterator[tuple[int, bytes]]:
@@ -236,7 +273,7 @@ def occurrences(docs: DataFrame, min_bytes: int) -> DataFrame:
     """(doc_id, line_no, h, g): every compared line with its 128-bit digest."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, 1, 2_000_000):
             ids, nos, hs, gs = [], [], [], []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 for k, line in eligible(text, min_bytes):
@@ -249,20 +286,6 @@ def occurrences(docs: DataFrame, min_bytes: int) -> DataFrame:
     return docs.select("doc_id", "text").where("doc_id is not null").mapInArrow(rows, "doc_id long, line_no int, h long, g long")
 
 
-def _grouped(key: int, lines: set) -> Iterator[tuple[int, int, int | None]]:
-    """Rows (key, line, pivot) of a task's own group.
-
-    A small group is passed on whole, with null pivots. A larger one is compared through its
-    least line: a candidate pair for each other line, and only that line, marked by being its
-    own pivot, goes on to meet lines of other tasks.
-    """
-    if len(lines) > SMALL:
-        pivot = min(lines)
-        yield from ((key, x, pivot) for x in lines)
-    else:
-        yield from ((key, x, None) for x in lines)
-
-
 ROWS = pa.schema([("key", pa.int64()), ("x", pa.int64()), ("pivot", pa.int64())])
 
 
@@ -277,43 +300,41 @@ def _batches(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*part, strict=True)], schema=ROWS)
 
 
+def grouped(keys: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
+    """Rows (key, line, pivot) of a task's own groups of lines under a key.
+
+    A small group is passed on whole, with null pivots. A larger one is compared through its
+    least line: a candidate pair for each other line, and only that line, marked by being its
+    own pivot, goes on to meet lines of other tasks.
+    """
+    order = np.lexsort((x, keys))
+    keys, x = keys[order], x[order]
+    new = np.concatenate([[True], (keys[1:] != keys[:-1]) | (x[1:] != x[:-1])])
+    keys, x = keys[new], x[new]
+    first = runs(keys)
+    sizes = np.diff(np.concatenate([first, [len(keys)]]))
+    pivot = np.repeat(x[first], sizes)
+    return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(x), pa.array(pivot, mask=np.repeat(sizes <= SMALL, sizes))], schema=ROWS)
+
+
 def keyed(docs: DataFrame, edits: int, min_bytes: int, share: int = 0) -> DataFrame:
     """(key, x, pivot): a line x under each of its keys, grouped within the task beforehand."""
     common = docs.sparkSession.sparkContext.broadcast(common_grams(docs.where("doc_id is not null"), share))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        plans: dict = {}
-        words = WordHash()
-        keys: dict[int, set] = {}
-        seen: set[int] = set()
-        held = 0
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                for _, line in eligible(text, min_bytes):
-                    h = line_hash(line)
-                    if h in seen:
-                        continue
-                    seen.add(h)
-                    for key in line_keys(line, edits, plans) + word_keys(line, share, common.value, words):
-                        at = keys.get(key)
-                        if at is None:
-                            keys[key] = h
-                        elif isinstance(at, set):
-                            at.add(h)
-                        elif at != h:
-                            keys[key] = {at, h}
-                        held += 1
-                    if held >= HELD:
-                        yield from _batches(flat(keys))
-                        keys, seen, held = {}, set(), 0
-        yield from _batches(flat(keys))
-
-    def flat(keys: dict) -> Iterator[tuple]:
-        for key, at in keys.items():
-            if isinstance(at, set):
-                yield from _grouped(_signed(key), at)
-            else:
-                yield _signed(key), at, None
+        words, held, size = WordHash(), [], 0
+        for batch in sliced(batches, 0, 1_000_000):
+            lines = {line_hash(line): line for text in batch.column(0).to_pylist() for _, line in eligible(text, min_bytes)}
+            if not lines:
+                continue
+            of, keys = line_keys(list(lines.values()), edits, share, common.value, words)
+            held.append((keys.view(np.int64), np.fromiter(lines, np.int64, len(lines))[of]))
+            size += len(of)
+            if size >= HELD:
+                yield grouped(*map(np.concatenate, zip(*held, strict=True)))
+                held, size = [], 0
+        if size:
+            yield grouped(*map(np.concatenate, zip(*held, strict=True)))
 
     return docs.select("text").where("doc_id is not null").mapInArrow(rows, "key long, x long, pivot long")
 
@@ -365,25 +386,38 @@ def paired(rows: DataFrame) -> DataFrame:
 
 
 def line_texts(docs: DataFrame, wanted: DataFrame, min_bytes: int) -> DataFrame:
-    """(h, line, bag, n_words, words) of the lines with the digests `wanted` (h): their bytes, how
-    many bytes fall into each of 32 kinds, and the same of their words. Only these lines are moved: a hint sorts out most others first."""
+    """(h, line) of the lines with the digests `wanted` (h). Only these lines are moved: a hint
+    sorts out most others first."""
     shared = hint(wanted)
 
     def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, 0, 2_000_000):
             own = {line_hash(line): line for text in batch.column(0).to_pylist() for _, line in eligible(text, min_bytes)}
             hashes, texts = np.fromiter(own, np.int64, len(own)), list(own.values())
-            keep = np.flatnonzero(seen(shared.value, hashes)).tolist()
-            texts = [texts[i] for i in keep]
-            bags = [np.bincount(np.frombuffer(x, np.uint8) & 31, minlength=32).tolist() for x in texts]
-            split = [x.split() for x in texts]
-            kinds = [np.bincount([zlib.crc32(w) & 31 for w in x], minlength=32).tolist() for x in split]
-            yield pa.RecordBatch.from_arrays([pa.array(hashes[keep]), pa.array(texts, pa.binary()), pa.array(bags, pa.list_(pa.int32())), pa.array([len(x) for x in split], pa.int32()), pa.array(kinds, pa.list_(pa.int32()))], ["h", "line", "bag", "n_words", "words"])
+            keep = np.flatnonzero(seen(shared.value, hashes))
+            yield pa.RecordBatch.from_arrays([pa.array(hashes[keep]), pa.array([texts[i] for i in keep.tolist()], pa.binary())], ["h", "line"])
 
-    found = docs.where("doc_id is not null").select("text").mapInArrow(lines, "h long, line binary, bag array<int>, n_words int, words array<int>")
+    found = docs.where("doc_id is not null").select("text").mapInArrow(lines, "h long, line binary")
     return found.join(wanted.hint("merge"), "h", "left_semi").dropDuplicates(["h"])
 
 
+def with_bags(lines: DataFrame) -> DataFrame:
+    """Adds, to rows with a line, how many of its bytes are of each of 32 kinds (bag), its number
+    of words, and how many of them are of each of 32 kinds (words)."""
+
+    def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column("line").to_pylist()
+            split = [x.split() for x in texts]
+            own = [np.bincount(np.frombuffer(x, np.uint8) & 31, minlength=32).astype(np.int32) for x in texts]
+            kinds = [np.bincount([zlib.crc32(w) & 31 for w in x], minlength=32).astype(np.int32) for x in split]
+            kept = [batch.column(i) for i in range(batch.num_columns) if batch.schema.names[i] != "line"]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(own, pa.list_(pa.int32())), pa.array([len(x) for x in split], pa.int32()), pa.array(kinds, pa.list_(pa.int32()))], [c for c in batch.schema.names if c != "line"] + ["bag", "n_words", "words"])
+
+    kept = ", ".join(f"{c} {t}" for c, t in lines.dtypes if c != "line")
+    return lines.mapInArrow(bags, f"{kept}, bag array<int>, n_words int, words array<int>")
+
+
 def confirmed(pairs: DataFrame, lines: DataFrame, edits: int, share: int = 0) -> DataFrame:
     """The pairs of line digests whose lines are linked."""
 
@@ -412,14 +446,15 @@ def line_classes(docs: DataFrame, edits: int, min_bytes: int, share: int = 0) ->
         member = large.select(F.col("hot").alias("key"), F.explode(F.array("a", "b")).alias("node")).distinct()
         placed = member.join(roots.hint("merge"), "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
         apart = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-        placed = placed.join(apart, "key", "left_semi").join(lines.select(F.col("h").alias("node"), "bag", "n_words", "words").hint("merge"), "node")
-        placed = written(placed, "apart")
+        placed = placed.join(apart, "key", "left_semi").join(lines.withColumnRenamed("h", "node").hint("merge"), "node")
+        placed = written(with_bags(placed), "apart")
         p, q = placed.alias("p"), placed.alias("q")
         apart_by = lambda c: F.aggregate(F.zip_with(f"p.{c}", f"q.{c}", lambda x, y: F.abs(x - y)), F.lit(0), lambda a, x: a + x)
         near = apart_by("bag") <= 2 * edits
         if share:
             k = F.floor(F.least("p.n_words", "q.n_words") * share / 100)
-            near |= (k > 0) & (F.abs(F.col("p.n_words") - F.col("q.n_words")) <= k) & (apart_by("words") <= 2 * k)
+            most = F.greatest(k, F.lit(2))
+            near = F.when(k > 0, (F.abs(F.col("p.n_words") - F.col("q.n_words")) <= most) & (apart_by("words") <= 2 * most)).otherwise(near)
         both = (F.col("p.key") == F.col("q.key")) & (F.col("p.node") > F.col("q.node")) & (F.col("p.root") != F.col("q.root")) & near
         more = written(p.join(q, both).select(F.col("p.node").alias("a"), F.col("q.node").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
         if more.limit(1).count():
@@ -428,38 +463,41 @@ def line_classes(docs: DataFrame, edits: int, min_bytes: int, share: int = 0) ->
     return roots
 
 
-def line_decisions(docs: DataFrame, edits: int = 2, min_bytes: int = 60, share: int = 0, equal_bytes: int | None = None) -> DataFrame:
+def line_decisions(docs: DataFrame, edits: int = 2, min_bytes: int = 60, share: int = 0, equal_bytes: int = 1) -> DataFrame:
     """(doc_id, line_no, class_doc, class_line) of every line that repeats an earlier one.
 
-    Lines are cut at LF. Those of at least equal_bytes UTF-8 bytes (min_bytes, if that is None) are
-    compared for equality, those of at least min_bytes for links too; an empty line is never a row.
+    Lines are cut at LF. Those of at least equal_bytes (1 at least) UTF-8 bytes are compared for
+    equality, those of at least min_bytes for links too; an empty line is never a row.
     Equal lines, and lines that a chain of links connects, are a class; its first line by
     (doc_id, line_no) stays and every other one is a row here. Two lines are linked if they are
-    within `edits` edits of bytes or, with a share, within as many edits of words (between white
-    space) as are `share` (at most 10) in a hundred of the shorter line's.
+    within `edits` edits of bytes. With a share, lines of so many words (between white space) that
+    `share` (at most 10) in a hundred of the shorter one's are one or more, are linked instead if
+    they are within as many edits of words, two at least.
     """
-    places = written(occurrences(docs, min_bytes if equal_bytes is None else max(1, equal_bytes)), "occurrences")
+    places = written(occurrences(docs, max(1, equal_bytes)), "occurrences")
     roots = line_classes(docs, edits, min_bytes, share)
     place = F.struct("doc_id", "line_no")
     equal = places.groupBy("h", "g").agg(F.count("*").alias("n"), F.min(place).alias("first"))
     classed = equal.join(roots.withColumnRenamed("node", "h").hint("merge"), "h", "left")
+    # a line without links is joined by its own digest, which is no root
     merged = classed.where("root is not null").groupBy("root").agg(F.min("first").alias("least"))
-    repeated = classed.where("n > 1 or root is not null").join(merged.hint("merge"), "root", "left").select("h", "g", F.coalesce("least", "first").alias("first"))
+    repeated = classed.where("n > 1 or root is not null").join(merged.withColumnRenamed("root", "of").hint("merge"), F.coalesce("root", "h") == F.col("of"), "left").select("h", "g", F.coalesce("least", "first").alias("first"))
     out = places.join(written(repeated, "repeated").hint("merge"), ["h", "g"])
     return out.where(F.struct("doc_id", "line_no") != F.col("first")).select("doc_id", "line_no", F.col("first.doc_id").alias("class_doc"), F.col("first.line_no").alias("class_line")).distinct()
 
 
-def line_report(docs: DataFrame, edits: int = 2, min_bytes: int = 60, share: int = 0) -> DataFrame:
-    """For each row of docs: doc_id, n_lines, n_compared, n_removed, removed (line numbers from
-    0, ascending), class_docs (document of the line that stays, for each removed line).
+def line_report(docs: DataFrame, edits: int = 2, min_bytes: int = 60, share: int = 0, equal_bytes: int = 1) -> DataFrame:
+    """For each row of docs: doc_id, n_lines, n_compared (lines of equal_bytes or more), n_removed,
+    removed (line numbers from 0, ascending), class_docs (document of the line that stays, for
+    each removed line). Lines are compared as in line_decisions().
 
     A null or empty text has no lines. Rows with a null doc_id are neither compared nor changed.
     Rows that share a doc_id are treated as one document, whose line k is any of their lines k.
     """
-    gone = line_decisions(docs, edits, min_bytes, share).groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("line_no", "class_doc"))).alias("gone"))
+    gone = line_decisions(docs, edits, min_bytes, share, equal_bytes).groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("line_no", "class_doc"))).alias("gone"))
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.split(text, "\n", -1)
-    compared = F.when(F.col("doc_id").isNull(), 0).otherwise(F.size(F.filter(lines, lambda x: F.octet_length(x) >= min_bytes)))
+    compared = F.when(F.col("doc_id").isNull(), 0).otherwise(F.size(F.filter(lines, lambda x: F.octet_length(x) >= max(1, equal_bytes))))
     base = docs.select("doc_id", F.when(text == "", 0).otherwise(F.size(lines)).cast("long").alias("n_lines"), compared.cast("long").alias("n_compared"))
     none = F.array().cast("array<struct<line_no:int,class_doc:bigint>>")
     return base.join(gone.hint("merge"), "doc_id", "left").select("doc_id", "n_lines", "n_compared", F.size(F.coalesce("gone", none)).cast("long").alias("n_removed"), F.coalesce(F.col("gone.line_no"), F.array().cast("array<int>")).alias("removed"), F.coalesce(F.col("gone.class_doc"), F.array().cast("array<bigint>")).alias("class_docs"))
@@ -468,14 +506,17 @@ def line_report(docs: DataFrame, edits: int = 2, min_bytes: int = 60, share: int
 def line_deduplicated(docs: DataFrame, edits: int = 2, min_bytes: int = 60, share: int = 5, equal_bytes: int = 1) -> DataFrame:
     """docs with the repeated lines taken out of text (and n_chars, where there, counted anew).
 
-    As line_decisions() has it, with word edits and equal lines of any length besides. Every row stays, even if no line is left; all columns stay as they are.
+    As line_decisions() has it, with edits of words besides. Every row stays, even if no line is
+    left; all other columns stay as they are. A null or empty text stays; a row with a null doc_id
+    is not changed; rows that share a doc_id are treated as one document, whose line k is any of
+    their lines k. An empty table gives no rows.
     """
-    gone = line_decisions(docs, edits, min_bytes, share, equal_bytes).groupBy("doc_id").agg(F.collect_set("line_no").alias("_gone"))
-    gone = gone.withColumnRenamed("doc_id", "_doc")
-    out = docs.join(gone.hint("merge"), docs["doc_id"] == gone["_doc"], "left")
-    kept = F.array_join(F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains(F.col("_gone"), i)), "\n")
-    columns = {"text": F.when(F.col("_gone").isNotNull() & F.col("text").isNotNull(), kept).otherwise(F.col("text"))}
+    gone_, doc_ = fresh(docs.columns, "gone", "doc")
+    gone = line_decisions(docs, edits, min_bytes, share, equal_bytes).groupBy("doc_id").agg(F.collect_set("line_no").alias(gone_)).withColumnRenamed("doc_id", doc_)
+    out = docs.join(gone.hint("merge"), F.col("doc_id") == F.col(doc_), "left")
+    kept = F.array_join(F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains(F.col(gone_), i)), "\n")
+    columns = {"text": F.when(F.col(gone_).isNotNull() & F.col("text").isNotNull(), kept).otherwise(F.col("text"))}
     out = out.withColumns(columns)
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_gone").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast(docs.schema["n_chars"].dataType)))
+        out = out.withColumn("n_chars", F.when(F.col(gone_).isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast(docs.schema["n_chars"].dataType)))
     return out.select(*docs.columns)

@@ -49,10 +49,10 @@ FROM s LEFT JOIN placed ON list_sort(s.g) = placed.g
 OP5 = """
 WITH RECURSIVE l AS (
   SELECT doc_id, i - 1 AS line_no, ls[i] AS line FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text <> ''))
-), c AS (SELECT * FROM l WHERE strlen(line) >= 60
+), c AS (SELECT * FROM l WHERE line <> ''
 ), u AS (SELECT line, strlen(line) AS n, row_number() OVER () AS id FROM (SELECT DISTINCT line FROM c)
 ), links AS (
-  SELECT a.id AS a, b.id AS b FROM u a JOIN u b ON b.n BETWEEN a.n AND a.n + 2 AND a.id <> b.id AND levenshtein(a.line, b.line) <= 2
+  SELECT a.id AS a, b.id AS b FROM u a JOIN u b ON a.n >= 60 AND b.n BETWEEN a.n AND a.n + 2 AND a.id <> b.id AND levenshtein(a.line, b.line) <= 2
 ), edges AS (SELECT a, b FROM links UNION SELECT b, a FROM links
 ), reach(a, b) AS (SELECT id, id FROM u UNION SELECT r.a, e.b FROM reach r JOIN edges e ON r.b = e.a
 ), roots AS (SELECT a AS id, min(b) AS root FROM reach GROUP BY a
@@ -61,7 +61,7 @@ WITH RECURSIVE l AS (
   FROM c JOIN u USING (line) JOIN roots USING (id) WINDOW w AS (PARTITION BY root ORDER BY doc_id, line_no)
 ), gone AS (
   SELECT doc_id, list(CAST(line_no AS INTEGER) ORDER BY line_no) AS removed, list(class_doc ORDER BY line_no) AS class_docs FROM placed WHERE (doc_id, line_no) <> (class_doc, class_line) GROUP BY doc_id
-), counts AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (strlen(line) >= 60) AS n_compared FROM l GROUP BY doc_id)
+), counts AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (line <> '') AS n_compared FROM l GROUP BY doc_id)
 SELECT d.doc_id, CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(n_compared, 0) AS BIGINT) AS n_compared, CAST(coalesce(len(removed), 0) AS BIGINT) AS n_removed,
   coalesce(removed, []) AS removed, coalesce(class_docs, []) AS class_docs
 FROM documents d LEFT JOIN counts USING (doc_id) LEFT JOIN gone USING (doc_id)
