@@ -11,28 +11,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import alnum_words
+from .common import alnum_words, sliced
 
 
 @dataclass(frozen=True)
 class Settings:
     buckets: int = 1 << 18  #: hashed terms
-    features: int = 2048  #: buckets kept, those that tell most about the label
     factors: int = 8
     #: bound on the labelled documents that are brought to the driver for fitting
     max_train: int = 12_000
-    min_df: int = 3
-    epochs: int = 30
-    batch: int = 256
-    rate: float = 0.02
-    decay: float = 1e-4
+    examples: int = 40_000  #: about so many are learned from, in whole passes, two at least
+    batch: int = 128
+    rate: float = 0.1
+    decay: float = 1e-5
     seed: int = 7
 
 
 class Terms(dict):
     """word -> bucket; remembered up to a bound. A word also counts by its first five and first seven letters."""
 
-    def __init__(self, buckets: int, bound: int = 400_000):
+    def __init__(self, buckets: int, bound: int = 200_000):
         super().__init__()
         self.buckets, self.bound = buckets, bound
 
@@ -51,72 +49,82 @@ class Terms(dict):
 
 @dataclass
 class FactorizationMachine:
-    """score = sigmoid(bias + sum w_i + sum over pairs <v_i, v_j>) over the features present."""
+    """score = sigmoid(bias + sum w_i + sum over pairs <v_i, v_j>) over the buckets present."""
 
-    index: np.ndarray  #: bucket -> feature, -1 for none
     bias: float
     w: np.ndarray
     v: np.ndarray
 
     def score(self, buckets: np.ndarray) -> float:
-        f = self.index[buckets]
-        f = f[f >= 0]
-        v = self.v[f]
+        v = self.v[buckets]
         pairs = 0.5 * float((v.sum(0) ** 2 - (v**2).sum(0)).sum())
-        return float(1 / (1 + np.exp(-np.clip(self.bias + float(self.w[f].sum()) + pairs, -30, 30))))
+        return float(1 / (1 + np.exp(-np.clip(self.bias + float(self.w[buckets].sum()) + pairs, -30, 30))))
 
 
 def fit(rows: list[tuple[np.ndarray, int]], s: Settings) -> FactorizationMachine:
-    """Adam on the logistic loss; features are the buckets whose log odds stand out most."""
+    """Adagrad on the logistic loss, over all buckets that occur.
+
+    A bucket enters with a value from 0 to 1 that says how far its log odds stand out, so that a
+    rare or indifferent term moves little. The values are a part of the weights returned.
+    """
     n, pos = len(rows), sum(y for _, y in rows)
-    none = FactorizationMachine(np.full(s.buckets, -1, np.int32), float(np.log((pos + 0.5) / (n - pos + 9.5))), np.zeros(0, np.float32), np.zeros((0, s.factors), np.float32))
     if not pos or pos == n:
-        return none
-    df = np.zeros((2, s.buckets))
-    for b, y in rows:
-        df[y, b] += 1
-    rate1, rate0 = (df[1] + 0.5) / (pos + 1), (df[0] + 0.5) / (n - pos + 1)
-    gain = np.abs(np.log(rate1 / rate0)) * np.sqrt(df.sum(0))
-    gain[df.sum(0) < s.min_df] = 0
-    chosen = np.argsort(-gain, kind="stable")[: s.features]
-    chosen = np.sort(chosen[gain[chosen] > 0])
-    index = np.full(s.buckets, -1, np.int32)
-    index[chosen] = np.arange(len(chosen))
-    x = np.zeros((n, len(chosen)), np.float32)
+        return FactorizationMachine(float(np.log((pos + 0.5) / (n - pos + 9.5))), np.zeros(s.buckets, np.float32), np.zeros((s.buckets, s.factors), np.float32))
     y = np.array([y for _, y in rows], np.float32)
-    for i, (b, _) in enumerate(rows):
-        f = index[b]
-        x[i, f[f >= 0]] = 1
+    df = [np.bincount(np.concatenate([b for b, of in rows if of == k]), minlength=s.buckets) for k in (0, 1)]
+    gain = np.abs(np.log((df[1] + 0.5) / (pos + 1) / ((df[0] + 0.5) / (n - pos + 1)))) * np.sqrt(df[0] + df[1])
+    value = (gain / max(gain.max(), 1e-9)).astype(np.float32)
     rng = np.random.default_rng(s.seed)
-    p = [np.array([none.bias], np.float32), np.zeros(len(chosen), np.float32), rng.normal(0, 0.02, (len(chosen), s.factors)).astype(np.float32)]
-    m1, m2 = [np.zeros_like(q) for q in p], [np.zeros_like(q) for q in p]
-    step = 0
-    for _ in range(s.epochs):
+    bias, bias_sq = float(np.log((pos + 0.5) / (n - pos + 0.5))), 1.0
+    w, v = np.zeros(s.buckets, np.float32), rng.normal(0, 0.02, (s.buckets, s.factors)).astype(np.float32)
+    w_sq, v_sq = np.ones_like(w), np.ones_like(v)
+    # rows without a term have one place of value 0
+    value = np.concatenate([value, [np.float32(0)]])
+    w, v, w_sq, v_sq = (np.concatenate([x, x[:1]]) for x in (w, v, w_sq, v_sq))
+    own = [b if len(b) else np.array([s.buckets]) for b, _ in rows]
+    sizes = np.array([len(b) for b in own])
+    for _ in range(max(2, -(-s.examples // n))):
         order = rng.permutation(n)
         for at in range(0, n, s.batch):
-            xb, yb = x[order[at : at + s.batch]], y[order[at : at + s.batch]]
-            xv = xb @ p[2]
-            z = p[0][0] + xb @ p[1] + 0.5 * (xv**2 - xb @ p[2] ** 2).sum(1)
-            e = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - yb) / len(yb)
-            grads = [np.array([e.sum()]), xb.T @ e + s.decay * p[1], xb.T @ (e[:, None] * xv) - (xb.T @ e)[:, None] * p[2] + s.decay * p[2]]
-            step += 1
-            for q, g, a, b in zip(p, grads, m1, m2, strict=True):
-                a += 0.1 * (g - a)
-                b += 0.001 * (g * g - b)
-                q -= s.rate * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.999**step)) + 1e-8)
-    return FactorizationMachine(index, float(p[0][0]), p[1], p[2])
+            part = order[at : at + s.batch]
+            f, of, starts = np.concatenate([own[i] for i in part.tolist()]), np.repeat(np.arange(len(part)), sizes[part]), np.cumsum(sizes[part]) - sizes[part]
+            x = value[f]
+            xv = v[f] * x[:, None]
+            sums = np.add.reduceat(xv, starts, axis=0)
+            pairs = (sums**2 - np.add.reduceat(xv * xv, starts, axis=0)).sum(1)
+            z = bias + np.add.reduceat(w[f] * x, starts) + 0.5 * pairs
+            e = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[part]).astype(np.float32)
+            # gradients of the buckets of the batch, w and v side by side
+            g = np.empty((len(f), 1 + s.factors), np.float32)
+            g[:, 0] = e[of] * x
+            np.multiply(sums[of] - xv, g[:, :1], out=g[:, 1:])
+            by = np.argsort(f, kind="stable")
+            u = f[by]
+            first = np.flatnonzero(np.concatenate([[True], u[1:] != u[:-1]]))
+            u, g = u[first], np.add.reduceat(g[by], first, axis=0)
+            for p, sq, own_g in ((w, w_sq, g[:, 0]), (v, v_sq, g[:, 1:])):
+                now = p[u]
+                own_g = own_g + np.float32(s.decay) * now
+                total = sq[u] + own_g * own_g
+                sq[u] = total
+                p[u] = now - np.float32(s.rate) * own_g / np.sqrt(total)
+            bias_sq += float(e.sum()) ** 2
+            bias -= s.rate * float(e.sum()) / bias_sq**0.5
+    return FactorizationMachine(bias, (w * value)[:-1], (v * value[:, None])[:-1])
 
 
 def trained(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> FactorizationMachine:
     """A machine fitted to the labelled documents of docs, at most s.max_train of them (chosen by a
-    hash of the id). labels: doc_id, toxic; nulls are ignored, of repeated ids the largest counts."""
+    hash of the id). labels: doc_id, toxic; nulls are ignored, of repeated ids the largest counts.
+    Repeated rows of docs count as often as they occur; a null text has no terms. With labels of
+    one kind only, or none, every text has the same score. Other columns are not read."""
     known = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = known.join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
     some = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(s.max_train)
 
     def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = Terms(s.buckets)
-        for batch in batches:
+        for batch in sliced(batches, 1, 2_000_000):
             out = [of.of(t).astype(np.int32).tobytes() for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int32()), pa.array(out, pa.binary())], ["toxic", "buckets"])
 
@@ -126,12 +134,13 @@ def trained(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Fac
 
 
 def scored(docs: DataFrame, machine: FactorizationMachine, s: Settings = Settings()) -> DataFrame:
-    """(doc_id, score) of every row of docs; a null or empty text is scored as no terms."""
+    """(doc_id, score) of every row of docs, repeated ones and null ids too; a null or empty text
+    is scored as no terms; an empty table gives no rows. Other columns are not read."""
     shared = docs.sparkSession.sparkContext.broadcast(machine)  # as large as the settings say
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of, machine = Terms(s.buckets), shared.value
-        for batch in batches:
+        for batch in sliced(batches, 1, 2_000_000):
             out = [machine.score(of.of(t)) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(out, pa.float64())], ["doc_id", "score"])
 
