@@ -3,7 +3,6 @@ verification and, for long lines, a prefix-filter join of word grams for edits o
 
 from __future__ import annotations
 
-import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import cache
@@ -12,7 +11,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WordHash, components, ends, fresh, hint, mixed, seen, sliced, written
@@ -155,6 +154,14 @@ def word_grams(lines: list[bytes], hashes: WordHash) -> tuple[np.ndarray, np.nda
     return of[:size][whole], mixed(out[whole]), n
 
 
+def numbered(of: np.ndarray, grams: np.ndarray, *more: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(line, gram, ...) by line, with equal grams of a line told apart by their number."""
+    order = np.lexsort((grams, of))
+    of, grams = of[order], grams[order]
+    first = np.flatnonzero(np.concatenate([[True], (grams[1:] != grams[:-1]) | (of[1:] != of[:-1])])) if len(of) else np.empty(0, np.int64)
+    return of, mixed(grams + number_in_run(first, len(of)).astype(np.uint64)), *(x[order] for x in more)
+
+
 def word_keys(lines: list[bytes], share: int, common: np.ndarray, hashes: WordHash) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(number of the line, key) of the keys under which a line meets every line within its word
     edits, and each line's number of words. Keys are the line's first grams in an order of all
@@ -164,14 +171,10 @@ def word_keys(lines: list[bytes], share: int, common: np.ndarray, hashes: WordHa
     k = word_edits(n, share)
     some = k[of] > 0
     of, grams = of[some], grams[some]
-    order = np.lexsort((grams, of))
-    of, grams = of[order], grams[order]
-    # equal grams of a line are told apart by their number
-    first = np.flatnonzero(np.concatenate([[True], (grams[1:] != grams[:-1]) | (of[1:] != of[:-1])])) if len(of) else np.empty(0, np.int64)
-    named = mixed(grams + number_in_run(first, len(of)).astype(np.uint64))
     late = np.zeros(len(of), bool)
     if len(common):
         late = common[np.minimum(np.searchsorted(common, grams), len(common) - 1)] == grams
+    of, named, late = numbered(of, grams, late)
     order = np.lexsort((named, late, of))
     of, named = of[order], named[order]
     early = number_in_run(runs(of), len(of)) <= k[of] * GRAM
@@ -401,23 +404,6 @@ def line_texts(docs: DataFrame, wanted: DataFrame, min_bytes: int) -> DataFrame:
     return found.join(wanted.hint("merge"), "h", "left_semi").dropDuplicates(["h"])
 
 
-def with_bags(lines: DataFrame) -> DataFrame:
-    """Adds, to rows with a line, how many of its bytes are of each of 32 kinds (bag), its number
-    of words, and how many of them are of each of 32 kinds (words)."""
-
-    def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column("line").to_pylist()
-            split = [x.split() for x in texts]
-            own = [np.bincount(np.frombuffer(x, np.uint8) & 31, minlength=32).astype(np.int32) for x in texts]
-            kinds = [np.bincount([zlib.crc32(w) & 31 for w in x], minlength=32).astype(np.int32) for x in split]
-            kept = [batch.column(i) for i in range(batch.num_columns) if batch.schema.names[i] != "line"]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(own, pa.list_(pa.int32())), pa.array([len(x) for x in split], pa.int32()), pa.array(kinds, pa.list_(pa.int32()))], [c for c in batch.schema.names if c != "line"] + ["bag", "n_words", "words"])
-
-    kept = ", ".join(f"{c} {t}" for c, t in lines.dtypes if c != "line")
-    return lines.mapInArrow(bags, f"{kept}, bag array<int>, n_words int, words array<int>")
-
-
 def confirmed(pairs: DataFrame, lines: DataFrame, edits: int, share: int = 0) -> DataFrame:
     """The pairs of line digests whose lines are linked."""
 
@@ -432,35 +418,103 @@ def confirmed(pairs: DataFrame, lines: DataFrame, edits: int, share: int = 0) ->
     return both.select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
 
 
+ITEMS = pa.schema([("node", pa.int64()), ("root", pa.int64()), ("by_words", pa.bool_()), ("n", pa.int32()), ("n_words", pa.int32()), ("item", pa.int64())])
+#: Kinds of words, or bytes, that are counted of a line.
+KINDS = 256
+
+
+def with_bags(lines: DataFrame, share: int) -> DataFrame:
+    """(node, bag, bytes_bag) from rows (node, line): how many words of each of KINDS kinds a line
+    has (none without a share), and how many bytes."""
+
+    def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, 1, 1_000_000):
+            texts = batch.column(1).to_pylist()
+            words = [np.bincount([xxhash.xxh3_64_intdigest(w) % KINDS for w in x.split()] if share else [], minlength=KINDS).astype(np.int16) for x in texts]
+            own = [np.bincount(np.frombuffer(x, np.uint8) % KINDS, minlength=KINDS).astype(np.int16) for x in texts]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.list_(pa.int16())) for x in (words, own))], ["node", "bag", "bytes_bag"])
+
+    return lines.select("node", "line").mapInArrow(bags, "node long, bag array<smallint>, bytes_bag array<smallint>")
+
+
+def items_of(lines: DataFrame, edits: int, share: int, size: int) -> DataFrame:
+    """(node, root, by_words, n, n_words, item) from rows (node, root, line): all words of a line
+    where it allows word edits, all grams of `size` bytes where it, or a line it may be linked to,
+    allows none. n is their number; equal ones of a line are told apart."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHash()
+        for batch in sliced(batches, 2, 500_000):
+            node, root, texts = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_pylist()
+            split = [x.split() if share else [] for x in texts]
+            words = np.array([len(x) for x in split])
+            by_bytes = word_edits(words - edits, share) == 0
+            of, own = np.repeat(np.arange(len(texts)), words), hashes.of([w for x in split for w in x])
+            some = word_edits(words, share)[of] > 0
+            parts = [(True, *numbered(of[some], own[some]))]
+            chars = np.frombuffer(b"".join(texts), np.uint8).astype(np.uint64)
+            n = max(0, len(chars) - size + 1)
+            out = np.zeros(n, np.uint64)
+            for i in range(size):
+                out = (out << np.uint64(8)) | chars[i : i + n]
+            line = np.repeat(np.arange(len(texts)), [len(x) for x in texts])
+            whole = (line[:n] == line[size - 1 : size - 1 + n]) & by_bytes[line[:n]]
+            parts.append((False, *numbered(line[:n][whole], mixed(out[whole]))))
+            for kind, of, named in parts:
+                count = np.bincount(of, minlength=len(texts))[of]
+                yield pa.RecordBatch.from_arrays([pa.array(node[of]), pa.array(root[of]), pa.array(np.full(len(of), kind)), pa.array(count.astype(np.int32)), pa.array(words[of].astype(np.int32)), pa.array(named.view(np.int64))], schema=ITEMS)
+
+    return lines.select("node", "root", "line").mapInArrow(cut, "node long, root long, by_words boolean, n int, n_words int, item long")
+
+
+def prefix_pairs(lines: DataFrame, edits: int, share: int, min_bytes: int) -> DataFrame:
+    """Pairs (a > b) of the lines (node, root, line) of different roots that can still be linked:
+    all that pass tests that no link fails.
+
+    An edit changes one word, or as many grams of bytes as a gram is long. So two linked lines have
+    all but `allow` of these items in common, one of the rarest allow + 1 of each among them (the
+    prefix filter); items that no other of the lines has count for no one; and from the first
+    common item on, in order of rarity, enough must be left. Most lines of a large family have so many changes
+    of their own that they have no prefix at all. Counts of kinds of words, or bytes, must be near.
+    """
+    size = max(1, min(8, min_bytes // (2 * (edits + 1))))
+    allow = lambda words: F.when(F.col("by_words"), F.greatest(F.floor(words * share / 100), F.lit(2))).otherwise(edits * size)
+    items = written(items_of(lines, edits, share, size), "items")
+    df = items.groupBy("item").agg(F.count("*").alias("df")).where("df > 1")
+    own = Window.partitionBy("node", "by_words")  # as many as the line has
+    shared = items.join(df.hint("merge"), "item").withColumn("m", F.count("*").over(own)).withColumn("allow", allow(F.col("n_words"))).where("m >= n - allow")
+    prefix = shared.withColumn("rank", F.row_number().over(own.orderBy("df", "item"))).where("rank + n - m <= allow + 1")
+    split = prefix.groupBy("item").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("item")
+    bags = with_bags(lines.select("node", "line").distinct(), share)
+    prefix = prefix.select("item", "node", "root", "by_words", "n", "n_words", "m", "rank").join(split.hint("merge"), "item", "left_semi")
+    prefix = written(prefix.join(bags.hint("merge"), "node"), "prefix")
+    x, y = prefix.alias("x"), prefix.drop("by_words").alias("y")
+    left = 1 + F.least(F.col("x.m") - F.col("x.rank"), F.col("y.m") - F.col("y.rank"))
+    enough = left >= F.greatest("x.n", "y.n") - allow(F.least("x.n_words", "y.n_words"))
+    both = (F.col("x.item") == F.col("y.item")) & (F.col("x.node") > F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & enough
+    # an edit changes two counts of bytes or words by one each, or one count by one
+    differ = lambda c: F.aggregate(F.zip_with(f"x.{c}", f"y.{c}", lambda p, q: F.abs(p - q).cast("int")), F.lit(0), lambda a, d: a + d)
+    both &= F.when(F.col("by_words"), differ("bag") <= 2 * allow(F.least("x.n_words", "y.n_words"))).otherwise(differ("bytes_bag") <= 2 * edits)
+    return x.join(y, both).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+
+
 def line_classes(docs: DataFrame, edits: int, min_bytes: int, share: int = 0) -> DataFrame:
-    """(node, root): digests of different lines that links connect."""
+    """(node, root): digests of different lines that links connect.
+
+    A large group is compared through one line first. Its lines that stay in different components
+    may hold links that this did not show; they alone go through an exact prefix-filter join.
+    """
     pairs = written(paired(keyed(docs, edits, min_bytes, share)), "pairs")
     lines = written(line_texts(docs, written(ends(pairs, "h"), "wanted"), min_bytes), "lines")
     links = written(confirmed(pairs, lines, edits, share), "links")
     roots = components(links)
-    large = pairs.where("hot is not null")
-    if large.limit(1).count():
-        # Large groups: their lines in different components may hold links that the comparison
-        # with one line did not show. Of those still apart, two are compared if their numbers of
-        # bytes, or of words, of each kind differ by no more than their edits can make them.
-        member = large.select(F.col("hot").alias("key"), F.explode(F.array("a", "b")).alias("node")).distinct()
-        placed = member.join(roots.hint("merge"), "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-        apart = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-        placed = placed.join(apart, "key", "left_semi").join(lines.withColumnRenamed("h", "node").hint("merge"), "node")
-        placed = written(with_bags(placed), "apart")
-        p, q = placed.alias("p"), placed.alias("q")
-        apart_by = lambda c: F.aggregate(F.zip_with(f"p.{c}", f"q.{c}", lambda x, y: F.abs(x - y)), F.lit(0), lambda a, x: a + x)
-        near = apart_by("bag") <= 2 * edits
-        if share:
-            k = F.floor(F.least("p.n_words", "q.n_words") * share / 100)
-            most = F.greatest(k, F.lit(2))
-            near = F.when(k > 0, (F.abs(F.col("p.n_words") - F.col("q.n_words")) <= most) & (apart_by("words") <= 2 * most)).otherwise(near)
-        both = (F.col("p.key") == F.col("q.key")) & (F.col("p.node") > F.col("q.node")) & (F.col("p.root") != F.col("q.root")) & near
-        more = written(p.join(q, both).select(F.col("p.node").alias("a"), F.col("q.node").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
-        if more.limit(1).count():
-            found = written(confirmed(more, lines, edits, share), "links")
-            roots = components(links.union(found))
-    return roots
+    member = pairs.where("hot is not null").select(F.col("hot").alias("key"), F.explode(F.array("a", "b")).alias("node")).distinct()
+    placed = member.join(roots.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    open_ = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
+    apart = placed.join(open_.hint("merge"), "key", "left_semi").select("node", "root").distinct().join(lines.withColumnRenamed("h", "node").hint("merge"), "node")
+    more = prefix_pairs(apart, edits, share, min_bytes).join(pairs.select("a", "b"), ["a", "b"], "left_anti")
+    found = written(confirmed(written(more, "pairs"), lines, edits, share), "links")
+    return components(links.unionByName(found)) if found.limit(1).count() else roots
 
 
 def line_decisions(docs: DataFrame, edits: int = 2, min_bytes: int = 60, share: int = 0, equal_bytes: int = 1) -> DataFrame:
