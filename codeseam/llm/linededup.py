@@ -419,19 +419,19 @@ def confirmed(pairs: DataFrame, lines: DataFrame, edits: int, share: int = 0) ->
 
 
 ITEMS = pa.schema([("node", pa.int64()), ("root", pa.int64()), ("by_words", pa.bool_()), ("n", pa.int32()), ("n_words", pa.int32()), ("item", pa.int64())])
-#: Kinds of words, or bytes, that are counted of a line.
+#: Kinds of words that are counted of a line.
 KINDS = 256
 
 
 def with_bags(lines: DataFrame, share: int) -> DataFrame:
     """(node, bag, bytes_bag) from rows (node, line): how many words of each of KINDS kinds a line
-    has (none without a share), and how many bytes."""
+    has (none without a share), and how often each byte."""
 
     def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, 1, 1_000_000):
             texts = batch.column(1).to_pylist()
             words = [np.bincount([xxhash.xxh3_64_intdigest(w) % KINDS for w in x.split()] if share else [], minlength=KINDS).astype(np.int16) for x in texts]
-            own = [np.bincount(np.frombuffer(x, np.uint8) % KINDS, minlength=KINDS).astype(np.int16) for x in texts]
+            own = [np.bincount(np.frombuffer(x, np.uint8), minlength=256).astype(np.int16) for x in texts]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.list_(pa.int16())) for x in (words, own))], ["node", "bag", "bytes_bag"])
 
     return lines.select("node", "line").mapInArrow(bags, "node long, bag array<smallint>, bytes_bag array<smallint>")
