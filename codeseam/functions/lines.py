@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from functools import cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -27,6 +29,13 @@ def plain_kind(line: Column, number: Column, markers: tuple[str, ...]) -> Column
     return F.when(shebang, "Code").when(F.regexp_like(line, F.lit(r"(?U)^\s*$")), "Blank").when(comment, "Comment").otherwise("Code")
 
 
+@cache
+def _special(lang: Language) -> re.Pattern:
+    """What can begin a string, a comment or a pragma; a line without it is code or blank."""
+    begins = ['"', "'", *lang.line, *(lang.block or ())[:1], *(lang.pragma or ())[:1]]
+    return re.compile("|".join(map(re.escape, begins)))
+
+
 def kinds(lines: list[str], lang: Language) -> list[str]:
     """Kinds of a file's lines; strings in triple quotes and block comments cross lines.
 
@@ -34,6 +43,7 @@ def kinds(lines: list[str], lang: Language) -> list[str]:
     comment belongs to it.
     """
     out, depth, quote = [], 0, ""
+    special = _special(lang)
     for number, line in enumerate(lines):
         if number == 0 and line.startswith("#!"):
             out.append("Code")
@@ -41,10 +51,11 @@ def kinds(lines: list[str], lang: Language) -> list[str]:
         if not line.strip():
             out.append("Comment" if depth else "Blank")
             continue
+        if not depth and not quote and not special.search(line):
+            out.append("Code")
+            continue
         code = comment = False
         i = 0
-        if len(quote) == 1:
-            quote = ""
         while i < len(line):
             if depth:
                 comment = True

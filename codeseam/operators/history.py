@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.paths import is_generated, is_test_path
 
 DAY = 86_400
 
@@ -35,16 +36,27 @@ def age(freq: DataFrame, now: Column, active: int = 90, frozen: int = 365) -> Da
     return freq.select("path", "last_ts", days.alias("age_days")).withColumn("status", F.when(F.col("age_days") < active, "ACTIVE").when(F.col("age_days") < frozen, "STALE").otherwise("FROZEN"))
 
 
+def never_changed(files: DataFrame, freq: DataFrame) -> DataFrame:
+    """Files that no commit has: age() has no row for them."""
+    return files.join(freq, "path", "left_anti")
+
+
 def hotspots(complexity: DataFrame, freq: DataFrame) -> DataFrame:
     """(path, commits, complexity, score) of files with both."""
     return complexity.join(freq.select("path", "commits"), "path").withColumn("score", F.col("commits") * F.col("complexity"))
 
 
-def temporal_coupling(commit_files: DataFrame, freq: DataFrame, min_degree: int = 3, min_strength: float = 0.0) -> DataFrame:
-    """Pairs of files changed together; only files with min_degree commits are paired."""
+def temporal_coupling(commit_files: DataFrame, freq: DataFrame, min_degree: int = 3, min_strength: float = 0.0, keep_tests: bool = True, most_files: int | None = None) -> DataFrame:
+    """Pairs of files changed together; only files with min_degree commits are paired and, unless
+    keep_tests, no tests. Commits that touch more than most_files files, if that is given, pair
+    nothing: such a commit (a mass reformatting) is quadratic by itself and says little."""
     if min_degree < 1:
         raise ValueError("min_degree must be positive")
     busy = freq.where(F.col("commits") >= min_degree).select("path", "commits")
+    busy = busy if keep_tests else busy.where(~is_test_path(F.col("path")))
+    if most_files is not None:
+        small = commit_files.groupBy("commit_id").agg(F.count("*").alias("n")).where(F.col("n") <= most_files)
+        commit_files = commit_files.join(small, "commit_id", "left_semi")
     # the count travels with the change, so the pair needs no second look-up
     kept = commit_files.select("commit_id", "path").join(busy, "path")
     a, b = (kept.select("commit_id", F.col("path").alias(f"file_{k}"), F.col("commits").alias(f"commits_{k}")) for k in "ab")
@@ -79,33 +91,64 @@ def ownership(blame: DataFrame, recent: DataFrame | None = None) -> DataFrame:
     if recent is None:
         return out.withColumn("knowledge_loss", F.lit(False))
     known = recent.select(F.col("email").alias("primary_email")).distinct().withColumn("_recent", F.lit(True))
-    some = recent.limit(1).count() > 0
-    return out.join(known, "primary_email", "left").withColumn("knowledge_loss", F.lit(some) & F.col("_recent").isNull()).drop("_recent")
+    some = recent.agg((F.count("*") > 0).alias("_some"))
+    return out.join(known, "primary_email", "left").join(F.broadcast(some)).withColumn("knowledge_loss", F.col("_some") & F.col("_recent").isNull()).drop("_recent", "_some")
+
+
+def knowledge(blame: DataFrame, recent: DataFrame | None = None, author: str | None = None, risk_only: bool = False) -> DataFrame:
+    """Ownership of files that no tool wrote; of one author (part of the name or e-mail of the
+    primary owner, in any case), or only files whose owner is not recent."""
+    out = ownership(blame.where(~is_generated(F.col("path"))), recent)
+    if author:
+        has = lambda c: F.lower(c).contains(author.lower())
+        out = out.where(has(F.col("primary_owner")) | has(F.col("primary_email")))
+    return out.where("knowledge_loss") if risk_only else out
+
+
+#: Orders of the knowledge report.
+KNOWLEDGE_ORDERS = {"concentration": (F.desc, "ownership_pct"), "diffusion": (F.desc, "contributors"), "risk": (F.asc, "risk_rank")}
+
+
+def ordered_knowledge(owned: DataFrame, by: str = "concentration", top: int = 20) -> DataFrame:
+    """A report of `top` files."""
+    direction, column = KNOWLEDGE_ORDERS[by]
+    ranked = owned.withColumn("risk_rank", F.array_position(F.array(*map(F.lit, RISKS)), F.col("risk")))
+    return ranked.orderBy(direction(column), "path").limit(top).drop("risk_rank")
 
 
 RISKS = ["CRITICAL", "HIGH", "MEDIUM", "LOW"]
 
 
-def ownership_by_author(owned: DataFrame) -> DataFrame:
-    """Per primary owner: files, lines, worst risk, files whose knowledge is lost."""
+def ownership_by_author(owned: DataFrame, languages: DataFrame | None = None) -> DataFrame:
+    """Per primary owner: files, lines, worst risk, files whose knowledge is lost and, with the
+    languages of files (path, language), these, sorted."""
+    if languages is not None:
+        by = owned.join(languages, "path").groupBy(F.col("primary_owner").alias("author")).agg(F.array_sort(F.collect_set("language")).alias("languages"))
+        return ownership_by_author(owned).join(by, "author", "left")
     rank = F.array_position(F.array(*map(F.lit, RISKS)), F.col("risk"))
     return owned.groupBy(F.col("primary_owner").alias("author")).agg(F.count("*").alias("files_owned"), F.sum("total_lines").alias("total_lines"), F.element_at(F.array(*map(F.lit, RISKS)), F.min(rank).cast("int")).alias("worst_risk"), F.sum(F.col("knowledge_loss").cast("long")).alias("knowledge_loss_files"))
 
 
 def bus_factor(blame: DataFrame, threshold: float = 80.0) -> DataFrame:
     """Authors by lines with cumulative shares; critical while the share before is under the
-    threshold. The running sum is over authors, one row each, after aggregation."""
+    threshold. Authors are ranged over partitions by lines, each part sums its own, and the sums
+    of the parts before are added, so no task sees all authors."""
     by = blame.groupBy("author").agg(F.sum("lines").alias("lines"))
-    # shares of all lines need one order over the authors: aggregated rows, not the input
-    order = Window.orderBy(F.desc("lines"), "author")
-    total = by.agg(F.sum("lines").alias("total"))
-    out = by.join(F.broadcast(total)).withColumn("cumulative", F.sum("lines").over(order))
+    ranged = by.repartitionByRange(F.desc("lines"), F.col("author")).withColumn("part", F.spark_partition_id())
+    parts = ranged.groupBy("part").agg(F.sum("lines").alias("own"))
+    # one row per part: few, whatever the number of authors
+    order = Window.orderBy("part")
+    before = parts.select("part", (F.sum("own").over(order) - F.col("own")).alias("before"), F.sum("own").over(Window.partitionBy()).alias("total"))
+    within = Window.partitionBy("part").orderBy(F.desc("lines"), "author")
+    out = ranged.withColumn("cumulative", F.sum("lines").over(within)).join(F.broadcast(before), "part").withColumn("cumulative", F.col("cumulative") + F.col("before"))
     pct = lambda x: x * 100.0 / F.col("total")
     return out.select("author", "lines", pct(F.col("lines")).alias("pct"), pct(F.col("cumulative")).alias("cumulative_pct"), (pct(F.col("cumulative") - F.col("lines")) < threshold).alias("is_critical"))
 
 
-def authors(blame: DataFrame, languages: DataFrame) -> DataFrame:
-    """Per email: lines, languages, last activity and files of which they own most lines."""
+def authors(blame: DataFrame, languages: DataFrame, since: Column | None = None) -> DataFrame:
+    """Per email: lines, languages, last activity and files of which they own most lines; with
+    `since`, of the ownership rows last changed from then on only."""
+    blame = blame if since is None else blame.where(F.col("last_ts") >= since)
     order = Window.partitionBy("path").orderBy(F.desc("lines"), "author", "email")
     top = blame.withColumn("owner", F.first("email").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     return top.join(languages, "path", "left").groupBy("email").agg(F.max("author").alias("name"), F.sum("lines").alias("lines"), F.array_sort(F.collect_set("language")).alias("languages"), F.max("last_ts").alias("last_active"), F.sum((F.col("owner") == F.col("email")).cast("long")).alias("owned_files"))
@@ -123,3 +166,50 @@ def files_changed_since(old: DataFrame, new: DataFrame) -> DataFrame:
     return new.join(old.select("path", "content_hash"), ["path", "content_hash"], "left_anti").select("path")
 
 
+def cycles(edges: DataFrame, folder: str) -> DataFrame:
+    """(file, cycle): the files on a cycle of edges (src, dst), and the least file of their cycle.
+
+    Files that no edge enters or none leaves, within what is left, are on no cycle and are peeled
+    off first. Then every file's forward and backward least reachable file is spread until nothing
+    changes; where the two agree, that is its cycle; the others go on without the edges between
+    different labels. A file that names itself is no cycle. Each round's edges are written to
+    `folder`, shared by all executors.
+    """
+    spark = edges.sparkSession
+    numbers = iter(range(1_000_000))
+
+    def kept(df: DataFrame) -> DataFrame:
+        path = f"{folder}/cycles-{spark.sparkContext.applicationId}-{id(edges)}-{next(numbers)}"
+        df.write.mode("overwrite").parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    def peeled(e: DataFrame) -> DataFrame:
+        n = e.count()
+        while n:
+            e = kept(e.join(e.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(e.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
+            was, n = n, e.count()
+            if n == was:
+                break
+        return e
+
+    def spread(e: DataFrame, nodes: DataFrame, a: str, b: str) -> DataFrame:
+        """The least file that reaches each file along a -> b."""
+        label = kept(nodes.select("file", F.col("file").alias("m")))
+        while True:
+            sent = e.join(label.withColumnRenamed("file", a), a).select(F.col(b).alias("file"), "m")
+            new = kept(label.unionByName(sent).groupBy("file").agg(F.min("m").alias("m")))
+            changed = new.join(label.withColumnRenamed("m", "old"), "file").where("m <> old").limit(1).count()
+            label = new
+            if not changed:
+                return label
+
+    e = peeled(kept(edges.where("src <> dst").select("src", "dst").distinct()))
+    out = e.select(F.col("src").alias("file"), F.col("src").alias("cycle")).limit(0)
+    while e.limit(1).count():  # each round finds the cycle of the least file that is left
+        nodes = e.select(F.explode(F.array("src", "dst")).alias("file")).distinct()
+        both = kept(spread(e, nodes, "src", "dst").join(spread(e, nodes, "dst", "src").withColumnRenamed("m", "back"), "file"))
+        found = both.where("m = back").select("file", F.col("m").alias("cycle"))
+        out = kept(out.unionByName(found))
+        rest = both.where("m <> back").select("file", F.struct("m", "back").alias("label"))
+        e = peeled(kept(e.join(rest.select(F.col("file").alias("src"), F.col("label").alias("x")), "src").join(rest.select(F.col("file").alias("dst"), F.col("label").alias("y")), "dst").where("x = y").select("src", "dst")))
+    return out

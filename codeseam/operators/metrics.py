@@ -1,40 +1,17 @@
-"""Per-file metrics of code lines: size, indentation, complexity, tokens, maintainability."""
+"""Per-file metrics: lines, indentation, complexity, tokens, maintainability."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scores import level
+from .rules import COGNITIVE_LEVELS, CYCLOMATIC_LEVELS
 
 EDGE = "[A-Za-z0-9_]"
-
-
-@dataclass(frozen=True)
-class Markers:
-    keywords: tuple[str, ...]
-    operators: tuple[str, ...] = ()
-    comments: tuple[str, ...] = ()
-
-
-@dataclass(frozen=True)
-class Tokens:
-    keywords: tuple[str, ...]
-    symbols: tuple[str, ...]
-    ignored: tuple[str, ...]
-
-
-#: Decision keywords of Python.
-PYTHON = Markers(("elif", "if", "for", "while", "except", "and", "or"), (), ("#",))
-#: Operator keywords, operator symbols in order of trial, and words that count as
-#: neither operator nor operand.
-PYTHON_TOKENS = Tokens(
-    tuple("if elif else for while return yield try except finally raise assert del break continue in not and or is with".split()),
-    tuple("**= //= >>= <<= ** // == != <= >= += -= *= /= %= &= |= ^= << >> -> + - * / % & | ^ ~ < > = ; , . : ( ) [ ] { } @".split()),
-    tuple("def class import from as lambda global nonlocal async await pass int float str bool list dict tuple set type".split()),
-)
+#: Strings, to their end or to the line's; possessive, so that no length overflows the stack.
+DOUBLE = r'"[^"\\]*+(?:\\.[^"\\]*+)*+(?:"|\\?$)'
+SINGLE = r"'[^'\\]*+(?:\\.[^'\\]*+)*+(?:'|\\?$)"
 
 
 def quoted(word: str) -> str:
@@ -47,11 +24,9 @@ def masked(line: Column, comments: tuple[str, ...]) -> Column:
     One ordered alternation decides at each place: a comment marker, then a string (to its end,
     or to the line's end if it has none).
     """
-    marks = "|".join(quoted(m) for m in comments)
-    strings = r'"(?:\\.|[^"\\])*(?:"|\\?$)' + r"|'(?:\\.|[^'\\])*(?:'|\\?$)"
-    out = F.regexp_replace(line, f"({strings})" + (f"|(?:{marks}).*$" if marks else ""), "$1") if marks else line
-    out = F.regexp_replace(out, r'"(?:\\.|[^"\\])*(?:"|\\?$)', '""')
-    return F.regexp_replace(out, r"'(?:\\.|[^'\\])*(?:'|\\?$)", "''")
+    marks = "|".join(quoted(m) for m in comments if m)
+    out = F.regexp_replace(line, f"({DOUBLE}|{SINGLE})" + (f"|(?:{marks}).*$" if marks else ""), "$1") if marks else line
+    return F.regexp_replace(F.regexp_replace(out, DOUBLE, '""'), SINGLE, "''")
 
 
 def keyword_count(line: Column, word: str) -> Column:
@@ -59,21 +34,8 @@ def keyword_count(line: Column, word: str) -> Column:
     return F.regexp_count(line, F.lit(f"(?<!{EDGE}){quoted(word)}(?!{EDGE})"))
 
 
-def decisions(line: Column, markers: Markers) -> Column:
-    """Branches of a masked line: keywords of several words first, blanked once counted."""
-    out, text = F.lit(0), line
-    for word in sorted(markers.keywords, key=lambda w: (" " not in w, w)):
-        out = out + keyword_count(text, word)
-        if " " in word:
-            text = F.regexp_replace(text, f"(?<!{EDGE}){quoted(word)}(?!{EDGE})", " ")
-    for symbol in markers.operators:
-        out = out + F.regexp_count(text, F.lit(quoted(symbol)))
-    return out
-
-
-def indent_depth(line: Column, width: int = 4) -> Column:
-    lead = F.regexp_extract(line, r"^([ \t]*)", 1)
-    return F.floor((F.char_length(lead) + 3 * F.regexp_count(lead, F.lit("\t"))) / width)
+def has_keyword(line: Column, word: str) -> Column:
+    return line.rlike(f"(?<!{EDGE}){quoted(word)}(?!{EDGE})")
 
 
 def loc(lines: DataFrame) -> DataFrame:
@@ -87,71 +49,88 @@ def loc_by_language(lines: DataFrame) -> DataFrame:
     return loc(lines).rollup("language").agg(F.count("*").alias("files"), F.sum("blank").alias("blank"), F.sum("comment").alias("comment"), F.sum("code").alias("code"))
 
 
-def indent_metrics(lines: DataFrame) -> DataFrame:
-    """Code lines, sample deviation (0 for one line), maximum and sum of indentation depths."""
-    code = lines.where("kind = 'Code'").select("path", indent_depth(F.col("text")).alias("d"))
-    out = code.groupBy("path").agg(F.count("*").alias("code_lines"), F.coalesce(F.stddev_samp("d"), F.lit(0.0)).alias("indent_stddev"), F.max("d").alias("indent_max"), F.sum("d").alias("total_indent"))
-    deviation = F.col("indent_stddev")
-    return out.withColumn("complexity", F.when(deviation < 1.0, "low").when(deviation < 1.5, "moderate").when(deviation < 2.0, "high").otherwise("very_high"))
-
+def loc_by_author(lines: DataFrame, hunks: DataFrame) -> DataFrame:
+    """(email, name, files, blank, comment, code) from lines (path, line_no, kind) and hunks
+    (path, start_line, n_lines, author, email, ts): every line counts for the author of the hunk
+    that holds it. The name is that of the latest hunk.
 
-#: Upper bounds of the levels.
-CYCLOMATIC_LEVELS = [(5, "simple"), (10, "moderate"), (20, "complex"), (50, "highly_complex")]
+    Hunks become one row per line, so the lines meet them by equal keys that are never hot.
+    """
+    own = hunks.where("n_lines > 0").select("path", "author", "email", "ts", F.explode(F.expr("sequence(cast(start_line AS bigint), start_line + n_lines - 1)")).alias("line_no"))
+    met = lines.select("path", "line_no", "kind").join(own, ["path", "line_no"])
+    # one row for a file and author before the distinct files are counted
+    of = lambda k: F.count_if(F.col("kind") == k)
+    per_file = met.groupBy("email", "path").agg(F.max(F.struct("ts", "author")).alias("last"), of("Blank").alias("blank"), of("Comment").alias("comment"), of("Code").alias("code"))
+    return per_file.groupBy("email").agg(F.max("last")["author"].alias("name"), F.count("*").alias("files"), F.sum("blank").alias("blank"), F.sum("comment").alias("comment"), F.sum("code").alias("code"))
 
 
-def cyclomatic(lines: DataFrame, markers: Markers = PYTHON) -> DataFrame:
-    """One plus the decisions of all code lines of a file taken as one function."""
-    code = lines.where("kind = 'Code'").select("path", decisions(masked(F.col("text"), markers.comments), markers).alias("n"))
-    return code.groupBy("path").agg((F.lit(1) + F.sum("n")).alias("total_complexity")).withColumn("level", level(F.col("total_complexity"), CYCLOMATIC_LEVELS, "extreme"))
+def indent_metrics(measures: DataFrame) -> DataFrame:
+    """Code lines, sample deviation (0 for one line), maximum and sum of indentation depths."""
+    deviation = F.col("indent_stddev")
+    out = measures.where("code > 0").select("path", F.col("code").alias("code_lines"), "indent_stddev", "indent_max", "total_indent")
+    return out.withColumn("complexity", F.when(deviation < 1.0, "low").when(deviation < 1.5, "moderate").when(deviation < 2.0, "high").otherwise("very_high"))
 
 
-def halstead(lines: DataFrame, rules: Tokens = PYTHON_TOKENS, comments: tuple[str, ...] = ("#",)) -> DataFrame:
-    """Token counts and what follows from them; files without operators or operands are left out."""
-    pattern = "|".join([*map(quoted, rules.symbols), f"{EDGE}+"])
-    text = masked(F.col("text"), comments)
-    tokens = lines.where("kind = 'Code'").select("path", F.explode(F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))).alias("t"))
-    word = F.regexp_like("t", F.lit(f"^{EDGE}"))
-    operator = ~word | F.col("t").isin(*rules.keywords)
-    tokens = tokens.where(~F.col("t").isin(*rules.ignored)).withColumn("op", operator)
-    # one row per file and token before the distinct counts
-    seen = tokens.groupBy("path", "op", "t").agg(F.count("*").alias("n"))
-    of = lambda c, op: F.coalesce(F.sum(F.when(F.col("op") == op, c)), F.lit(0))
-    counts = seen.groupBy("path").agg(of(F.lit(1), True).alias("distinct_operators"), of(F.lit(1), False).alias("distinct_operands"), of(F.col("n"), True).alias("total_operators"), of(F.col("n"), False).alias("total_operands"))
-    return derived(counts.where("distinct_operators > 0 and distinct_operands > 0"))
+def complexity(measures: DataFrame, measure: str = "cyclomatic", least: int = 1) -> DataFrame:
+    """Functions, total, maximum, mean and level of a measure ("cyclomatic" or "cognitive") of each
+    file that has it, with a maximum of `least` if that is over 1."""
+    each = F.col(f"functions.{measure}")
+    total, most = F.aggregate(each, F.lit(0).cast("long"), lambda a, x: a + x), F.array_max(each)
+    out = measures.where("functions is not null").select("path", "language", F.size("functions").cast("long").alias("functions"), total.alias("total"), most.alias("max"), (total / F.size("functions")).alias("avg"))
+    bounds = CYCLOMATIC_LEVELS if measure == "cyclomatic" else COGNITIVE_LEVELS
+    out = out.withColumn("level", level(F.col("max"), bounds, "extreme"))
+    return out.where(F.col("max") >= least) if least > 1 else out
 
 
-def derived(counts: DataFrame) -> DataFrame:
+def halstead(measures: DataFrame) -> DataFrame:
+    """What follows from the token counts, of files that have operators and operands."""
     vocabulary = F.col("distinct_operators") + F.col("distinct_operands")
     length = F.col("total_operators") + F.col("total_operands")
-    out = counts.withColumn("vocabulary", vocabulary).withColumn("length", length).withColumn("volume", length * F.log2(vocabulary.cast("double")))
+    out = measures.where("distinct_operators is not null").select("path", "language", "distinct_operators", "distinct_operands", "total_operators", "total_operands")
+    out = out.withColumn("vocabulary", vocabulary).withColumn("length", length).withColumn("volume", length * F.log2(vocabulary.cast("double")))
     out = out.withColumn("difficulty", F.col("distinct_operators") / 2.0 * F.col("total_operands") / F.col("distinct_operands"))
     return out.withColumn("effort", F.col("difficulty") * F.col("volume")).withColumn("bugs", F.col("volume") / 3000.0).withColumn("time", F.col("effort") / 18.0)
 
 
-def raw_index(volume: Column, complexity: Column, code: Column) -> Column:
+def raw_index(volume: Column, total: Column, code: Column) -> Column:
     safe = lambda x: F.ln(F.greatest(x.cast("double"), F.lit(1.0)))
-    return F.lit(171.0) - 5.2 * safe(volume) - 0.23 * complexity - 16.2 * safe(code)
+    return F.lit(171.0) - 5.2 * safe(volume) - 0.23 * total - 16.2 * safe(code)
 
 
-def mi_visual_studio(volume: Column, complexity: Column, code: Column) -> Column:
+def mi_visual_studio(volume: Column, total: Column, code: Column) -> Column:
     """0 to 100."""
-    return F.greatest(F.lit(0.0), raw_index(volume, complexity, code) * 100.0 / 171.0)
+    return F.greatest(F.lit(0.0), raw_index(volume, total, code) * 100.0 / 171.0)
+
+
+def comment_percent(code: Column, comment: Column) -> Column:
+    return F.when(code + comment > 0, comment * 100.0 / (code + comment)).otherwise(0.0)
 
 
-def mi_verifysoft(volume: Column, complexity: Column, code: Column, comment: Column) -> tuple[Column, Column, Column]:
+def mi_verifysoft(volume: Column, total: Column, code: Column, comment: Column) -> tuple[Column, Column, Column]:
     """(index without comments, comment weight, sum)."""
-    pct = F.when(code + comment > 0, comment * 100.0 / (code + comment)).otherwise(0.0)
-    bare, weight = raw_index(volume, complexity, code), 50.0 * F.sin(F.sqrt(2.46 * F.radians(pct)))
+    bare, weight = raw_index(volume, total, code), 50.0 * F.sin(F.sqrt(2.46 * F.radians(comment_percent(code, comment))))
     return bare, weight, bare + weight
 
 
-def maintainability(lines: DataFrame) -> DataFrame:
-    """Both indexes of the files that have tokens and code."""
-    parts = loc(lines).join(halstead(lines).select("path", "volume"), "path").join(cyclomatic(lines).select("path", "total_complexity"), "path")
-    v, g, c, m = (F.col(n) for n in ("volume", "total_complexity", "code", "comment"))
-    bare, weight, full = mi_verifysoft(v, g, c, m)
-    vs = mi_visual_studio(v, g, c)
-    return parts.select("path", "volume", "total_complexity", "code", "comment", vs.alias("mi_score"), F.when(vs >= 20, "green").when(vs >= 10, "yellow").otherwise("red").alias("mi_level"), bare.alias("mi_woc"), weight.alias("mi_cw"), full.alias("miv_score"), F.when(full >= 85, "good").when(full >= 65, "moderate").otherwise("difficult").alias("miv_level"))
+def all_measures(measures: DataFrame) -> DataFrame:
+    """The wide rows with token metrics, complexities and both indexes as columns of their own,
+    null where a file has none. All of it follows row by row: no join and no shuffle."""
+    each = {m: F.col(f"functions.{m}") for m in ("cyclomatic", "cognitive")}
+    out = measures.withColumns({f"total_{m}": F.aggregate(x, F.lit(0).cast("long"), lambda a, y: a + y) for m, x in each.items()} | {f"max_{m}": F.array_max(x) for m, x in each.items()})
+    vocabulary = (F.col("distinct_operators") + F.col("distinct_operands")).cast("double")
+    out = out.withColumn("volume", (F.col("total_operators") + F.col("total_operands")) * F.log2(vocabulary))
+    out = out.withColumn("effort", F.col("distinct_operators") / 2.0 * F.col("total_operands") / F.col("distinct_operands") * F.col("volume"))
+    v, c, m = (F.col(n) for n in ("volume", "code", "comment"))
+    bare, weight, full = mi_verifysoft(v, F.coalesce("total_cyclomatic", F.lit(1)), c, m)
+    indexes = {"mi_score": mi_visual_studio(v, F.col("total_cyclomatic"), c), "mi_woc": bare, "mi_cw": weight, "miv_score": full}
+    return out.withColumns({k: F.when(v.isNotNull(), x) for k, x in indexes.items()})
+
+
+def maintainability(measures: DataFrame) -> DataFrame:
+    """Both indexes of the files that have tokens and functions."""
+    vs, full = F.col("mi_score"), F.col("miv_score")
+    out = all_measures(measures).where("volume is not null and total_cyclomatic is not null")
+    return out.select("path", "language", "volume", F.col("total_cyclomatic").alias("total_complexity"), "code", "comment", vs, F.when(vs >= 20, "green").when(vs >= 10, "yellow").otherwise("red").alias("mi_level"), "mi_woc", "mi_cw", full, F.when(full >= 85, "good").when(full >= 65, "moderate").otherwise("difficult").alias("miv_level"))
 
 
 #: Words that mark a debt, in order of trial.

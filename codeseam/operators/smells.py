@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .metrics import masked, todo_debt
-from .structure import RULES
+from .rules import RULES
 
 #: First words of declarations, numbers that are not magic, and what code contains.
 DECLARES = ("const", "let", "static", "final", "val", "#define", "enum")

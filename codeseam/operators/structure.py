@@ -4,54 +4,10 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
 from functools import cache
 from itertools import accumulate, groupby
 
-import pandas as pd
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from ..functions.languages import BY_NAME
-from ..functions.lines import kinds
-from ..functions.scores import level
-from .metrics import CYCLOMATIC_LEVELS
-
-
-@dataclass(frozen=True)
-class Rules:
-    """Markers of a language: what branches, what nests, what joins, how functions start."""
-
-    branches: tuple[str, ...]
-    nesting: tuple[str, ...]
-    chained: tuple[str, ...]
-    joins: tuple[str, ...]
-    starts: tuple[str, ...]
-    braces: bool = True
-    comment: str = "//"
-    otherwise: str = "else"
-
-
-def _of(branches: str, nesting: str, joins: str, starts: tuple[str, ...], chained: str = "else if", **more) -> Rules:
-    return Rules(tuple(branches.split(", ")), tuple(nesting.split(", ")), (chained,), tuple(joins.split()), starts, **more)
-
-
-#: Markers by language.
-_C = _of("else if, if, for, while, do, switch, case, catch, &&, ||", "if, for, while, do, switch, catch", "&& ||", ())
-_JS = _of("else if, if, for, while, do, switch, case, catch, &&, ||, ??", "if, for, while, do, switch, catch", "&& || ??", ("function ",))
-RULES = {
-    "Rust": _of("else if, if, for, while, loop, match, &&, ||", "if, for, while, loop, match", "&& ||", ("fn ",)),
-    "Python": _of("elif, if, for, while, except, and, or", "if, for, while, except", "and or", ("async def ", "def "), "elif", braces=False, comment="#"),
-    "JavaScript": _JS,
-    "TypeScript": _JS,
-    **dict.fromkeys(("Java", "C#", "C", "C++", "Objective-C", "PHP", "Dart"), _C),
-    "Go": _of("else if, if, for, switch, case, select, &&, ||", "if, for, switch, select", "&& ||", ("func ",)),
-    "Ruby": _of("elsif, if, unless, for, while, until, when, rescue, &&, ||", "if, unless, for, while, until, rescue", "&& ||", ("def ",), "elsif", braces=False, comment="#"),
-    "Kotlin": _of("else if, if, for, while, when, catch, &&, ||", "if, for, while, when, catch", "&& ||", ("fun ",)),
-}
-#: First words of lines that are no C-like function, and bounds of the levels.
-CONTROL = ("if", "for", "while", "switch", "else", "do", "catch", "return", "case")
-COGNITIVE_LEVELS = [(4, "simple"), (9, "moderate"), (14, "complex"), (24, "highly_complex")]
+from .rules import CONTROL, Rules
 
 
 def any_of(words: tuple[str, ...]) -> re.Pattern:
@@ -62,13 +18,13 @@ def any_of(words: tuple[str, ...]) -> re.Pattern:
 
 @cache
 def _patterns(rules: Rules) -> dict[str, re.Pattern]:
-    strings = r'"(?:\\.|[^"\\])*(?:"|\\?$)' + r"|'(?:\\.|[^'\\])*(?:'|\\?$)"
+    strings = r'"[^"\\]*+(?:\\.[^"\\]*+)*+(?:"|\\?$)' + r"|'[^'\\]*+(?:\\.[^'\\]*+)*+(?:'|\\?$)"
     return {
-        "mask": re.compile(f"({strings})|{re.escape(rules.comment)}.*$"),
+        "mask": re.compile(f"({strings})" + (f"|{re.escape(rules.comment)}.*$" if rules.comment else "")),
         "branches": any_of(rules.branches),
         "chained": any_of(rules.chained),
         "nesting": any_of(rules.nesting),
-        "otherwise": any_of((rules.otherwise,)),
+        "otherwise": any_of(rules.otherwise),
         "joins": re.compile(f"{any_of(rules.joins).pattern}|[();{{}},]"),
     }
 
@@ -156,7 +112,8 @@ def cognitive(texts: list[str], masks: list[str], rules: Rules) -> int:
 
 
 def parameters(masks: list[str]) -> int:
-    """Commas of the first parenthesis, over as many lines as it takes, plus one; 0 if empty."""
+    """Commas of the first parenthesis, over as many lines as it takes, plus one; 0 if it is empty
+    or never closed."""
     text = "\n".join(masks)
     start = text.find("(")
     if start < 0:
@@ -167,22 +124,19 @@ def parameters(masks: list[str]) -> int:
         if not depth:
             break
     else:
-        end = len(text)
+        return 0
     inside = text[start + 1 : end].strip()
     inside = inside.rstrip(",").rstrip()
     return inside.count(",") + 1 if inside else 0
 
 
-def file_functions(content: str, language: str) -> list[tuple]:
-    """(name, start_line, n_lines, code_lines, n_params, cyclomatic, cognitive) of a file.
+def file_functions(lines: list[str], code: list[int], masks: list[str], rules: Rules) -> list[tuple]:
+    """(name, start_line, n_lines, code_lines, n_params, cyclomatic, cognitive) of a file's
+    functions, from its lines, the numbers of its code lines and these masked.
 
     Code outside functions does not count; a file without functions is one called <file>.
     """
-    rules = RULES[language]
-    lines = content.replace("\r\n", "\n").removesuffix("\n").split("\n")
-    code = [k for k, kind in enumerate(kinds(lines, BY_NAME[language])) if kind == "Code"]
     texts = [lines[k] for k in code]
-    masks = [masked(t, rules) for t in texts]
     count = lambda lo, hi: 1 + sum(len(_patterns(rules)["branches"].findall(m)) for m in masks[lo:hi])
     out = []
     for lo, hi in spans(texts, masks, rules):
@@ -190,31 +144,3 @@ def file_functions(content: str, language: str) -> list[tuple]:
     if not out and code:
         out.append(("<file>", 1, len(lines), len(code), 0, count(0, len(code)), cognitive(texts, masks, rules)))
     return out
-
-
-FUNCTIONS = "path string, language string, name string, start_line long, n_lines long, code_lines long, n_params long, cyclomatic long, cognitive long"
-
-
-def functions(files: DataFrame) -> DataFrame:
-    """One row per function of files (path, language, content), file by file, without a shuffle.
-
-    Languages without rules, null, empty and binary contents give no rows.
-    """
-
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for path, language, content in zip(batch["path"], batch["language"], batch["content"], strict=True):
-                found = file_functions(content, language)
-                if found:
-                    yield pd.DataFrame([(path, language, *f) for f in found], columns=[c.split()[0] for c in FUNCTIONS.split(", ")])
-
-    text = F.col("content")
-    known = files.where(F.col("language").isin(*RULES) & (text != "") & ~F.substring(text, 1, 512).contains("\0"))
-    return known.select("path", "language", "content").mapInPandas(rows, FUNCTIONS)
-
-
-def complexity(found: DataFrame, measure: str = "cyclomatic") -> DataFrame:
-    """Total, maximum, mean and level of a measure ("cyclomatic" or "cognitive") by file."""
-    out = found.groupBy("path").agg(F.count("*").alias("functions"), F.sum(measure).alias("total"), F.max(measure).alias("max"), F.avg(measure).alias("avg"))
-    bounds = CYCLOMATIC_LEVELS if measure == "cyclomatic" else COGNITIVE_LEVELS
-    return out.withColumn("level", level(F.col("max"), bounds, "extreme"))

@@ -12,7 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import languages, lines, paths, scores
-from ..operators import duplicates, history, metrics, score, smells, structure
+from ..operators import duplicates, files as file_pass, history, metrics, rules, score, smells
+from ..storage import shared_dir
+from . import samples
 
 NOW, SINCE = "2001-08-01", "2000-08-01"
 TS = lambda x: F.to_timestamp(F.lit(x))
@@ -23,11 +25,28 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def files(s: SparkSession, d: str) -> DataFrame:
-    return read(s, d, "documents").select(F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("path"), F.lit("TOML").alias("language"), F.col("text").alias("content"))
+    return read(s, d, "documents").select(F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("path"), F.lit("Python").alias("language"), F.col("text").alias("content"))
+
+
+def plain_files(s: SparkSession, d: str) -> DataFrame:
+    """The documents as files of a language with line comments only, whose lines need no state."""
+    return files(s, d).withColumn("language", F.lit("TOML"))
 
 
 def code_lines(s: SparkSession, d: str) -> DataFrame:
-    return lines.lines_of(files(s, d))
+    return lines.lines_of(plain_files(s, d))
+
+
+def measures(s: SparkSession, d: str) -> DataFrame:
+    return file_pass.file_measures(files(s, d), window=3)
+
+
+def sources(s: SparkSession, d: str) -> DataFrame:
+    return samples.sources(read(s, d, "part"))
+
+
+def source_measures(s: SparkSession, d: str) -> DataFrame:
+    return file_pass.file_measures(sources(s, d))
 
 
 def commits(s: SparkSession, d: str) -> DataFrame:
@@ -55,22 +74,44 @@ def owned(s: SparkSession, d: str) -> DataFrame:
     return history.ownership(blame(s, d), history.recent_authors(commits(s, d), TS(SINCE)))
 
 
-def metric_table(s: SparkSession, d: str) -> DataFrame:
-    ls = code_lines(s, d)
-    m = metrics.maintainability(ls).join(metrics.indent_metrics(ls).select("path", "indent_stddev"), "path")
-    return m.join(metrics.halstead(ls).select("path", "effort"), "path")
+def dup_blocks(m: DataFrame) -> DataFrame:
+    return duplicates.blocks(duplicates.window_groups(duplicates.windows(m)), 3)
+
 
+def dims(s: SparkSession, d: str, model: str = "cogcom") -> DataFrame:
+    m = measures(s, d)
+    return score.dimensions(score.file_scores(m, model), duplicates.summary(dup_blocks(m), m), model)
 
-def dup_blocks(s: SparkSession, d: str) -> DataFrame:
-    return duplicates.blocks(duplicates.window_groups(duplicates.windows(duplicates.normalized(code_lines(s, d)), 3)), 3)
 
+def scored_project(s: SparkSession, d: str, model: str = "cogcom") -> DataFrame:
+    m = measures(s, d)
+    scores_ = score.file_scores(m, model)
+    return score.project(score.dimensions(scores_, duplicates.summary(dup_blocks(m), m), model), scores_)
 
-def dup_summary(s: SparkSession, d: str) -> DataFrame:
-    return duplicates.summary(dup_blocks(s, d), metrics.loc(code_lines(s, d)))
 
+def older(s: SparkSession, d: str) -> DataFrame:
+    """Measures of the files as they were: one in seven was not there yet."""
+    return file_pass.file_measures(files(s, d).where(F.substring_index("path", "/", -1).cast("long") % 7 != 0), window=3)
 
-def dims(s: SparkSession, d: str) -> DataFrame:
-    return score.dimensions(score.file_scores(metric_table(s, d)), dup_summary(s, d))
+
+def score_diff(s: SparkSession, d: str) -> DataFrame:
+    of = lambda m: score.dimensions(score.file_scores(m), duplicates.summary(dup_blocks(m), m))
+    return score.difference(of(older(s, d)), of(measures(s, d)))
+
+
+def hunks(s: SparkSession, d: str) -> DataFrame:
+    """Ownership of the sources' lines: the first five of a file, the next seven, and the rest."""
+    p = F.col("p")
+    each = sources(s, d).select("path", "p", F.inline(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(a).alias("start_line"), F.lit(n).alias("n_lines")) for i, (a, n) in enumerate(((1, 5), (6, 7), (13, 300)))))))
+    who = ((p + F.col("i")) % 11).cast("string")
+    return each.select("path", "start_line", "n_lines", F.concat(F.lit("author "), who).alias("author"), F.concat(who, F.lit("@example.org")).alias("email"), F.col("p").alias("ts"))
+
+
+def imports(s: SparkSession, d: str) -> DataFrame:
+    """Edges of a made-up dependency graph: rings of seven parts, each with tails."""
+    part = read(s, d, "part").select(F.col("p_partkey").cast("long").alias("p"))
+    ring = F.floor(F.col("p") / 10) * 10
+    return part.where("p % 10 < 7").select(F.col("p").alias("src"), (ring + (F.col("p") % 10 + 1) % 7).alias("dst")).unionByName(part.where("p % 10 >= 7").select(F.col("p").alias("src"), (ring + F.col("p") % 10 - 6).alias("dst")))
 
 
 def customers_by_nation(s: SparkSession, d: str) -> DataFrame:
@@ -83,12 +124,12 @@ def snapshots(s: SparkSession, d: str, old: bool) -> DataFrame:
     return df.select(F.col("doc_id").cast("string").alias("path"), F.sha2(text, 256).alias("content_hash"))
 
 
-def functions(s: SparkSession, d: str) -> DataFrame:
-    return structure.functions(files(s, d).withColumn("language", F.lit("Python")))
+def source_lines(s: SparkSession, d: str) -> DataFrame:
+    return lines.lines_of(sources(s, d))
 
 
-def python_lines(s: SparkSession, d: str) -> DataFrame:
-    return code_lines(s, d).withColumn("language", F.lit("Python"))
+def source_smells(s: SparkSession, d: str) -> DataFrame:
+    return smells.smells(source_lines(s, d), file_pass.functions(source_measures(s, d)))
 
 
 FOLDERS, STEMS = ("src", "lib/tests", "spec", "vendor/gen"), ("test_m", "m", "mTest", "m_test", "m.spec", "m.generated.x", "m.min", "m_pb2")
@@ -105,7 +146,7 @@ EXCLUDED = paths.Exclusions(extensions=(".CSS",), folders=("vendor",), globs=("*
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "loc_by_language": lambda s, d: metrics.loc_by_language(code_lines(s, d)),
+    "loc_by_language": lambda s, d: metrics.loc_by_language(lines.lines_of(duplicates.distinct_files(plain_files(s, d)))),
     "loc_files": lambda s, d: metrics.loc(code_lines(s, d)).drop("language"),
     "file_dedup": lambda s, d: duplicates.distinct_files(files(s, d)).select("path"),
     "lang_detect": lambda s, d: read(s, d, "pages").select("page_id", F.regexp_extract("url", r"^[^?#]*", 0).alias("path")).select("page_id", languages.detected(F.col("path")).alias("language")),
@@ -124,24 +165,41 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "authors": lambda s, d: history.authors(blame(s, d), customers_by_nation(s, d)).withColumn("languages", F.array_join("languages", ",")),
     "dep_fan": lambda s, d: history.dependency_fan(read(s, d, "lineitem").select(F.col("l_partkey").alias("src"), F.col("l_suppkey").cast("long").alias("dst"))),
     "files_changed_since": lambda s, d: history.files_changed_since(snapshots(s, d, True), snapshots(s, d, False)),
-    "indent_metrics": lambda s, d: rounded(metrics.indent_metrics(code_lines(s, d)), "indent_stddev"),
-    "cyclomatic_file": lambda s, d: metrics.cyclomatic(code_lines(s, d)),
-    "halstead": lambda s, d: rounded(metrics.halstead(code_lines(s, d)), "volume", "difficulty", "effort", "bugs", "time", digits=4),
-    "maintainability": lambda s, d: rounded(metrics.maintainability(code_lines(s, d)), "volume", "mi_score", "mi_woc", "mi_cw", "miv_score", digits=4),
-    "dup_groups": lambda s, d: dup_blocks(s, d).select(F.to_json(F.transform("locs", lambda x: F.concat(x["path"], F.lit(":"), x["off"].cast("string")))).alias("locs"), "line_count", "severity"),
-    "dup_summary": lambda s, d: rounded(dup_summary(s, d), "duplication_percentage"),
-    "dup_severity": lambda s, d: dup_blocks(s, d).groupBy("severity").agg(F.count("*").alias("groups")),
+    "indent_metrics": lambda s, d: rounded(metrics.indent_metrics(measures(s, d)), "indent_stddev"),
+    "cyclomatic_file": lambda s, d: metrics.complexity(measures(s, d)).select("path", F.col("total").alias("total_complexity"), "level"),
+    "halstead": lambda s, d: rounded(metrics.halstead(measures(s, d)).drop("language"), "volume", "difficulty", "effort", "bugs", "time", digits=4),
+    "maintainability": lambda s, d: rounded(metrics.maintainability(measures(s, d)).drop("language"), "volume", "mi_score", "mi_woc", "mi_cw", "miv_score", digits=4),
+    "dup_groups": lambda s, d: dup_blocks(measures(s, d)).select(F.to_json(F.transform("locs", lambda x: F.concat(x["path"], F.lit(":"), x["off"].cast("string")))).alias("locs"), "line_count", "severity"),
+    "dup_summary": lambda s, d: rounded((lambda m: duplicates.summary(dup_blocks(m), m))(measures(s, d)), "duplication_percentage"),
+    "dup_severity": lambda s, d: dup_blocks(measures(s, d)).groupBy("severity").agg(F.count("*").alias("groups")),
     "normalize_curves": lambda s, d: read(s, d, "part").select("p_partkey", *(F.round(scores.curve(n, F.col("p_retailprice") / k), 6).alias(n) for n, k in (("cognitive", 40), ("mi", 20), ("size", 0.5), ("indent", 400), ("cyclomatic", 40), ("effort", 0.1), ("duplication", 40))), scores.grade(F.col("p_retailprice") / 20).alias("grade")),
     "score_dimensions": lambda s, d: rounded(dims(s, d), "score", digits=4),
-    "score_project": lambda s, d: rounded(score.project(dims(s, d)), "score", digits=4),
-    "functions_cyclomatic": lambda s, d: functions(s, d).select("path", "name", "start_line", "n_lines", "cyclomatic"),
-    "cyclomatic_levels": lambda s, d: structure.complexity(functions(s, d)),
-    "cognitive_levels": lambda s, d: structure.complexity(functions(s, d), "cognitive"),
-    "magic_numbers": lambda s, d: smells.magic_numbers(python_lines(s, d)),
-    "smell_counts": lambda s, d: smells.smell_counts(smells.smells(python_lines(s, d), functions(s, d))),
+    "score_project": lambda s, d: rounded(scored_project(s, d), "score", digits=4),
+    "functions_cyclomatic": lambda s, d: file_pass.functions(source_measures(s, d)).select("path", "language", "name", "start_line", "n_lines", "n_params", "cyclomatic", "cognitive"),
+    "cyclomatic_levels": lambda s, d: rounded(metrics.complexity(source_measures(s, d)), "avg"),
+    "cognitive_levels": lambda s, d: rounded(metrics.complexity(source_measures(s, d), "cognitive"), "avg"),
+    "magic_numbers": lambda s, d: smells.magic_numbers(code_lines(s, d).withColumn("language", F.lit("Python"))),
+    "smell_counts": lambda s, d: smells.smell_counts(source_smells(s, d)),
     "path_flags": lambda s, d: part_paths(s, d).select("p_partkey", paths.is_test_file(F.col("path")).alias("test_file"), paths.is_test_path(F.col("path")).alias("test_path"), paths.is_generated(F.col("path")).alias("generated")),
     "excluded_files": lambda s, d: part_paths(s, d).select("p_partkey", EXCLUDED.reasons(F.col("path")).alias("reasons")).where("reasons <> ''"),
-    "score_files_bottom": lambda s, d: rounded(score.worst_files(score.file_scores(metric_table(s, d))), "score", digits=4),
+    "loc_sources": lambda s, d: metrics.loc(source_lines(s, d)),
+    "loc_by_author": lambda s, d: metrics.loc_by_author(source_lines(s, d), hunks(s, d)).select("email", "name", "files", (F.col("blank") + F.col("comment") + F.col("code")).alias("lines")),
+    "indent_sources": lambda s, d: rounded(metrics.indent_metrics(source_measures(s, d)), "indent_stddev"),
+    "complex_files": lambda s, d: metrics.complexity(source_measures(s, d), least=6).select("path", "total", "max"),
+    "hotspots_cognitive": lambda s, d: history.hotspots(metrics.complexity(source_measures(s, d), "cognitive").select(F.regexp_extract("path", "[0-9]+", 0).cast("long").alias("path"), F.col("total").alias("complexity")), freq(s, d)),
+    "cognitive_on_documents": lambda s, d: metrics.complexity(measures(s, d), "cognitive").select("path", "total", "level"),
+    "maintainability_sources": lambda s, d: metrics.all_measures(source_measures(s, d)).select("path", "code", "comment", "total_cyclomatic", F.round("mi_cw", 4).alias("mi_cw")),
+    "score_dimensions_legacy": lambda s, d: rounded(dims(s, d, "legacy"), "score", digits=4),
+    "score_project_legacy": lambda s, d: rounded(scored_project(s, d, "legacy"), "score", digits=4),
+    "score_diff": lambda s, d: rounded(score_diff(s, d), "before_score", "after_score", "delta", digits=4),
+    "dup_locations": lambda s, d: (lambda m: duplicates.located(dup_blocks(m), m).select(F.to_json(F.transform("locations", lambda x: F.concat_ws(":", x["path"], x["start_line"].cast("string"), x["end_line"].cast("string")))).alias("locations"), "line_count", "duplicated_lines", "severity"))(measures(s, d)),
+    "coupling_without_tests": lambda s, d: history.temporal_coupling(commit_files(s, d).withColumn("path", F.concat(F.when(F.col("path") % 3 == 0, "tests/p").otherwise("src/p"), F.col("path").cast("string"))), freq(s, d).withColumn("path", F.concat(F.when(F.col("path") % 3 == 0, "tests/p").otherwise("src/p"), F.col("path").cast("string"))), keep_tests=False, most_files=5).groupBy("level").agg(F.count("*").alias("pairs"), F.sum("shared_commits").alias("shared")),
+    "knowledge_author": lambda s, d: rounded(history.knowledge(blame(s, d).withColumn("path", F.concat(F.col("path").cast("string"), F.when(F.col("path") % 5 == 0, ".pb.go").otherwise(".go"))), history.recent_authors(commits(s, d), TS(SINCE)), author="7@EXAMPLE"), "ownership_pct").select("path", "primary_owner", "ownership_pct", "risk", "knowledge_loss"),
+    "ownership_languages": lambda s, d: history.ownership_by_author(owned(s, d), customers_by_nation(s, d)).select("author", "files_owned", F.array_join("languages", ",").alias("languages")),
+    "authors_since": lambda s, d: history.authors(blame(s, d), customers_by_nation(s, d), since=TS("1998-01-01")).select("email", "lines", "last_active", "owned_files"),
+    "dep_cycles": lambda s, d: history.cycles(imports(s, d), shared_dir(s)),
+    "never_changed": lambda s, d: history.never_changed(read(s, d, "part").select(F.col("p_partkey").alias("path")).unionByName(s.range(-20, 0).select(F.col("id").alias("path"))), freq(s, d)),
+    "score_files_bottom": lambda s, d: rounded(score.worst_files(score.file_scores(measures(s, d))).withColumn("issues", F.array_join("issues", "; ")), "score", digits=4),
 }
 
 LINES = r"""WITH f AS (SELECT source || '/' || doc_id AS path, text FROM documents),
@@ -167,11 +225,11 @@ COUPLING = """SELECT *, CASE WHEN strength >= 0.5 THEN 'STRONG' WHEN strength >=
   SELECT a.path AS file_a, b.path AS file_b, count(*) AS shared_commits, fa.commits AS commits_a, fb.commits AS commits_b, round(count(*) / any_value(least(fa.commits, fb.commits)), 6) AS strength
   FROM cf a JOIN cf b ON a.commit_id = b.commit_id AND a.path < b.path JOIN freq fa ON fa.path = a.path AND fa.commits >= 3 JOIN freq fb ON fb.path = b.path AND fb.commits >= 3 GROUP BY a.path, b.path, fa.commits, fb.commits)"""
 MASKED = r"""regexp_replace(regexp_replace(regexp_replace(text, '("(?:\\.|[^"\\])*(?:"|\\?$)|''(?:\\.|[^''\\])*(?:''|\\?$))|#.*$', '\1', 'g'), '"(?:\\.|[^"\\])*(?:"|\\?$)', '""', 'g'), '''(?:\\.|[^''\\])*(?:''|\\?$)', '''''', 'g')"""
-WORDS = "".join(f" + len(regexp_extract_all(m, '\\b{w}\\b'))" for w in metrics.PYTHON.keywords)
+WORDS = "".join(f" + len(regexp_extract_all(m, '\\b{w}\\b'))" for w in rules.RULES["Python"].branches)
 CYC = f"""c AS (SELECT path, CAST(1 + sum(n) AS BIGINT) AS total_complexity FROM (SELECT path, 0{WORDS} AS n FROM (SELECT path, {MASKED} AS m FROM k WHERE kind = 'Code')) GROUP BY path)"""
 _list = lambda words: ", ".join(f"'{w}'" for w in words)
-HAL = f"""t AS (SELECT path, unnest(regexp_extract_all(m, '{"|".join([*map(metrics.quoted, metrics.PYTHON_TOKENS.symbols), "[A-Za-z0-9_]+"])}')) AS t FROM (SELECT path, {MASKED} AS m FROM k WHERE kind = 'Code')),
-u AS (SELECT path, t, (NOT regexp_matches(t, '^[A-Za-z0-9_]') OR t IN ({_list(metrics.PYTHON_TOKENS.keywords)})) AS op FROM t WHERE t NOT IN ({_list(metrics.PYTHON_TOKENS.ignored)})),
+HAL = f"""t AS (SELECT path, unnest(regexp_extract_all(m, '{"|".join([*map(metrics.quoted, rules.TOKENS["Python"].symbols), "[A-Za-z0-9_]+"])}')) AS t FROM (SELECT path, {MASKED} AS m FROM k WHERE kind = 'Code')),
+u AS (SELECT path, t, (NOT regexp_matches(t, '^[A-Za-z0-9_]') OR t IN ({_list(rules.TOKENS["Python"].keywords)})) AS op FROM t WHERE t NOT IN ({_list(rules.TOKENS["Python"].ignored)})),
 n AS (SELECT path, count(DISTINCT t) FILTER (op) AS a, count(DISTINCT t) FILTER (NOT op) AS b, count(*) FILTER (op) AS c1, count(*) FILTER (NOT op) AS d FROM u GROUP BY path HAVING a > 0 AND b > 0),
 h AS (SELECT path, a AS distinct_operators, b AS distinct_operands, c1 AS total_operators, d AS total_operands, a + b AS vocabulary, c1 + d AS length, (c1 + d) * log2(a + b) AS volume, a / 2.0 * d / b AS difficulty FROM n)"""
 DEPTH = r"CAST(floor((length(regexp_extract(text, '^([ \t]*)', 1)) + 3 * length(regexp_replace(regexp_extract(text, '^([ \t]*)', 1), '[^\t]', '', 'g'))) / 4) AS BIGINT)"
@@ -179,10 +237,10 @@ IND = f"ind AS (SELECT path, count(*) AS code_lines, coalesce(stddev_samp(d), 0.
 RAW = "171.0 - 5.2 * ln(greatest(volume, 1.0)) - 0.23 * total_complexity - 16.2 * ln(greatest(code, 1.0))"
 MI = f"""m AS (SELECT path, volume, total_complexity, code, comment, greatest(0.0, ({RAW}) * 100.0 / 171.0) AS mi_score, {RAW} AS mi_woc, 50.0 * sin(sqrt(2.46 * radians(CASE WHEN code + comment > 0 THEN comment * 100.0 / (code + comment) ELSE 0 END))) AS mi_cw
   FROM loc JOIN h USING (path) JOIN c USING (path))"""
-DUPS = """norm AS (SELECT path, row_number() OVER (PARTITION BY path ORDER BY line_no) - 1 AS off, trim(text) AS content FROM k WHERE kind = 'Code'),
+DUPS = """norm AS (SELECT path, line_no, row_number() OVER (PARTITION BY path ORDER BY line_no) - 1 AS off, trim(text) AS content FROM k WHERE kind = 'Code'),
 w AS (SELECT path, off, h FROM (SELECT path, off, list(content) OVER (PARTITION BY path ORDER BY off ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING) AS h FROM norm) WHERE len(h) = 3),
-g AS (SELECT h, list({'p': path, 'o': off} ORDER BY path, off) AS locs FROM w GROUP BY h HAVING count(*) BETWEEN 2 AND 100),
-s AS (SELECT locs, locs[1].o AS o, list_transform(locs, lambda x: {'p': x.p, 'd': x.o - locs[1].o}) AS shape FROM g),
+gr AS (SELECT h, list({'p': path, 'o': off} ORDER BY path, off) AS locs FROM w GROUP BY h HAVING count(*) BETWEEN 2 AND 100),
+s AS (SELECT locs, locs[1].o AS o, list_transform(locs, lambda x: {'p': x.p, 'd': x.o - locs[1].o}) AS shape FROM gr),
 i AS (SELECT *, o - row_number() OVER (PARTITION BY shape ORDER BY o) AS island FROM s),
 blk AS (SELECT min_by(locs, o) AS locs, count(*) + 2 AS line_count FROM i GROUP BY shape, island),
 blocks AS (SELECT locs, line_count, CASE WHEN len(locs) >= 3 THEN 'CRITICAL' ELSE 'TOLERABLE' END AS severity FROM blk),
@@ -202,13 +260,31 @@ def grade_sql(x: str) -> str:
     return f"(CASE {' '.join(f'WHEN {x} >= {least} THEN {name!r}' for least, name in scores.GRADES)} ELSE '{scores.LAST_GRADE}' END)"
 
 
-FILE_SCORES = f"""fs AS (SELECT path, code, {curve_sql("mi", "mi_score")} AS mi, {curve_sql("cyclomatic", "total_complexity")} AS cyclomatic, {curve_sql("indent", "indent_stddev")} AS indent,
-  CASE WHEN difficulty * h.volume > 0 AND code > 0 THEN {curve_sql("effort", "(difficulty * h.volume / code)")} ELSE 50.0 END AS effort, {curve_sql("size", "code")} AS size FROM m JOIN ind USING (path) JOIN h USING (path))"""
+_has = lambda words: f"regexp_matches(m, '(^|[^A-Za-z0-9_])({'|'.join(words)})($|[^A-Za-z0-9_])')"
+_lead = lambda x: f"(length(regexp_extract({x}, '^([ \\t]*)', 1)) + 3 * length(regexp_replace(regexp_extract({x}, '^([ \\t]*)', 1), '[^\\t]', '', 'g')))"
+COG = f"""cl AS (SELECT path, row_number() OVER w AS r, {_lead("text")} - {_lead("first_value(text) OVER w")} AS rel, {MASKED} AS m FROM k WHERE kind = 'Code' WINDOW w AS (PARTITION BY path ORDER BY line_no)),
+b AS (SELECT *, list_filter(regexp_extract_all(m, '[A-Za-z0-9_]+|[();{{}},]'), lambda x: x IN ('and', 'or', '(', ')', ';', '{{', '}}', ',')) AS t FROM cl),
+cog AS (SELECT path, CAST(coalesce(sum(CASE WHEN r = 1 THEN 0 ELSE CASE WHEN {_has(["elif"])} THEN 1 WHEN {_has(["if", "for", "while", "except"])} THEN 1 + greatest(0, rel - 4) // 4 WHEN {_has(["else"])} THEN 1 ELSE 0 END
+  + len(list_filter(range(1, len(t) + 1), lambda i: t[i] IN ('and', 'or') AND (i = 1 OR t[i] <> t[i - 1]))) END), 0) AS BIGINT) AS n FROM b GROUP BY path)"""
+DIMENSIONS = {"cognitive": curve_sql("cognitive", "cog.n"), "mi": curve_sql("mi", "(mi_woc + mi_cw)"), "cyclomatic": curve_sql("cyclomatic", "c.total_complexity"), "indent": curve_sql("indent", "indent_stddev"),
+  "effort": f"CASE WHEN h.volume IS NULL THEN NULL WHEN difficulty * h.volume > 0 AND loc.code > 0 THEN {curve_sql('effort', '(difficulty * h.volume / loc.code)')} ELSE 50.0 END", "size": curve_sql("size", "loc.code")}
 _mean = lambda c: f"coalesce(sum({c} * greatest(code, 1)) / sum(CASE WHEN {c} IS NOT NULL THEN greatest(code, 1) END), 0.0)"
-DIMS = "dims AS (" + " UNION ALL ".join(f"SELECT '{k}' AS name, {w}::DOUBLE AS weight, {_mean(k) if k != 'duplication' else '(SELECT ' + curve_sql('duplication', 'duplication_percentage') + ' FROM sm)'} AS score FROM fs" + ("" if k != "duplication" else " LIMIT 1") for k, w in score.WEIGHTS.items() if k != "duplication") + f" UNION ALL SELECT 'duplication', {score.WEIGHTS['duplication']}::DOUBLE, {curve_sql('duplication', 'duplication_percentage')} FROM sm)"
-SCORED = f"{LINES}, {CYC}, {HAL}, {IND}, {MI}, {FILE_SCORES}"
-_total = sum(score.WEIGHTS[k] for k in score.FILE_DIMENSIONS)
-_file = " + ".join(f"coalesce({k}, 50.0) * {score.WEIGHTS[k]}::DOUBLE" for k in score.FILE_DIMENSIONS)
+
+
+def scored_sql(model: str, documents: str = "documents") -> str:
+    """Everything up to the dimensions (dims) and the files' scores (fs) of a model."""
+    m = score.MODELS[model]
+    fs = ", ".join(f"{DIMENSIONS[k]} AS {k}" for k in m.of_files)
+    values = {k: f"(SELECT {_mean(k)} FROM fs)" for k in m.of_files} | {"duplication": f"(SELECT {curve_sql('duplication', 'duplication_percentage')} FROM sm)"}
+    dims = " UNION ALL ".join(f"SELECT CAST({i} AS INTEGER) AS position, '{k}' AS name, {w}::DOUBLE AS weight, {values[k]} AS score" for i, (k, w) in enumerate(m.weights.items()))
+    return f"""{LINES.replace("FROM documents)", f"FROM {documents})")}, {COG}, {CYC}, {HAL}, {IND}, {MI}, {DUPS},
+fs AS (SELECT loc.path, loc.code, n, indent_stddev, difficulty * h.volume AS eff, {fs} FROM loc JOIN ind USING (path) JOIN cog USING (path) JOIN c USING (path) LEFT JOIN h USING (path) LEFT JOIN m USING (path) WHERE loc.code > 0),
+dims AS ({dims})"""
+
+
+def total_sql(model: str) -> str:
+    m = score.MODELS[model]
+    return "(" + " + ".join(f"coalesce({k}, 50.0) * {m.weights[k]}::DOUBLE" for k in m.of_files) + f") / {sum(m.weights[k] for k in m.of_files)!r}::DOUBLE"
 
 
 def lookup_sql(table: dict[str, str], x: str) -> str:
@@ -220,31 +296,63 @@ PATHS = f"""WITH q AS (SELECT p_partkey, {_pick(FOLDERS)} || '/' || {_pick(STEMS
 p AS (SELECT p_partkey, path, string_split(path, '/')[-1] AS name, string_split(path, '/')[:-2] AS dirs FROM q),
 e AS (SELECT *, regexp_matches(name, '^(test_.*\\.(py|cc)|.*_test\\.(py|rs|cc)|.*Test\\.(java|cc|hs)|.*[.]spec\\.js)$') AS test_file, list_has_any(dirs, ['tests', 'test', '__tests__', 'spec']) AS test_dir FROM p)
 """
-_has = lambda words: f"regexp_matches(m, '(^|[^A-Za-z0-9_])({'|'.join(words)})($|[^A-Za-z0-9_])')"
-_lead = lambda x: f"(length(regexp_extract({x}, '^([ \\t]*)', 1)) + 3 * length(regexp_replace(regexp_extract({x}, '^([ \\t]*)', 1), '[^\\t]', '', 'g')))"
-COG = f"""g AS (SELECT path, row_number() OVER w AS r, {_lead("text")} - {_lead("first_value(text) OVER w")} AS rel, {MASKED} AS m FROM k WHERE kind = 'Code' WINDOW w AS (PARTITION BY path ORDER BY line_no)),
-b AS (SELECT *, list_filter(regexp_extract_all(m, '[A-Za-z0-9_]+|[();{{}},]'), lambda x: x IN ('and', 'or', '(', ')', ';', '{{', '}}', ',')) AS t FROM g),
-cog AS (SELECT path, CAST(coalesce(sum(CASE WHEN r = 1 THEN 0 ELSE CASE WHEN {_has(["elif"])} THEN 1 WHEN {_has(["if", "for", "while", "except"])} THEN 1 + greatest(0, rel - 4) // 4 WHEN {_has(["else"])} THEN 1 ELSE 0 END
-  + len(list_filter(range(1, len(t) + 1), lambda i: t[i] IN ('and', 'or') AND (i = 1 OR t[i] <> t[i - 1]))) END), 0) AS BIGINT) AS n FROM b GROUP BY path)"""
 MAGIC = f"""mg AS (SELECT path, line_no FROM (SELECT path, line_no, trim(m, ' ' || chr(9) || chr(13)) AS m FROM (SELECT path, line_no, {MASKED} AS m FROM k WHERE kind = 'Code'))
   WHERE lower(regexp_extract(m, '^\\S*')) NOT IN ({_list(smells.DECLARES)}) AND len(list_filter(regexp_extract_all(m, '{smells.NUMBER}', 1), lambda n: n <> '' AND rtrim(n, '.') NOT IN ({_list(smells.TRIVIAL)}))) > 0)"""
 
 
-def levels_sql(total: str, bounds: list[tuple[int, str]], table: str) -> str:
-    steps = " ".join(f"WHEN {total} <= {n} THEN '{name}'" for n, name in bounds)
-    return f"SELECT path, CAST(1 AS BIGINT) AS functions, {total} AS total, {total} AS max, CAST({total} AS DOUBLE) AS avg, CASE {steps} ELSE 'extreme' END AS level FROM {table}"
+def levels_sql(measure: str, bounds: list[tuple[int, str]]) -> str:
+    steps = " ".join(f"WHEN max <= {n} THEN '{name}'" for n, name in bounds)
+    return f"{samples.SQL} SELECT *, CASE {steps} ELSE 'extreme' END AS level FROM (SELECT path, language, count(*) AS functions, CAST(sum({measure}) AS BIGINT) AS total, CAST(max({measure}) AS BIGINT) AS max, round(avg({measure}), 6) AS avg FROM fn GROUP BY path, language)"
+
+
+def project_sql(model: str) -> str:
+    return f"{scored_sql(model)} SELECT round(score, 4) AS score, files_analyzed, total_loc, {grade_sql('score')} AS grade FROM (SELECT sum(score * weight) AS score, (SELECT count(*) FROM fs) AS files_analyzed, (SELECT CAST(sum(code) AS BIGINT) FROM fs) AS total_loc FROM dims)"
+
+
+def dimensions_sql(model: str) -> str:
+    return f"{scored_sql(model)} SELECT position, name, weight, round(score, 4) AS score, {grade_sql('score')} AS grade FROM dims"
+
+
+def sides_sql(side: str, documents: str) -> str:
+    total = "SELECT CAST(7 AS INTEGER), 'overall', 1.0::DOUBLE, sum(score * weight) FROM dims"
+    return f"SELECT position, name, weight, score AS {side}_score, {grade_sql('score')} AS {side}_grade FROM ({scored_sql('cogcom', documents)} SELECT position, name, weight, score FROM dims UNION ALL {total})"
+
+
+_long = "(CASE WHEN py THEN len - 1 ELSE len - 2 END > 50)"
+SMELLS = f"SELECT * FROM (SELECT path, CAST(r * k AS BIGINT) AS magic_number, CAST(CASE WHEN {_long} THEN k ELSE 0 END AS BIGINT) AS long_function, CAST(CASE WHEN m > 4 THEN k ELSE 0 END AS BIGINT) AS long_parameters, CAST(CASE WHEN p % 5 = 0 THEN 1 ELSE 0 END AS BIGINT) AS debt, CAST(CASE WHEN p % 2 = 0 THEN 1 ELSE 0 END AS BIGINT) AS commented_out_code, magic_number + long_function + long_parameters + debt + commented_out_code AS total FROM lines) WHERE total > 0"
+_percent = "comment * 100.0 / (code + comment)"
 
 
 SQL: dict[str, str] = {
-    "functions_cyclomatic": f"{LINES}, {CYC} SELECT path, '<file>' AS name, CAST(1 AS BIGINT) AS start_line, blank + comment + code AS n_lines, total_complexity AS cyclomatic FROM c JOIN loc USING (path)",
-    "cyclomatic_levels": f"{LINES}, {CYC} " + levels_sql("total_complexity", metrics.CYCLOMATIC_LEVELS, "c"),
-    "cognitive_levels": f"{LINES}, {COG} " + levels_sql("n", structure.COGNITIVE_LEVELS, "cog"),
+    "dep_cycles": "SELECT CAST(p_partkey AS BIGINT) AS file, CAST(p_partkey // 10 * 10 AS BIGINT) AS cycle FROM part WHERE p_partkey % 10 < 7 AND p_partkey // 10 IN (SELECT p_partkey // 10 FROM part WHERE p_partkey % 10 < 7 GROUP BY ALL HAVING count(*) = 7)",
+    "never_changed": FREQ + "SELECT * FROM (SELECT CAST(p_partkey AS BIGINT) AS path FROM part UNION ALL SELECT unnest(range(-20, 0))) ANTI JOIN freq USING (path)",
+    "authors_since": BLAME + ", s AS (SELECT *, first_value(email) OVER (PARTITION BY path ORDER BY lines DESC, author, email) AS owner FROM b WHERE last_ts >= TIMESTAMP '1998-01-01') SELECT email, CAST(sum(lines) AS BIGINT) AS lines, max(last_ts) AS last_active, count(*) FILTER (owner = email) AS owned_files FROM s GROUP BY email",
+    "ownership_languages": BLAME + "SELECT primary_owner AS author, count(DISTINCT path) AS files_owned, array_to_string(list_sort(list(DISTINCT p_type)), ',') AS languages FROM own LEFT JOIN part ON p_partkey = path GROUP BY primary_owner",
+    "knowledge_author": BLAME + "SELECT path || '.go' AS path, primary_owner, round(ownership_pct, 6) AS ownership_pct, risk, knowledge_loss FROM own WHERE path % 5 <> 0 AND lower(primary_email) LIKE '%7@example%'",
+    "coupling_without_tests": FREQ + ", few AS (SELECT commit_id FROM cf GROUP BY commit_id HAVING count(*) <= 5), cg AS (SELECT * FROM cf SEMI JOIN few USING (commit_id) WHERE path % 3 <> 0) SELECT level, count(*) AS pairs, CAST(sum(shared_commits) AS BIGINT) AS shared FROM (" + COUPLING.replace("FROM cf a JOIN cf b", "FROM cg a JOIN cg b") + ") GROUP BY level",
+    "dup_locations": f"{LINES}, {DUPS}, x AS (SELECT locs, line_count, severity, unnest(locs) AS l, unnest(range(1, len(locs) + 1)) AS i FROM blocks), y AS (SELECT x.*, a.line_no AS b, e.line_no AS t FROM x JOIN norm a ON a.path = l.p AND a.off = l.o JOIN norm e ON e.path = l.p AND e.off = l.o + line_count - 1) SELECT CAST(to_json(list(l.p || ':' || b || ':' || t ORDER BY i)) AS VARCHAR) AS locations, line_count, CAST(line_count * (len(locs) - 1) AS BIGINT) AS duplicated_lines, severity FROM y GROUP BY locs, line_count, severity",
+    "maintainability_sources": samples.SQL + f"SELECT path, CAST(code AS BIGINT) AS code, CAST(comment AS BIGINT) AS comment, CAST(CASE WHEN k = 0 THEN 2 ELSE k * cyc END AS BIGINT) AS total_cyclomatic, round(50.0 * sin(sqrt(2.46 * radians({_percent}))), 4) AS mi_cw FROM lines",
+    "cognitive_on_documents": f"{LINES}, {COG} SELECT path, n AS total, CASE {' '.join(f"WHEN n <= {b} THEN '{x}'" for b, x in rules.COGNITIVE_LEVELS)} ELSE 'extreme' END AS level FROM cog",
+    "hotspots_cognitive": FREQ + ", " + samples.SQL.removeprefix("WITH ") + ", t AS (SELECT n.p AS path, CAST(sum(cognitive) AS BIGINT) AS complexity FROM fn JOIN n USING (path) GROUP BY n.p) SELECT path, commits, complexity, commits * complexity AS score FROM t JOIN freq USING (path)",
+    "complex_files": samples.SQL + "SELECT path, CAST(k * cyc AS BIGINT) AS total, CAST(cyc AS BIGINT) AS max FROM n WHERE k > 0 AND cyc >= 6",
+    "indent_sources": samples.SQL + """, x AS (SELECT path, code AS n, k * CASE WHEN py THEN 3 + 9 * r + c ELSE 1 + 12 * r + c END AS a, k * CASE WHEN py THEN 3 + 19 * r + c ELSE 1 + 24 * r + c END AS b, CASE WHEN k = 0 THEN 0 WHEN r > 0 THEN 3 ELSE 1 END AS top FROM lines),
+y AS (SELECT *, CASE WHEN n > 1 THEN sqrt(greatest(b - a * a / n::DOUBLE, 0) / (n - 1)) ELSE 0.0 END AS s FROM x)
+SELECT path, CAST(n AS BIGINT) AS code_lines, round(s, 6) AS indent_stddev, CAST(top AS BIGINT) AS indent_max, CAST(a AS BIGINT) AS total_indent, CASE WHEN s < 1 THEN 'low' WHEN s < 1.5 THEN 'moderate' WHEN s < 2 THEN 'high' ELSE 'very_high' END AS complexity FROM y""",
+    "loc_by_author": samples.SQL + """, h AS (SELECT path, (p + i) % 11 AS a, greatest(0, least(blank + comment + code, e) - b + 1) AS n FROM lines, (VALUES (0, 1, 5), (1, 6, 12), (2, 13, 312)) AS t(i, b, e))
+SELECT a || '@example.org' AS email, 'author ' || a AS name, count(DISTINCT path) AS files, CAST(sum(n) AS BIGINT) AS lines FROM h WHERE n > 0 GROUP BY a""",
+    "loc_sources": samples.SQL + "SELECT path, language, CAST(blank AS BIGINT) AS blank, CAST(comment AS BIGINT) AS comment, CAST(code AS BIGINT) AS code FROM lines",
+    "score_diff": f"SELECT position, name, weight, round(before_score, 4) AS before_score, before_grade, round(after_score, 4) AS after_score, after_grade, round(after_score - before_score, 4) AS delta FROM ({sides_sql('before', 'documents WHERE doc_id % 7 <> 0')}) JOIN ({sides_sql('after', 'documents')}) USING (position, name, weight)",
+    "score_project_legacy": project_sql("legacy"),
+    "score_dimensions_legacy": dimensions_sql("legacy"),
+    "functions_cyclomatic": samples.SQL + "SELECT path, language, name, CAST(start_line AS BIGINT) AS start_line, CAST(n_lines AS BIGINT) AS n_lines, CAST(n_params AS BIGINT) AS n_params, CAST(cyclomatic AS BIGINT) AS cyclomatic, CAST(cognitive AS BIGINT) AS cognitive FROM fn",
+    "cyclomatic_levels": levels_sql("cyclomatic", rules.CYCLOMATIC_LEVELS),
+    "cognitive_levels": levels_sql("cognitive", rules.COGNITIVE_LEVELS),
     "magic_numbers": f"{LINES}, {MAGIC} SELECT * FROM mg",
-    "smell_counts": f"{LINES}, {MAGIC}, debts AS (SELECT path FROM k WHERE kind = 'Comment' AND regexp_matches(upper(text), 'TODO|FIXME|HACK|XXX|BUG')) SELECT path, count(*) FILTER (s = 1) AS magic_number, CAST(0 AS BIGINT) AS long_function, CAST(0 AS BIGINT) AS long_parameters, count(*) FILTER (s = 2) AS debt, CAST(0 AS BIGINT) AS commented_out_code, count(*) AS total FROM (SELECT path, 1 AS s FROM mg UNION ALL SELECT path, 2 FROM debts) GROUP BY path",
+    "smell_counts": samples.SQL + SMELLS,
     "path_flags": PATHS + "SELECT p_partkey, test_file, test_file OR test_dir AS test_path, name LIKE '%.generated.%' OR name LIKE '%.min.js' OR name LIKE '%.min.css' OR name LIKE '%\\_pb2.py' ESCAPE '\\' AS generated FROM e",
     "excluded_files": PATHS + "SELECT * FROM (SELECT p_partkey, concat_ws(', ', CASE WHEN test_file THEN 'test file' END, CASE WHEN name LIKE '%.css' THEN 'extension' END, CASE WHEN list_contains(dirs, 'vendor') THEN 'directory' END, CASE WHEN test_dir THEN 'test directory' END, CASE WHEN path LIKE '%.min.%' OR regexp_matches(path, '^lib/.*_pb2\\...$') THEN 'glob' END) AS reasons FROM e) WHERE reasons <> ''",
 
-    "loc_by_language": LINES + "SELECT language, count(*) AS files, CAST(sum(blank) AS BIGINT) AS blank, CAST(sum(comment) AS BIGINT) AS comment, CAST(sum(code) AS BIGINT) AS code FROM (SELECT 'TOML' AS language, * FROM loc) GROUP BY ROLLUP (language)",
+    "loc_by_language": LINES + "SELECT language, count(*) AS files, CAST(sum(blank) AS BIGINT) AS blank, CAST(sum(comment) AS BIGINT) AS comment, CAST(sum(code) AS BIGINT) AS code FROM (SELECT 'TOML' AS language, * FROM loc SEMI JOIN (SELECT min(path) AS path FROM f GROUP BY text) USING (path)) GROUP BY ROLLUP (language)",
     "loc_files": LINES + "SELECT * FROM loc",
     "file_dedup": LINES + "SELECT min(path) AS path FROM f GROUP BY text",
     "lang_detect": f"SELECT page_id, coalesce({lookup_sql(languages.BY_FILE, 'n')}, CASE WHEN regexp_matches(n, '^.+\\.') THEN {lookup_sql(languages.BY_EXTENSION, 'e')} END) AS language FROM (SELECT page_id, n, string_split(n, '.')[-1] AS e FROM (SELECT page_id, string_split(regexp_extract(url, '^[^?#]*'), '/')[-1] AS n FROM pages))",
@@ -271,7 +379,8 @@ SQL: dict[str, str] = {
     "dup_summary": f"{LINES}, {DUPS} SELECT * REPLACE (round(duplication_percentage, 6) AS duplication_percentage), CASE WHEN duplication_percentage < 3 THEN 'Excellent' WHEN duplication_percentage < 5 THEN 'Good' WHEN duplication_percentage < 10 THEN 'Moderate' WHEN duplication_percentage < 20 THEN 'High' ELSE 'Very High' END AS assessment FROM sm",
     "dup_severity": f"{LINES}, {DUPS} SELECT severity, count(*) AS groups FROM blocks GROUP BY severity",
     "normalize_curves": "SELECT p_partkey, " + ", ".join(f"round({curve_sql(n, f'(p_retailprice / {k})')}, 6) AS {n}" for n, k in (("cognitive", 40), ("mi", 20), ("size", 0.5), ("indent", 400), ("cyclomatic", 40), ("effort", 0.1), ("duplication", 40))) + f", {grade_sql('(p_retailprice / 20)')} AS grade FROM part",
-    "score_dimensions": f"{SCORED}, {DUPS}, {DIMS} SELECT name, weight, round(score, 4) AS score, {grade_sql('score')} AS grade FROM dims",
-    "score_project": f"{SCORED}, {DUPS}, {DIMS} SELECT round(score, 4) AS score, {grade_sql('score')} AS grade FROM (SELECT sum(score * weight) AS score FROM dims)",
-    "score_files_bottom": f"{SCORED} SELECT path, round(score, 4) AS score, {grade_sql('score')} AS grade FROM (SELECT path, ({_file}) / {_total!r}::DOUBLE AS score FROM fs) ORDER BY score, path LIMIT 10",
+    "score_dimensions": dimensions_sql("cogcom"),
+    "score_project": project_sql("cogcom"),
+    "score_files_bottom": f"""{scored_sql("cogcom")} SELECT path, round(score, 4) AS score, loc, {grade_sql("score")} AS grade, issues FROM (SELECT path, {total_sql("cogcom")} AS score, code AS loc,
+  concat_ws('; ', CASE WHEN cognitive < 60 THEN printf('Cognitive: %d', n) END, CASE WHEN indent < 60 THEN printf('Indent: %.1f', indent_stddev) END, CASE WHEN effort < 60 THEN printf('Effort: %.0f', eff) END, CASE WHEN code > 1000 THEN printf('Size: %d LOC', code) END) AS issues FROM fs) ORDER BY score, path LIMIT 10""",
 }

@@ -1,68 +1,149 @@
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
 from codeseam.functions.paths import Exclusions, is_generated, is_test_file, is_test_path
-from codeseam.operators import smells, structure
-from codeseam.operators.structure import RULES, file_functions, masked
+from codeseam.operators import duplicates, files, history, metrics, score, smells
+from codeseam.operators.rules import RULES, TOKENS
+from codeseam.operators.structure import masked
+
+FILES = "path string, language string, content string"
 
 
-def body(*lines):
-    return "fn f() {\n" + "\n".join(lines) + "\n}\n"
+def functions_of(content, language):
+    row = files.measured("f", language, content, 3, False, False)
+    return [tuple(f.values()) for f in row.get("functions") or []]
+
+
+@pytest.mark.parametrize(
+    ("language", "body", "cyclomatic", "cognitive"),
+    [
+        ("Go", "if ready {\nfor n := range list {\nif n > 3 {\n}\n}\n}", 4, 6),
+        ("Go", "switch mode {\ncase a:\ncase b:\n}", 4, 1),
+        ("Go", "if p && q && r {\n} else if s || t {\n} else {\n}", 6, 5),
+        ("Kotlin", "when (x) {\n}\nwhile (open) { step() }", 3, 2),
+        ("Swift", "guard ready else {\n}\nrepeatable(forward, iffy)", 2, 1),
+        ("Zig", "if (a) {\n} else if (b) {\n}", 4, 3),
+        ("Kaikai", "match m and n or o {\n}", 4, 3),
+    ],
+)
+def test_complexity_with_braces(language, body, cyclomatic, cognitive):
+    start = RULES[language].starts[0]
+    (only,) = functions_of(f"{start}work() {{\n{body}\n}}\n", language)
+    assert (only[0], *only[-2:]) == ("work", cyclomatic, cognitive)
 
 
 @pytest.mark.parametrize(
     ("language", "text", "cyclomatic", "cognitive"),
     [
-        ("Rust", body("x();"), 1, 0),
-        ("Rust", body("if a {", "}"), 2, 1),
-        ("Rust", body("if a {", "  if b {", "  }", "}"), 3, 3),
-        ("Rust", body("if a {", "} else if b {", "}"), 3, 2),
-        ("Rust", body("if a {", "} else if b {", "} else {", "}"), 3, 3),
-        ("Rust", body("if a && b && c {", "}"), 4, 2),
-        ("Rust", body("if a && b || c {", "}"), 4, 3),
-        ("Rust", body("if a {", "for x in y {", "if b {", "}", "}", "}"), 4, 6),
-        ("Rust", body("notify(); ifdef(); life();"), 1, 0),
-        ("Rust", body("if a && b { x(); }", "if a || b { x(); }"), 5, 4),
-        ("Rust", body("for x in y { f(x, || { z }) }"), 3, 2),
-        ("Python", "def f():\n    if a:\n        for x in y:\n            pass\n", 3, 3),
-        ("Python", "def f():\n    if a:\n        p\n    elif b:\n        q\n    else:\n        r\n", 3, 3),
-        ("C", "int main(void) {\n  if (a) {\n  }\n}\n", 2, 1),
+        ("Python", "def work():\n    while run:\n        try:\n            go()\n        except E:\n            no()\n", 3, 3),
+        ("Ruby", "def work\n    unless a || b\n        c\n    end\nend\n", 3, 2),
+        ("Elixir", "defp work do\n    cond do\n        x -> if y\n    end\nend\n", 3, 3),
+        ("Lua", "function work()\n    if a then\n    elseif b then\n    end\nend\n", 3, 2),
+        ("Julia", "function work()\n    for i in v\n        i && j\n    end\nend\n", 3, 2),
+        ("Nim", "proc work() =\n    case x\n", 2, 1),
+        ("OCaml", "let work x =\n    match x with\n", 3, 1),
+        ("Clojure", "(defn work [x]\n    (when x y))\n", 2, 1),
     ],
 )
-def test_complexity(language, text, cyclomatic, cognitive):
-    (only,) = file_functions(text, language)
-    assert only[-2:] == (cyclomatic, cognitive)
-    assert only[0] == ("main" if language == "C" else "f")
+def test_complexity_by_indentation(language, text, cyclomatic, cognitive):
+    first = functions_of(text, language)[0]
+    assert first[-2:] == (cyclomatic, cognitive)
+
 
+def test_functions_and_files_without():
+    java = "class A {\n  int twice(int a, Map<K, V> b) {\n    return 2 * a;\n  }\n  void open(\n    int c\n  )\n  {\n    if (c) {\n    }\n  }\n}\n"
+    # a declaration over several lines does not end as one is told by
+    assert [(f[0], f[1], f[4]) for f in functions_of(java, "Java")] == [("twice", 2, 3)]
+    assert functions_of("#define TWICE(a) (2 * (a))\nint x;\n", "C")[0][0] == "<file>"
+    assert functions_of("main = if a then b else c\n", "Haskell") == [("<file>", 1, 1, 1, 0, 2, 0)]
+    assert functions_of("fn open(a: i32,\n", "Rust")[0][4] == 0  # never closed
+    assert functions_of("-- note\n", "Lua") == []
 
-def test_functions():
-    rust = "use a;\nfn one(a: i32, b: i32) {\n  fn inner() {}\n}\n\nfn two(\n  a: i32,\n) {\n"
-    assert [f[:5] for f in file_functions(rust, "Rust")] == [("one", 2, 3, 3, 2), ("two", 6, 3, 3, 1)]
-    python = "def a():\n    x = 1\n\ny = 2\nasync def b(p, q, r, s, t):\n    pass\n"
-    assert [f[:5] for f in file_functions(python, "Python")] == [("a", 1, 2, 2, 0), ("b", 5, 2, 2, 5)]
-    assert file_functions("x = 1\nif x:\n    y\n", "Python") == [("<file>", 1, 3, 3, 0, 2, 1)]
-    assert file_functions("# only a comment\n", "Python") == []
+
+@pytest.mark.parametrize("quote", ['"', "'"])
+@pytest.mark.parametrize("end", ["", "q"])
+def test_masks_of_very_long_lines(spark, quote, end):
+    inside = "a\\b" * 350_000
+    line = f"x = {quote}{inside}{quote if end else ''}"
+    assert masked(line, RULES["C"]).startswith(f"x = {quote} ")
+    df = spark.createDataFrame([(line,)], "text string").repartition(2)
+    got = df.select(metrics.masked(F.col("text"), ("//",)).alias("m")).first()["m"]
+    assert got == f"x = {quote}{quote}"
 
 
 def test_masked():
-    assert masked("x = 5; // don't do this", RULES["C"]) == "x = 5; "
-    assert masked('a("http://x"); if y', RULES["C"]) == 'a("        "); if y'
-    assert masked('a("open', RULES["C"]) == 'a("    '
+    assert masked("y = 7; // it isn't", RULES["Go"]) == "y = 7; "
+    assert masked('open("ftp://h"); while z', RULES["Go"]) == 'open("       "); while z'
+    assert masked("s = 'it # s' # c", RULES["Ruby"]) == "s = '      ' "
+    assert masked('say("go', RULES["OCaml"]) == 'say("  '
+
+
+def test_tokens():
+    assert files.token_counts(["a += b ** 2;", "return a"], TOKENS["Python"]) == (4, 3, 4, 4)
+    assert files.token_counts(["x <<= y >>> 1"], TOKENS["JavaScript"])[0] == 2
+    assert files.token_counts(["let mut"], TOKENS["Rust"]) is None
+    assert files.string_interiors(['a = """x', "inside", 'end"""', "b = 'c\"\"\"'", "d"]) == {1}
+
+
+def test_measures_of_files(spark):
+    rows = [("a.py", "Python", "def f():\n    if a:\n        b\n"), ("b", "Python", ""), ("c", "Python", None), ("d", None, "x"), ("e.rs", "Rust", "a\0b"), ("f", "TOML", "x = 1"), ("g.rs", "Rust", "fn a() {\n}\n#[cfg(test)]\nfn t() {\n}\n")]
+    got = {r["path"]: r for r in files.file_measures(spark.createDataFrame(rows, FILES), 2, strip_tests=True).collect()}
+    assert set(got) == {"a.py", "b", "f", "g.rs"}
+    assert (got["a.py"]["code"], got["a.py"]["functions"][0]["cognitive"], got["a.py"]["total_indent"]) == (3, 1, 3)
+    assert got["b"]["code"] == 0 and got["b"]["functions"] is None and got["f"]["functions"] is None
+    assert (got["g.rs"]["code"], got["g.rs"]["n_normalized"], len(got["g.rs"]["windows"])) == (5, 2, 1)
+    assert files.file_measures(spark.createDataFrame([], FILES)).count() == 0
+    raw = spark.createDataFrame([("a.go", "Go", b"x\n\xff\ny\r\n"), ("b.go", "Go", b"z")], "path string, language string, content binary")
+    assert {r["path"]: (r["code"], bool(r["error"])) for r in files.file_measures(raw).collect()} == {"a.go": (None, True), "b.go": (1, False)}
+    assert {r["path"]: r["code"] for r in files.file_measures(raw, lenient=True).collect()} == {"a.go": 2, "b.go": 1}
+
+
+def test_duplicates_and_score(spark):
+    block = "".join(f"step{i}(now);\n" for i in range(8))
+    rows = [("a.go", "Go", "one();\n" + block), ("b.go", "Go", block + "two();\n"), ("c.md", "Markdown", block)]
+    m = files.file_measures(spark.createDataFrame(rows, FILES), 6)
+    found = duplicates.blocks(duplicates.window_groups(duplicates.windows(m.where("path <> 'c.md'"))), 6)
+    (one,) = duplicates.located(found, m).collect()
+    assert [tuple(x) for x in one["locations"]] == [("a.go", 2, 9), ("b.go", 1, 8)] and one["duplicated_lines"] == 8
+    scores = score.file_scores(m)
+    assert {r["path"] for r in scores.collect()} == {"a.go", "b.go"}  # a text file is no code
+    dims = score.dimensions(scores, duplicates.summary(found, m))
+    assert [r["name"] for r in dims.orderBy("position").collect()] == list(score.MODELS["cogcom"].weights)
+    empty = score.file_scores(m.limit(0))
+    none = score.project(score.dimensions(empty, duplicates.summary(found, m)), empty).first()
+    assert (none["score"], none["grade"], none["files_analyzed"]) == (0.0, "F--", 0)
+    same = {r["name"]: r["delta"] for r in score.difference(dims, dims).collect()}
+    assert same["overall"] == 0.0 and len(same) == 6
+    with pytest.raises(Exception, match="different models"):
+        score.difference(dims, score.dimensions(score.file_scores(m, "legacy"), duplicates.summary(found, m), "legacy")).collect()
+
+
+def test_gates():
+    score.check_score(80.004, 80.001, "B", fail_if_worse=True)
+    with pytest.raises(score.GateError, match="dropped 80.01"):
+        score.check_score(80.01, 80.0, "B", fail_if_worse=True)
+    with pytest.raises(score.GateError, match="minimum threshold A-"):
+        score.check_score(0, 0, "B+", fail_below="a-")
+    score.check_score(0, 0, "A", fail_below="A-")
+    score.check_duplication(3, 5.0, 3, 5.0, 5.0)
+    for bad in ({"max_groups": 2}, {"max_ratio": 4.9}, {"before": 4.98}):
+        with pytest.raises(score.GateError):
+            score.check_duplication(3, 5.0, **bad)
 
 
-def test_functions_of_files(spark):
-    rows = [("a.py", "Python", "def f():\n    if a:\n        b\n"), ("b", "Python", ""), ("c", "Python", None), ("d", None, "x"), ("e.rs", "Rust", "a\0b"), ("f", "TOML", "x = 1")]
-    found = structure.functions(spark.createDataFrame(rows, "path string, language string, content string"))
-    assert [(r["path"], r["name"], r["cyclomatic"], r["cognitive"]) for r in found.collect()] == [("a.py", "f", 2, 1)]
-    row = structure.complexity(found, "cognitive").first()
-    assert (row["functions"], row["total"], row["max"], row["level"]) == (1, 1, 1, "simple")
-    assert structure.functions(spark.createDataFrame([], "path string, language string, content string")).count() == 0
+def test_cycles(spark, tmp_path):
+    edges = [("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("d", "e"), ("e", "d"), ("x", "y"), ("y", "z"), ("s", "s"), ("e", "x")]
+    got = history.cycles(spark.createDataFrame(edges, "src string, dst string"), str(tmp_path))
+    assert sorted(map(tuple, got.collect())) == [("a", "a"), ("b", "a"), ("c", "a"), ("d", "d"), ("e", "d")]
+    assert history.cycles(spark.createDataFrame([], "src string, dst string"), str(tmp_path)).count() == 0
 
 
 def test_smells(spark):
-    code = ["timeout(3600);", "a = 0xFF;", "b = 1.5e10;", "c = 1_000_000;", "d = 0 + 1 + 2 + -1;", "const x = 99;", "let y = 7;", "e = x-2;", "f = g42;", "h = -2;"]
-    notes = ["// x = y;", "// if (x) {", "// return z;", "// }; {", "// plain words"]
-    rows = [("a", "C", i, t, "Code") for i, t in enumerate(code, 1)] + [("a", "C", 20 + i, t, "Comment") for i, t in enumerate(notes)] + [("b", "C", 1, "// x = y;", "Comment"), ("b", "C", 2, "// debug", "Comment")]
+    code = ["wait(250);", "a = 0x1F;", "b = 2.5e3;", "c = 12_000;", "d = 0 + 1 - 1 + 2;", "static n = 88;", "final m = 9;", "e = y-1;", "f = v64;", "h = -5;"]
+    notes = ["// p = q;", "// while(r) {", "// return s;", "// } {;", "// some words"]
+    rows = [("a", "C", i, t, "Code") for i, t in enumerate(code, 1)] + [("a", "C", 20 + i, t, "Comment") for i, t in enumerate(notes)] + [("b", "C", 1, "// p = q;", "Comment"), ("b", "C", 2, "// a hack", "Comment")]
     lines = spark.createDataFrame(rows, "path string, language string, line_no long, text string, kind string")
     assert sorted(r["line_no"] for r in smells.magic_numbers(lines).collect()) == [1, 2, 3, 4, 10]
     assert [tuple(r) for r in smells.commented_out_code(lines).collect()] == [("a", 20, 4)]
