@@ -6,7 +6,7 @@ import re
 from collections.abc import Iterator
 from functools import cache
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -109,11 +109,12 @@ def lines_of(files: DataFrame) -> DataFrame:
         kind = F.when(F.col("language").isin([x.name for x in plain if x.line == markers]), plain_kind(F.col("text"), F.col("line_no"), markers)).otherwise(kind)
     fast = numbered.select("path", "language", "line_no", "text", kind.alias("kind"))
 
-    def classify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path, language, lines in zip(batch["path"], batch["language"], batch["lines"], strict=True):
-                lines = list(lines)
-                yield pd.DataFrame({"path": path, "language": language, "line_no": range(1, len(lines) + 1), "text": lines, "kind": kinds(lines, BY_NAME[language])})
+            for path, language, lines in zip(*batch.columns, strict=True):
+                lines = lines.as_py()
+                n = len(lines)
+                yield pa.RecordBatch.from_arrays([pa.array([path.as_py()] * n, pa.string()), pa.array([language.as_py()] * n, pa.string()), pa.array(range(1, n + 1), pa.int64()), pa.array(lines, pa.string()), pa.array(kinds(lines, BY_NAME[language.as_py()]), pa.string())], ["path", "language", "line_no", "text", "kind"])
 
     slow = text.where(~F.col("language").isin([x.name for x in plain])).select("path", "language", split_lines(F.col("content")).alias("lines"))
-    return fast.unionByName(slow.mapInPandas(classify, "path string, language string, line_no long, text string, kind string"))
+    return fast.unionByName(slow.mapInArrow(classify, "path string, language string, line_no long, text string, kind string"))

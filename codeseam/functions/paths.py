@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import warnings
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -71,8 +72,9 @@ def is_generated(path: Column) -> Column:
 
 
 def glob_pattern(glob: str) -> str:
-    """A glob as an expression over a whole path; stars and question marks cross slashes."""
-    out, i = "", 0
+    """A glob as an expression over a whole path; stars and question marks cross slashes, braces
+    hold alternatives. A glob with an open bracket or brace is an error."""
+    out, i, braces = "", 0, 0
     while i < len(glob):
         c = glob[i]
         if c == "*":
@@ -80,17 +82,36 @@ def glob_pattern(glob: str) -> str:
                 i += 1
             out += ".*"
             continue
-        close = glob.find("]", i + 2) if c == "[" else -1
-        if c == "[" and close > 0:
+        if c == "[":
+            close = glob.find("]", i + 2)
+            if close < 0:
+                raise ValueError(f"invalid glob {glob!r}: unclosed character class")
             inside = glob[i + 1 : close].replace("\\", r"\\")
             out += f"[{'^' + inside[1:] if inside[0] == '!' else inside}]"
             i = close + 1
             continue
-        out += "." if c == "?" else re.escape(c)
+        if c in "{}" or (c == "," and braces):
+            braces += (c == "{") - (c == "}")
+            out += {"{": "(?:", "}": ")", ",": "|"}[c]
+        else:
+            out += "." if c == "?" else re.escape(c)
         i += 1
+    if braces:
+        raise ValueError(f"invalid glob {glob!r}: unbalanced braces")
     return f"^{out}$"
 
 
+def valid_globs(globs: tuple[str, ...]) -> list[str]:
+    """The expressions of the globs that are valid; of others, a warning each."""
+    out = []
+    for g in globs:
+        try:
+            out.append(glob_pattern(g))
+        except ValueError as e:
+            warnings.warn(str(e), stacklevel=2)
+    return out
+
+
 @dataclass(frozen=True)
 class Exclusions:
     """Which files a scan leaves out. With `only` extensions, files of others are left out."""
@@ -111,8 +132,8 @@ class Exclusions:
         ext, never = F.lower(dot), F.lit(False)
         by_ext = ~ext.isin(self.plain(self.only)) if self.plain(self.only) else ext.isin(self.plain(self.extensions)) if self.plain(self.extensions) else never
         by_glob = never
-        for g in self.globs:
-            by_glob = by_glob | F.regexp_like(path, F.lit(glob_pattern(g)))
+        for pattern in valid_globs(self.globs):
+            by_glob = by_glob | F.regexp_like(path, F.lit(pattern))
         found = [
             (is_test_file(path) if self.tests else never, "test file"),
             (by_ext, "extension"),

@@ -68,10 +68,10 @@ def long_parameters(found: DataFrame, most: int = 4) -> DataFrame:
 KINDS = ("magic_number", "long_function", "long_parameters", "debt", "commented_out_code")
 
 
-def smells(lines: DataFrame, found: DataFrame) -> DataFrame:
+def smells(lines: DataFrame, found: DataFrame, max_lines: int = 50, max_params: int = 4) -> DataFrame:
     """(path, line_no, smell): all kinds together."""
     at = F.col("start_line").alias("line_no")
-    parts = [magic_numbers(lines), long_functions(found).select("path", at), long_parameters(found).select("path", at), todo_debt(lines), commented_out_code(lines)]
+    parts = [magic_numbers(lines), long_functions(found, max_lines).select("path", at), long_parameters(found, max_params).select("path", at), todo_debt(lines), commented_out_code(lines)]
     out = None
     for kind, part in zip(KINDS, parts, strict=True):
         part = part.select("path", "line_no", F.lit(kind).alias("smell"))
