@@ -21,10 +21,10 @@ SMALL = 6
 #: Keys that a task holds before it groups them.
 HELD = 500_000
 #: Words of a gram. A line of w words has w - GRAM + 1 grams, of which an edited word changes GRAM.
-GRAM = 4
+GRAM = 5
 #: Common grams come last in the order of grams; at most so many are known, from one document in
 #: COMMON_OF. Which ones are known changes the cost of the join, not its pairs.
-COMMON, COMMON_OF = 100_000, 32
+COMMON, COMMON_OF = 1_000_000, 8
 
 
 def within(a: bytes, b: bytes, edits: int) -> bool:
@@ -182,7 +182,7 @@ def word_keys(lines: list[bytes], share: int, common: np.ndarray, hashes: WordHa
 
 
 def common_grams(docs: DataFrame, share: int) -> np.ndarray:
-    """Grams that several lines of one document in COMMON_OF hold, ascending."""
+    """Grams that several lines of one document in COMMON_OF hold, the most frequent ones, ascending."""
     if not share:
         return np.empty(0, np.uint64)
 
@@ -195,7 +195,7 @@ def common_grams(docs: DataFrame, share: int) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(n.astype(np.int64))], ["gram", "n"])
 
     some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(COMMON_OF)) == 0).select("text")
-    counts = some.mapInArrow(grams, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).where("n > 2")
+    counts = some.mapInArrow(grams, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).where("n > 1")
     got = counts.orderBy(F.desc("n"), "gram").limit(COMMON).select("gram").toArrow()
     return np.sort(got.column("gram").to_numpy().view(np.uint64))
 
