@@ -424,33 +424,32 @@ KINDS = 256
 
 
 def with_bags(lines: DataFrame, share: int) -> DataFrame:
-    """(node, bag, bytes_bag) from rows (node, line): how many words of each of KINDS kinds a line
-    has (none without a share), and how often each byte."""
+    """(node, n_bytes, bag, bytes_bag) from rows (node, line): the line's length, how many words of
+    each of KINDS kinds it has (none without a share), and how often each byte."""
 
     def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, 1, 1_000_000):
             texts = batch.column(1).to_pylist()
             words = [np.bincount([xxhash.xxh3_64_intdigest(w) % KINDS for w in x.split()] if share else [], minlength=KINDS).astype(np.int16) for x in texts]
             own = [np.bincount(np.frombuffer(x, np.uint8), minlength=256).astype(np.int16) for x in texts]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.list_(pa.int16())) for x in (words, own))], ["node", "bag", "bytes_bag"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in texts], pa.int32()), *(pa.array(x, pa.list_(pa.int16())) for x in (words, own))], ["node", "n_bytes", "bag", "bytes_bag"])
 
-    return lines.select("node", "line").mapInArrow(bags, "node long, bag array<smallint>, bytes_bag array<smallint>")
+    return lines.select("node", "line").mapInArrow(bags, "node long, n_bytes int, bag array<smallint>, bytes_bag array<smallint>")
 
 
 def items_of(lines: DataFrame, edits: int, share: int, size: int) -> DataFrame:
     """(node, root, by_words, n, n_words, item) from rows (node, root, line): all words of a line
-    where it allows word edits, all grams of `size` bytes where it, or a line it may be linked to,
-    allows none. n is their number; equal ones of a line are told apart."""
+    and, where it, or a line it may be linked to, has so few that edited bytes can change all of
+    them, all grams of `size` bytes. n is their number; equal ones of a line are told apart."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHash()
         for batch in sliced(batches, 2, 500_000):
             node, root, texts = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_pylist()
-            split = [x.split() if share else [] for x in texts]
+            split = [x.split() for x in texts]
             words = np.array([len(x) for x in split])
-            by_bytes = word_edits(words - edits, share) == 0
             of, own = np.repeat(np.arange(len(texts)), words), hashes.of([w for x in split for w in x])
-            some = word_edits(words, share)[of] > 0
+            some, by_bytes = words[of] > 2 * edits, words <= 3 * edits
             parts = [(True, *numbered(of[some], own[some]))]
             chars = np.frombuffer(b"".join(texts), np.uint8).astype(np.uint64)
             n = max(0, len(chars) - size + 1)
@@ -471,30 +470,41 @@ def prefix_pairs(lines: DataFrame, edits: int, share: int, min_bytes: int) -> Da
     """Pairs (a > b) of the lines (node, root, line) of different roots that can still be linked:
     all that pass tests that no link fails.
 
-    An edit changes one word, or as many grams of bytes as a gram is long. So two linked lines have
-    all but `allow` of these items in common, one of the rarest allow + 1 of each among them (the
-    prefix filter); items that no other of the lines has count for no one; and from the first
-    common item on, in order of rarity, enough must be left. Most lines of a large family have so many changes
+    An edit of a word changes one word; one of a byte at most two, or as many grams of bytes as a
+    gram is long. So two linked lines have all but `allow` of these items in common, one of the
+    rarest allow + 1 of each among them (the prefix filter); items that no other of the lines has
+    count for no one; and from the first common item on, in order of rarity, enough must be left. Most lines of a large family have so many changes
     of their own that they have no prefix at all. Counts of kinds of words, or bytes, must be near.
     """
     size = max(1, min(8, min_bytes // (2 * (edits + 1))))
-    allow = lambda words: F.when(F.col("by_words"), F.greatest(F.floor(words * share / 100), F.lit(2))).otherwise(edits * size)
+    words_of = lambda n: F.greatest(F.floor(n * share / 100), F.lit(2))
+    by_share = lambda n: F.floor(n * share / 100) > 0
+    of_pair = lambda n: F.when(~F.col("by_words"), edits * size).when(by_share(n), words_of(n)).otherwise(2 * edits)
+    # a line near the least length that allows word edits may be linked to a shorter one
+    of_line = F.when(F.col("by_words") & by_share(F.col("n_words")) & ~by_share(F.col("n_words") - edits), F.greatest(words_of(F.col("n_words")), F.lit(2 * edits))).otherwise(of_pair(F.col("n_words")))
     items = written(items_of(lines, edits, share, size), "items")
     df = items.groupBy("item").agg(F.count("*").alias("df")).where("df > 1")
     own = Window.partitionBy("node", "by_words")  # as many as the line has
-    shared = items.join(df.hint("merge"), "item").withColumn("m", F.count("*").over(own)).withColumn("allow", allow(F.col("n_words"))).where("m >= n - allow")
-    prefix = shared.withColumn("rank", F.row_number().over(own.orderBy("df", "item"))).where("rank + n - m <= allow + 1")
+    shared = items.join(df.hint("merge"), "item").withColumn("m", F.count("*").over(own)).withColumn("allow", of_line).where("m >= n - allow")
+    rare = own.orderBy("df", "item")
+    prefix = shared.withColumn("rank", F.row_number().over(rare)).where("rank + n - m <= allow + 1")
+    # with the items before each, a pair is made at its first common item only
+    prefix = prefix.withColumn("before", F.collect_list("item").over(rare.rowsBetween(Window.unboundedPreceding, -1)))
     split = prefix.groupBy("item").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("item")
     bags = with_bags(lines.select("node", "line").distinct(), share)
-    prefix = prefix.select("item", "node", "root", "by_words", "n", "n_words", "m", "rank").join(split.hint("merge"), "item", "left_semi")
+    prefix = prefix.select("item", "node", "root", "by_words", "n", "n_words", "m", "rank", "before").join(split.hint("merge"), "item", "left_semi")
     prefix = written(prefix.join(bags.hint("merge"), "node"), "prefix")
     x, y = prefix.alias("x"), prefix.drop("by_words").alias("y")
     left = 1 + F.least(F.col("x.m") - F.col("x.rank"), F.col("y.m") - F.col("y.rank"))
-    enough = left >= F.greatest("x.n", "y.n") - allow(F.least("x.n_words", "y.n_words"))
+    enough = left >= F.greatest("x.n", "y.n") - of_pair(F.least("x.n_words", "y.n_words"))
     both = (F.col("x.item") == F.col("y.item")) & (F.col("x.node") > F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & enough
     # an edit changes two counts of bytes or words by one each, or one count by one
     differ = lambda c: F.aggregate(F.zip_with(f"x.{c}", f"y.{c}", lambda p, q: F.abs(p - q).cast("int")), F.lit(0), lambda a, d: a + d)
-    both &= F.when(F.col("by_words"), differ("bag") <= 2 * allow(F.least("x.n_words", "y.n_words"))).otherwise(differ("bytes_bag") <= 2 * edits)
+    least = F.least("x.n_words", "y.n_words")
+    apart = lambda c: F.abs(F.col(f"x.{c}") - F.col(f"y.{c}"))
+    by_words = F.col("by_words") & by_share(least)
+    both &= F.when(by_words, apart("n_words") <= words_of(least)).otherwise(apart("n_bytes") <= edits) & ~F.arrays_overlap("x.before", "y.before")
+    both &= F.when(by_words, differ("bag") <= 2 * words_of(least)).otherwise(differ("bytes_bag") <= 2 * edits)
     return x.join(y, both).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
 
 
