@@ -14,7 +14,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, sliced
+from .common import fresh, sliced, small_batches
 
 #: Runs of letters and marks; everything else is not evidence of a language.
 WORDS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
@@ -101,7 +101,7 @@ class Judge:
     """A model with a memory of the words it has scored, of at most `cells` numbers; a task has
     its own."""
 
-    def __init__(self, model: Model, cells: int = 1_000_000):
+    def __init__(self, model: Model, cells: int = 500_000):
         self.langs, self.find = model.langs, Pieces(model.pieces)
         self.bound = cells // max(4, len(model.langs))
         self.prob = np.vstack([model.prob, np.zeros(len(model.langs))])  # -1 has no probability
@@ -229,6 +229,7 @@ def identified(docs: DataFrame, model: Model, lang: str = "lang_pred", score: st
     und with score 0 where text is null or has no letter, or no language was learned. Every row,
     repeated ones too, and every other column stays as it is; an empty table gives no rows.
     """
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # languages times vocabulary
     keep = [c for c in docs.columns if c.lower() not in (lang.lower(), score.lower())]
     (judged,) = fresh(docs.columns, "judged")
@@ -240,7 +241,7 @@ def identified(docs: DataFrame, model: Model, lang: str = "lang_pred", score: st
             for text in part:
                 held.append(text)
                 size += len(text or "")
-                if size > 1_000_000:
+                if size > 500_000:
                     out += judge_.judge(held)
                     held, size = [], 0
             yield pd.DataFrame(out + judge_.judge(held), columns=["lang", "score"])

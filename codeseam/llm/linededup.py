@@ -19,7 +19,7 @@ from .common import WordHash, components, ends, fresh, hint, mixed, seen, sliced
 #: Groups of more lines than this that share a segment are compared through one member first.
 SMALL = 6
 #: Keys that a task holds before it groups them.
-HELD = 500_000
+HELD = 300_000
 #: Words of a gram. A line of w words has w - GRAM + 1 grams, of which an edited word changes GRAM.
 GRAM = 5
 #: Common grams come last in the order of grams; at most so many are known, from one document in
@@ -188,7 +188,7 @@ def common_grams(docs: DataFrame, share: int) -> np.ndarray:
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHash()
-        for batch in sliced(batches, 0, 1_000_000):
+        for batch in sliced(batches, 0, 250_000):
             lines = {line for text in batch.column(0).to_pylist() if text for line in text.encode("utf-8", "surrogatepass").split(b"\n")}
             of, own, _ = word_grams(list(lines), hashes)
             g, n = np.unique(np.unique(np.stack([own, of.astype(np.uint64)]), axis=1)[0], return_counts=True)
@@ -230,7 +230,7 @@ def byte_keys(lines: list[bytes], edits: int) -> tuple[np.ndarray, np.ndarray]:
     n % (edits + 1) are one longer. Substrings are hashed by differences of prefix sums.
     """
     chars = np.frombuffer(b"".join(lines), np.uint8).astype(np.uint64) + np.uint64(1)
-    room = 1 << max(16, len(chars).bit_length())
+    room = 1 << max(19, len(chars).bit_length())
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(chars * powers(BASE, room)[: len(chars)])])
     back = powers(UNBASE, room)
     n = np.fromiter(map(len, lines), np.int64, len(lines))
@@ -296,7 +296,7 @@ def _batches(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
     part: list[tuple] = []
     for row in rows:
         part.append(row)
-        if len(part) >= 50_000:
+        if len(part) >= 20_000:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*part, strict=True)], schema=ROWS)
             part = []
     if part:
@@ -326,7 +326,7 @@ def keyed(docs: DataFrame, edits: int, min_bytes: int, share: int = 0) -> DataFr
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, held, size = WordHash(), [], 0
-        for batch in sliced(batches, 0, 1_000_000):
+        for batch in sliced(batches, 0, 250_000):
             lines = {line_hash(line): line for text in batch.column(0).to_pylist() for _, line in eligible(text, min_bytes)}
             if not lines:
                 continue
@@ -444,7 +444,7 @@ def items_of(lines: DataFrame, edits: int, share: int, size: int) -> DataFrame:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHash()
-        for batch in sliced(batches, 2, 500_000):
+        for batch in sliced(batches, 2, 200_000):
             node, root, texts = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_pylist()
             split = [x.split() for x in texts]
             words = np.array([len(x) for x in split])
