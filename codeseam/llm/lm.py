@@ -262,7 +262,7 @@ def trained(docs: DataFrame, words: Vocabulary, s: Settings) -> LogBilinear:
 
     sums, types = pa.schema([("shard", pa.int64()), ("block", pa.int32()), ("rows", pa.binary())]), "shard long, block int, rows binary"
     dealt = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(max(1, shards))).alias("shard"))
-    parts, left = dealt.groupBy("shard").applyInArrow(train, types), shards
+    parts, left = dealt.repartition(max(1, shards), "shard").groupBy("shard").applyInArrow(train, types), shards
     while left > 1:
         parts, left = parts.groupBy("block", F.floor(F.col("shard") / FAN).alias("some")).applyInArrow(add, types), -(-left // FAN)
     got = {r["block"]: r["rows"] for r in parts.select("block", "rows").collect()}
