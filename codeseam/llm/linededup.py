@@ -421,17 +421,25 @@ def confirmed(pairs: DataFrame, lines: DataFrame, edits: int, share: int = 0) ->
 ITEMS = pa.schema([("node", pa.int64()), ("root", pa.int64()), ("by_words", pa.bool_()), ("n", pa.int32()), ("n_words", pa.int32()), ("item", pa.int64())])
 #: Kinds of words that are counted of a line.
 KINDS = 256
+#: Counts stop here, so that they, and differences of two, fit 16 bits. Cut counts are no further
+#: apart than the full ones, so a test that they are near still loses no link.
+MOST_COUNTED = (1 << 15) - 1
+
+
+def counted(kinds: np.ndarray | list[int], n: int) -> np.ndarray:
+    """How often each of the kinds 0 to n - 1 is among some, up to MOST_COUNTED."""
+    return np.minimum(np.bincount(np.asarray(kinds, np.int64), minlength=n), MOST_COUNTED).astype(np.int16)
 
 
 def with_bags(lines: DataFrame, share: int) -> DataFrame:
     """(node, n_bytes, bag, bytes_bag) from rows (node, line): the line's length, how many words of
-    each of KINDS kinds it has (none without a share), and how often each byte."""
+    each of KINDS kinds it has (none without a share), and how often each byte (cut counts)."""
 
     def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, 1, 1_000_000):
             texts = batch.column(1).to_pylist()
-            words = [np.bincount([xxhash.xxh3_64_intdigest(w) % KINDS for w in x.split()] if share else [], minlength=KINDS).astype(np.int16) for x in texts]
-            own = [np.bincount(np.frombuffer(x, np.uint8), minlength=256).astype(np.int16) for x in texts]
+            words = [counted([xxhash.xxh3_64_intdigest(w) % KINDS for w in x.split()] if share else [], KINDS) for x in texts]
+            own = [counted(np.frombuffer(x, np.uint8), 256) for x in texts]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in texts], pa.int32()), *(pa.array(x, pa.list_(pa.int16())) for x in (words, own))], ["node", "n_bytes", "bag", "bytes_bag"])
 
     return lines.select("node", "line").mapInArrow(bags, "node long, n_bytes int, bag array<smallint>, bytes_bag array<smallint>")

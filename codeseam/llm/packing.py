@@ -40,8 +40,8 @@ class WordTokenizer:
 
     As no token crosses a word, the distinct words of some texts are tokenized once, and the
     texts' ids are put together from them. The merges run in tiktoken: a line feed, which is no
-    part of a word, stands for the end of one. Texts with characters that are not plain go
-    through the tokenizer's own program.
+    part of a word, stands for the end of one. Texts with characters that are not plain, or with
+    one of the file's special tokens, go through the tokenizer's own program.
     """
 
     def __init__(self, path: str):
@@ -49,9 +49,9 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
-            spec = json.load(f)["model"]
+            own = json.load(f)
+        spec, self.special = own["model"], [t["content"] for t in own["added_tokens"]]
         end = spec["end_of_word_suffix"]
         # a byte's sign in the file: itself if it is printable, else the next free one from U+0100
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -80,6 +80,8 @@ class WordTokenizer:
         """The ids of each text, as little-endian unsigned 32-bit integers; of a null one, none."""
         texts = pc.fill_null(texts, "")
         plain = pc.match_substring_regex(texts, self.plain)
+        for token in self.special:
+            plain = pc.and_not(plain, pc.match_substring(texts, token))
         cut = pc.utf8_lower(pc.if_else(plain, texts, ""))
         cut = pc.replace_substring_regex(cut, self.cuts, r" \1 ")
         for c in SPACES.replace(" ", ""):

@@ -7,6 +7,7 @@ from collections import defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from tokenizers import Tokenizer
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -20,14 +21,17 @@ def tokenizer():
     return packing.WordTokenizer(tokenizer_path(TOKENIZER))
 
 
-def whole(tokenizer, text):
-    return tokenizer.whole.encode(text, add_special_tokens=False).ids
+UNTOUCHED = Tokenizer.from_file(tokenizer_path(TOKENIZER))
+
+
+def whole(text):
+    return UNTOUCHED.encode(text, add_special_tokens=False).ids
 
 
 def test_tokens_of_every_character(tokenizer):
     texts = [a + chr(c) + b for c in range(0x530) for a in ("", "a", " ", "1", ",", "'") for b in ("", "b", "'s", "é")]
     got = tokenizer.raw(pa.array(texts))
-    assert [t for t, g in zip(texts, got) if np.frombuffer(g, "<u4").tolist() != whole(tokenizer, t)] == []
+    assert [t for t, g in zip(texts, got) if np.frombuffer(g, "<u4").tolist() != whole(t)] == []
 
 
 def test_tokens_of_mixed_texts(tokenizer):
@@ -36,7 +40,16 @@ def test_tokens_of_mixed_texts(tokenizer):
     texts = ["".join(rng.choice(signs) for _ in range(rng.randrange(40))) for _ in range(4000)]
     texts += ["x" * 5000, "ab" * 3000 + " c", "don't we'll I'd x's", "<|endoftext|>", " ", "\n\n", None]
     got = tokenizer.raw(pa.array(texts, pa.string()))
-    assert [t for t, g in zip(texts, got) if np.frombuffer(g, "<u4").tolist() != whole(tokenizer, t or "")] == []
+    assert [t for t, g in zip(texts, got) if np.frombuffer(g, "<u4").tolist() != whole(t or "")] == []
+
+
+def test_special_tokens_in_texts(tokenizer):
+    rng = random.Random(2)
+    parts = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|end", "oftext|>", "a", "don't", " ", "\n", "1", "é", "漢", "İ", "<|", "|>"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(1, 9))) for _ in range(10_000)]
+    got = tokenizer.raw(pa.array(texts, pa.string()))
+    assert [t for t, g in zip(texts, got) if np.frombuffer(g, "<u4").tolist() != whole(t)] == []
+    assert whole("<|endoftext|>") == [49407]
 
 
 def test_packed(spark, tokenizer):
@@ -46,7 +59,7 @@ def test_packed(spark, tokenizer):
     own = sorted(((r["doc_id"], r["piece"], r["start"], r["length"], tuple(r["ids"])) for r in got), key=str)
     expected = []
     for doc_id, text in rows:
-        ids = [*whole(tokenizer, text or ""), 0]
+        ids = [*whole(text or ""), 0]
         expected += [(doc_id, k, at, len(ids[at : at + 128]), tuple(ids[at : at + 128])) for k, at in enumerate(range(0, len(ids), 128))]
     assert own == sorted(expected, key=str)
     bins = defaultdict(list)
@@ -187,3 +200,28 @@ def test_pipeline_stages(spark, tmp_path):
     assert set(kept["sequences"]) == set(kept["leaks"])
     whole_ = corpus_pipeline.run(spark, str(tmp_path))
     assert ids(whole_) == kept["sequences"]
+
+
+@pytest.mark.parametrize("share", [0, 5])
+def test_lines_with_counts_beyond_16_bits(spark, share):
+    """Bytes, or one word, that occur 32,767 times and more, in one group that meets under a key."""
+    rng = random.Random(9)
+    tail = lambda: "".join(rng.choices("bcdefgh", k=6_000))
+    lines = []
+    for n in (32_766, 32_767, 32_768, 40_000, 1_000_000):
+        end = tail()
+        lines += ["a" * n + end, "a" * (n + 1) + end, "a" * n + tail()]
+    word = [f"x{k}" for k in range(40)]
+    for n in (32_767, 32_768, 70_000):
+        own = [f"y{rng.randrange(10**6)}" for _ in range(40)]
+        lines += [" ".join(word + ["w"] * n + own), " ".join(word + ["w"] * (n + 1) + own), " ".join(word + ["w"] * n + own[::-1])]
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["class_doc"] for r in linededup.line_decisions(docs, 2, 60, share).collect()}
+    # a line and the one after it differ by one letter, or by one word: " w", two bytes
+    expected = {k + 1: k for k in range(0, len(lines), 3)}
+    if share:  # 5 in 100 of so many words are more than the 40 at their end
+        expected |= {k: 15 for k in range(16, 21)} | {22: 21, 23: 21}
+    assert got == expected
+    nodes = spark.createDataFrame([(i, i, x.encode()) for i, x in enumerate(lines)], "node long, root long, line binary")
+    pairs = {(r["a"], r["b"]) for r in linededup.prefix_pairs(nodes, 2, share, 60).collect()}
+    assert pairs >= {(k + 1, k) for k in range(0, len(lines), 3)}
