@@ -421,6 +421,8 @@ def confirmed(pairs: DataFrame, lines: DataFrame, edits: int, share: int = 0) ->
 ITEMS = pa.schema([("node", pa.int64()), ("root", pa.int64()), ("by_words", pa.bool_()), ("n", pa.int32()), ("n_words", pa.int32()), ("item", pa.int64())])
 #: Kinds of words that are counted of a line.
 KINDS = 256
+#: Items before its own that a row of a prefix carries: a long line has a long prefix.
+BEFORE = 64
 #: Counts stop here, so that they, and differences of two, fit 16 bits. Cut counts are no further
 #: apart than the full ones, so a test that they are near still loses no link.
 MOST_COUNTED = (1 << 15) - 1
@@ -496,8 +498,8 @@ def prefix_pairs(lines: DataFrame, edits: int, share: int, min_bytes: int) -> Da
     shared = items.join(df.hint("merge"), "item").withColumn("m", F.count("*").over(own)).withColumn("allow", of_line).where("m >= n - allow")
     rare = own.orderBy("df", "item")
     prefix = shared.withColumn("rank", F.row_number().over(rare)).where("rank + n - m <= allow + 1")
-    # with the items before each, a pair is made at its first common item only
-    prefix = prefix.withColumn("before", F.collect_list("item").over(rare.rowsBetween(Window.unboundedPreceding, -1)))
+    # with the items just before each, a pair is made at its first common item and seldom again
+    prefix = prefix.withColumn("before", F.collect_list("item").over(rare.rowsBetween(-BEFORE, -1)))
     split = prefix.groupBy("item").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("item")
     bags = with_bags(lines.select("node", "line").distinct(), share)
     prefix = prefix.select("item", "node", "root", "by_words", "n", "n_words", "m", "rank", "before").join(split.hint("merge"), "item", "left_semi")
