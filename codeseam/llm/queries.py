@@ -9,7 +9,7 @@ from functools import cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, fingerprint, langid, linededup, lm, minhash, packing, pii, toxicity, urlfilter
+from . import audit, decontam, fingerprint, infill, langid, linededup, lm, minhash, packing, pii, setjoin, toxicity, urlfilter
 from .common import doc_bucket
 
 TOKENIZER, VOCABULARY = "word_bpe_49k.json", "piece_bpe_32k.model"
@@ -86,4 +86,18 @@ def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_decontamination, op3_pii, op4_near_duplicates, op5_line_dedup, op6_fingerprints, op7_packing, op8_url_filter, op9_language, op10_lm)}
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_set_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return setjoin.similar_sets(table(spark, sf_dir, "documents"), percent=90)
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = infill.filled_in(table(spark, sf_dir, "documents"))
+    digest = lambda c: F.sha2(c, 256)
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest(F.col("output")).alias("output_sha256"), digest(infill.restored("form", "output")).alias("restored_sha256"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_decontamination, op3_pii, op4_near_duplicates, op5_line_dedup, op6_fingerprints, op7_packing, op8_url_filter, op9_language, op10_lm, op11_filter_audit, op12_set_join, op13_fill_in_middle)}
