@@ -17,6 +17,8 @@ from .minhash import shingle_set, shingle_sets
 MEMBERS, TOKENS = 32, 200_000
 #: Queries of a group that one task compares.
 QUERIES = 512
+#: Tokens are counted in so many bins, each count up to BIN_MOST, to bound what two sets share.
+BINS, BIN_MOST = 256, 255
 #: Common tokens come last in the order of tokens; at most so many are known, from one text in
 #: COMMON_OF. Which ones are known changes the cost of the join, not its links.
 COMMON, COMMON_OF = 1_000_000, 16
@@ -54,9 +56,24 @@ def first_tokens(tokens: np.ndarray, common: np.ndarray, percent: int) -> np.nda
     return np.concatenate([tokens[~late][:size], tokens[late]])[:size]
 
 
+def binned(tokens: np.ndarray) -> bytes:
+    """How many tokens of a set fall in each bin, one byte a bin."""
+    return np.minimum(np.bincount((tokens >> np.uint64(56)).astype(np.int64), minlength=BINS), BIN_MOST).astype(np.uint8).tobytes()
+
+
+def most_shared(n: np.ndarray, bins: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Row by row, no set within the bins of `others` shares more tokens than this with a set of n
+    tokens that has `bins`. What was cut off from a bin's count may all be shared."""
+    return np.minimum(bins, others).sum(1, dtype=np.int64) + n - bins.sum(1, dtype=np.int64)
+
+
+def rows_of(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), BINS)
+
+
 def described(docs: DataFrame, percent: int, width: int) -> DataFrame:
-    """(doc_id, n_shingles, set_a, set_b, lead, form, prefix): set size, 128-bit digest of the set,
-    two MinHash sketches (one coordinate, and three) and the prefix."""
+    """(doc_id, n_shingles, set_a, set_b, lead, form, prefix, bins): set size, 128-bit digest of the
+    set, two MinHash sketches (one coordinate, and three), the prefix and counts of tokens."""
     common = docs.sparkSession.sparkContext.broadcast(common_tokens(docs, width))
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -74,12 +91,12 @@ def described(docs: DataFrame, percent: int, width: int) -> DataFrame:
             prefix = [first_tokens(s, common.value, percent).view(np.int64) if len(s) else s.view(np.int64) for s in sets]
             offsets = np.cumsum([0, *map(len, prefix)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n), *(pa.array(x.view(np.int64)) for x in out), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(prefix)))],
-                ["doc_id", "n_shingles", "set_a", "set_b", "lead", "form", "prefix"],
+                [batch.column(0), pa.array(n), *(pa.array(x.view(np.int64)) for x in out), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(prefix))), pa.array([binned(s) for s in sets], pa.binary())],
+                ["doc_id", "n_shingles", "set_a", "set_b", "lead", "form", "prefix", "bins"],
             )
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(describe, "doc_id long, n_shingles long, set_a long, set_b long, lead long, form long, prefix array<long>")
+    return rows.mapInArrow(describe, "doc_id long, n_shingles long, set_a long, set_b long, lead long, form long, prefix array<long>, bins binary")
 
 
 MATRIX = "g long, members array<long>, roots array<long>, sizes array<int>, tokens array<long>, places array<int>"
@@ -123,6 +140,24 @@ def links_within(matrix: DataFrame, percent: int) -> DataFrame:
     return matrix.mapInArrow(link, "a long, b long")
 
 
+def may_open(asked: DataFrame, placed: DataFrame, percent: int) -> DataFrame:
+    """The rows (rep, root, g) of `asked` whose set and some member of the group can be linked by
+    the counts in their bins. A group's bins hold the largest count of any member."""
+
+    def widest(group: pa.Table) -> pa.Table:
+        return pa.table([group.column("g")[:1], pa.array([rows_of(group.column("bins").combine_chunks()).max(0).tobytes()], pa.binary())], ["g", "others"])
+
+    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.column(3).to_numpy()
+            open_ = most_shared(n, rows_of(batch.column(4)), rows_of(batch.column(5))) >= least_common(n, percent)
+            yield batch.select([0, 1, 2]).filter(pa.array(open_))
+
+    groups = placed.join(asked.select("g").distinct().hint("merge"), "g", "left_semi").select("g", "bins").groupBy("g").applyInArrow(widest, "g long, others binary")
+    both = asked.join(placed.select("rep", "n", "bins").hint("merge"), "rep").join(groups.hint("merge"), "g")
+    return both.select("rep", "root", "g", "n", "bins", "others").mapInArrow(bound, "rep long, root long, g long")
+
+
 def links_across(queries: DataFrame, matrix: DataFrame, percent: int) -> DataFrame:
     """(a, b) from rows (g, doc_id, root, shingles) that may be linked to members of group g with
     another root: a query has least_common() tokens in the group's union, or the group stays shut.
@@ -183,13 +218,14 @@ def similar_sets(docs: DataFrame, percent: int = 80, width: int = 3) -> DataFram
     Equal sets fold into one. Similar sets are partitioned into groups (grouped()) and compared
     there; links make components. A token-group matrix then finds the links between groups: of
     every set the prefix, and of every group its members' prefixes, meet under tokens that several
-    components hold; a query opens a group only if the union of all its tokens holds enough of the
-    query's. Both tests pass every link, so none is lost. Groups whose members are all in the
+    components hold. Counts of tokens in bins rule most of these meetings out before sets are
+    moved, and a query opens a group only if the union of all its tokens holds enough of the
+    query's. All tests pass every link, so none is lost. Groups whose members are all in the
     query's own component are not asked.
     """
     base = written(described(docs, percent, width), "sets")
     filled = base.where("doc_id is not null and n_shingles > 0")
-    classes = written(filled.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"), *(F.first(c).alias(c if c != "n_shingles" else "n") for c in ("n_shingles", "lead", "form", "prefix"))), "classes")
+    classes = written(filled.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"), *(F.first(c).alias(c if c != "n_shingles" else "n") for c in ("n_shingles", "lead", "form", "prefix", "bins"))), "classes")
     own, guests = grouped(classes)
     own = written(own, "groups")
     # groups of one have nothing to compare
@@ -203,7 +239,7 @@ def similar_sets(docs: DataFrame, percent: int = 80, width: int = 3) -> DataFram
     links = written(links_within(matrix_of(inside), percent).union(same), "links")
     roots = components(links)
 
-    placed = classes.select("rep", "n", "prefix").join(own.select("rep", "g").distinct().hint("merge"), "rep").join(roots.withColumnRenamed("node", "rep").hint("merge"), "rep", "left")
+    placed = classes.select("rep", "n", "prefix", "bins").join(own.select("rep", "g").distinct().hint("merge"), "rep").join(roots.withColumnRenamed("node", "rep").hint("merge"), "rep", "left")
     placed = written(placed.withColumn("root", F.coalesce("root", "rep")), "placed")
     tokens = placed.select("rep", "g", "root", "n", F.explode("prefix").alias("token"))
     shared = tokens.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("token")
@@ -212,6 +248,7 @@ def similar_sets(docs: DataFrame, percent: int = 80, width: int = 3) -> DataFram
     # the larger set of a pair is the query
     asks = (F.col("g") != F.col("of")) & ((F.col("lo") != F.col("root")) | (F.col("hi") != F.col("root"))) & (F.col("least") <= F.col("n")) & (F.col("most") * 100 >= F.col("n") * percent)
     asked = written(tokens.join(index.hint("merge"), "token").where(asks).select("rep", "root", F.col("of").alias("g")).distinct(), "asked")
+    asked = written(may_open(asked, placed, percent), "may_open")
     if not asked.isEmpty():
         opened = placed.select("rep", "g", "root").join(asked.select("g").distinct().hint("merge"), "g", "left_semi")
         wanted = written(asked.select("rep").union(opened.select("rep")).distinct().withColumnRenamed("rep", "doc_id"), "wanted")

@@ -149,6 +149,16 @@ def test_prefixes_of_linked_sets_meet():
                 assert set(setjoin.first_tokens(x, late, percent).tolist()) & set(setjoin.first_tokens(y, late, percent).tolist())
 
 
+def test_bins_bound_what_sets_share():
+    rng = np.random.default_rng(5)
+    for size in (5, 300, 100_000):
+        a, b, c = (np.unique(rng.integers(0, 2**64, size, np.uint64) >> np.uint64(rng.integers(0, 4))) for _ in range(3))
+        a = np.union1d(a, b[: size // 2])
+        others = np.frombuffer(setjoin.binned(b), np.uint8), np.frombuffer(setjoin.binned(c), np.uint8)
+        bound = setjoin.most_shared(np.array([len(a)]), np.frombuffer(setjoin.binned(a), np.uint8)[None], np.maximum(*others)[None])
+        assert len(np.intersect1d(a, b)) <= bound[0] <= len(a)
+
+
 def moved(doc_id, text):
     units = re.findall(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+", text)
     n = len(units)
