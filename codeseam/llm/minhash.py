@@ -95,9 +95,9 @@ def signed(docs: DataFrame, bands: int, rows: int, width: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(sign, "doc_id long, n_shingles long, set_a long, set_b long, keys array<long>")
 
 
-def shingle_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """(doc_id, shingles) of the documents in `wanted`: the hashed shingle set of each. Only these
-    sets are moved: a hint sorts out most others first."""
+def hinted_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """(doc_id, shingles) of the documents in `wanted` and of few others: the hashed shingle set of
+    each. Nothing is moved: a hint sorts out most others."""
     shared = hint(wanted.select(F.xxhash64("doc_id").alias("h")))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,7 +111,12 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(own).view(np.int64)))], ["doc_id", "shingles"])
 
     rows = docs.select("doc_id", "text", F.xxhash64("doc_id").alias("h")).where("doc_id is not null")
-    return rows.mapInArrow(sets, "doc_id long, shingles array<long>").join(wanted.hint("merge"), "doc_id", "left_semi")
+    return rows.mapInArrow(sets, "doc_id long, shingles array<long>")
+
+
+def shingle_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """(doc_id, shingles) of the documents in `wanted`. Only these sets, and few others, are moved."""
+    return hinted_sets(docs, wanted, width).join(wanted.hint("merge"), "doc_id", "left_semi")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

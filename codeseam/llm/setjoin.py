@@ -9,14 +9,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHash, components, ends, mixed, sliced, written
-from .minhash import shingle_set, shingle_sets
+from .common import WordHash, components, dropped, hint, mixed, seen, sliced, written
+from .minhash import hinted_sets, shingle_set
 
 #: A group of similar documents has about this many members and tokens; a larger family of
 #: documents is dealt out over several groups.
 MEMBERS, TOKENS = 32, 200_000
-#: Queries of a group that one task compares.
-QUERIES = 512
+#: Groups that one task compares with a group.
+QUERIES = 32
+#: Coordinates of MinHash, each of which makes families of similar sets.
+LEADS = 3
 #: Tokens are counted in so many bins, each count up to BIN_MOST, to bound what two sets share.
 BINS, BIN_MOST = 256, 255
 #: Common tokens come last in the order of tokens; at most so many are known, from one text in
@@ -62,8 +64,8 @@ def binned(tokens: np.ndarray) -> bytes:
 
 
 def most_shared(n: np.ndarray, bins: np.ndarray, others: np.ndarray) -> np.ndarray:
-    """Row by row, no set within the bins of `others` shares more tokens than this with a set of n
-    tokens that has `bins`. What was cut off from a bin's count may all be shared."""
+    """Row by row, no set with the bins `others` shares more tokens than this with a set of n tokens
+    that has `bins`. What was cut off from a bin's count may all be shared."""
     return np.minimum(bins, others).sum(1, dtype=np.int64) + n - bins.sum(1, dtype=np.int64)
 
 
@@ -72,8 +74,8 @@ def rows_of(column: pa.Array) -> np.ndarray:
 
 
 def described(docs: DataFrame, percent: int, width: int) -> DataFrame:
-    """(doc_id, n_shingles, set_a, set_b, lead, form, prefix, bins): set size, 128-bit digest of the
-    set, two MinHash sketches (one coordinate, and three), the prefix and counts of tokens."""
+    """(doc_id, n_shingles, set_a, set_b, leads, prefix, bins): set size, 128-bit digest of the set,
+    LEADS coordinates of MinHash, the prefix and counts of tokens."""
     common = docs.sparkSession.sparkContext.broadcast(common_tokens(docs, width))
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -82,21 +84,27 @@ def described(docs: DataFrame, percent: int, width: int) -> DataFrame:
             sets = [shingle_set(t, hashes, width) for t in batch.column(1).to_pylist()]
             n = np.array([len(s) for s in sets])
             full = np.flatnonzero(n)
-            out = np.zeros((4, len(sets)), np.uint64)
+            out, leads = np.zeros((2, len(sets)), np.uint64), np.zeros((len(sets), LEADS), np.uint64)
             if len(full):
                 flat, at = np.concatenate([sets[i] for i in full]), np.cumsum(np.concatenate([[0], n[full][:-1]]))
-                least = [np.minimum.reduceat(mixed(flat ^ np.uint64(seed)), at) for seed in (11, 12, 13, 14)]
-                form = mixed(mixed(mixed(least[1]) + least[2]) + least[3])
-                out[:, full] = np.add.reduceat(mixed(flat), at), np.add.reduceat(mixed(flat ^ np.uint64(0x5851F42D4C957F2D)), at), least[0], form
+                least = [np.minimum.reduceat(mixed(flat ^ np.uint64(seed)), at) for seed in range(1, LEADS + 1)]
+                for k in range(LEADS):
+                    leads[full, k] = mixed(least[k] + np.uint64(k))
+                out[:, full] = np.add.reduceat(mixed(flat), at), np.add.reduceat(mixed(flat ^ np.uint64(0x5851F42D4C957F2D)), at)
             prefix = [first_tokens(s, common.value, percent).view(np.int64) if len(s) else s.view(np.int64) for s in sets]
             offsets = np.cumsum([0, *map(len, prefix)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n), *(pa.array(x.view(np.int64)) for x in out), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(prefix))), pa.array([binned(s) for s in sets], pa.binary())],
-                ["doc_id", "n_shingles", "set_a", "set_b", "lead", "form", "prefix", "bins"],
+                [batch.column(0), pa.array(n), *(pa.array(x.view(np.int64)) for x in out), pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * LEADS), pa.array(leads.view(np.int64).ravel())), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(prefix))), pa.array([binned(s) for s in sets], pa.binary())],
+                ["doc_id", "n_shingles", "set_a", "set_b", "leads", "prefix", "bins"],
             )
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(describe, "doc_id long, n_shingles long, set_a long, set_b long, lead long, form long, prefix array<long>, bins binary")
+    return rows.mapInArrow(describe, "doc_id long, n_shingles long, set_a long, set_b long, leads array<long>, prefix array<long>, bins binary")
+
+
+def lists_of(column: pa.ListArray) -> list[np.ndarray]:
+    """The lists of a column as arrays, without making Python numbers of them."""
+    return np.split(column.flatten().to_numpy(), np.cumsum(np.diff(column.offsets.to_numpy()))[:-1])
 
 
 MATRIX = "g long, members array<long>, roots array<long>, sizes array<int>, tokens array<long>, places array<int>"
@@ -124,87 +132,125 @@ def links_within(matrix: DataFrame, percent: int) -> DataFrame:
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = [], []
-            for row in batch.select(["members", "sizes", "tokens", "places"]).to_pylist():
-                n, at = np.array(row["sizes"]), np.concatenate([[0], np.cumsum(row["sizes"])])
-                places, root = np.array(row["places"]), np.arange(len(n))
+            for members, n, tokens, places in zip(*(lists_of(batch.column(c)) for c in ("members", "sizes", "tokens", "places")), strict=True):
+                at, root = np.concatenate([[0], np.cumsum(n)]), np.arange(len(n))
                 for i in range(1, len(n)):
-                    mine = np.zeros(len(row["tokens"]), bool)
+                    mine = np.zeros(len(tokens), bool)
                     mine[places[at[i] : at[i + 1]]] = True
                     same = np.add.reduceat(mine[places[: at[i]]].astype(np.int64), at[:i])
-                    for r in np.unique(root[:i][same * (100 + percent) >= (n[:i] + n[i]) * percent]).tolist():
-                        a.append(row["members"][i])
-                        b.append(row["members"][r])
+                    for r in np.unique(root[:i][same * (100 + percent) >= (n[:i].astype(np.int64) + n[i]) * percent]).tolist():
+                        a.append(members[i])
+                        b.append(members[r])
                         root[root == root[r]] = root[i]
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     return matrix.mapInArrow(link, "a long, b long")
 
 
-def may_open(asked: DataFrame, placed: DataFrame, percent: int) -> DataFrame:
-    """The rows (rep, root, g) of `asked` whose set and some member of the group can be linked by
-    the counts in their bins. A group's bins hold the largest count of any member."""
+def may_open(pairs: DataFrame, placed: DataFrame, percent: int) -> DataFrame:
+    """The pairs of groups (g, of) some of whose members can be linked by the counts in their bins.
+    A group's bins hold the largest count of any member."""
 
     def widest(group: pa.Table) -> pa.Table:
-        return pa.table([group.column("g")[:1], pa.array([rows_of(group.column("bins").combine_chunks()).max(0).tobytes()], pa.binary())], ["g", "others"])
+        row = [group.column("g")[0].as_py(), min(group.column("n").to_pylist()), max(group.column("n").to_pylist()), rows_of(group.column("bins").combine_chunks()).max(0).tobytes()]
+        return pa.table([pa.array([x], t) for x, t in zip(row, [pa.int64()] * 3 + [pa.binary()], strict=True)], ["g", "least", "most", "bins"])
 
     def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n = batch.column(3).to_numpy()
-            open_ = most_shared(n, rows_of(batch.column(4)), rows_of(batch.column(5))) >= least_common(n, percent)
-            yield batch.select([0, 1, 2]).filter(pa.array(open_))
-
-    groups = placed.join(asked.select("g").distinct().hint("merge"), "g", "left_semi").select("g", "bins").groupBy("g").applyInArrow(widest, "g long, others binary")
-    both = asked.join(placed.select("rep", "n", "bins").hint("merge"), "rep").join(groups.hint("merge"), "g")
-    return both.select("rep", "root", "g", "n", "bins", "others").mapInArrow(bound, "rep long, root long, g long")
-
-
-def links_across(queries: DataFrame, matrix: DataFrame, percent: int) -> DataFrame:
-    """(a, b) from rows (g, doc_id, root, shingles) that may be linked to members of group g with
-    another root: a query has least_common() tokens in the group's union, or the group stays shut.
-    A group with many queries is dealt out, with them, over several tasks."""
+            least, others, most = (np.maximum(batch.column(i).to_numpy(), batch.column(i + 1).to_numpy()) if i == 2 else batch.column(i).to_numpy() for i in (2, 4, 5))
+            x, y = rows_of(batch.column(6)), rows_of(batch.column(7))
+            # counts cut off in both may be shared: no more of them than the largest member has
+            cut = np.where(((x == BIN_MOST) & (y == BIN_MOST)).any(1), np.minimum(others, most), 0)
+            yield batch.select([0, 1]).filter(pa.array(np.minimum(x, y).sum(1, dtype=np.int64) + cut >= least_common(least, percent)))
+
+    asked = pairs.select(F.explode(F.array("g", "of")).alias("g")).distinct()
+    groups = placed.join(asked.hint("merge"), "g", "left_semi").select("g", "n", "bins").groupBy("g").applyInArrow(widest, "g long, least long, most long, bins binary")
+    groups = written(groups, "bins")
+    one, two = (groups.toDF(k, *(f"{c}_{k}" for c in ("least", "most", "bins"))) for k in ("g", "of"))
+    both = pairs.join(one.hint("merge"), "g").join(two.hint("merge"), "of")
+    return both.select("g", "of", "least_g", "least_of", "most_g", "most_of", "bins_g", "bins_of").mapInArrow(bound, "g long, of long")
+
+
+def links_across(pairs: DataFrame, matrix: DataFrame, percent: int) -> DataFrame:
+    """(a, b): links between members, with different roots, of the pairs of groups (g, of). Every
+    member of g is a query: only if the union of all tokens of `of` has least_common() of its tokens
+    are the members of `of` looked at. A group that many ask is dealt out, with them, over several
+    tasks."""
 
     def compare(left: pa.Table, right: pa.Table) -> pa.Table:
         a, b = [], []
-        for row in right.to_pylist():
-            union, roots, n = np.array(row["tokens"], np.int64).view(np.uint64), np.array(row["roots"]), np.array(row["sizes"])
-            places, at = np.array(row["places"]), np.concatenate([[0], np.cumsum(n)[:-1]])
-            for doc_id, root, tokens in zip(left.column("doc_id").to_pylist(), left.column("root").to_pylist(), left.column("shingles").combine_chunks(), strict=True):
-                own = tokens.values.to_numpy().view(np.uint64)
-                where = np.minimum(np.searchsorted(union, own), len(union) - 1)
-                held = where[union[where] == own]
-                if len(held) < least_common(len(own), percent):
-                    continue
-                mine = np.zeros(len(union), np.int64)
-                mine[held] = 1
-                same = np.add.reduceat(mine[places], at)
-                linked = (same * (100 + percent) >= (n + len(own)) * percent) & (roots != root)
-                _, first = np.unique(roots[linked], return_index=True)
-                for i in np.flatnonzero(linked)[first].tolist():
-                    a.append(doc_id)
-                    b.append(row["members"][i])
+        names = ("members", "roots", "sizes", "tokens", "places")
+        members, roots, n, union, places = (lists_of(right.column(c).combine_chunks())[0] for c in names)
+        union, at = union.view(np.uint64), np.concatenate([[0], np.cumsum(n)[:-1]])
+        for batch in left.select(names).to_batches():
+            for asking_, own_roots, sizes, tokens, own_places in zip(*map(lists_of, batch.columns), strict=True):
+                where = np.minimum(np.searchsorted(union, tokens.view(np.uint64)), len(union) - 1)
+                where = np.where(union[where] == tokens.view(np.uint64), where, -1)
+                for doc_id, root, own in zip(asking_.tolist(), own_roots.tolist(), np.split(where[own_places], np.cumsum(sizes)[:-1]), strict=True):
+                    held = own[own >= 0]
+                    if len(held) < least_common(len(own), percent):
+                        continue
+                    mine = np.zeros(len(union), np.int64)
+                    mine[held] = 1
+                    same = np.add.reduceat(mine[places], at)
+                    linked = (same * (100 + percent) >= (n.astype(np.int64) + len(own)) * percent) & (roots != root)
+                    _, first = np.unique(roots[linked], return_index=True)
+                    for i in np.flatnonzero(linked)[first].tolist():
+                        a.append(doc_id)
+                        b.append(members[i])
         return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    tasks = queries.groupBy("g").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("tasks"))
-    left = queries.join(tasks.hint("merge"), "g").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("tasks")).cast("int"))
-    right = matrix.join(tasks.hint("merge"), "g").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)))
-    return left.select("g", "part", "doc_id", "root", "shingles").groupBy("g", "part").cogroup(right.drop("tasks").groupBy("g", "part")).applyInArrow(compare, "a long, b long")
+    tasks = pairs.groupBy("of").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("tasks"))
+    left = pairs.join(tasks.hint("merge"), "of").withColumn("part", F.pmod(F.xxhash64("g"), F.col("tasks")).cast("int")).join(matrix.hint("merge"), "g").drop("tasks")
+    right = matrix.select(F.col("g").alias("of"), *(F.col(c).alias(c) for c in matrix.columns[1:])).join(tasks.hint("merge"), "of").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)))
+    return left.groupBy("of", "part").cogroup(right.drop("tasks").groupBy("of", "part")).applyInArrow(compare, "a long, b long")
 
 
-def grouped(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(rep, g): every set's group, and the further groups of pivots.
+def grouped(classes: DataFrame, percent: int) -> DataFrame:
+    """(rep, g, own): the groups of similar sets; of a set's groups, one is its own.
 
-    Sets with an equal sketch `lead`, as two similar sets have with a probability of their
-    similarity, are a family, dealt out over groups of about MEMBERS sets by a digest. Its pivot, a
-    set whose other sketch most of the family have, joins all of its groups.
+    Sets with an equal coordinate of MinHash, as two similar sets have with a probability of their
+    similarity, are a family. Its pivot is a set whose coordinates most of them have; those that
+    may be linked to it, by the counts in their bins, are dealt out over groups of about MEMBERS
+    sets by a digest, and the pivot joins all of these. Any other set is no member of a group here.
     """
-    family = classes.groupBy("lead").agg(F.count("*").alias("sets"), F.sum("n").alias("tokens"))
-    parts = family.select("lead", F.ceil(F.greatest(F.col("sets") / MEMBERS, F.col("tokens") / TOKENS)).alias("parts"), (F.col("sets") > 1).alias("several"))
-    own = classes.join(parts.hint("merge"), "lead").withColumn("g", F.xxhash64("lead", F.pmod(F.xxhash64("rep"), "parts")))
-    forms = classes.groupBy("lead", "form").agg(F.count("*").alias("sets"), F.min("rep").alias("rep"))
-    pivots = forms.groupBy("lead").agg(F.max_by("rep", F.struct("sets", -F.col("rep"))).alias("rep"))
-    many = pivots.join(parts.where("parts > 1").hint("merge"), "lead")
-    guests = many.select("rep", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda k: F.xxhash64("lead", k))).alias("g"))
-    return own.select("rep", "g", "several"), guests
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, m = batch.column(1).to_numpy(), batch.column(5).to_numpy()
+            shared = np.minimum(most_shared(n, rows_of(batch.column(3)), rows_of(batch.column(6))), np.minimum(n, m))
+            some = shared * (100 + percent) >= (n + m) * percent
+            yield batch.select([0, 1, 2, 4]).filter(pa.array(some))
+
+    led = classes.select("rep", F.explode("leads").alias("lead"))
+    several = led.groupBy("lead").agg(F.count("*").alias("sets")).where("sets > 1").select("lead")
+    some = led.join(several.hint("merge"), "lead", "left_semi").join(classes.select("rep", "n", F.xxhash64("leads").alias("form"), "bins").hint("merge"), "rep")
+    forms = some.groupBy("lead", "form").agg(F.count("*").alias("sets"), F.min(F.struct("rep", "n", "bins")).alias("p"))
+    pivots = forms.groupBy("lead").agg(F.max_by("p", F.struct("sets", -F.col("p.rep"))).alias("p")).select("lead", F.col("p.rep").alias("pivot"), F.col("p.n").alias("m"), F.col("p.bins").alias("others"))
+    both = some.drop("form").join(pivots.hint("merge"), "lead").select("rep", "n", "lead", "bins", "pivot", "m", "others")
+    close = written(both.mapInArrow(near, "rep long, n long, lead long, pivot long"), "families")
+    parts = close.groupBy("lead", "pivot").agg(F.count("*").alias("sets"), F.sum("n").alias("tokens")).where("sets > 1")
+    parts = parts.select("lead", "pivot", F.ceil(F.greatest(F.col("sets") / MEMBERS, F.col("tokens") / TOKENS)).alias("parts"))
+    own = close.select("rep", "lead").join(parts.hint("merge"), "lead").select("rep", F.xxhash64("lead", F.pmod(F.xxhash64("rep"), "parts")).alias("g"), F.lit(True).alias("own"))
+    guests = parts.where("parts > 1").select(F.col("pivot").alias("rep"), F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda k: F.xxhash64("lead", k))).alias("g"), F.lit(False).alias("own"))
+    return own.union(guests).groupBy("rep", "g").agg(F.max("own").alias("own"))
+
+
+def asking(placed: DataFrame, shared: DataFrame) -> DataFrame:
+    """(g, loose, root, n, token): the tokens of prefixes that are in the one column of `shared`. A
+    hint sorts out most others before any are moved."""
+    bitmap = hint(shared)
+
+    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(4)
+            flat, sizes = lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy())
+            keep = seen(bitmap.value, flat)
+            rows = pa.array(np.repeat(np.arange(len(batch)), sizes)[keep])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i).take(rows) for i in range(4)), pa.array(flat[keep])], ["g", "loose", "root", "n", "token"])
+
+    rows = placed.select("g", "loose", "root", "n", "prefix").mapInArrow(tokens, "g long, loose boolean, root long, n long, token long")
+    return rows.join(shared.hint("merge"), "token", "left_semi")
 
 
 def similar_sets(docs: DataFrame, percent: int = 80, width: int = 3) -> DataFrame:
@@ -216,22 +262,21 @@ def similar_sets(docs: DataFrame, percent: int = 80, width: int = 3) -> DataFram
     columns are not read.
 
     Equal sets fold into one. Similar sets are partitioned into groups (grouped()) and compared
-    there; links make components. A token-group matrix then finds the links between groups: of
-    every set the prefix, and of every group its members' prefixes, meet under tokens that several
-    components hold. Counts of tokens in bins rule most of these meetings out before sets are
-    moved, and a query opens a group only if the union of all its tokens holds enough of the
-    query's. All tests pass every link, so none is lost. Groups whose members are all in the
-    query's own component are not asked.
+    there; links make components. A token-group matrix then finds the links between groups: groups
+    meet under tokens that several components hold, if the token is in the prefix of some member of
+    each. Counts of tokens in bins rule most of these meetings out before sets are moved, and a
+    query opens a group only if the union of all its tokens holds enough of the query's. All tests
+    pass every link, so none is lost. What lies in one component is not compared again.
     """
-    base = written(described(docs, percent, width), "sets")
+    described_ = written(described(docs, percent, width), "described")
+    base = written(described_.select("doc_id", "n_shingles", "set_a", "set_b"), "sets")
     filled = base.where("doc_id is not null and n_shingles > 0")
-    classes = written(filled.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"), *(F.first(c).alias(c if c != "n_shingles" else "n") for c in ("n_shingles", "lead", "form", "prefix", "bins"))), "classes")
-    own, guests = grouped(classes)
-    own = written(own, "groups")
-    # groups of one have nothing to compare
-    members = own.where("several").select("rep", "g").union(guests).distinct()
-    sets = shingle_sets(docs, members.select(F.col("rep").alias("doc_id")).distinct(), width)
-    inside = members.join(sets.withColumnRenamed("doc_id", "rep").hint("merge"), "rep").select("g", F.col("rep").alias("doc_id"), F.col("rep").alias("root"), "shingles")
+    one = described_.where("doc_id is not null and n_shingles > 0").groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"), *(F.first(c).alias(c if c != "n_shingles" else "n") for c in ("n_shingles", "leads", "prefix", "bins")))
+    classes = written(one, "classes")
+    dropped(described_)
+    members = written(grouped(classes, percent), "groups")
+    sets = hinted_sets(docs, members.select(F.col("rep").alias("doc_id")).distinct(), width).withColumnRenamed("doc_id", "rep")
+    inside = members.select("rep", "g").join(sets.hint("merge"), "rep").select("g", F.col("rep").alias("doc_id"), F.col("rep").alias("root"), "shingles")
     # a document of several rows with different sets links them
     several = filled.groupBy("doc_id").agg(F.min(F.struct("set_a", "set_b")).alias("lo"), F.max(F.struct("set_a", "set_b")).alias("hi")).where("lo <> hi")
     of_several = filled.join(several.select("doc_id").hint("merge"), "doc_id", "left_semi").join(classes.select("set_a", "set_b", "rep").hint("merge"), ["set_a", "set_b"]).select("doc_id", "rep").distinct()
@@ -239,26 +284,32 @@ def similar_sets(docs: DataFrame, percent: int = 80, width: int = 3) -> DataFram
     links = written(links_within(matrix_of(inside), percent).union(same), "links")
     roots = components(links)
 
-    placed = classes.select("rep", "n", "prefix", "bins").join(own.select("rep", "g").distinct().hint("merge"), "rep").join(roots.withColumnRenamed("node", "rep").hint("merge"), "rep", "left")
-    placed = written(placed.withColumn("root", F.coalesce("root", "rep")), "placed")
-    tokens = placed.select("rep", "g", "root", "n", F.explode("prefix").alias("token"))
-    shared = tokens.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("token")
-    tokens = written(tokens.join(shared.hint("merge"), "token", "left_semi"), "tokens")
-    index = tokens.groupBy("token", "g").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("n").alias("least"), F.max("n").alias("most")).withColumnRenamed("g", "of")
-    # the larger set of a pair is the query
-    asks = (F.col("g") != F.col("of")) & ((F.col("lo") != F.col("root")) | (F.col("hi") != F.col("root"))) & (F.col("least") <= F.col("n")) & (F.col("most") * 100 >= F.col("n") * percent)
-    asked = written(tokens.join(index.hint("merge"), "token").where(asks).select("rep", "root", F.col("of").alias("g")).distinct(), "asked")
-    asked = written(may_open(asked, placed, percent), "may_open")
-    if not asked.isEmpty():
-        opened = placed.select("rep", "g", "root").join(asked.select("g").distinct().hint("merge"), "g", "left_semi")
-        wanted = written(asked.select("rep").union(opened.select("rep")).distinct().withColumnRenamed("rep", "doc_id"), "wanted")
-        sets = written(shingle_sets(docs, wanted, width), "shingles").withColumnRenamed("doc_id", "rep")
-        with_sets = lambda rows: rows.join(sets.hint("merge"), "rep").select("g", F.col("rep").alias("doc_id"), "root", "shingles")
-        found = written(links_across(with_sets(asked), written(matrix_of(with_sets(opened)), "matrix"), percent), "links")
+    placed = classes.join(members.where("own").groupBy("rep").agg(F.min("g").alias("g")).hint("merge"), "rep", "left").join(roots.withColumnRenamed("node", "rep").hint("merge"), "rep", "left")
+    # of the sets without a group, larger families are dealt out over groups too
+    alone = placed.where("g is null").groupBy(F.col("leads")[0].alias("lead")).agg(F.count("*").alias("sets"), F.sum("n").alias("tokens")).where(F.col("sets") > MEMBERS // 4)
+    alone = alone.select("lead", F.ceil(F.greatest(F.col("sets") / MEMBERS, F.col("tokens") / TOKENS)).alias("parts"))
+    placed = placed.join(alone.hint("merge"), F.col("g").isNull() & (F.col("leads")[0] == F.col("lead")), "left")
+    placed = written(placed.select("rep", "n", "prefix", "bins", F.coalesce("g", F.when(F.col("lead").isNotNull(), F.xxhash64(F.col("lead"), F.lit("alone"), F.pmod(F.xxhash64("rep"), "parts"))), F.xxhash64("rep", F.lit("alone"))).alias("g"), F.col("g").isNull().alias("loose"), F.coalesce("root", "rep").alias("root")), "placed")
+    reps = written(classes.select("set_a", "set_b", "rep"), "reps")
+    dropped(classes)
+    tokens = placed.select("root", F.explode("prefix").alias("token"))
+    shared = written(tokens.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("token"), "shared")
+    tokens = written(asking(placed, shared), "tokens")
+    index = written(tokens.groupBy("token", "g").agg(F.max("loose").alias("loose"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("n").alias("least"), F.max("n").alias("most")), "index")
+    x, y = index.alias("x"), index.alias("y")
+    # the members of a group with a pivot are compared already
+    asks = (F.col("x.g") < F.col("y.g")) | (F.col("x.g") == F.col("y.g")) & F.col("x.loose")
+    asks &= (F.least("x.lo", "y.lo") != F.greatest("x.hi", "y.hi")) & (F.col("x.most") * 100 >= F.col("y.least") * percent) & (F.col("y.most") * 100 >= F.col("x.least") * percent)
+    pairs = written(x.join(y.hint("merge"), (F.col("x.token") == F.col("y.token")) & asks).select(F.col("x.g").alias("g"), F.col("y.g").alias("of")).distinct(), "pairs")
+    pairs = written(may_open(pairs, placed, percent), "may_open")
+    if not pairs.isEmpty():
+        opened = written(placed.select("rep", "g", "root").join(pairs.select(F.explode(F.array("g", "of")).alias("g")).distinct().hint("merge"), "g", "left_semi"), "opened")
+        sets = hinted_sets(docs, opened.select(F.col("rep").alias("doc_id")), width).withColumnRenamed("doc_id", "rep")
+        matrix = written(matrix_of(opened.join(sets.hint("merge"), "rep").select("g", F.col("rep").alias("doc_id"), "root", "shingles")), "matrix")
+        found = written(links_across(pairs, matrix, percent), "links")
         if not found.isEmpty():
-            links = links.union(found)
-            roots = components(links)
-    rooted = classes.select("set_a", "set_b", "rep").join(roots.withColumnRenamed("node", "rep").hint("merge"), "rep", "left").select("set_a", "set_b", F.coalesce("root", "rep").alias("component"))
-    out = base.select("doc_id", "n_shingles", "set_a", "set_b").join(rooted.hint("merge"), ["set_a", "set_b"], "left")
+            roots = components(links.union(found))
+    rooted = reps.join(roots.withColumnRenamed("node", "rep").hint("merge"), "rep", "left").select("set_a", "set_b", F.coalesce("root", "rep").alias("component"))
+    out = base.join(rooted.hint("merge"), ["set_a", "set_b"], "left")
     component = F.when(F.col("n_shingles") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id"))
