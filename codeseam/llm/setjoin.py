@@ -152,23 +152,28 @@ def may_open(pairs: DataFrame, placed: DataFrame, percent: int) -> DataFrame:
     A group's bins hold the largest count of any member."""
 
     def widest(group: pa.Table) -> pa.Table:
-        row = [group.column("g")[0].as_py(), min(group.column("n").to_pylist()), max(group.column("n").to_pylist()), rows_of(group.column("bins").combine_chunks()).max(0).tobytes()]
-        return pa.table([pa.array([x], t) for x, t in zip(row, [pa.int64()] * 3 + [pa.binary()], strict=True)], ["g", "least", "most", "bins"])
+        n = group.column("n").to_pylist()
+        row = [group.column("g")[0].as_py(), min(n), max(n), sum(n), rows_of(group.column("bins").combine_chunks()).max(0).tobytes()]
+        return pa.table([pa.array([x], t) for x, t in zip(row, [pa.int64()] * 4 + [pa.binary()], strict=True)], ["g", "least", "most", "tokens", "bins"])
 
     def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            least, others, most = (np.maximum(batch.column(i).to_numpy(), batch.column(i + 1).to_numpy()) if i == 2 else batch.column(i).to_numpy() for i in (2, 4, 5))
+            least_x, least_y, most_x, most_y = (batch.column(i).to_numpy() for i in range(2, 6))
+            least, most = np.maximum(least_x, least_y), np.minimum(most_x, most_y)
             x, y = rows_of(batch.column(6)), rows_of(batch.column(7))
-            # counts cut off in both may be shared: no more of them than the largest member has
-            cut = np.where(((x == BIN_MOST) & (y == BIN_MOST)).any(1), np.minimum(others, most), 0)
+            # counts cut off in both may be shared: no more of them than a member has
+            cut = np.where(((x == BIN_MOST) & (y == BIN_MOST)).any(1), most, 0)
             yield batch.select([0, 1]).filter(pa.array(np.minimum(x, y).sum(1, dtype=np.int64) + cut >= least_common(least, percent)))
 
     asked = pairs.select(F.explode(F.array("g", "of")).alias("g")).distinct()
-    groups = placed.join(asked.hint("merge"), "g", "left_semi").select("g", "n", "bins").groupBy("g").applyInArrow(widest, "g long, least long, most long, bins binary")
+    groups = placed.join(asked.hint("merge"), "g", "left_semi").select("g", "n", "bins").groupBy("g").applyInArrow(widest, "g long, least long, most long, tokens long, bins binary")
     groups = written(groups, "bins")
-    one, two = (groups.toDF(k, *(f"{c}_{k}" for c in ("least", "most", "bins"))) for k in ("g", "of"))
+    one, two = (groups.toDF(k, *(f"{c}_{k}" for c in ("least", "most", "tokens", "bins"))) for k in ("g", "of"))
     both = pairs.join(one.hint("merge"), "g").join(two.hint("merge"), "of")
-    return both.select("g", "of", "least_g", "least_of", "most_g", "most_of", "bins_g", "bins_of").mapInArrow(bound, "g long, of long")
+    # the group with fewer tokens is moved to the other
+    less = F.col("tokens_g") <= F.col("tokens_of")
+    both = both.select(F.when(less, F.col("g")).otherwise(F.col("of")).alias("x"), F.when(less, F.col("of")).otherwise(F.col("g")).alias("y"), "least_g", "least_of", "most_g", "most_of", "bins_g", "bins_of")
+    return both.mapInArrow(bound, "x long, y long").toDF("g", "of")
 
 
 def links_across(pairs: DataFrame, matrix: DataFrame, percent: int) -> DataFrame:
