@@ -290,10 +290,11 @@ def similar_sets(docs: DataFrame, percent: int = 80, width: int = 3) -> DataFram
     roots = components(links)
 
     placed = classes.join(members.where("own").groupBy("rep").agg(F.min("g").alias("g")).hint("merge"), "rep", "left").join(roots.withColumnRenamed("node", "rep").hint("merge"), "rep", "left")
-    # of the sets without a group, larger families are dealt out over groups too
-    alone = placed.where("g is null").groupBy(F.col("leads")[0].alias("lead")).agg(F.count("*").alias("sets"), F.sum("n").alias("tokens")).where(F.col("sets") > MEMBERS // 4)
+    # of the sets without a group, larger families with two equal coordinates make groups too
+    lead = F.xxhash64(F.col("leads")[0], F.col("leads")[1])
+    alone = placed.where("g is null").groupBy(lead.alias("lead")).agg(F.count("*").alias("sets"), F.sum("n").alias("tokens")).where(F.col("sets") > MEMBERS // 4)
     alone = alone.select("lead", F.ceil(F.greatest(F.col("sets") / MEMBERS, F.col("tokens") / TOKENS)).alias("parts"))
-    placed = placed.join(alone.hint("merge"), F.col("g").isNull() & (F.col("leads")[0] == F.col("lead")), "left")
+    placed = placed.join(alone.hint("merge"), F.col("g").isNull() & (lead == F.col("lead")), "left")
     placed = written(placed.select("rep", "n", "prefix", "bins", F.coalesce("g", F.when(F.col("lead").isNotNull(), F.xxhash64(F.col("lead"), F.lit("alone"), F.pmod(F.xxhash64("rep"), "parts"))), F.xxhash64("rep", F.lit("alone"))).alias("g"), F.col("g").isNull().alias("loose"), F.coalesce("root", "rep").alias("root")), "placed")
     reps = written(classes.select("set_a", "set_b", "rep"), "reps")
     dropped(classes)
