@@ -17,11 +17,11 @@ from . import config, report
 from .functions.lines import lines_of
 from .functions.paths import Exclusions
 from .operators import dependencies, duplicates, history, metrics, score, smells
-from .operators.files import file_measures, functions
+from .operators.files import ALL, file_measures, functions
 from .shipping import ship
 from .sources.history import history_table, repository
 from .sources.tree import Scan, source_files
-from .storage import shared_dir
+from .storage import stored
 
 FORMATS = ("table", "json", "short", "terse", "github", "codeclimate", "gitlab", "markdown")
 #: Commands whose findings have a place in a file.
@@ -92,8 +92,8 @@ class Context:
     def hunks(self) -> DataFrame:
         return self.below(history_table(self.spark, self.options.path, "hunks")).join(self.languages.select("path"), "path", "left_semi")
 
-    def measures(self, window: int = 6, files: DataFrame | None = None) -> DataFrame:
-        return file_measures(self.files if files is None else files, window, strip_tests=not self.options.include_tests)
+    def measures(self, window: int = 6, files: DataFrame | None = None, parts: tuple[str, ...] = ALL) -> DataFrame:
+        return stored(file_measures(self.files if files is None else files, window, strip_tests=not self.options.include_tests, parts=parts), "measures")
 
     def top(self, df: DataFrame, *order) -> DataFrame:
         return df.orderBy(*order).limit(self.options.top)
@@ -102,7 +102,7 @@ class Context:
 def loc(c: Context) -> DataFrame:
     if c.options.by_author:
         return metrics.loc_by_author(lines_of(text_of(c.files)), c.hunks).orderBy(F.desc("code"), "email")
-    counted = file_measures(duplicates.distinct_files(c.files), lenient=True)
+    counted = file_measures(duplicates.distinct_files(c.files), lenient=True, parts=())
     return counted.where("error is null").rollup("language").agg(F.count("*").alias("files"), F.sum("blank").alias("blank"), F.sum("comment").alias("comment"), F.sum("code").alias("code")).orderBy(F.col("language").isNull(), F.desc("code"))
 
 
@@ -113,8 +113,8 @@ def text_of(files: DataFrame) -> DataFrame:
 
 def found_duplicates(c: Context, files: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     size = c.setting("dups", "min_lines")
-    m = c.measures(size, files)
-    return duplicates.blocks(duplicates.window_groups(duplicates.windows(m)), size), m
+    m = c.measures(size, files, ("windows",))
+    return duplicates.blocks(duplicates.window_groups(m), size), m
 
 
 def dups(c: Context) -> DataFrame:
@@ -131,7 +131,7 @@ def dups(c: Context) -> DataFrame:
 
 def complexity(measure: str) -> Callable[[Context], DataFrame]:
     def command(c: Context) -> DataFrame:
-        m = c.measures()
+        m = c.measures(parts=("functions",))
         least = c.setting("cycom" if measure == "cyclomatic" else "cogcom", "min_complexity")
         c.findings = lambda: report.complexity_findings(functions(m), measure, least)
         if c.options.per_function:
@@ -142,7 +142,7 @@ def complexity(measure: str) -> Callable[[Context], DataFrame]:
 
 
 def hal(c: Context) -> DataFrame:
-    return c.top(metrics.halstead(c.measures()), F.desc(c.options.sort_by), "path")
+    return c.top(metrics.halstead(c.measures(parts=("tokens",))), F.desc(c.options.sort_by), "path")
 
 
 def index(verifysoft: bool) -> Callable[[Context], DataFrame]:
@@ -150,13 +150,13 @@ def index(verifysoft: bool) -> Callable[[Context], DataFrame]:
 
     def command(c: Context) -> DataFrame:
         by = {"mi": F.asc(own[2] if verifysoft else own[0]), "volume": F.desc("volume"), "complexity": F.desc("total_complexity"), "loc": F.desc("code")}
-        return c.top(metrics.maintainability(c.measures()).select("path", "language", "volume", "total_complexity", "code", *own), by[c.options.sort_by], "path")
+        return c.top(metrics.maintainability(c.measures(parts=("tokens", "functions"))).select("path", "language", "volume", "total_complexity", "code", *own), by[c.options.sort_by], "path")
 
     return command
 
 
 def indent(c: Context) -> DataFrame:
-    return metrics.indent_metrics(c.measures()).orderBy(F.desc("indent_stddev"), "path")
+    return metrics.indent_metrics(c.measures(parts=("indent",))).orderBy(F.desc("indent_stddev"), "path")
 
 
 def churn(c: Context) -> DataFrame:
@@ -165,7 +165,8 @@ def churn(c: Context) -> DataFrame:
 
 
 def hotspots(c: Context) -> DataFrame:
-    m, kind = c.measures(), c.options.complexity
+    kind = c.options.complexity
+    m = c.measures(parts=("indent",) if kind == "indent" else ("functions",))
     totals = m.where("code > 0").select("path", F.col("total_indent").alias("complexity")) if kind == "indent" else metrics.complexity(m, {"cycom": "cyclomatic", "cogcom": "cognitive"}[kind]).select("path", F.col("total").alias("complexity"))
     return c.top(history.hotspots(totals, c.frequencies).join(c.languages, "path"), F.desc(c.options.sort_by), "path")
 
@@ -204,7 +205,7 @@ def deps(c: Context) -> DataFrame:
             module = next((line.split()[1] for line in f if line.startswith("module ")), None)
     edges = dependencies.import_edges(c.files, module)
     fan = history.dependency_fan(edges).withColumnRenamed("file", "path").join(c.languages, "path")
-    cycle = history.cycles(edges, shared_dir(c.spark)).withColumnRenamed("file", "path")
+    cycle = history.cycles(edges).withColumnRenamed("file", "path")
     out = fan.join(cycle, "path", "inner" if c.options.cycles_only else "left")
     return c.top(out, F.desc({"fan-out": "fan_out", "fan-in": "fan_in"}[c.options.sort_by]), "path")
 
@@ -217,7 +218,7 @@ def smelled(c: Context) -> DataFrame:
         files = c.files.join(changed, "path", "left_semi")
     else:
         files = source_files(c.spark, c.scan(paths)) if paths else c.files
-    m = c.measures(files=files)
+    m = c.measures(files=files, parts=("functions",))
     lines, found = lines_of(text_of(files)), functions(m)
     each = smells.smells(lines, found, c.setting("smells", "max_lines"), c.setting("smells", "max_params"))
     c.findings = lambda: [{"path": r["path"], "line": r["line_no"], "title": r["smell"].replace("_", " ").title(), "message": r["smell"].replace("_", " "), "severity": "minor"} for r in each.orderBy("path", "line_no").collect()]
@@ -230,7 +231,7 @@ def project_score(c: Context) -> DataFrame:
     def of(files: DataFrame | None) -> tuple[DataFrame, DataFrame]:
         m = c.measures(size, files)
         scores = score.file_scores(m, model)
-        blocks = duplicates.blocks(duplicates.window_groups(duplicates.windows(m)), size)
+        blocks = duplicates.blocks(duplicates.window_groups(m), size)
         return score.dimensions(scores, duplicates.summary(blocks, m), model), scores
 
     dims, scores = of(None)
@@ -247,8 +248,8 @@ def whole_report(c: Context) -> DataFrame:
     """Every analysis of one reading, a section each: name, rows in all, the first ones as JSON."""
     top = 1_000_000 if c.options.full else c.options.top
     files = duplicates.distinct_files(c.files)
-    m = file_measures(files, c.setting("dups", "min_lines"))
-    blocks = duplicates.blocks(duplicates.window_groups(duplicates.windows(m)), c.setting("dups", "min_lines"))
+    m = stored(file_measures(files, c.setting("dups", "min_lines")), "measures")
+    blocks = duplicates.blocks(duplicates.window_groups(m), c.setting("dups", "min_lines"))
     index_ = metrics.maintainability(m)
     parts = [
         ("loc", "Lines by language", m.groupBy("language").agg(F.count("*").alias("files"), F.sum("blank").alias("blank"), F.sum("comment").alias("comment"), F.sum("code").alias("code")).orderBy(F.desc("code"), "language"), top),

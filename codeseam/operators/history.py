@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.paths import is_generated, is_test_path
+from ..storage import stored
 
 DAY = 86_400
 
@@ -46,21 +47,35 @@ def hotspots(complexity: DataFrame, freq: DataFrame) -> DataFrame:
     return complexity.join(freq.select("path", "commits"), "path").withColumn("score", F.col("commits") * F.col("complexity"))
 
 
-def temporal_coupling(commit_files: DataFrame, freq: DataFrame, min_degree: int = 3, min_strength: float = 0.0, keep_tests: bool = True, most_files: int | None = None) -> DataFrame:
+#: Files of a commit that are paired at a time.
+BLOCK = 1_000
+
+
+def paired(changes: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(commit_id, x, y): every two files of a commit, once each, from rows (commit_id, file).
+
+    A commit of more than `block` files is dealt out over blocks by a digest, and its pairs over the
+    cells of a triangular grid of blocks: a cell pairs two blocks, so no task holds more than these,
+    however large the commit.
+    """
+    sizes = changes.groupBy("commit_id").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    own = changes.join(sizes, "commit_id").withColumn("own", F.pmod(F.xxhash64("file"), "blocks").cast("int"))
+    rows = own.select("commit_id", "own", F.col("file").alias("x"), F.explode(F.sequence("own", F.col("blocks") - 1)).alias("other"))
+    columns = own.select("commit_id", F.col("own").alias("other"), F.col("file").alias("y"), F.explode(F.sequence(F.lit(0), "own")).alias("own"))
+    return rows.join(columns, ["commit_id", "own", "other"]).where("own < other or x < y").select("commit_id", "x", "y")
+
+
+def temporal_coupling(commit_files: DataFrame, freq: DataFrame, min_degree: int = 3, min_strength: float = 0.0, keep_tests: bool = True, block: int = BLOCK) -> DataFrame:
     """Pairs of files changed together; only files with min_degree commits are paired and, unless
-    keep_tests, no tests. Commits that touch more than most_files files, if that is given, pair
-    nothing: such a commit (a mass reformatting) is quadratic by itself and says little."""
+    keep_tests, no tests. Commits of any size count (paired())."""
     if min_degree < 1:
         raise ValueError("min_degree must be positive")
     busy = freq.where(F.col("commits") >= min_degree).select("path", "commits")
     busy = busy if keep_tests else busy.where(~is_test_path(F.col("path")))
-    if most_files is not None:
-        small = commit_files.groupBy("commit_id").agg(F.count("*").alias("n")).where(F.col("n") <= most_files)
-        commit_files = commit_files.join(small, "commit_id", "left_semi")
     # the count travels with the change, so the pair needs no second look-up
-    kept = commit_files.select("commit_id", "path").join(busy, "path")
-    a, b = (kept.select("commit_id", F.col("path").alias(f"file_{k}"), F.col("commits").alias(f"commits_{k}")) for k in "ab")
-    pairs = a.join(b, "commit_id").where("file_a < file_b").groupBy("file_a", "file_b").agg(F.count("*").alias("shared_commits"), F.first("commits_a").alias("commits_a"), F.first("commits_b").alias("commits_b"))
+    kept = commit_files.select("commit_id", "path").join(busy, "path").select("commit_id", F.struct("path", "commits").alias("file"))
+    a, b = F.least("x", "y"), F.greatest("x", "y")
+    pairs = paired(kept, block).groupBy(a["path"].alias("file_a"), b["path"].alias("file_b")).agg(F.count("*").alias("shared_commits"), F.first(a["commits"]).alias("commits_a"), F.first(b["commits"]).alias("commits_b"))
     strength = F.col("shared_commits") / F.least("commits_a", "commits_b")
     level_ = F.when(F.col("strength") >= 0.5, "STRONG").when(F.col("strength") >= 0.3, "MODERATE").otherwise("WEAK")
     return pairs.withColumn("strength", strength).where(F.col("strength") >= min_strength).withColumn("level", level_)
@@ -166,50 +181,84 @@ def files_changed_since(old: DataFrame, new: DataFrame) -> DataFrame:
     return new.join(old.select("path", "content_hash"), ["path", "content_hash"], "left_anti").select("path")
 
 
-def cycles(edges: DataFrame, folder: str) -> DataFrame:
+def cycles(edges: DataFrame) -> DataFrame:
     """(file, cycle): the files on a cycle of edges (src, dst), and the least file of their cycle.
 
-    Files that no edge enters or none leaves, within what is left, are on no cycle and are peeled
-    off first. Then every file's forward and backward least reachable file is spread until nothing
-    changes; where the two agree, that is its cycle; the others go on without the edges between
-    different labels. A file that names itself is no cycle. Each round's edges are written to
-    `folder`, shared by all executors.
+    A file that names itself is no cycle. Files with a single way on are followed by pointers that
+    double their reach each round, so chains and rings take rounds in the logarithm of their length
+    (bypassed()); what then has several ways in and on everywhere is left to labels that spread
+    (spread_cycles()). Tables of the rounds are written to the shared folder.
+    """
+    labels = bypassed(stored(edges.where("src <> dst").select("src", "dst").distinct(), "edges"), True, False)
+    least = labels.groupBy("label").agg(F.min("file").alias("cycle"))
+    return labels.join(least, "label").select("file", "cycle")
+
+
+def bypassed(e: DataFrame, onward: bool, idle: bool) -> DataFrame:
+    """(file, label) of the files on cycles, after those with one way on (or, if not onward, one
+    way in) are bypassed.
+
+    Each of them leads to a ring of such files, which is a cycle of its own, or to an end: a file
+    with no way on, so that none of them is on a cycle, or one with several. Edges to the latter's
+    followers are led to it, and the rest is solved alone, with the other direction. A bypassed
+    file is on its end's cycle if a file of that cycle leads to it or to one before it.
     """
-    spark = edges.sparkSession
-    numbers = iter(range(1_000_000))
-
-    def kept(df: DataFrame) -> DataFrame:
-        path = f"{folder}/cycles-{spark.sparkContext.applicationId}-{id(edges)}-{next(numbers)}"
-        df.write.mode("overwrite").parquet(path)
-        return spark.read.schema(df.schema).parquet(path)
-
-    def peeled(e: DataFrame) -> DataFrame:
-        n = e.count()
-        while n:
-            e = kept(e.join(e.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(e.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
-            was, n = n, e.count()
-            if n == was:
-                break
-        return e
-
-    def spread(e: DataFrame, nodes: DataFrame, a: str, b: str) -> DataFrame:
+    a, b = ("src", "dst") if onward else ("dst", "src")
+    none = e.select(F.col("src").alias("file"), F.col("src").alias("label")).limit(0)
+    if e.isEmpty():
+        return none
+    ways = e.groupBy(F.col(a).alias("file")).agg(F.count("*").alias("n"), F.min(b).alias("next"))
+    one = stored(ways.where("n = 1").select("file", "next"), "single")
+    ends = e.select(F.col(b).alias("file")).join(ways, "file", "left_anti")
+    left = one.count()
+    if not left and ends.isEmpty():
+        return spread_cycles(e) if idle else bypassed(e, not onward, True)
+
+    reach = [one]
+    table = stored(one.select("file", "next", F.col("file").alias("least")), "reach")
+    step = 1
+    while step < left and not table.join(one.select(F.col("file").alias("next")), "next", "left_semi").isEmpty():
+        on = table.select(F.col("file").alias("next"), F.col("next").alias("further"), F.col("least").alias("also"))
+        table = stored(table.join(on, "next", "left").select("file", F.coalesce("further", "next").alias("next"), F.least("least", "also").alias("least")), "reach")
+        reach.append(table.select("file", "next"))
+        step *= 2
+    ring = table.select(F.col("next").alias("file")).distinct().join(table.select("file", F.col("least").alias("label")), "file")
+    several = ways.where("n > 1").select("file")
+    end = stored(table.select("file", F.col("next").alias("end")).join(several.withColumnRenamed("file", "end"), "end", "left_semi").unionByName(several.select("file", F.col("file").alias("end"))), "ends")
+    # edges of files with several ways on, to where they lead in the end
+    led = stored(e.join(several.withColumnRenamed("file", a), a, "left_semi").select(F.col(a).alias("from"), F.col(b).alias("file")).join(end, "file"), "led")
+    rest = stored(led.where(F.col("from") != F.col("end")).select(F.col("from").alias(a), F.col("end").alias(b)).distinct(), "edges")
+    labels = bypassed(rest, not onward, False)
+    alone = led.where(F.col("from") == F.col("end")).select(F.col("from").alias("file")).distinct().join(labels, "file", "left_anti")
+    labels = stored(labels.unionByName(alone.select("file", F.col("file").alias("label"))), "labels")
+    entered = led.where(F.col("file") != F.col("end")).join(labels.select(F.col("file").alias("from"), "label"), "from").join(labels.select(F.col("file").alias("end"), F.col("label").alias("of")), "end").where("label = of")
+    marked = stored(entered.select("file", "label").distinct(), "marked")
+    for pointers in reach if not marked.isEmpty() else ():
+        further = marked.join(pointers, "file").select(F.col("next").alias("file"), "label")
+        marked = stored(marked.unionByName(further.join(one.select("file"), "file", "left_semi")).distinct(), "marked")
+    return labels.unionByName(marked).unionByName(ring)
+
+
+def spread_cycles(e: DataFrame) -> DataFrame:
+    """(file, label) of the files on cycles: every file's forward and backward least reachable file
+    is spread until nothing changes; where the two agree, that is its cycle. The others go on
+    without the edges between different labels."""
+
+    def spread(nodes: DataFrame, a: str, b: str) -> DataFrame:
         """The least file that reaches each file along a -> b."""
-        label = kept(nodes.select("file", F.col("file").alias("m")))
+        label = stored(nodes.select("file", F.col("file").alias("m")), "least")
         while True:
             sent = e.join(label.withColumnRenamed("file", a), a).select(F.col(b).alias("file"), "m")
-            new = kept(label.unionByName(sent).groupBy("file").agg(F.min("m").alias("m")))
-            changed = new.join(label.withColumnRenamed("m", "old"), "file").where("m <> old").limit(1).count()
+            new = stored(label.unionByName(sent).groupBy("file").agg(F.min("m").alias("m")), "least")
+            changed = not new.join(label.withColumnRenamed("m", "old"), "file").where("m <> old").isEmpty()
             label = new
             if not changed:
                 return label
 
-    e = peeled(kept(edges.where("src <> dst").select("src", "dst").distinct()))
-    out = e.select(F.col("src").alias("file"), F.col("src").alias("cycle")).limit(0)
-    while e.limit(1).count():  # each round finds the cycle of the least file that is left
-        nodes = e.select(F.explode(F.array("src", "dst")).alias("file")).distinct()
-        both = kept(spread(e, nodes, "src", "dst").join(spread(e, nodes, "dst", "src").withColumnRenamed("m", "back"), "file"))
-        found = both.where("m = back").select("file", F.col("m").alias("cycle"))
-        out = kept(out.unionByName(found))
-        rest = both.where("m <> back").select("file", F.struct("m", "back").alias("label"))
-        e = peeled(kept(e.join(rest.select(F.col("file").alias("src"), F.col("label").alias("x")), "src").join(rest.select(F.col("file").alias("dst"), F.col("label").alias("y")), "dst").where("x = y").select("src", "dst")))
-    return out
+    nodes = e.select(F.explode(F.array("src", "dst")).alias("file")).distinct()
+    both = stored(spread(nodes, "src", "dst").join(spread(nodes, "dst", "src").withColumnRenamed("m", "back"), "file"), "both")
+    sizes = both.where("m = back").groupBy("m").agg(F.count("*").alias("n")).where("n > 1").select("m")
+    found = both.where("m = back").join(sizes, "m", "left_semi").select("file", F.col("m").alias("label"))
+    rest = both.where("m <> back").select("file", F.struct("m", "back").alias("label"))
+    inside = e.join(rest.select(F.col("file").alias("src"), F.col("label").alias("x")), "src").join(rest.select(F.col("file").alias("dst"), F.col("label").alias("y")), "dst").where("x = y").select("src", "dst")
+    return found.unionByName(bypassed(stored(inside, "edges"), True, False))

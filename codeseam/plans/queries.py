@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import languages, lines, paths, scores
 from ..operators import duplicates, files as file_pass, history, metrics, rules, score, smells
-from ..storage import shared_dir
+from ..storage import stored
 from . import samples
 
 NOW, SINCE = "2001-08-01", "2000-08-01"
@@ -24,8 +24,15 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(table: DataFrame) -> DataFrame:
+    """A table of fewer splits than there are cores is dealt out anew, as the work on its rows is
+    more than the reading; a larger one stays as it is scanned."""
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table
+
+
 def files(s: SparkSession, d: str) -> DataFrame:
-    return read(s, d, "documents").select(F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("path"), F.lit("Python").alias("language"), F.col("text").alias("content"))
+    return spread(read(s, d, "documents").select("source", "doc_id", "text")).select(F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("path"), F.lit("Python").alias("language"), F.col("text").alias("content"))
 
 
 def plain_files(s: SparkSession, d: str) -> DataFrame:
@@ -37,16 +44,20 @@ def code_lines(s: SparkSession, d: str) -> DataFrame:
     return lines.lines_of(plain_files(s, d))
 
 
-def measures(s: SparkSession, d: str) -> DataFrame:
-    return file_pass.file_measures(files(s, d), window=3)
+def measures(s: SparkSession, d: str, *parts: str) -> DataFrame:
+    return file_pass.file_measures(files(s, d), window=3, parts=parts)
+
+
+def stored_measures(s: SparkSession, d: str, *parts: str) -> DataFrame:
+    return stored(measures(s, d, *parts), "measures")
 
 
 def sources(s: SparkSession, d: str) -> DataFrame:
-    return samples.sources(read(s, d, "part"))
+    return samples.sources(spread(read(s, d, "part")))
 
 
-def source_measures(s: SparkSession, d: str) -> DataFrame:
-    return file_pass.file_measures(sources(s, d))
+def source_measures(s: SparkSession, d: str, *parts: str) -> DataFrame:
+    return file_pass.file_measures(sources(s, d), parts=parts)
 
 
 def commits(s: SparkSession, d: str) -> DataFrame:
@@ -75,28 +86,28 @@ def owned(s: SparkSession, d: str) -> DataFrame:
 
 
 def dup_blocks(m: DataFrame) -> DataFrame:
-    return duplicates.blocks(duplicates.window_groups(duplicates.windows(m)), 3)
+    return duplicates.blocks(duplicates.window_groups(m), 3)
 
 
 def dims(s: SparkSession, d: str, model: str = "cogcom") -> DataFrame:
-    m = measures(s, d)
+    m = stored_measures(s, d, *file_pass.ALL)
     return score.dimensions(score.file_scores(m, model), duplicates.summary(dup_blocks(m), m), model)
 
 
 def scored_project(s: SparkSession, d: str, model: str = "cogcom") -> DataFrame:
-    m = measures(s, d)
+    m = stored_measures(s, d, *file_pass.ALL)
     scores_ = score.file_scores(m, model)
     return score.project(score.dimensions(scores_, duplicates.summary(dup_blocks(m), m), model), scores_)
 
 
 def older(s: SparkSession, d: str) -> DataFrame:
     """Measures of the files as they were: one in seven was not there yet."""
-    return file_pass.file_measures(files(s, d).where(F.substring_index("path", "/", -1).cast("long") % 7 != 0), window=3)
+    return stored(file_pass.file_measures(files(s, d).where(F.substring_index("path", "/", -1).cast("long") % 7 != 0), window=3), "measures")
 
 
 def score_diff(s: SparkSession, d: str) -> DataFrame:
     of = lambda m: score.dimensions(score.file_scores(m), duplicates.summary(dup_blocks(m), m))
-    return score.difference(of(older(s, d)), of(measures(s, d)))
+    return score.difference(of(older(s, d)), of(stored_measures(s, d, *file_pass.ALL)))
 
 
 def hunks(s: SparkSession, d: str) -> DataFrame:
@@ -129,7 +140,7 @@ def source_lines(s: SparkSession, d: str) -> DataFrame:
 
 
 def source_smells(s: SparkSession, d: str) -> DataFrame:
-    return smells.smells(source_lines(s, d), file_pass.functions(source_measures(s, d)))
+    return smells.smells(stored(source_lines(s, d), "lines"), stored(file_pass.functions(source_measures(s, d, "functions")), "functions"))
 
 
 FOLDERS, STEMS = ("src", "lib/tests", "spec", "vendor/gen"), ("test_m", "m", "mTest", "m_test", "m.spec", "m.generated.x", "m.min", "m_pb2")
@@ -165,41 +176,41 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "authors": lambda s, d: history.authors(blame(s, d), customers_by_nation(s, d)).withColumn("languages", F.array_join("languages", ",")),
     "dep_fan": lambda s, d: history.dependency_fan(read(s, d, "lineitem").select(F.col("l_partkey").alias("src"), F.col("l_suppkey").cast("long").alias("dst"))),
     "files_changed_since": lambda s, d: history.files_changed_since(snapshots(s, d, True), snapshots(s, d, False)),
-    "indent_metrics": lambda s, d: rounded(metrics.indent_metrics(measures(s, d)), "indent_stddev"),
-    "cyclomatic_file": lambda s, d: metrics.complexity(measures(s, d)).select("path", F.col("total").alias("total_complexity"), "level"),
-    "halstead": lambda s, d: rounded(metrics.halstead(measures(s, d)).drop("language"), "volume", "difficulty", "effort", "bugs", "time", digits=4),
-    "maintainability": lambda s, d: rounded(metrics.maintainability(measures(s, d)).drop("language"), "volume", "mi_score", "mi_woc", "mi_cw", "miv_score", digits=4),
-    "dup_groups": lambda s, d: dup_blocks(measures(s, d)).select(F.to_json(F.transform("locs", lambda x: F.concat(x["path"], F.lit(":"), x["off"].cast("string")))).alias("locs"), "line_count", "severity"),
-    "dup_summary": lambda s, d: rounded((lambda m: duplicates.summary(dup_blocks(m), m))(measures(s, d)), "duplication_percentage"),
-    "dup_severity": lambda s, d: dup_blocks(measures(s, d)).groupBy("severity").agg(F.count("*").alias("groups")),
+    "indent_metrics": lambda s, d: rounded(metrics.indent_metrics(measures(s, d, "indent")), "indent_stddev"),
+    "cyclomatic_file": lambda s, d: metrics.complexity(measures(s, d, "functions")).select("path", F.col("total").alias("total_complexity"), "level"),
+    "halstead": lambda s, d: rounded(metrics.halstead(measures(s, d, "tokens")).drop("language"), "volume", "difficulty", "effort", "bugs", "time", digits=4),
+    "maintainability": lambda s, d: rounded(metrics.maintainability(measures(s, d, "tokens", "functions")).drop("language"), "volume", "mi_score", "mi_woc", "mi_cw", "miv_score", digits=4),
+    "dup_groups": lambda s, d: dup_blocks(stored_measures(s, d, "windows")).select(F.to_json(F.transform("locs", lambda x: F.concat(x["path"], F.lit(":"), x["off"].cast("string")))).alias("locs"), "line_count", "severity"),
+    "dup_summary": lambda s, d: rounded((lambda m: duplicates.summary(dup_blocks(m), m))(stored_measures(s, d, "windows")), "duplication_percentage"),
+    "dup_severity": lambda s, d: dup_blocks(stored_measures(s, d, "windows")).groupBy("severity").agg(F.count("*").alias("groups")),
     "normalize_curves": lambda s, d: read(s, d, "part").select("p_partkey", *(F.round(scores.curve(n, F.col("p_retailprice") / k), 6).alias(n) for n, k in (("cognitive", 40), ("mi", 20), ("size", 0.5), ("indent", 400), ("cyclomatic", 40), ("effort", 0.1), ("duplication", 40))), scores.grade(F.col("p_retailprice") / 20).alias("grade")),
     "score_dimensions": lambda s, d: rounded(dims(s, d), "score", digits=4),
     "score_project": lambda s, d: rounded(scored_project(s, d), "score", digits=4),
-    "functions_cyclomatic": lambda s, d: file_pass.functions(source_measures(s, d)).select("path", "language", "name", "start_line", "n_lines", "n_params", "cyclomatic", "cognitive"),
-    "cyclomatic_levels": lambda s, d: rounded(metrics.complexity(source_measures(s, d)), "avg"),
-    "cognitive_levels": lambda s, d: rounded(metrics.complexity(source_measures(s, d), "cognitive"), "avg"),
+    "functions_cyclomatic": lambda s, d: file_pass.functions(source_measures(s, d, "functions")).select("path", "language", "name", "start_line", "n_lines", "n_params", "cyclomatic", "cognitive"),
+    "cyclomatic_levels": lambda s, d: rounded(metrics.complexity(source_measures(s, d, "functions")), "avg"),
+    "cognitive_levels": lambda s, d: rounded(metrics.complexity(source_measures(s, d, "functions"), "cognitive"), "avg"),
     "magic_numbers": lambda s, d: smells.magic_numbers(code_lines(s, d).withColumn("language", F.lit("Python"))),
     "smell_counts": lambda s, d: smells.smell_counts(source_smells(s, d)),
     "path_flags": lambda s, d: part_paths(s, d).select("p_partkey", paths.is_test_file(F.col("path")).alias("test_file"), paths.is_test_path(F.col("path")).alias("test_path"), paths.is_generated(F.col("path")).alias("generated")),
     "excluded_files": lambda s, d: part_paths(s, d).select("p_partkey", EXCLUDED.reasons(F.col("path")).alias("reasons")).where("reasons <> ''"),
     "loc_sources": lambda s, d: metrics.loc(source_lines(s, d)),
     "loc_by_author": lambda s, d: metrics.loc_by_author(source_lines(s, d), hunks(s, d)).select("email", "name", "files", (F.col("blank") + F.col("comment") + F.col("code")).alias("lines")),
-    "indent_sources": lambda s, d: rounded(metrics.indent_metrics(source_measures(s, d)), "indent_stddev"),
-    "complex_files": lambda s, d: metrics.complexity(source_measures(s, d), least=6).select("path", "total", "max"),
-    "hotspots_cognitive": lambda s, d: history.hotspots(metrics.complexity(source_measures(s, d), "cognitive").select(F.regexp_extract("path", "[0-9]+", 0).cast("long").alias("path"), F.col("total").alias("complexity")), freq(s, d)),
-    "cognitive_on_documents": lambda s, d: metrics.complexity(measures(s, d), "cognitive").select("path", "total", "level"),
-    "maintainability_sources": lambda s, d: metrics.all_measures(source_measures(s, d)).select("path", "code", "comment", "total_cyclomatic", F.round("mi_cw", 4).alias("mi_cw")),
+    "indent_sources": lambda s, d: rounded(metrics.indent_metrics(source_measures(s, d, "indent")), "indent_stddev"),
+    "complex_files": lambda s, d: metrics.complexity(source_measures(s, d, "functions"), least=6).select("path", "total", "max"),
+    "hotspots_cognitive": lambda s, d: history.hotspots(metrics.complexity(source_measures(s, d, "functions"), "cognitive").select(F.regexp_extract("path", "[0-9]+", 0).cast("long").alias("path"), F.col("total").alias("complexity")), freq(s, d)),
+    "cognitive_on_documents": lambda s, d: metrics.complexity(measures(s, d, "functions"), "cognitive").select("path", "total", "level"),
+    "maintainability_sources": lambda s, d: metrics.all_measures(source_measures(s, d, *file_pass.ALL)).select("path", "code", "comment", "total_cyclomatic", F.round("mi_cw", 4).alias("mi_cw")),
     "score_dimensions_legacy": lambda s, d: rounded(dims(s, d, "legacy"), "score", digits=4),
     "score_project_legacy": lambda s, d: rounded(scored_project(s, d, "legacy"), "score", digits=4),
     "score_diff": lambda s, d: rounded(score_diff(s, d), "before_score", "after_score", "delta", digits=4),
-    "dup_locations": lambda s, d: (lambda m: duplicates.located(dup_blocks(m), m).select(F.to_json(F.transform("locations", lambda x: F.concat_ws(":", x["path"], x["start_line"].cast("string"), x["end_line"].cast("string")))).alias("locations"), "line_count", "duplicated_lines", "severity"))(measures(s, d)),
-    "coupling_without_tests": lambda s, d: history.temporal_coupling(commit_files(s, d).withColumn("path", F.concat(F.when(F.col("path") % 3 == 0, "tests/p").otherwise("src/p"), F.col("path").cast("string"))), freq(s, d).withColumn("path", F.concat(F.when(F.col("path") % 3 == 0, "tests/p").otherwise("src/p"), F.col("path").cast("string"))), keep_tests=False, most_files=5).groupBy("level").agg(F.count("*").alias("pairs"), F.sum("shared_commits").alias("shared")),
+    "dup_locations": lambda s, d: (lambda m: duplicates.located(dup_blocks(m), m).select(F.to_json(F.transform("locations", lambda x: F.concat_ws(":", x["path"], x["start_line"].cast("string"), x["end_line"].cast("string")))).alias("locations"), "line_count", "duplicated_lines", "severity"))(stored_measures(s, d, "windows")),
+    "coupling_without_tests": lambda s, d: history.temporal_coupling(commit_files(s, d).withColumn("path", F.concat(F.when(F.col("path") % 3 == 0, "tests/p").otherwise("src/p"), F.col("path").cast("string"))), freq(s, d).withColumn("path", F.concat(F.when(F.col("path") % 3 == 0, "tests/p").otherwise("src/p"), F.col("path").cast("string"))), keep_tests=False).groupBy("level").agg(F.count("*").alias("pairs"), F.sum("shared_commits").alias("shared")),
     "knowledge_author": lambda s, d: rounded(history.knowledge(blame(s, d).withColumn("path", F.concat(F.col("path").cast("string"), F.when(F.col("path") % 5 == 0, ".pb.go").otherwise(".go"))), history.recent_authors(commits(s, d), TS(SINCE)), author="7@EXAMPLE"), "ownership_pct").select("path", "primary_owner", "ownership_pct", "risk", "knowledge_loss"),
     "ownership_languages": lambda s, d: history.ownership_by_author(owned(s, d), customers_by_nation(s, d)).select("author", "files_owned", F.array_join("languages", ",").alias("languages")),
     "authors_since": lambda s, d: history.authors(blame(s, d), customers_by_nation(s, d), since=TS("1998-01-01")).select("email", "lines", "last_active", "owned_files"),
-    "dep_cycles": lambda s, d: history.cycles(imports(s, d), shared_dir(s)),
+    "dep_cycles": lambda s, d: history.cycles(imports(s, d)),
     "never_changed": lambda s, d: history.never_changed(read(s, d, "part").select(F.col("p_partkey").alias("path")).unionByName(s.range(-20, 0).select(F.col("id").alias("path"))), freq(s, d)),
-    "score_files_bottom": lambda s, d: rounded(score.worst_files(score.file_scores(measures(s, d))).withColumn("issues", F.array_join("issues", "; ")), "score", digits=4),
+    "score_files_bottom": lambda s, d: rounded(score.worst_files(score.file_scores(measures(s, d, *file_pass.ALL))).withColumn("issues", F.array_join("issues", "; ")), "score", digits=4),
 }
 
 LINES = r"""WITH f AS (SELECT source || '/' || doc_id AS path, text FROM documents),
@@ -329,7 +340,7 @@ SQL: dict[str, str] = {
     "authors_since": BLAME + ", s AS (SELECT *, first_value(email) OVER (PARTITION BY path ORDER BY lines DESC, author, email) AS owner FROM b WHERE last_ts >= TIMESTAMP '1998-01-01') SELECT email, CAST(sum(lines) AS BIGINT) AS lines, max(last_ts) AS last_active, count(*) FILTER (owner = email) AS owned_files FROM s GROUP BY email",
     "ownership_languages": BLAME + "SELECT primary_owner AS author, count(DISTINCT path) AS files_owned, array_to_string(list_sort(list(DISTINCT p_type)), ',') AS languages FROM own LEFT JOIN part ON p_partkey = path GROUP BY primary_owner",
     "knowledge_author": BLAME + "SELECT path || '.go' AS path, primary_owner, round(ownership_pct, 6) AS ownership_pct, risk, knowledge_loss FROM own WHERE path % 5 <> 0 AND lower(primary_email) LIKE '%7@example%'",
-    "coupling_without_tests": FREQ + ", few AS (SELECT commit_id FROM cf GROUP BY commit_id HAVING count(*) <= 5), cg AS (SELECT * FROM cf SEMI JOIN few USING (commit_id) WHERE path % 3 <> 0) SELECT level, count(*) AS pairs, CAST(sum(shared_commits) AS BIGINT) AS shared FROM (" + COUPLING.replace("FROM cf a JOIN cf b", "FROM cg a JOIN cg b") + ") GROUP BY level",
+    "coupling_without_tests": FREQ + ", cg AS (SELECT * FROM cf WHERE path % 3 <> 0) SELECT level, count(*) AS pairs, CAST(sum(shared_commits) AS BIGINT) AS shared FROM (" + COUPLING.replace("FROM cf a JOIN cf b", "FROM cg a JOIN cg b") + ") GROUP BY level",
     "dup_locations": f"{LINES}, {DUPS}, x AS (SELECT locs, line_count, severity, unnest(locs) AS l, unnest(range(1, len(locs) + 1)) AS i FROM blocks), y AS (SELECT x.*, a.line_no AS b, e.line_no AS t FROM x JOIN norm a ON a.path = l.p AND a.off = l.o JOIN norm e ON e.path = l.p AND e.off = l.o + line_count - 1) SELECT CAST(to_json(list(l.p || ':' || b || ':' || t ORDER BY i)) AS VARCHAR) AS locations, line_count, CAST(line_count * (len(locs) - 1) AS BIGINT) AS duplicated_lines, severity FROM y GROUP BY locs, line_count, severity",
     "maintainability_sources": samples.SQL + f"SELECT path, CAST(code AS BIGINT) AS code, CAST(comment AS BIGINT) AS comment, CAST(CASE WHEN k = 0 THEN 2 ELSE k * cyc END AS BIGINT) AS total_cyclomatic, round(50.0 * sin(sqrt(2.46 * radians({_percent}))), 4) AS mi_cw FROM lines",
     "cognitive_on_documents": f"{LINES}, {COG} SELECT path, n AS total, CASE {' '.join(f"WHEN n <= {b} THEN '{x}'" for b, x in rules.COGNITIVE_LEVELS)} ELSE 'extreme' END AS level FROM cog",

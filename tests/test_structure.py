@@ -1,4 +1,6 @@
 import hashlib
+import random
+from collections import Counter, defaultdict
 
 import pytest
 from pyspark.sql import functions as F
@@ -93,7 +95,7 @@ def test_measures_of_files(spark):
     assert set(got) == {"a.py", "b", "f", "g.rs"}
     assert (got["a.py"]["code"], got["a.py"]["functions"][0]["cognitive"], got["a.py"]["total_indent"]) == (3, 1, 3)
     assert got["b"]["code"] == 0 and got["b"]["functions"] is None and got["f"]["functions"] is None
-    assert (got["g.rs"]["code"], got["g.rs"]["n_normalized"], len(got["g.rs"]["windows"])) == (5, 2, 1)
+    assert (got["g.rs"]["code"], got["g.rs"]["n_normalized"], len(got["g.rs"]["window_h"])) == (5, 2, 1)
     assert files.file_measures(spark.createDataFrame([], FILES)).count() == 0
     raw = spark.createDataFrame([("a.go", "Go", b"x\n\xff\ny\r\n"), ("b.go", "Go", b"z")], "path string, language string, content binary")
     assert {r["path"]: (r["code"], bool(r["error"])) for r in files.file_measures(raw).collect()} == {"a.go": (None, True), "b.go": (1, False)}
@@ -104,7 +106,7 @@ def test_duplicates_and_score(spark):
     block = "".join(f"step{i}(now);\n" for i in range(8))
     rows = [("a.go", "Go", "one();\n" + block), ("b.go", "Go", block + "two();\n"), ("c.md", "Markdown", block)]
     m = files.file_measures(spark.createDataFrame(rows, FILES), 6)
-    found = duplicates.blocks(duplicates.window_groups(duplicates.windows(m.where("path <> 'c.md'"))), 6)
+    found = duplicates.blocks(duplicates.window_groups(m.where("path <> 'c.md'")), 6)
     (one,) = duplicates.located(found, m).collect()
     assert [tuple(x) for x in one["locations"]] == [("a.go", 2, 9), ("b.go", 1, 8)] and one["duplicated_lines"] == 8
     scores = score.file_scores(m)
@@ -133,11 +135,75 @@ def test_gates():
             score.check_duplication(3, 5.0, **bad)
 
 
-def test_cycles(spark, tmp_path):
-    edges = [("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("d", "e"), ("e", "d"), ("x", "y"), ("y", "z"), ("s", "s"), ("e", "x")]
-    got = history.cycles(spark.createDataFrame(edges, "src string, dst string"), str(tmp_path))
-    assert sorted(map(tuple, got.collect())) == [("a", "a"), ("b", "a"), ("c", "a"), ("d", "d"), ("e", "d")]
-    assert history.cycles(spark.createDataFrame([], "src string, dst string"), str(tmp_path)).count() == 0
+def components_by_hand(edges):
+    after = {}
+    for x, y in edges:
+        after.setdefault(x, set()).add(y)
+
+    def reached(x):
+        seen, stack = set(), list(after.get(x, ()))
+        while stack:
+            y = stack.pop()
+            if y not in seen:
+                seen.add(y)
+                stack += after.get(y, ())
+        return seen
+
+    far = {x: reached(x) for e in edges for x in e}
+    # a file that names itself is no cycle
+    return {x: min(y for y in far[x] if x in far[y]) for x in far if any(x in far[y] for y in far[x] if y != x)}
+
+
+def test_cycles(spark):
+    cycles = lambda edges: dict(map(tuple, history.cycles(spark.createDataFrame(edges, "src long, dst long")).collect()))
+    assert cycles([]) == {}
+    rng = random.Random(4)
+    graphs = [[(1, 2), (2, 3), (3, 1), (3, 4), (4, 5), (5, 4), (20, 21), (21, 22), (9, 9), (5, 20)]]
+    for n, m in ((12, 14), (25, 40)):
+        graphs.append([(rng.randrange(n), rng.randrange(n)) for _ in range(m)])
+    # two files with several ways on, joined by chains; one chain leads away from both
+    graphs.append([(0, 1), (1, 2), (2, 3), (3, 4), (4, 0), (0, 5), (5, 6), (6, 3), (3, 7), (7, 8), (8, 9), (3, 10), (11, 4), (10, 0)])
+    for edges in graphs:
+        assert cycles(edges) == components_by_hand(edges)
+
+
+def test_cycles_of_long_rings_and_chains(spark, monkeypatch):
+    rounds = []
+    monkeypatch.setattr(history, "stored", lambda df, name, f=history.stored: rounds.append(name) or f(df, name))
+    ring = spark.range(10_000).select(F.col("id").alias("src"), ((F.col("id") + 1) % 10_000).alias("dst"))
+    chain = spark.range(20_000, 30_000).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
+    got = history.cycles(ring.unionByName(chain)).agg(F.count("*"), F.min("cycle"), F.max("cycle"), F.max("file")).first()
+    assert tuple(got) == (10_000, 0, 0, 9_999) and rounds.count("reach") < 20
+
+
+def test_coupling_of_commits_of_any_size(spark):
+    rng = random.Random(5)
+    commits = {c: rng.sample(range(60), n) for c, n in enumerate((1, 2, 7, 30, 60))}
+    rows = spark.createDataFrame([(c, f"f{p}") for c, ps in commits.items() for p in ps], "commit_id long, path string")
+    expected = Counter(tuple(sorted((f"f{x}", f"f{y}"))) for ps in commits.values() for i, x in enumerate(ps) for y in ps[:i])
+    freq = rows.groupBy("path").agg(F.count("*").alias("commits"))
+    for block in (1, 4, 1000):
+        got = history.temporal_coupling(rows, freq, min_degree=1, block=block).collect()
+        assert {(r["file_a"], r["file_b"]): r["shared_commits"] for r in got} == expected
+    # cells of a commit of 20,000 files are tasks of their own
+    large = spark.range(20_000).select(F.lit(1).alias("commit_id"), F.col("id").alias("file"))
+    cells = history.paired(large, 5_000).select("x", "y")
+    assert cells.count() == 20_000 * 19_999 // 2
+
+
+def test_windows_are_all_windows(spark):
+    rng = random.Random(6)
+    texts = {f"p{i}": "\n".join(rng.choice(["a = 1", "b = 2", "  c()", "", "# note"]) for _ in range(rng.randrange(25))) for i in range(20)}
+    m = files.file_measures(spark.createDataFrame([(p, "Python", t) for p, t in texts.items()], FILES), 3, parts=("windows",)).cache()
+    assert set(m.columns) == {c for c, _ in files.BASE} | {c for c, _ in files.PARTS["windows"]}
+    places = defaultdict(list)
+    for p, t in texts.items():
+        own = [x.strip() for x in t.split("\n") if x.strip() and not x.startswith("#")]
+        for i in range(len(own) - 2):
+            places[tuple(own[i : i + 3])].append((p, i))
+    got = [sorted(map(tuple, r["locs"])) for r in duplicates.window_groups(m, 9).collect()]
+    assert sorted(got) == sorted(sorted(x) for x in places.values() if 2 <= len(x) <= 9)
+    assert duplicates.windows(m).select("h", "g").distinct().count() == len(places)
 
 
 def test_smells(spark):
