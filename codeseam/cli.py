@@ -111,9 +111,9 @@ def text_of(files: DataFrame) -> DataFrame:
     return files.withColumn("content", F.make_valid_utf8(F.col("content").cast("string")) if dict(files.dtypes)["content"] == "binary" else F.col("content"))
 
 
-def found_duplicates(c: Context, files: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def found_duplicates(c: Context, files: DataFrame | None = None, parts: tuple[str, ...] = ("windows",)) -> tuple[DataFrame, DataFrame]:
     size = c.setting("dups", "min_lines")
-    m = c.measures(size, files, ("windows",))
+    m = c.measures(size, files, parts)
     return duplicates.blocks(duplicates.window_groups(m), size), m
 
 
@@ -266,7 +266,7 @@ def whole_report(c: Context) -> DataFrame:
 
 def init(c: Context) -> DataFrame:
     """Suggested settings from what the project is like: limits a little above the means."""
-    blocks, m = found_duplicates(c)
+    blocks, m = found_duplicates(c, parts=ALL)
     found = functions(m).where("name <> '<file>'").agg(F.coalesce(F.avg("n_lines"), F.lit(0.0)).alias("length"), F.coalesce(F.avg("n_params"), F.lit(0.0)).alias("params")).first()
     share = duplicates.summary(blocks, m).first()["duplication_percentage"]
     scores = score.file_scores(m)
