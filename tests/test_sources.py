@@ -8,7 +8,7 @@ from codeseam import cli, config
 from codeseam.functions.paths import Exclusions
 from codeseam.operators import dependencies
 from codeseam.sources.history import history_table, repository, unquoted
-from codeseam.sources.tree import Ignore, Scan, source_files
+from codeseam.sources.tree import Ignore, Rules, Scan, source_files
 
 
 def write(root, files):
@@ -44,6 +44,53 @@ def test_tree(spark, tmp_path):
     assert source_files(spark, Scan(str(tmp_path / "empty"))).count() == 0
 
 
+def kept(root):
+    return set(Scan(str(root), include_tests=True).listed(Rules.at(str(root)))[0])
+
+
+def test_ignored_as_by_git(spark, tmp_path, monkeypatch):
+    """The files that git would add, for lines above, in and below the scanned folder."""
+    home = tmp_path / "home"
+    monkeypatch.setenv("HOME", str(home))
+    monkeypatch.setenv("XDG_CONFIG_HOME", str(home / ".config"))
+    write(home, {".config/git/ignore": "*.user\n"})
+    root = tmp_path / "top"
+    root.mkdir()
+    git(root, "init")
+    names = ["a.c", "a.log", "keep.log", "a.user", "b.local", "b.user", "build/a.c", "sub/build/a.c", "doc/a.txt", "doc/x/a.txt", "x y.c", "tail ", "#hash", "!bang", "deep/er/est/z.c", "deep/z.c", "v1.c", "v2.c", "sub/a.log", "sub/gen/a.c", "sub/gen/keep.c", "sub/only/a.c", "sub/keep.log", "sub/b.local", "é/ü.c", "é/ö.c", "a/**b", "sub/deep/a.log", "sub/deep/g.c", "g.c"]
+    write(root, dict.fromkeys(names, "x"))
+    write(root, {".gitignore": "*.log\n!keep.log\n/build/\ndoc/*.txt\n\\#hash\n\\!bang\ntail\\ \ndeep/**/z.c\nv[!1].c\n# no rule\n\nx\\ y.c   \n\u00fc.c\n!b.user\n", "sub/.gitignore": "!a.log\ngen/*\n!gen/keep.c\n/g.c\nonly/\n", "sub/deep/.gitignore": "*\n!g.c\n", ".git/info/exclude": "*.local\n"})
+    everything = sorted(os.path.relpath(os.path.join(d, f), root) for d, _, files in os.walk(root) for f in files if ".git" not in os.path.relpath(d, root).split("/"))
+    said = subprocess.run(["git", "-C", str(root), "check-ignore", "-z", "--stdin"], input="\0".join(everything).encode(), capture_output=True).stdout.decode().split("\0")
+    expected = set(everything) - set(said)
+    assert {"a.log", "a.user", "b.local", "sub/b.local", "deep/z.c", "v2.c"} <= set(said) and {"b.user", "sub/a.log", "sub/gen/keep.c", "g.c"} <= expected
+    assert kept(root) == expected
+    assert kept(root / "sub") == {x[4:] for x in expected if x.startswith("sub/")}
+    assert kept(root / "sub" / "deep") == {x[9:] for x in expected if x.startswith("sub/deep/")}
+    by_tasks = {r["path"] for r in source_files(spark, Scan(str(root), include_tests=True), most=3).collect()}
+    assert by_tasks == {r["path"] for r in source_files(spark, Scan(str(root), include_tests=True)).collect()} == {x for x in expected if x.endswith((".c", ".txt"))}
+    assert {r["path"] for r in source_files(spark, Scan(str(root), include_tests=True), most=0).collect()} == by_tasks
+
+
+def test_ignore_files_and_repositories(tmp_path):
+    """.ignore files hold everywhere and come first; .gitignore files in a repository only, and not
+    beyond the root of a repository inside another."""
+    write(tmp_path, {".gitignore": "*.log\n", ".ignore": "!kept.log\n*.tmp\n", "a.log": "", "kept.log": "", "a.tmp": "", "in/.git/info/exclude": "e.c\n", "in/e.c": "", "in/a.log": "", "in/.gitignore": "b.log\n", "in/b.log": "", "in/a.tmp": ""})
+    dots = {".gitignore", ".ignore", "in/.gitignore"}
+    assert kept(tmp_path) == dots | {"a.log", "kept.log", "in/a.log"}
+    (tmp_path / ".git").mkdir()
+    assert kept(tmp_path) == dots | {"kept.log", "in/a.log"}
+    assert kept(tmp_path / "in") == {".gitignore", "a.log"}
+
+
+def test_folders_that_cannot_be_read(spark, tmp_path):
+    write(tmp_path, {"a/b.c": "x", "c.c": "x"})
+    scan = Scan(str(tmp_path))
+    assert list(scan.entries("gone/", Rules())) == [("gone/", "error", "No such file or directory")]
+    with pytest.warns(UserWarning, match="none: No such file"):
+        assert source_files(spark, Scan(str(tmp_path / "none"))).count() == 0
+
+
 @pytest.fixture
 def repo(tmp_path):
     root = tmp_path / "repo"
