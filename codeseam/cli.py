@@ -13,7 +13,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import config, report
+from . import config, report, shapes
 from .functions.lines import lines_of
 from .functions.paths import Exclusions
 from .operators import dependencies, duplicates, history, metrics, score, smells
@@ -34,6 +34,8 @@ class Context:
 
     spark: SparkSession
     options: argparse.Namespace
+    #: Which of shapes.HEADLINES and shapes.FIELDS fit the result, if not those of the command.
+    view: str | None = None
 
     @cached_property
     def repository(self) -> tuple[str, str]:
@@ -101,11 +103,25 @@ class Context:
 
 def loc(c: Context) -> DataFrame:
     if c.options.by_author:
+        c.view = "loc_authors"
+        c.json = lambda result: shapes.with_totals("authors", shapes.entries(c.view, result))
         return metrics.loc_by_author(lines_of(text_of(c.files)), c.hunks).orderBy(F.desc("code"), "email")
     counted = file_measures(duplicates.distinct_files(c.files), lenient=True, parts=())
+    c.json = lambda result: shapes.with_totals("languages", shapes.entries("loc", result.where("language is not null")))
+    c.before = lambda rows: text_files(c, rows) if c.options.verbose else ""
     return counted.where("error is null").rollup("language").agg(F.count("*").alias("files"), F.sum("blank").alias("blank"), F.sum("comment").alias("comment"), F.sum("code").alias("code")).orderBy(F.col("language").isNull(), F.desc("code"))
 
 
+def text_files(c: Context, rows: list[dict]) -> str:
+    """How many files were found, counted and left out, and how fast."""
+    one = c.files.agg(F.count("*").alias("files"), F.count_distinct(F.sha2("content", 256)).alias("texts")).first()
+    total = next((r for r in rows if r["language"] is None), dict.fromkeys(("files", "blank", "comment", "code"), 0))
+    took = time.perf_counter() - c.started
+    counts = [(one["files"], "text files"), (total["files"] or 0, "unique files"), (one["files"] - one["texts"], "files ignored (duplicates)"), (one["texts"] - (total["files"] or 0), "files ignored (binary)")]
+    lines = sum(total[k] or 0 for k in ("blank", "comment", "code"))
+    return "\n".join([*(f"{n:>8} {text}." for n, text in counts), f"T={took:.2f} s ({(total['files'] or 0) / took:.1f} files/s, {lines / took:.1f} lines/s)", ""])
+
+
 def text_of(files: DataFrame) -> DataFrame:
     """Contents as text; bytes that are no UTF-8 become the replacement character."""
     return files.withColumn("content", F.make_valid_utf8(F.col("content").cast("string")) if dict(files.dtypes)["content"] == "binary" else F.col("content"))
@@ -123,10 +139,12 @@ def dups(c: Context) -> DataFrame:
     found = one.first()
     before = duplicates.summary(*found_duplicates(c, c.files_at(c.options.fail_on_increase))).first()["duplication_percentage"] if c.options.fail_on_increase else None
     c.gate = lambda: score.check_duplication(found["duplicate_groups"], found["duplication_percentage"], c.setting("dups", "max_duplicates"), c.setting("dups", "max_dup_ratio"), before)
-    if not c.options.report:
-        return one
+    c.values = lambda result: found.asDict()
     groups = duplicates.located(blocks, m, lines_of(text_of(c.files))).orderBy("place").drop("place")
-    return groups if c.options.show_all else groups.limit(20)
+    groups = groups if c.options.show_all else groups.limit(20)
+    place = "transform(locations, x -> struct(x.path as file_path, x.start_line as start_line, x.end_line as end_line)) as locations"
+    c.json = lambda result: {"metrics": {k: found[k] for k in ("total_code_lines", "duplicated_lines", "duplication_percentage", "duplicate_groups", "files_with_duplicates", "largest_block", "assessment")}, "groups": report.rows_of(groups.selectExpr(place, "line_count", "sample", "initcap(severity) as severity"))}
+    return groups if c.options.report else one
 
 
 def complexity(measure: str) -> Callable[[Context], DataFrame]:
@@ -135,8 +153,17 @@ def complexity(measure: str) -> Callable[[Context], DataFrame]:
         least = c.setting("cycom" if measure == "cyclomatic" else "cogcom", "min_complexity")
         c.findings = lambda: report.complexity_findings(functions(m), measure, least)
         if c.options.per_function:
+            c.view = "functions" if c.options.format in ("table", "markdown") else None
+        files = c.top(metrics.complexity(m, measure, least), F.desc(c.options.sort_by), "path")
+
+        def as_json(result: DataFrame) -> list[dict]:
+            own = {r["path"]: r.asDict(recursive=True)["functions"] for r in m.join(result.select("path"), "path").select("path", metrics.function_levels(measure).alias("functions")).collect()}
+            return [r | {"functions": own[r["path"]]} for r in shapes.entries(c.options.command, result)]
+
+        c.json = as_json
+        if c.view:
             return c.top(functions(m).where(F.col(measure) >= least).select("path", "name", "start_line", measure), F.desc(measure), "path", "start_line")
-        return c.top(metrics.complexity(m, measure, least), F.desc(c.options.sort_by), "path")
+        return files
 
     return command
 
@@ -161,6 +188,7 @@ def indent(c: Context) -> DataFrame:
 
 def churn(c: Context) -> DataFrame:
     by = {"commits": F.desc("commits"), "rate": F.desc("rate_per_month"), "file": F.asc("path")}
+    c.values = lambda result: shapes.values("churn", result) | {"top": first["path"] if (first := result.first()) else "-"}
     return c.top(history.churn(c.frequencies).join(c.languages, "path"), by[c.options.sort_by], "path")
 
 
@@ -168,22 +196,36 @@ def hotspots(c: Context) -> DataFrame:
     kind = c.options.complexity
     m = c.measures(parts=("indent",) if kind == "indent" else ("functions",))
     totals = m.where("code > 0").select("path", F.col("total_indent").alias("complexity")) if kind == "indent" else metrics.complexity(m, {"cycom": "cyclomatic", "cogcom": "cognitive"}[kind]).select("path", F.col("total").alias("complexity"))
-    return c.top(history.hotspots(totals, c.frequencies).join(c.languages, "path"), F.desc(c.options.sort_by), "path")
+    c.values = lambda result: first.asDict() if (first := result.first()) else {"path": "-", "score": 0, "commits": 0, "complexity": 0}
+    found = history.hotspots(totals, c.frequencies).join(c.languages, "path").withColumn("complexity_metric", F.lit(kind))
+    return c.top(found, F.desc(c.options.sort_by), "path")
 
 
 def knowledge(c: Context) -> DataFrame:
     recent = history.recent_authors(c.commits, c.since) if c.since is not None else None
     blame = history.blame_summary(c.hunks)
     if c.options.bus_factor:
+        c.view = "bus_factor"
+        c.json = lambda result: shapes.of_authors(shapes.entries("bus_factor", result))
         return history.bus_factor(blame).orderBy(F.desc("lines"), "author")
     owned = history.knowledge(blame, recent, c.options.author, c.options.risk_only)
     if c.options.summary:
+        c.view = "knowledge_summary"
         return history.ownership_by_author(owned, c.languages).orderBy(F.desc("files_owned"), "author")
     return history.ordered_knowledge(owned.join(c.languages, "path"), c.options.sort_by, c.options.top)
 
 
 def tc(c: Context) -> DataFrame:
     pairs = history.temporal_coupling(c.commit_files, c.frequencies, c.setting("tc", "min_degree"), c.setting("tc", "min_strength"), keep_tests=c.options.include_tests)
+    if c.options.exclude_ext or c.options.exclude_dir or c.options.exclude or c.options.include_ext:
+        print("warning: exclusions have no effect on tc, which reads the history, not the tree", file=sys.stderr)
+
+    def values(result: DataFrame) -> dict:
+        found = pairs.count()
+        c.view = "tc" if found else "tc_none"
+        return shapes.values("tc", result) | {"pairs": found}
+
+    c.values = values
     return c.top(pairs, F.desc({"strength": "strength", "shared": "shared_commits"}[c.options.sort_by]), "file_a", "file_b")
 
 
@@ -221,8 +263,10 @@ def smelled(c: Context) -> DataFrame:
     m = c.measures(files=files, parts=("functions",))
     lines, found = lines_of(text_of(files)), functions(m)
     each = smells.smells(lines, found, c.setting("smells", "max_lines"), c.setting("smells", "max_params"))
-    c.findings = lambda: [{"path": r["path"], "line": r["line_no"], "title": r["smell"].replace("_", " ").title(), "message": r["smell"].replace("_", " "), "severity": "minor"} for r in each.orderBy("path", "line_no").collect()]
-    return c.top(smells.smell_counts(each), F.desc("total"), "path")
+    counts = c.top(smells.smell_counts(each), F.desc("total"), "path")
+    c.findings = lambda: [{"path": r["path"], "line": r["line_no"], "title": smells.TITLES[r["smell"]][1], "message": r["detail"], "severity": "minor"} for r in each.join(counts.select("path", "total"), "path").orderBy(F.desc("total"), "path", "line_no").collect()]
+    c.json = lambda result: shapes.entries("smells", smells.listed(each, result).join(files.select("path", "language"), "path").orderBy(F.desc("total"), "path"))
+    return counts
 
 
 def project_score(c: Context) -> DataFrame:
@@ -236,11 +280,28 @@ def project_score(c: Context) -> DataFrame:
 
     dims, scores = of(None)
     if c.options.trend:
-        diff = score.difference(of(c.files_at(c.options.trend))[0], dims)
+        old_dims, old_scores = of(c.files_at(c.options.trend))
+        diff = score.difference(old_dims, dims)
         whole = diff.where("name = 'overall'").first()
+        c.view = "score_diff"
+        c.values = lambda result: {"ref": c.options.trend, "before": whole["before_score"], "after": whole["after_score"], "delta": whole["delta"], "grade": whole["after_grade"]}
+
+        def as_json(result: DataFrame) -> dict:
+            def side(name: str, scored: DataFrame) -> dict:
+                sizes = scored.agg(F.count("*").alias("files"), F.coalesce(F.sum("code"), F.lit(0)).alias("loc")).first()
+                return {"score": whole[f"{name}_score"], "grade": whole[f"{name}_grade"]} | sizes.asDict()
+
+            rows = [r | {"name": score.NAMES[r["name"]]} for r in shapes.entries("score_diff", result.where("name <> 'overall'"))]
+            return {"git_ref": c.options.trend, "before": side("before", old_scores), "after": side("after", scores), "delta": whole["delta"], "dimensions": rows}
+
+        c.json = as_json
         c.gate = lambda: score.check_score(whole["before_score"], whole["after_score"], whole["after_grade"], c.setting("score", "fail_if_worse"), c.setting("score", "fail_below"))
         return diff.orderBy("position")
-    c.extra = lambda: [("Score", score.project(dims, scores)), ("Needs attention", score.worst_files(scores, c.setting("score", "bottom"), model))]
+    whole, worst = score.project(dims, scores), score.worst_files(scores, c.setting("score", "bottom"), model)
+    named = lambda result: [r | {"name": score.NAMES[r["name"]]} for r in shapes.entries("score", result)]
+    c.values = lambda result: whole.first().asDict() | {"parts": " ".join(f"{r['name'].split()[0].lower()}:{r['score']:.1f}" for r in named(result))}
+    c.json = lambda result: {"target": c.options.path} | whole.select("score", "grade", "files_analyzed", "total_loc").first().asDict() | {"dimensions": named(result), "needs_attention": shapes.entries("score_file", worst)}
+    c.extra = lambda: [("Score", whole), ("Needs attention", worst)]
     return dims.orderBy("position")
 
 
@@ -261,6 +322,7 @@ def whole_report(c: Context) -> DataFrame:
         ("mi_verifysoft", "Maintainability with comments", index_.select("path", "language", "volume", "total_complexity", "code", "comment", "mi_woc", "mi_cw", "miv_score", "miv_level").orderBy("miv_score", "path"), top),
     ]
     c.sections = lambda: report.sections(c.options.path, parts)
+    c.values = lambda result: m.agg(F.count("*").alias("files"), F.count_distinct("language").alias("langs"), F.coalesce(F.sum("code"), F.lit(0)).alias("code")).first().asDict() | duplicates.summary(blocks, m).first().asDict()
     return parts[0][2]
 
 
@@ -327,17 +389,11 @@ def parser() -> argparse.ArgumentParser:
             p.add_argument("--files", nargs="*")
         if name == "score":
             p.add_argument("--model", choices=tuple(score.MODELS))
-            p.add_argument("--trend", nargs="?", const="HEAD")
+            p.add_argument("--trend", "--git-ref", nargs="?", const="HEAD")
             p.add_argument("--fail-if-worse", action="store_const", const=True)
     return out
 
 
-def headline(rows: list[dict]) -> str:
-    """One value for a line: the last number of the first row, or how many rows there are."""
-    numbers = [v for v in rows[0].values() if isinstance(v, (int, float)) and not isinstance(v, bool)] if len(rows) == 1 else []
-    return report.cell(numbers[-1]) if numbers else str(len(rows))
-
-
 def rendered(c: Context, result: DataFrame) -> str:
     o = c.options
     title = COMMANDS[o.command][0].capitalize()
@@ -345,33 +401,39 @@ def rendered(c: Context, result: DataFrame) -> str:
         if o.command not in WITH_FINDINGS:
             raise ValueError(f"the format {o.format} is for {', '.join(WITH_FINDINGS)} only")
         return report.annotations(c.findings()) if o.format == "github" else report.quality_entries(c.findings())
+    if o.format in ("short", "terse"):
+        of = c.values(result) if hasattr(c, "values") else shapes.values(c.view or o.command, result)
+        return shapes.headline(c.view or o.command, of, o.format == "terse")
     if sections := getattr(c, "sections", None):
         found = sections()
         if o.format == "json":
             return report.as_json(found)
         as_text = report.markdown if o.format == "markdown" else report.table
         return "\n".join(as_text(f"{s['section']}: {s['description']} ({s['total_count']} in all)", s["entries"]) for s in found)
+    if o.format == "json":
+        return report.as_json(c.json(result) if hasattr(c, "json") else shapes.entries(c.view or o.command, result))
     parts = [(title, result), *(c.extra() if hasattr(c, "extra") else [])]
     rows = [(name, report.rows_of(df)) for name, df in parts]
-    if o.format == "json":
-        return report.as_json(rows[0][1] if len(rows) == 1 else dict(rows))
-    if o.format in ("short", "terse"):
-        value = headline(rows[1][1] if len(rows) > 1 else rows[0][1])
-        return value if o.format == "terse" else f"{o.command}: {value}"
-    return "\n".join((report.markdown if o.format == "markdown" else report.table)(name, found) for name, found in rows)
+    before = c.before(rows[0][1]) if hasattr(c, "before") and o.format == "table" else ""
+    return before + "\n".join((report.markdown if o.format == "markdown" else report.table)(name, found) for name, found in rows)
 
 
 def main(args: list[str] | None = None, spark: SparkSession | None = None) -> int:
     """Prints the report of a command; 1 with `error: ...` if it fails or a gate does not hold."""
+    args = list(sys.argv[1:] if args is None else args)
+    if args[:2] == ["score", "diff"]:  # the score against that of a ref, HEAD unless --git-ref names one
+        args = ["score", *args[2:], *([] if any(a.split("=")[0] == "--git-ref" for a in args) else ["--git-ref", "HEAD"])]
     options = parser().parse_args(args)
     spark = spark or SparkSession.builder.appName("codeseam").getOrCreate()
     ship(spark)
     c = Context(spark, options)
+    c.started = time.perf_counter()
     try:
         if options.list_excluded:
             x = Exclusions(tuple(options.exclude_ext), tuple(options.include_ext), tuple(options.exclude_dir), tuple(options.exclude), tests=not options.include_tests)
             left_out = source_files(spark, Scan(options.path, include_tests=True)).select("path", x.reasons(F.col("path")).alias("reasons")).where("reasons <> ''").orderBy("path")
-            print(report.table("Excluded files", report.rows_of(left_out)))
+            rows = report.rows_of(left_out)
+            print(report.table("Excluded files", rows) + f"\n\n{len(rows)} file(s) excluded")
             return 0
         print(rendered(c, COMMANDS[options.command][1](c)))
         if gate := getattr(c, "gate", None):

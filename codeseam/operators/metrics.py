@@ -82,6 +82,12 @@ def complexity(measures: DataFrame, measure: str = "cyclomatic", least: int = 1)
     return out.where(F.col("max") >= least) if least > 1 else out
 
 
+def function_levels(measure: str = "cyclomatic") -> Column:
+    """The functions of a wide row with name, start_line, complexity and level."""
+    bounds = CYCLOMATIC_LEVELS if measure == "cyclomatic" else COGNITIVE_LEVELS
+    return F.transform("functions", lambda f: F.struct(f["name"].alias("name"), f["start_line"].alias("start_line"), f[measure].alias("complexity"), level(f[measure], bounds, "extreme").alias("level")))
+
+
 def halstead(measures: DataFrame) -> DataFrame:
     """What follows from the token counts, of files that have operators and operands."""
     vocabulary = F.col("distinct_operators") + F.col("distinct_operands")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,26 +59,40 @@ def long_functions(found: DataFrame, most: int = 50) -> DataFrame:
     """Functions whose code lines, less those of the frame (two with braces, else one), exceed
     `most`."""
     frame = F.when(F.col("language").isin([n for n, r in RULES.items() if r.braces]), 2).otherwise(1)
-    return found.where((F.col("name") != "<file>") & (F.col("code_lines") - frame > most)).select("path", "start_line", "name")
+    return found.withColumn("size", F.col("code_lines") - frame).where((F.col("name") != "<file>") & (F.col("size") > most)).select("path", "start_line", "name", "size")
 
 
 def long_parameters(found: DataFrame, most: int = 4) -> DataFrame:
-    return found.where((F.col("name") != "<file>") & (F.col("n_params") > most)).select("path", "start_line", "name")
+    return found.where((F.col("name") != "<file>") & (F.col("n_params") > most)).select("path", "start_line", "name", F.col("n_params").alias("size"))
 
 
 #: The kinds of smells, in the order of reports.
 KINDS = ("magic_number", "long_function", "long_parameters", "debt", "commented_out_code")
+#: Kind -> its name in JSON, its title.
+TITLES = {"magic_number": ("magic_number", "Magic Number"), "long_function": ("long_function", "Long Function"), "long_parameters": ("long_parameter_list", "Long Parameter List"), "debt": ("todo_debt", "TODO/FIXME Debt"), "commented_out_code": ("commented_out_code", "Commented-Out Code")}
 
 
 def smells(lines: DataFrame, found: DataFrame, max_lines: int = 50, max_params: int = 4) -> DataFrame:
-    """(path, line_no, smell): all kinds together."""
-    at = F.col("start_line").alias("line_no")
-    parts = [magic_numbers(lines), long_functions(found, max_lines).select("path", at), long_parameters(found, max_params).select("path", at), todo_debt(lines), commented_out_code(lines)]
-    out = None
-    for kind, part in zip(KINDS, parts, strict=True):
-        part = part.select("path", "line_no", F.lit(kind).alias("smell"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    """(path, line_no, smell, detail): all kinds together."""
+    parts = [
+        (magic_numbers(lines), "line_no", F.lit("magic number in code")),
+        (long_functions(found, max_lines), "start_line", F.format_string(f"function `%s` has %d lines (max {max_lines})", "name", "size")),
+        (long_parameters(found, max_params), "start_line", F.format_string(f"function `%s` has %d params (max {max_params})", "name", "size")),
+        (todo_debt(lines), "line_no", F.format_string("%s comment", "debt")),
+        (commented_out_code(lines), "line_no", F.format_string("%d lines of commented-out code", "run")),
+    ]
+    each = [part.select("path", F.col(at).alias("line_no"), F.lit(kind).alias("smell"), detail.alias("detail")) for kind, (part, at, detail) in zip(KINDS, parts, strict=True)]
+    return reduce(DataFrame.unionByName, each)
+
+
+def listed(all_smells: DataFrame, counts: DataFrame) -> DataFrame:
+    """(path, total, smells): the smells (kind, line, detail) of the files of smell_counts() rows,
+    by line and then by kind."""
+    order = ("long_function", "long_parameters", "debt", "magic_number", "commented_out_code")
+    rank = F.array_position(F.array(*map(F.lit, order)), F.col("smell"))
+    kind = F.element_at(F.create_map(*(F.lit(x) for k, (name, _) in TITLES.items() for x in (k, name))), F.col("smell"))
+    of = all_smells.join(counts.select("path", "total"), "path").groupBy("path", "total").agg(F.array_sort(F.collect_list(F.struct(F.col("line_no").alias("line"), rank.alias("rank"), kind.alias("kind"), "detail"))).alias("s"))
+    return of.select("path", "total", F.transform("s", lambda x: F.struct(x["kind"].alias("kind"), x["line"].alias("line"), x["detail"].alias("detail"))).alias("smells"))
 
 
 def smell_counts(all_smells: DataFrame) -> DataFrame:

@@ -141,11 +141,11 @@ def test_commands(spark, repo, capsys):
         code = cli.main([args[0], str(repo), *args[1:]], spark)
         return code, capsys.readouterr().out
 
-    rows = json.loads(out("loc", "--format", "json")[1])
-    assert rows == [{"language": "Python", "files": 3, "blank": 0, "comment": 0, "code": 6}, {"language": None, "files": 3, "blank": 0, "comment": 0, "code": 6}]
-    by = {r["email"]: r["code"] for r in json.loads(out("loc", "--by-author", "--format", "json")[1])}
+    counts = {"files": 3, "blank": 0, "comment": 0, "code": 6}
+    assert json.loads(out("loc", "--format", "json")[1]) == {"languages": [{"language": "Python"} | counts], "totals": counts}
+    by = {r["email"]: r["code"] for r in json.loads(out("loc", "--by-author", "--format", "json")[1])["authors"]}
     assert by == {"ann@example.org": 3, "bob@example.org": 3}
-    assert json.loads(out("cycom", "--format", "json")[1])[0]["total"] == 3
+    assert json.loads(out("cycom", "--format", "json")[1])[0] == {"path": "src/a.py", "language": "Python", "function_count": 1, "avg_complexity": 3.0, "max_complexity": 3, "total_complexity": 3, "level": "simple", "functions": [{"name": "f", "start_line": 1, "complexity": 3, "level": "simple"}]}
     assert "line=1,title=Cognitive Complexity" in out("cogcom", "--format", "github", "--min-complexity", "2")[1]
     assert json.loads(out("cycom", "--format", "gitlab")[1])[0]["severity"] == "info"
     assert out("loc", "--format", "github")[0] == 1
@@ -154,12 +154,67 @@ def test_commands(spark, repo, capsys):
     assert [s["section"] for s in json.loads(out("report", "--format", "json")[1])][:2] == ["loc", "duplication"]
     assert "Score" in out("score")[1]
     diff = json.loads(out("score", "--trend", "HEAD~2", "--format", "json")[1])
-    assert diff[-1]["name"] == "overall"
-    assert out("score", "--trend", "--fail-below", "A++")[0] == (0 if diff[-1]["after_grade"] == "A++" else 1)
+    assert diff["git_ref"] == "HEAD~2" and (diff["before"]["files"], diff["after"]["files"], diff["after"]["loc"]) == (2, 3, 6)
+    assert [d["name"] for d in diff["dimensions"]] == ["Cognitive Complexity", "Duplication", "Indentation Complexity", "Halstead Effort", "File Size"]
+    assert out("score", "--trend", "--fail-below", "A++")[0] == (0 if diff["after"]["grade"] == "A++" else 1)
+    assert cli.main(["score", "diff", str(repo), "--git-ref", "HEAD~2", "--format", "json"], spark) == 0
+    assert json.loads(capsys.readouterr().out) == diff
+    assert cli.main(["score", "diff", str(repo), "--format", "short"], spark) == 0
+    assert capsys.readouterr().out.startswith("score-diff ref:HEAD before:")
     assert out("init", "--yes")[0] == 0
     assert config.project_file(str(repo), None)["smells"]["max_lines"] == 20
 
 
+def test_one_line_and_json(spark, repo, capsys):
+    """The values of `short` and `terse` and the shapes of JSON, of every command."""
+
+    def out(*args):
+        assert cli.main([args[0], str(repo), *args[1:]], spark) == 0, args
+        return capsys.readouterr().out.rstrip("\n")
+
+    write(repo, {"src/s.py": "def g(a, b, c, d, e):\n    # TODO later\n    return a + 42\n", "src/copy.py": "y = 1\n", "src/bin.py": b"\0\1"})
+    git(repo, "add", "-A")
+    git(repo, "commit", "-m", "four", when="2024-06-01T00:00:00Z")
+    short = lambda *args: out(*args, "--format", "short")
+    terse = lambda *args: out(*args, "--format", "terse")
+    assert short("loc") == "loc code:8 cmt:1 blank:0 files:4 langs:1" and terse("loc") == "8"
+    assert out("loc", "--verbose").splitlines()[:4] == ["       6 text files.", "       4 unique files.", "       1 files ignored (duplicates).", "       1 files ignored (binary)."]
+    assert short("loc", "--by-author") == "loc_authors code:9 cmt:1 blank:0 authors:2" and terse("loc", "--by-author") == "9"
+    assert short("cycom") == "cycom files:5 fns:5 avg:1.4 max:3 total:7" and terse("cycom") == "1.4"
+    assert short("cogcom") == "cogcom files:5 fns:5 avg:0.4 max:2 total:2"
+    hal = json.loads(out("hal", "--format", "json"))
+    assert terse("hal") == f"{sum(r['effort'] for r in hal):.1f}" and short("hal").startswith(f"hal files:{len(hal)} vol:{sum(r['volume'] for r in hal):.1f} effort:")
+    mi = json.loads(out("mi", "--format", "json"))
+    assert terse("mi") == f"{sum(r['mi_score'] for r in mi) / len(mi):.1f}" and short("mi").endswith("green:5 yellow:0 red:0") and mi[0]["level"] == "green"
+    miv = json.loads(out("miv", "--format", "json"))
+    assert list(miv[0]) == ["path", "language", "halstead_volume", "cyclomatic_complexity", "loc", "comment_lines", "comment_percent", "mi_woc", "mi_cw", "mi_score", "level"]
+    assert short("miv") == f"miv files:5 avg:{sum(r['mi_score'] for r in miv) / 5:.1f} good:5 mod:0 diff:0"
+    assert short("dups") == "dups dup:0.0% lines:0 groups:0" and json.loads(out("dups", "--format", "json"))["metrics"]["assessment"] == "Excellent"
+    assert short("indent").startswith("indent files:5 avg_sd:") and short("indent").endswith("max_depth:2")
+    assert short("churn") == "churn files:6 total_commits:7 top:src/a.py" and terse("churn") == "7"
+    first = json.loads(out("churn", "--format", "json"))[0]
+    assert first == {"path": "src/a.py", "language": "Python", "commits": 2, "rate_per_month": 1.0, "first_commit": "2024-01-01", "last_commit": "2024-03-01", "level": "MEDIUM"}
+    assert short("hotspots", "--complexity", "cycom") == "hotspots top:src/a.py score:6 commits:2 cx:3" and terse("hotspots", "--complexity", "cycom") == "src/a.py"
+    assert json.loads(out("hotspots", "--format", "json"))[0]["complexity_metric"] == "indent"
+    assert short("knowledge").startswith("knowledge files:") and terse("knowledge", "--bus-factor") == "2"
+    assert list(json.loads(out("knowledge", "--bus-factor", "--format", "json"))) == ["factor", "threshold", "total_lines", "contributors"]
+    assert short("knowledge", "--summary").startswith("knowledge-summary authors:")
+    assert short("tc") == "tc pairs:0 max_strength:0.00" and terse("tc") == "0"
+    assert short("tc", "--min-degree", "1") == "tc pairs:6 strong:6 max_strength:1.00"
+    assert json.loads(out("tc", "--min-degree", "1", "--format", "json"))[0]["level"] == "STRONG"
+    assert short("age") == "age files:6 active:0 stale:0 frozen:6" and json.loads(out("age", "--format", "json"))[0]["last_modified"].startswith("2024-")
+    assert short("authors").startswith("authors count:2 files:") and terse("authors") == "2"
+    assert short("smells") == "smells files:1 total:3" and terse("smells") == "3"
+    assert json.loads(out("smells", "--format", "json")) == [{"path": "src/s.py", "language": "Python", "total": 3, "smells": [{"kind": "long_parameter_list", "line": 1, "detail": "function `g` has 5 params (max 4)"}, {"kind": "todo_debt", "line": 2, "detail": "TODO comment"}, {"kind": "magic_number", "line": 3, "detail": "magic number in code"}]}]
+    assert "title=TODO/FIXME Debt::TODO comment" in out("smells", "--format", "github")
+    found = json.loads(out("score", "--format", "json"))
+    assert list(found) == ["target", "score", "grade", "files_analyzed", "total_loc", "dimensions", "needs_attention"] and terse("score") == f"{found['score']:.1f}"
+    assert short("score") == f"score s:{found['score']:.1f} g:{found['grade']} files:{found['files_analyzed']} loc:{found['total_loc']} " + " ".join(f"{d['name'].split()[0].lower()}:{d['score']:.1f}" for d in found["dimensions"])
+    assert short("report") == "report files:4 langs:1 code:8 dups:0.0%" and terse("report") == "8"
+    assert short("deps").startswith("deps files:")
+    assert out("loc", "--list-excluded", "--exclude", "src/s*").endswith("1 file(s) excluded")
+
+
 def test_settings(tmp_path):
     (tmp_path / "codeseam.toml").write_text("[smells]\nmax_lines = 70\n")
     project = config.project_file(str(tmp_path), None)
