@@ -476,13 +476,36 @@ def items_of(lines: DataFrame, edits: int, share: int, size: int) -> DataFrame:
     return lines.select("node", "root", "line").mapInArrow(cut, "node long, root long, by_words boolean, n int, n_words int, item long")
 
 
+#: Slots of the counts of items: 4 MB, whatever the number of items.
+COUNT_BITS = 20
+
+
+def with_counts(items: DataFrame) -> DataFrame:
+    """The items that other items may be equal to, with `df`: how many items share their slot of a
+    table of fixed size that all tasks hold. So df is at least how often an item occurs, and the
+    same wherever it does; with very many items it is larger, never smaller."""
+    slots = (1 << COUNT_BITS) - 1
+    rows = items.groupBy(F.col("item").bitwiseAND(F.lit(slots)).cast("int").alias("slot")).agg(F.least(F.count("*"), F.lit((1 << 31) - 1)).cast("int").alias("df")).toArrow()
+    table = np.zeros(slots + 1, np.int32)
+    table[rows.column("slot").to_numpy()] = rows.column("df").to_numpy()
+    shared = items.sparkSession.sparkContext.broadcast(table)
+
+    def looked_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            df = shared.value[batch.column("item").to_numpy() & slots]
+            yield batch.append_column("df", pa.array(df, pa.int32())).filter(pa.array(df > 1))
+
+    return items.mapInArrow(looked_up, "node long, root long, by_words boolean, n int, n_words int, item long, df int")
+
+
 def prefix_pairs(lines: DataFrame, edits: int, share: int, min_bytes: int) -> DataFrame:
     """Pairs (a > b) of the lines (node, root, line) of different roots that can still be linked:
     all that pass tests that no link fails.
 
     An edit of a word changes one word; one of a byte at most two, or as many grams of bytes as a
     gram is long. So two linked lines have all but `allow` of these items in common, one of the
-    rarest allow + 1 of each among them (the prefix filter); items that no other of the lines has
+    rarest allow + 1 of each among them (the prefix filter, in any one order of items; here by the
+    counts of with_counts()); items that no other of the lines has
     count for no one; and from the first common item on, in order of rarity, enough must be left. Most lines of a large family have so many changes
     of their own that they have no prefix at all. Counts of kinds of words, or bytes, must be near.
     """
@@ -493,9 +516,8 @@ def prefix_pairs(lines: DataFrame, edits: int, share: int, min_bytes: int) -> Da
     # a line near the least length that allows word edits may be linked to a shorter one
     of_line = F.when(F.col("by_words") & by_share(F.col("n_words")) & ~by_share(F.col("n_words") - edits), F.greatest(words_of(F.col("n_words")), F.lit(2 * edits))).otherwise(of_pair(F.col("n_words")))
     items = written(items_of(lines, edits, share, size), "items")
-    df = items.groupBy("item").agg(F.count("*").alias("df")).where("df > 1")
     own = Window.partitionBy("node", "by_words")  # as many as the line has
-    shared = items.join(df.hint("merge"), "item").withColumn("m", F.count("*").over(own)).withColumn("allow", of_line).where("m >= n - allow")
+    shared = with_counts(items).withColumn("m", F.count("*").over(own)).withColumn("allow", of_line).where("m >= n - allow")
     rare = own.orderBy("df", "item")
     prefix = shared.withColumn("rank", F.row_number().over(rare)).where("rank + n - m <= allow + 1")
     # with the items just before each, a pair is made at its first common item and seldom again
