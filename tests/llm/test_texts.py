@@ -225,3 +225,13 @@ def test_lines_with_counts_beyond_16_bits(spark, share):
     nodes = spark.createDataFrame([(i, i, x.encode()) for i, x in enumerate(lines)], "node long, root long, line binary")
     pairs = {(r["a"], r["b"]) for r in linededup.prefix_pairs(nodes, 2, share, 60).collect()}
     assert pairs >= {(k + 1, k) for k in range(0, len(lines), 3)}
+
+
+def test_counts_of_items_may_be_too_large(spark, monkeypatch):
+    """With a table of four slots every item seems common; the near lines are found all the same."""
+    lines = [f"line {k // 2} of the shared words alpha beta gamma delta epsilon zeta eta theta number {k // 2 * 7919}{'x' * (k % 2)}" for k in range(40)]
+    nodes = spark.createDataFrame([(i, i, x.encode()) for i, x in enumerate(lines)], "node long, root long, line binary")
+    monkeypatch.setattr(linededup, "COUNT_BITS", 2)
+    for share in (0, 5):
+        pairs = {(r["a"], r["b"]) for r in linededup.prefix_pairs(nodes, 2, share, 60).collect()}
+        assert pairs >= {(k + 1, k) for k in range(0, 40, 2)}
