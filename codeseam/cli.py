@@ -19,7 +19,7 @@ from .functions.paths import Exclusions
 from .operators import dependencies, duplicates, history, metrics, score, smells
 from .operators.files import ALL, file_measures, functions
 from .shipping import ship
-from .sources.history import history_table, repository
+from .sources.history import history_table, kept_hunks, repository
 from .sources.tree import Scan, source_files
 from .storage import stored
 
@@ -80,11 +80,13 @@ class Context:
 
     @cached_property
     def commits(self) -> DataFrame:
-        return history_table(self.spark, self.options.path, "commits")
+        found = history_table(self.spark, self.options.path, "commits")
+        return found if self.since is None else found.where(F.col("ts") >= self.since)
 
     @cached_property
     def commit_files(self) -> DataFrame:
-        return self.below(history_table(self.spark, self.options.path, "commit_files"))
+        found = self.below(history_table(self.spark, self.options.path, "commit_files"))
+        return (found if self.since is None else found.where(F.col("committed") >= self.since)).drop("committed")
 
     @cached_property
     def frequencies(self) -> DataFrame:
@@ -92,7 +94,9 @@ class Context:
 
     @cached_property
     def hunks(self) -> DataFrame:
-        return self.below(history_table(self.spark, self.options.path, "hunks")).join(self.languages.select("path"), "path", "left_semi")
+        folder = getattr(self.options, "keep_ownership", None)
+        found = kept_hunks(self.spark, self.options.path, folder) if folder else history_table(self.spark, self.options.path, "hunks")
+        return self.below(found).join(self.languages.select("path"), "path", "left_semi")
 
     def measures(self, window: int = 6, files: DataFrame | None = None, parts: tuple[str, ...] = ALL) -> DataFrame:
         return stored(file_measures(self.files if files is None else files, window, strip_tests=not self.options.include_tests, parts=parts), "measures")
@@ -375,9 +379,9 @@ def parser() -> argparse.ArgumentParser:
         if name in orders:
             p.add_argument("--sort-by", choices=orders[name], default=orders[name][0])
         more = {
-            "loc": [("--by-author", bool), ("--verbose", bool)], "dups": [("--report", bool), ("--show-all", bool), ("--min-lines", int), ("--max-duplicates", int), ("--max-dup-ratio", float), ("--fail-on-increase", str)],
+            "loc": [("--by-author", bool), ("--verbose", bool), ("--keep-ownership", str)], "authors": [("--keep-ownership", str)], "dups": [("--report", bool), ("--show-all", bool), ("--min-lines", int), ("--max-duplicates", int), ("--max-dup-ratio", float), ("--fail-on-increase", str)],
             "cycom": [("--min-complexity", int), ("--per-function", bool)], "cogcom": [("--min-complexity", int), ("--per-function", bool)], "report": [("--min-lines", int), ("--full", bool)],
-            "knowledge": [("--risk-only", bool), ("--summary", bool), ("--bus-factor", bool), ("--author", str)], "tc": [("--min-degree", int), ("--min-strength", float)],
+            "knowledge": [("--risk-only", bool), ("--summary", bool), ("--bus-factor", bool), ("--author", str), ("--keep-ownership", str)], "tc": [("--min-degree", int), ("--min-strength", float)],
             "smells": [("--max-lines", int), ("--max-params", int), ("--since-ref", str)], "score": [("--bottom", int), ("--min-lines", int), ("--fail-below", str)],
             "age": [("--active-days", int), ("--frozen-days", int), ("--status", str)], "deps": [("--cycles-only", bool)], "init": [("--yes", bool)],
         }

@@ -1,13 +1,17 @@
 import json
 import os
 import subprocess
+from datetime import datetime, timezone
 
 import pytest
+from pyspark.sql import functions as F
+from pyspark.sql.datasource import EqualTo, GreaterThanOrEqual, In, IsNotNull, LessThan, StringContains, StringStartsWith
 
 from codeseam import cli, config
 from codeseam.functions.paths import Exclusions
 from codeseam.operators import dependencies
-from codeseam.sources.history import history_table, repository, unquoted
+from codeseam.sources import history as git_history
+from codeseam.sources.history import HistoryReader, history_table, kept_hunks, repository, touched, unquoted
 from codeseam.sources.tree import Ignore, Rules, Scan, source_files
 
 
@@ -123,6 +127,126 @@ def test_history(spark, repo):
         history_table(spark, "/", "commits")
 
 
+def asked(root, table, *filters, **options):
+    """The items that tasks would get under filters, and the filters that are left to Spark."""
+    reader = HistoryReader({"path": str(root), "table": table} | options)
+    left = list(reader.pushFilters(list(filters)))
+    return [x for p in reader.partitions() for x in p.items], left
+
+
+def test_filters_reach_the_repository(spark, repo):
+    """Commits outside a span and files outside a folder are not asked for."""
+    day = lambda m: datetime(2024, m, 1, tzinfo=timezone.utc)
+    ids = [r["commit_id"] for r in history_table(spark, str(repo), "commits").orderBy("ts").collect()]
+    write(repo, {"lib/d.py": "d = 1\n", "srcs.py": "s = 1\n"})
+    git(repo, "add", "-A")
+    git(repo, "commit", "-m", "four", when="2024-06-01T00:00:00Z")
+    since, other = GreaterThanOrEqual(("ts",), day(3)), EqualTo(("author",), "Ann")
+    found, left = asked(repo, "commits", IsNotNull(("ts",)), since, other)
+    assert len(found) == 3 and ids[0] not in found and left == [other]
+    assert asked(repo, "commits", since, LessThan(("ts",), day(5))) == ([ids[1]], [])
+    assert asked(repo, "commits", GreaterThanOrEqual(("ts",), day(7)))[0] == []
+    assert len(asked(repo, "commit_files", GreaterThanOrEqual(("committed",), day(5)), StringStartsWith(("path",), "src/"))[0]) == 2
+    names = lambda *filters, **options: sorted(path for _, path in asked(repo, "hunks", *filters, **options)[0])
+    assert names(StringStartsWith(("path",), "src/a")) == ["src/a.py"] and names(In(("path",), ("lib/d.py", "none"))) == ["lib/d.py"]
+    assert asked(repo, "hunks", StringContains(("path",), "a"))[1] == [StringContains(("path",), "a")]
+    assert names(since_ref="HEAD~1") == ["lib/d.py", "srcs.py"]
+
+    for table, condition in [("commits", F.col("ts") >= F.timestamp_seconds(F.lit(int(day(3).timestamp())))), ("commits", "ts < '2024-03-01' and author = 'Ann'"), ("commit_files", "committed >= '2024-03-01' and path like 'src/%'"), ("commit_files", "path = 'srcs.py'"), ("hunks", "path in ('src/a.py', 'lib/d.py') and n_lines > 0"), ("files", "path like 'src%'")]:
+        whole = history_table(spark, str(repo), table)
+        rows = lambda df: sorted(map(str, df.collect()))
+        kept = whole.where(condition)
+        assert rows(kept) == rows(spark.createDataFrame(whole.collect(), whole.schema).where(condition)) and kept.count(), (table, condition)
+    plan = history_table(spark, str(repo), "commits").where(F.col("ts") >= F.timestamp_seconds(F.lit(int(day(3).timestamp()))))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Filter" not in plan.splitlines()[0]
+
+
+def test_commands_over_a_span_of_time(spark, repo, capsys):
+    """With --since, files that change together are counted in commits of that span only."""
+    def tc(*args):
+        assert cli.main(["tc", str(repo), "--min-degree", "1", "--min-strength", "0", "--format", "json", *args], spark) == 0
+        return {(r["file_a"], r["file_b"]): r["shared_commits"] for r in json.loads(capsys.readouterr().out)}
+
+    write(repo, {"src/a.py": "a = 2\n", "src/c.py": "c = 2\n"})
+    git(repo, "add", "-A")
+    now = datetime.now(timezone.utc).isoformat(timespec="seconds")
+    git(repo, "commit", "-m", "now", when=now)
+    assert ("src/a.py", "src/b.py") in tc()
+    assert tc("--since", "1m") == {("src/a.py", "src/c.py"): 1}
+
+
+def test_owners_that_may_differ(repo):
+    """Paths between two commits, along branches, merges, reverts and unrelated or lost commits."""
+    def commit(name, files):
+        write(repo, files)
+        git(repo, "add", "-A")
+        git(repo, "commit", "-m", name, "--allow-empty")
+        return git_history.commit_of(str(repo), "HEAD")
+
+    between = lambda old, new: touched(str(repo), old, new)
+    first = git_history.commit_of(str(repo), "HEAD")
+    assert between(first, first) == set() and between("0" * 40, first) is None
+    git(repo, "checkout", "-b", "side")
+    commit("side", {"side.py": "s = 1\n"})
+    git(repo, "checkout", "main")
+    commit("change", {"src/a.py": "changed\n"})
+    back = commit("change back", {"src/a.py": subprocess.run(["git", "-C", str(repo), "show", f"{first}:src/a.py"], capture_output=True).stdout})
+    one = commit("one", {"one.py": "o = 1\n"})
+    assert between(back, one) == {"one.py"} and between(first, back) == {"src/a.py"}
+    git(repo, "merge", "side", "-m", "merge")
+    merged = git_history.commit_of(str(repo), "HEAD")
+    # the branch began before: what changed since then may have other owners by way of it
+    assert between(one, merged) == {"side.py", "one.py", "src/a.py"}
+    assert between(merged, one) == between(one, merged)
+    moved = commit("moved", {"line\nbreak.py": "x\n", "é.py": "x\n"})
+    assert between(merged, moved) == {"line\nbreak.py", "é.py"}
+    assert between(moved, commit("names", {".mailmap": "Eve <eve@example.org> <ann@example.org>\n"})) is None
+    git(repo, "checkout", "--orphan", "new")
+    assert between(moved, commit("apart", {"x.py": "x\n"})) is None
+
+
+def test_owners_kept_between_runs(spark, repo, tmp_path, monkeypatch):
+    """Later calls ask about changed files only and give what a whole reading gives."""
+    asked_for = []
+    real = git_history.history_table
+
+    def spy(spark, path, table, ref="HEAD", since_ref=None):
+        if table == "hunks":
+            asked_for.append(sorted(p for _, p in asked(path, table, ref=ref, **({"since_ref": since_ref} if since_ref else {}))[0]))
+        return real(spark, path, table, ref, since_ref)
+
+    monkeypatch.setattr(git_history, "history_table", spy)
+    folder = str(tmp_path / "kept")
+    rows = lambda df: sorted(map(tuple, df.collect()))
+
+    def same():
+        found = kept_hunks(spark, str(repo), folder)
+        assert rows(found) == rows(real(spark, str(repo), "hunks"))
+        assert found.columns == real(spark, str(repo), "hunks").columns
+        return asked_for.pop() if asked_for else None
+
+    assert same() == ["src/a.py", "src/c.py", "src/é x.py"]
+    assert same() is None  # nothing changed: nothing is asked
+    write(repo, {"src/a.py": "def f(a):\n    return 3\n", "src/new.py": "n = 1\n"})
+    git(repo, "rm", "src/c.py")
+    git(repo, "mv", "src/é x.py", "src/x.py")
+    git(repo, "add", "-A")
+    git(repo, "commit", "-m", "four", who="Cid")
+    assert same() == ["src/a.py", "src/new.py", "src/x.py"]
+    write(repo, {"src/new.py": "n = 1\nm = 2\n"})
+    git(repo, "commit", "-am", "five", who="Dan")
+    assert same() == ["src/new.py"] and same() is None
+    below = kept_hunks(spark, str(repo / "src"), folder)
+    assert rows(below) == rows(real(spark, str(repo / "src"), "hunks"))
+    for left in (tmp_path / "kept").rglob("part-*.parquet"):
+        os.remove(left)
+    for table in [d for d in (tmp_path / "kept").glob("*/*") if d.name != "index"]:
+        os.rename(table, tmp_path / table.name)
+    asked_for.clear()
+    assert same() == ["src/a.py", "src/new.py", "src/x.py"]  # the tables are gone
+    assert cli.main(["authors", str(repo), "--keep-ownership", folder, "--format", "terse"], spark) == 0
+
+
 def test_bare_repositories_are_rejected(tmp_path):
     git(tmp_path, "init", "--bare")
     with pytest.raises(ValueError, match="bare"):
