@@ -19,6 +19,7 @@ from .functions.paths import Exclusions
 from .operators import dependencies, duplicates, history, metrics, score, smells
 from .operators.files import ALL, file_measures, functions
 from .shipping import ship
+from .sources.findings import write_findings
 from .sources.history import history_table, kept_hunks, repository
 from .sources.tree import Scan, source_files
 from .storage import stored
@@ -268,7 +269,9 @@ def smelled(c: Context) -> DataFrame:
     lines, found = lines_of(text_of(files)), functions(m)
     each = smells.smells(lines, found, c.setting("smells", "max_lines"), c.setting("smells", "max_params"))
     counts = c.top(smells.smell_counts(each), F.desc("total"), "path")
-    c.findings = lambda: [{"path": r["path"], "line": r["line_no"], "title": smells.TITLES[r["smell"]][1], "message": r["detail"], "severity": "minor"} for r in each.join(counts.select("path", "total"), "path").orderBy(F.desc("total"), "path", "line_no").collect()]
+    title = F.element_at(F.create_map(*(F.lit(x) for k, (_, name) in smells.TITLES.items() for x in (k, name))), F.col("smell"))
+    placed = each.join(counts.select("path", "total"), "path").orderBy(F.desc("total"), "path", "line_no")
+    c.findings = lambda: placed.select("path", F.col("line_no").alias("line"), title.alias("title"), F.col("detail").alias("message"), F.lit("minor").alias("severity"))
     c.json = lambda result: shapes.entries("smells", smells.listed(each, result).join(files.select("path", "language"), "path").orderBy(F.desc("total"), "path"))
     return counts
 
@@ -387,6 +390,8 @@ def parser() -> argparse.ArgumentParser:
         }
         for flag, kind in more.get(name, []):
             p.add_argument(flag, **({"action": "store_true"} if kind is bool else {"type": kind}))
+        if name in WITH_FINDINGS:
+            p.add_argument("--into", metavar="FOLDER", help="write annotations or code-quality entries to files of a shared folder, by tasks")
         if name == "hotspots":
             p.add_argument("--complexity", choices=("indent", "cycom", "cogcom"), default="indent")
         if name == "smells":
@@ -404,7 +409,10 @@ def rendered(c: Context, result: DataFrame) -> str:
     if o.format in ("github", "codeclimate", "gitlab"):
         if o.command not in WITH_FINDINGS:
             raise ValueError(f"the format {o.format} is for {', '.join(WITH_FINDINGS)} only")
-        return report.annotations(c.findings()) if o.format == "github" else report.quality_entries(c.findings())
+        if o.into:
+            return f"{write_findings(c.findings(), o.into, 'annotations' if o.format == 'github' else 'quality')} finding(s) in {o.into}"
+        found = report.rows_of(c.findings())
+        return report.annotations(found) if o.format == "github" else report.quality_entries(found)
     if o.format in ("short", "terse"):
         of = c.values(result) if hasattr(c, "values") else shapes.values(c.view or o.command, result)
         return shapes.headline(c.view or o.command, of, o.format == "terse")

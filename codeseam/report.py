@@ -47,10 +47,6 @@ def fingerprint(text: str) -> str:
     return f"{h:016x}"
 
 
-def severity(complexity: int) -> str:
-    return "critical" if complexity >= 25 else "major" if complexity >= 15 else "minor" if complexity >= 10 else "info"
-
-
 def rows_of(report: DataFrame) -> list[dict]:
     """The rows of a report, which is small by its own limit."""
     return [r.asDict(recursive=True) for r in report.collect()]
@@ -89,17 +85,20 @@ def annotations(findings: list[dict], level: str = "warning") -> str:
     return "\n".join(f"::{level} file={f['path']},line={f['line']},title={f['title']}::{f['message']}" for f in findings)
 
 
+def quality_entry(f: dict) -> dict:
+    return {"description": f["message"], "fingerprint": fingerprint(f"{f['path']}:{f['line']}:{f['title']}"), "severity": f["severity"], "location": {"path": f["path"], "lines": {"begin": f["line"]}}}
+
+
 def quality_entries(findings: list[dict]) -> str:
     """The same as code-quality entries, with a severity each."""
-    entries = [{"description": f["message"], "fingerprint": fingerprint(f"{f['path']}:{f['line']}:{f['title']}"), "severity": f["severity"], "location": {"path": f["path"], "lines": {"begin": f["line"]}}} for f in findings]
-    return as_json(entries)
+    return as_json([quality_entry(f) for f in findings])
 
 
-def complexity_findings(functions: DataFrame, measure: str, least: int) -> list[dict]:
-    """Functions whose complexity is `least` or more, as findings."""
-    title = f"{measure.title()} Complexity"
-    rows = functions.where(F.col(measure) >= least).orderBy("path", "start_line").select("path", "name", "start_line", measure).collect()
-    return [{"path": r["path"], "line": r["start_line"], "title": title, "message": f"function '{r['name']}' has {measure} complexity {r[measure]} (threshold: {least})", "severity": severity(r[measure])} for r in rows]
+def complexity_findings(functions: DataFrame, measure: str, least: int) -> DataFrame:
+    """Functions whose complexity is `least` or more, as findings (path, line, title, message, severity)."""
+    level = F.when(F.col(measure) >= 25, "critical").when(F.col(measure) >= 15, "major").when(F.col(measure) >= 10, "minor").otherwise("info")
+    text = F.format_string(f"function '%s' has {measure} complexity %d (threshold: {least})", "name", measure)
+    return functions.where(F.col(measure) >= least).orderBy("path", "start_line").select("path", F.col("start_line").alias("line"), F.lit(f"{measure.title()} Complexity").alias("title"), text.alias("message"), level.alias("severity"))
 
 
 def sections(title: str, parts: list[tuple[str, str, DataFrame, int]]) -> list[dict]:
