@@ -31,6 +31,12 @@ def has_magic_number(line: Column) -> Column:
     return ~F.lower(F.regexp_extract(text, r"^\S*", 0)).isin(*DECLARES) & magic
 
 
+def telling(lines: DataFrame) -> DataFrame:
+    """The lines that may hold a smell: comments, and code with a digit. They are few, so what is
+    read once for each kind of smell should be these, stored."""
+    return lines.where((F.col("kind") == "Comment") | ((F.col("kind") == "Code") & F.col("text").rlike("[0-9]")))
+
+
 def magic_numbers(lines: DataFrame) -> DataFrame:
     """(path, line_no) of code lines with a magic number, of languages with rules."""
     text = F.col("text")

@@ -21,3 +21,20 @@ def test_hunks_are_not_sent_to_the_driver(spark):
     got = metrics.loc_by_author(lines, hunks)
     assert "Broadcast" not in plan(got)
     assert sorted(map(tuple, got.select("email", "name", "files", "code").collect())) == [("a@x", "A", 1, 63 + 871), ("b@x", "b", 2, 67)]
+
+
+def test_lines_without_smells_are_not_stored(spark):
+    rows = [("a", "Python", 1, "x = 42", "Code"), ("a", "Python", 2, "run()", "Code"), ("a", "Python", 3, "# TODO", "Comment"), ("a", "Python", 4, "", "Blank"), ("a", "Python", 5, "# if(x) return y;", "Comment"), ("a", "Python", 6, "# if(x) return z;", "Comment")]
+    lines = spark.createDataFrame(rows, "path string, language string, line_no long, text string, kind string")
+    found = spark.createDataFrame([], "path string, language string, name string, start_line long, n_lines long, code_lines long, n_params long")
+    few = smells.telling(lines)
+    assert {r["line_no"] for r in few.collect()} == {1, 3, 5, 6}
+    assert sorted(map(tuple, smells.smells(few, found).collect())) == sorted(map(tuple, smells.smells(lines, found).collect()))
+
+
+def test_equal_lines_are_matched_once():
+    rules = RULES["Go"]
+    lines = ["func f(a int) {", *["    if a && b || c {", "    }"] * 500, "}"]
+    facts(rules).clear()
+    assert file_functions(lines, list(range(len(lines))), lines, rules) == [("f", 1, 1002, 1002, 1, 1501, 1500)]
+    assert len(facts(rules)) == 4
