@@ -540,6 +540,24 @@ def prefix_pairs(lines: DataFrame, edits: int, share: int, min_bytes: int) -> Da
     return x.join(y, both).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
 
 
+def unsettled(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """(node, root): lines of the large groups of pairs (a, b, hot) that lie in more than one
+    component of roots (node, root).
+
+    The pairs under a key connect all its lines, so these are in one component unless some pair is
+    not. A pair under many keys is looked up once, and only groups that are apart are moved.
+    """
+    hot = pairs.where("hot is not null")
+    root = lambda n: roots.select(F.col("node").alias(n), F.col("root").alias(f"root_{n}")).hint("merge")
+    # the pairs under a key connect all its lines: these are in one component unless a pair is not
+    met = hot.select("a", "b").distinct().join(root("a"), "a", "left").join(root("b"), "b", "left")
+    split = met.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
+    open_ = written(hot.join(split.hint("merge"), ["a", "b"], "left_semi").select("hot").distinct(), "open")
+    there = hot.join(open_.hint("merge"), "hot", "left_semi").select("a", "b").distinct()
+    node = there.select(F.col("a").alias("node")).unionByName(there.select(F.col("b").alias("node"))).distinct()
+    return node.join(roots.hint("merge"), "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+
+
 def line_classes(docs: DataFrame, edits: int, min_bytes: int, share: int = 0) -> DataFrame:
     """(node, root): digests of different lines that links connect.
 
@@ -550,10 +568,8 @@ def line_classes(docs: DataFrame, edits: int, min_bytes: int, share: int = 0) ->
     lines = written(line_texts(docs, written(ends(pairs, "h"), "wanted"), min_bytes), "lines")
     links = written(confirmed(pairs, lines, edits, share), "links")
     roots = components(links)
-    member = pairs.where("hot is not null").select(F.col("hot").alias("key"), F.explode(F.array("a", "b")).alias("node")).distinct()
-    placed = member.join(roots.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    open_ = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-    apart = placed.join(open_.hint("merge"), "key", "left_semi").select("node", "root").distinct().join(lines.withColumnRenamed("h", "node").hint("merge"), "node")
+    there = unsettled(pairs, roots)
+    apart = there.join(lines.withColumnRenamed("h", "node").hint("merge"), "node")
     more = prefix_pairs(apart, edits, share, min_bytes).join(pairs.select("a", "b"), ["a", "b"], "left_anti")
     found = written(confirmed(written(more, "pairs"), lines, edits, share), "links")
     return components(links.unionByName(found)) if found.limit(1).count() else roots
