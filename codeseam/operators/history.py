@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.paths import is_generated, is_test_path
-from ..storage import stored
+from ..storage import dealt, stored
 
 DAY = 86_400
 
@@ -59,10 +59,12 @@ def paired(changes: DataFrame, block: int = BLOCK) -> DataFrame:
     however large the commit.
     """
     sizes = changes.groupBy("commit_id").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    own = changes.join(sizes, "commit_id").withColumn("own", F.pmod(F.xxhash64("file"), "blocks").cast("int"))
+    own = stored(changes.join(sizes, "commit_id").withColumn("own", F.pmod(F.xxhash64("file"), "blocks").cast("int")), "own")
+    n = own.agg(F.sum("blocks")).first()[0] or 0
     rows = own.select("commit_id", "own", F.col("file").alias("x"), F.explode(F.sequence("own", F.col("blocks") - 1)).alias("other"))
     columns = own.select("commit_id", F.col("own").alias("other"), F.col("file").alias("y"), F.explode(F.sequence(F.lit(0), "own")).alias("own"))
-    return rows.join(columns, ["commit_id", "own", "other"]).where("own < other or x < y").select("commit_id", "x", "y")
+    cell = ["commit_id", "own", "other"]
+    return dealt(rows, n, *cell).join(dealt(columns, n, *cell), cell).where("own < other or x < y").select("commit_id", "x", "y")
 
 
 def temporal_coupling(commit_files: DataFrame, freq: DataFrame, min_degree: int = 3, min_strength: float = 0.0, keep_tests: bool = True, block: int = BLOCK) -> DataFrame:
@@ -73,9 +75,12 @@ def temporal_coupling(commit_files: DataFrame, freq: DataFrame, min_degree: int
     busy = freq.where(F.col("commits") >= min_degree).select("path", "commits")
     busy = busy if keep_tests else busy.where(~is_test_path(F.col("path")))
     # the count travels with the change, so the pair needs no second look-up
-    kept = commit_files.select("commit_id", "path").join(busy, "path").select("commit_id", F.struct("path", "commits").alias("file"))
+    kept = stored(commit_files.select("commit_id", "path").join(busy.hint("shuffle_hash"), "path").select("commit_id", F.struct("path", "commits").alias("file")), "changes")
+    changes = dealt(kept, kept.count(), "commit_id")
+    several = changes.groupBy("commit_id").agg(F.count("*").alias("n")).agg(F.sum(F.expr("n * (n - 1) div 2"))).first()[0] or 0
     a, b = F.least("x", "y"), F.greatest("x", "y")
-    pairs = paired(kept, block).groupBy(a["path"].alias("file_a"), b["path"].alias("file_b")).agg(F.count("*").alias("shared_commits"), F.first(a["commits"]).alias("commits_a"), F.first(b["commits"]).alias("commits_b"))
+    each = paired(changes, block).select(a["path"].alias("file_a"), b["path"].alias("file_b"), a["commits"].alias("commits_a"), b["commits"].alias("commits_b"))
+    pairs = dealt(each, several, "file_a", "file_b").groupBy("file_a", "file_b").agg(F.count("*").alias("shared_commits"), F.first("commits_a").alias("commits_a"), F.first("commits_b").alias("commits_b"))
     strength = F.col("shared_commits") / F.least("commits_a", "commits_b")
     level_ = F.when(F.col("strength") >= 0.5, "STRONG").when(F.col("strength") >= 0.3, "MODERATE").otherwise("WEAK")
     return pairs.withColumn("strength", strength).where(F.col("strength") >= min_strength).withColumn("level", level_)
@@ -162,11 +167,13 @@ def bus_factor(blame: DataFrame, threshold: float = 80.0) -> DataFrame:
 
 def authors(blame: DataFrame, languages: DataFrame, since: Column | None = None) -> DataFrame:
     """Per email: lines, languages, last activity and files of which they own most lines; with
-    `since`, of the ownership rows last changed from then on only."""
-    blame = blame if since is None else blame.where(F.col("last_ts") >= since)
+    `since`, of the ownership rows last changed from then on only. Rows are dealt out by their
+    number, by path and then by email, as the lists of languages are sorted row by row."""
+    blame = stored(blame if since is None else blame.where(F.col("last_ts") >= since), "blame")
+    n = blame.count()
     order = Window.partitionBy("path").orderBy(F.desc("lines"), "author", "email")
-    top = blame.withColumn("owner", F.first("email").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return top.join(languages, "path", "left").groupBy("email").agg(F.max("author").alias("name"), F.sum("lines").alias("lines"), F.array_sort(F.collect_set("language")).alias("languages"), F.max("last_ts").alias("last_active"), F.sum((F.col("owner") == F.col("email")).cast("long")).alias("owned_files"))
+    top = dealt(blame, n, "path").withColumn("owner", F.first("email").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return dealt(top.join(languages, "path", "left"), n, "email").groupBy("email").agg(F.max("author").alias("name"), F.sum("lines").alias("lines"), F.array_sort(F.collect_set("language")).alias("languages"), F.max("last_ts").alias("last_active"), F.sum((F.col("owner") == F.col("email")).cast("long")).alias("owned_files"))
 
 
 def dependency_fan(edges: DataFrame) -> DataFrame:

@@ -52,3 +52,14 @@ def test_equal_lines_are_matched_once():
     facts(rules).clear()
     assert file_functions(lines, list(range(len(lines))), lines, rules) == [("f", 1, 1002, 1002, 1, 1501, 1500)]
     assert len(facts(rules)) == 4
+
+
+def test_more_rows_are_dealt_out_over_more_tasks(spark, monkeypatch):
+    monkeypatch.setattr(storage, "TASK_ROWS", 50)
+    rows = spark.range(400).select((F.col("id") % 100).alias("commit_id"), F.col("id").cast("string").alias("path"))
+    freq = rows.select("path", F.lit(3).alias("commits"))
+    pairs = history.temporal_coupling(rows, freq)
+    assert pairs.count() == 600 and pairs.rdd.getNumPartitions() == 12
+    blame = rows.select("path", F.lit("a").alias("author"), (F.col("commit_id") % 5).cast("string").alias("email"), F.lit(1).alias("lines"), F.lit(0).alias("last_ts"))
+    got = history.authors(blame, rows.select("path", F.lit("Go").alias("language")))
+    assert got.rdd.getNumPartitions() == 8 and sorted((r["email"], r["lines"], r["owned_files"]) for r in got.collect()) == [(str(i), 80, 80) for i in range(5)]
