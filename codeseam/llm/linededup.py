@@ -11,7 +11,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import WordHash, components, ends, fresh, hint, mixed, seen, sliced, written
@@ -418,7 +418,6 @@ def confirmed(pairs: DataFrame, lines: DataFrame, edits: int, share: int = 0) ->
     return both.select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
 
 
-ITEMS = pa.schema([("node", pa.int64()), ("root", pa.int64()), ("by_words", pa.bool_()), ("n", pa.int32()), ("n_words", pa.int32()), ("item", pa.int64())])
 #: Kinds of words that are counted of a line.
 KINDS = 256
 #: Items before its own that a row of a prefix carries: a long line has a long prefix.
@@ -447,55 +446,124 @@ def with_bags(lines: DataFrame, share: int) -> DataFrame:
     return lines.select("node", "line").mapInArrow(bags, "node long, n_bytes int, bag array<smallint>, bytes_bag array<smallint>")
 
 
-def items_of(lines: DataFrame, edits: int, share: int, size: int) -> DataFrame:
-    """(node, root, by_words, n, n_words, item) from rows (node, root, line): all words of a line
+def line_items(texts: list[bytes], edits: int, size: int, hashes: WordHash) -> tuple[np.ndarray, list[tuple[bool, np.ndarray, np.ndarray]]]:
+    """Each line's number of words, and (by words, number of the line, item) of all words of a line
     and, where it, or a line it may be linked to, has so few that edited bytes can change all of
-    them, all grams of `size` bytes. n is their number; equal ones of a line are told apart."""
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHash()
-        for batch in sliced(batches, 2, 200_000):
-            node, root, texts = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_pylist()
-            split = [x.split() for x in texts]
-            words = np.array([len(x) for x in split])
-            of, own = np.repeat(np.arange(len(texts)), words), hashes.of([w for x in split for w in x])
-            some, by_bytes = words[of] > 2 * edits, words <= 3 * edits
-            parts = [(True, *numbered(of[some], own[some]))]
-            chars = np.frombuffer(b"".join(texts), np.uint8).astype(np.uint64)
-            n = max(0, len(chars) - size + 1)
-            out = np.zeros(n, np.uint64)
-            for i in range(size):
-                out = (out << np.uint64(8)) | chars[i : i + n]
-            line = np.repeat(np.arange(len(texts)), [len(x) for x in texts])
-            whole = (line[:n] == line[size - 1 : size - 1 + n]) & by_bytes[line[:n]]
-            parts.append((False, *numbered(line[:n][whole], mixed(out[whole]))))
-            for kind, of, named in parts:
-                count = np.bincount(of, minlength=len(texts))[of]
-                yield pa.RecordBatch.from_arrays([pa.array(node[of]), pa.array(root[of]), pa.array(np.full(len(of), kind)), pa.array(count.astype(np.int32)), pa.array(words[of].astype(np.int32)), pa.array(named.view(np.int64))], schema=ITEMS)
-
-    return lines.select("node", "root", "line").mapInArrow(cut, "node long, root long, by_words boolean, n int, n_words int, item long")
+    them, of all grams of `size` bytes. Equal ones of a line are told apart."""
+    split = [x.split() for x in texts]
+    words = np.array([len(x) for x in split], np.int64)
+    of, own = np.repeat(np.arange(len(texts)), words), hashes.of([w for x in split for w in x])
+    some, by_bytes = words[of] > 2 * edits, words <= 3 * edits
+    parts = [(True, *numbered(of[some], own[some]))]
+    chars = np.frombuffer(b"".join(texts), np.uint8).astype(np.uint64)
+    n = max(0, len(chars) - size + 1)
+    out = np.zeros(n, np.uint64)
+    for i in range(size):
+        out = (out << np.uint64(8)) | chars[i : i + n]
+    line = np.repeat(np.arange(len(texts)), [len(x) for x in texts])
+    whole = (line[:n] == line[size - 1 : size - 1 + n]) & by_bytes[line[:n]]
+    return words, [*parts, (False, *numbered(line[:n][whole], mixed(out[whole])))]
 
 
 #: Slots of the counts of items: 4 MB, whatever the number of items.
 COUNT_BITS = 20
+#: Slots are dealt out over so many ranges when tasks' counts are added up; counts in a row.
+RANGES, IN_ROW = 16, 2048
+
 
+def item_counts(lines: DataFrame, edits: int, size: int) -> np.ndarray:
+    """How many items of the lines (node, root, line) share each slot of a table of fixed size; 0 if
+    all are of lines of one root. So a count is at least how often an item occurs, and the same
+    wherever it does; with very many items it is larger, never smaller.
 
-def with_counts(items: DataFrame) -> DataFrame:
-    """The items that other items may be equal to, with `df`: how many items share their slot of a
-    table of fixed size that all tasks hold. So df is at least how often an item occurs, and the
-    same wherever it does; with very many items it is larger, never smaller."""
-    slots = (1 << COUNT_BITS) - 1
-    rows = items.groupBy(F.col("item").bitwiseAND(F.lit(slots)).cast("int").alias("slot")).agg(F.least(F.count("*"), F.lit((1 << 31) - 1)).cast("int").alias("df")).toArrow()
-    table = np.zeros(slots + 1, np.int32)
-    table[rows.column("slot").to_numpy()] = rows.column("df").to_numpy()
-    shared = items.sparkSession.sparkContext.broadcast(table)
+    A task counts its own lines' items first; packed counts move, not items.
+    """
+    slots = 1 << COUNT_BITS
+    first, last = np.iinfo(np.int64).min, np.iinfo(np.int64).max
+    columns = "part int, slot array<int>, n array<bigint>, lo array<bigint>, hi array<bigint>"
+
+    def empty() -> tuple[np.ndarray, ...]:
+        return np.zeros(slots, np.int64), np.full(slots, last), np.full(slots, first)
 
-    def looked_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, (n, lo, hi) = WordHash(), empty()
+        for batch in sliced(batches, 2, 200_000):
+            root = batch.column(1).to_numpy()
+            for _, of, items in line_items(batch.column(2).to_pylist(), edits, size, hashes)[1]:
+                slot = items.view(np.int64) & (slots - 1)
+                np.add.at(n, slot, 1)
+                np.minimum.at(lo, slot, root[of])
+                np.maximum.at(hi, slot, root[of])
+        used = np.flatnonzero(n)
+        for part in range(RANGES):
+            own = used[used * RANGES // slots == part]
+            for k in range(0, len(own), IN_ROW):
+                at = own[k : k + IN_ROW]
+                packed = (pa.array([x]) for x in (at.astype(np.int32), n[at], lo[at], hi[at]))
+                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), *packed], ["part", "slot", "n", "lo", "hi"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, lo, hi = empty()
         for batch in batches:
-            df = shared.value[batch.column("item").to_numpy() & slots]
-            yield batch.append_column("df", pa.array(df, pa.int32())).filter(pa.array(df > 1))
+            for row in range(batch.num_rows):
+                at, more, least, most = (batch.column(c)[row].values.to_numpy() for c in range(1, 5))
+                n[at] += more
+                lo[at] = np.minimum(lo[at], least)
+                hi[at] = np.maximum(hi[at], most)
+        at = np.flatnonzero(lo < hi)
+        for k in range(0, len(at), IN_ROW):
+            some = at[k : k + IN_ROW]
+            df = np.minimum(n[some], (1 << 31) - 1).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array([some.astype(np.int32)]), pa.array([df])], ["slot", "df"])
+
+    own = lines.select("node", "root", "line").mapInArrow(count, columns)
+    rows = own.repartition("part").mapInArrow(add, "slot array<int>, df array<int>").toArrow()
+    table = np.zeros(slots, np.int32)
+    for at, df in zip(rows.column("slot"), rows.column("df"), strict=True):
+        table[at.values.to_numpy()] = df.values.to_numpy()
+    return table
+
+
+PREFIX = pa.schema([("item", pa.int64()), ("node", pa.int64()), ("root", pa.int64()), ("by_words", pa.bool_()), ("n", pa.int32()), ("n_words", pa.int32()), ("m", pa.int32()), ("rank", pa.int32()), ("before", pa.list_(pa.int64()))])
+
+
+def prefixes(lines: DataFrame, edits: int, share: int, size: int) -> DataFrame:
+    """Rows of the items under which lines (node, root, line) must meet a line of another root that
+    they may be linked to: those of a line's rarest that at most `allow` changed items leave one of.
+
+    n is how many items of its kind (words or not) a line has, m how many of them lines of several
+    roots have, rank the place of the item among those, and before the items just before it.
+    """
+    shared = lines.sparkSession.sparkContext.broadcast(item_counts(lines, edits, size))
 
-    return items.mapInArrow(looked_up, "node long, root long, by_words boolean, n int, n_words int, item long, df int")
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, table = WordHash(), shared.value
+        for batch in sliced(batches, 2, 200_000):
+            node, root, texts = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_pylist()
+            words, parts = line_items(texts, edits, size, hashes)
+            for kind, of, named in parts:
+                # a line near the least length that allows word edits may be linked to a shorter one
+                of_words = np.where(word_edits(words, share) > 0, np.where(word_edits(words - edits, share) > 0, 0, 2 * edits), 2 * edits)
+                allow = np.maximum(word_edits(words, share), of_words) if kind else np.full(len(texts), edits * size)
+                n = np.bincount(of, minlength=len(texts))
+                item = named.view(np.int64)
+                df = table[item & (len(table) - 1)]
+                of, item, df = of[df > 0], item[df > 0], df[df > 0]
+                m = np.bincount(of, minlength=len(texts))
+                some = (m >= n - allow)[of]
+                of, item, df = of[some], item[some], df[some]
+                order = np.lexsort((item, df, of))
+                of, item = of[order], item[order]
+                rank = number_in_run(runs(of), len(of)) + 1
+                early = rank + (n - m)[of] <= allow[of] + 1
+                of, item, rank = of[early], item[early], rank[early]
+                lengths = np.minimum(rank - 1, BEFORE)
+                before = item[np.repeat(np.arange(len(of)) - lengths, lengths) + number_in_run((np.cumsum(lengths) - lengths)[lengths > 0], int(lengths.sum()))]
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32()), pa.array(before, pa.int64()))
+                counts = (pa.array(x.astype(np.int32)) for x in (n[of], words[of], m[of], rank))
+                yield pa.RecordBatch.from_arrays([pa.array(item), pa.array(node[of]), pa.array(root[of]), pa.array(np.full(len(of), kind)), *counts, lists], schema=PREFIX)
+
+    return lines.select("node", "root", "line").mapInArrow(cut, "item long, node long, root long, by_words boolean, n int, n_words int, m int, rank int, before array<bigint>")
 
 
 def prefix_pairs(lines: DataFrame, edits: int, share: int, min_bytes: int) -> DataFrame:
@@ -504,27 +572,20 @@ def prefix_pairs(lines: DataFrame, edits: int, share: int, min_bytes: int) -> Da
 
     An edit of a word changes one word; one of a byte at most two, or as many grams of bytes as a
     gram is long. So two linked lines have all but `allow` of these items in common, one of the
-    rarest allow + 1 of each among them (the prefix filter, in any one order of items; here by the
-    counts of with_counts()); items that no other of the lines has
-    count for no one; and from the first common item on, in order of rarity, enough must be left. Most lines of a large family have so many changes
-    of their own that they have no prefix at all. Counts of kinds of words, or bytes, must be near.
+    rarest allow + 1 of each among them (the prefix filter, in any one order of items; here by
+    item_counts()); items that lines of one root alone have count for no one; and from the first
+    common item on, in order of rarity, enough must be left. Most lines of a large family have so
+    many changes of their own that they have no prefix at all. Counts of kinds of words, or bytes,
+    must be near.
     """
     size = max(1, min(8, min_bytes // (2 * (edits + 1))))
     words_of = lambda n: F.greatest(F.floor(n * share / 100), F.lit(2))
     by_share = lambda n: F.floor(n * share / 100) > 0
     of_pair = lambda n: F.when(~F.col("by_words"), edits * size).when(by_share(n), words_of(n)).otherwise(2 * edits)
-    # a line near the least length that allows word edits may be linked to a shorter one
-    of_line = F.when(F.col("by_words") & by_share(F.col("n_words")) & ~by_share(F.col("n_words") - edits), F.greatest(words_of(F.col("n_words")), F.lit(2 * edits))).otherwise(of_pair(F.col("n_words")))
-    items = written(items_of(lines, edits, share, size), "items")
-    own = Window.partitionBy("node", "by_words")  # as many as the line has
-    shared = with_counts(items).withColumn("m", F.count("*").over(own)).withColumn("allow", of_line).where("m >= n - allow")
-    rare = own.orderBy("df", "item")
-    prefix = shared.withColumn("rank", F.row_number().over(rare)).where("rank + n - m <= allow + 1")
-    # with the items just before each, a pair is made at its first common item and seldom again
-    prefix = prefix.withColumn("before", F.collect_list("item").over(rare.rowsBetween(-BEFORE, -1)))
+    prefix = written(prefixes(lines, edits, share, size), "prefix")
     split = prefix.groupBy("item").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("item")
-    bags = with_bags(lines.select("node", "line").distinct(), share)
-    prefix = prefix.select("item", "node", "root", "by_words", "n", "n_words", "m", "rank", "before").join(split.hint("merge"), "item", "left_semi")
+    bags = with_bags(lines, share)
+    prefix = prefix.join(split.hint("merge"), "item", "left_semi")
     prefix = written(prefix.join(bags.hint("merge"), "node"), "prefix")
     x, y = prefix.alias("x"), prefix.drop("by_words").alias("y")
     left = 1 + F.least(F.col("x.m") - F.col("x.rank"), F.col("y.m") - F.col("y.rank"))
@@ -569,7 +630,7 @@ def line_classes(docs: DataFrame, edits: int, min_bytes: int, share: int = 0) ->
     links = written(confirmed(pairs, lines, edits, share), "links")
     roots = components(links)
     there = unsettled(pairs, roots)
-    apart = there.join(lines.withColumnRenamed("h", "node").hint("merge"), "node")
+    apart = written(there.join(lines.withColumnRenamed("h", "node").hint("merge"), "node"), "apart")
     more = prefix_pairs(apart, edits, share, min_bytes).join(pairs.select("a", "b"), ["a", "b"], "left_anti")
     found = written(confirmed(written(more, "pairs"), lines, edits, share), "links")
     return components(links.unionByName(found)) if found.limit(1).count() else roots
