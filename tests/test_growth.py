@@ -4,8 +4,8 @@ from pyspark.sql import functions as F
 
 from codeseam import storage
 from codeseam.operators import files as file_pass, history, metrics, smells
-from codeseam.operators.rules import RULES
-from codeseam.operators.structure import facts, file_functions
+from codeseam.operators.rules import RULES, TOKENS
+from codeseam.operators.structure import Facts, facts, file_functions
 from codeseam.plans import queries
 
 
@@ -54,6 +54,19 @@ def test_equal_lines_are_matched_once():
     assert len(facts(rules)) == 4
 
 
+def test_long_lines_are_matched_once(monkeypatch):
+    calls, real = [], Facts.__missing__
+    monkeypatch.setattr(Facts, "__missing__", lambda self, mask: calls.append(1) or real(self, mask))
+    lines = [f"{'word ' * 100}and or {k} for" for k in range(5)] + [f"{'band ' * 100}{k}" for k in range(5)]
+    assert file_functions(lines, list(range(10)), lines, RULES["Python"]) == [("<file>", 1, 10, 10, 0, 16, 4 + 8)]
+    assert len(calls) == 10
+
+
+def test_symbols_are_told_by_runs():
+    # **= and = from one run, <= and - from another, ! is in no symbol alone
+    assert file_pass.token_counts(["a **== b<=-1 !x", "def é if _y, _y"], TOKENS["Python"]) == (6, 5, 6, 6)
+
+
 def test_more_rows_are_dealt_out_over_more_tasks(spark, monkeypatch):
     monkeypatch.setattr(storage, "TASK_ROWS", 50)
     rows = spark.range(400).select((F.col("id") % 100).alias("commit_id"), F.col("id").cast("string").alias("path"))
