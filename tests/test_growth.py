@@ -39,6 +39,13 @@ def test_score_diff_measures_files_once(spark, monkeypatch):
     assert len(calls) == 1
 
 
+def test_score_diff_works_each_side_out_once(spark):
+    got = queries.QUERIES["score_diff"](spark, "/root/testdata/sf0.001")
+    # for the blocks and for the files that have some, on two sides
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 4
+    assert [tuple(r)[:2] for r in got.orderBy("position").collect()][-1] == (7, "overall")
+
+
 def test_index_of_sources_reads_what_it_shows(spark, monkeypatch):
     asked, real = [], file_pass.file_measures
     monkeypatch.setattr(file_pass, "file_measures", lambda *a, **k: asked.append(k["parts"]) or real(*a, **k))
